@@ -100,12 +100,10 @@ def value_key(text: Column) -> Column:
     )
 
 
-def long_form(df: DataFrame, columns: Sequence[str], value, keep: Sequence[Column] = ()) -> DataFrame:
-    """One row per (row, column): ``keep…, column_name, value``."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), value(df, c).alias("value")) for c in columns]
-    )
-    return df.select(*keep, F.inline(pairs))
+def long_form(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
+    """One row per (row, column): ``column_name, value``. Unpivot stays inside generated code."""
+    narrow = df.select(*[value(df, c).alias(c) for c in columns])
+    return narrow.unpivot([], [ref(c) for c in columns], "column_name", "value")
 
 
 def row_fingerprint(columns: Iterable[str], df: DataFrame) -> Column:
@@ -174,9 +172,13 @@ def severity_rank(severity: Column) -> Column:
     )
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all keys."""
-    condition = F.lit(True)
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``left`` are kept."""
+    if not keys:
+        raise ValueError("no join keys")
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = None
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        part = ref(key).eqNullSafe(ref(f"_right_{key}"))
+        condition = part if condition is None else condition & part
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])

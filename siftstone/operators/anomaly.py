@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fixed_point, kind_of, number, ref, severity_rank
 from .quantiles import column_quantiles
-from .statistics import moments
+from .statistics import value_ranges
 
 # Plausible years and the e-mail shape of the domain rules.
 YEARS = (1900, 2100)
@@ -47,7 +47,7 @@ def column_facts(df: DataFrame, columns: Sequence[str], stddev: str = "pop", app
     """Moments and quartiles of the columns, one row per column read by the driver."""
     if not columns:
         return {}
-    base = {r.column_name: r for r in moments(df, columns).collect()}
+    base = {r.column_name: r for r in value_ranges(df, columns).collect()}
     rows = max(r.total_rows for r in base.values())
     quartiles = {
         r.column_name: r.q for r in column_quantiles(df, columns, [0.25, 0.5, 0.75], approx, rows).collect()
@@ -55,7 +55,7 @@ def column_facts(df: DataFrame, columns: Sequence[str], stddev: str = "pop", app
     return {
         c: Facts(
             base[c].non_null_count, base[c].mean, base[c][f"stddev_{stddev}"],
-            base[c].min_val, base[c].max_val, *(quartiles[c] or (None, None, None)),
+            base[c].min_val, base[c].max_val, *quartiles.get(c, (None, None, None)),
         )
         for c in columns
     }

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import same_keys
+from ..functions.columns import join_null_safe
 
 # Rows one task is asked to sort in a window; more rows mean more buckets.
 TASK_ROWS = 2_000_000
@@ -86,9 +86,8 @@ def running_total(
         )
         .drop("_in_bucket")
     )
-    return (
-        local.join(earlier, same_keys(local, earlier, [*by, "_bucket"]))
-        .select(*[local[c] for c in df.columns], (F.col("_local") + F.col("_earlier")).alias(name))
+    return join_null_safe(local, earlier, [*by, "_bucket"]).select(
+        *df.columns, (F.col("_local") + F.col("_earlier")).alias(name)
     )
 
 
@@ -119,8 +118,7 @@ def previous_rows(
     last = last.select(
         *by, "_slice", F.lag("_last").over(chain.orderBy("_slice")).alias("_handed_on")
     )
-    joined = local.join(last, same_keys(local, last, [*by, "_slice"]), "left")
     known = F.coalesce(F.col("_inside"), F.col("_handed_on"))
-    return joined.select(
-        *[local[c] for c in df.columns], *[known[c].alias(prefix + c) for c in carried]
+    return join_null_safe(local, last, [*by, "_slice"], "left").select(
+        *df.columns, *[known[c].alias(prefix + c) for c in carried]
     )

