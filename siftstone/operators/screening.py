@@ -198,20 +198,22 @@ def govern_output(df: DataFrame, text: str) -> DataFrame:
 
 def bias_matches(text: Column) -> Column:
     """Array of (bias_type, severity, matched, suggestion), one per match."""
-    parts = []
-    for name, severity, suggestion, patterns in fixed.BIAS_PATTERNS:
-        for pattern in patterns:
-            parts.append(
-                F.transform(
-                    F.regexp_extract_all(text, F.lit(_java(pattern, ignore_case=True)), F.lit(0)),
-                    lambda m, name=name, severity=severity, suggestion=suggestion: F.struct(
-                        F.lit(name).alias("bias_type"),
-                        F.lit(severity).alias("severity"),
-                        m.alias("matched"),
-                        F.lit(suggestion).alias("suggestion"),
-                    ),
-                )
-            )
+    def flagged(name, severity, suggestion):
+        return lambda m: F.struct(
+            F.lit(name).alias("bias_type"),
+            F.lit(severity).alias("severity"),
+            m.alias("matched"),
+            F.lit(suggestion).alias("suggestion"),
+        )
+
+    parts = [
+        F.transform(
+            F.regexp_extract_all(text, F.lit(_java(pattern, ignore_case=True)), F.lit(0)),
+            flagged(name, severity, suggestion),
+        )
+        for name, severity, suggestion, patterns in fixed.BIAS_PATTERNS
+        for pattern in patterns
+    ]
     return F.flatten(F.array(*parts))
 
 
@@ -438,17 +440,23 @@ def _contains_any(text: Column, words: Sequence[str]) -> Column:
 def classify_intent(df: DataFrame, text: str) -> DataFrame:
     """Adds intent, confidence and routing flags; null where no word is found."""
     lowered = F.lower(ref(text))
-    which = F.lit(None).cast("int")
+    which = F.lit(-1)
     for i, (_, _, words, _) in reversed(list(enumerate(fixed.INTENTS))):
         which = F.when(_contains_any(lowered, words), i).otherwise(which)
     out = df.withColumn("_which", which)
-    at = F.col("_which") + 1
+
+    def by_intent(values):
+        picked = F.when(F.col("_which") == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            picked = picked.when(F.col("_which") == i, value)
+        return picked
+
     columns = {
-        "intent": F.element_at(F.array(*[F.lit(name) for name, _, _, _ in fixed.INTENTS]), at),
-        "confidence": F.element_at(F.array(*[F.lit(c) for _, c, _, _ in fixed.INTENTS]), at),
+        "intent": by_intent([name for name, _, _, _ in fixed.INTENTS]),
+        "confidence": by_intent([c for _, c, _, _ in fixed.INTENTS]),
     }
     for flag in ("requires_sql", "requires_rag", "requires_forecast", "requires_viz"):
-        columns[flag] = F.element_at(F.array(*[F.lit(flags[flag]) for _, _, _, flags in fixed.INTENTS]), at)
+        columns[flag] = by_intent([flags[flag] for _, _, _, flags in fixed.INTENTS])
     return out.withColumns(columns).drop("_which")
 
 
