@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import operations_queries, quality_queries, statistics_queries, text_queries
+from . import model_queries, operations_queries, quality_queries, statistics_queries, text_queries
 
-_MODULES = [statistics_queries, quality_queries, text_queries, operations_queries]
+_MODULES = [statistics_queries, quality_queries, text_queries, operations_queries, model_queries]
 
 
 def _in_utc(run: Callable[[SparkSession, str], DataFrame]):

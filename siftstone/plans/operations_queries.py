@@ -95,13 +95,13 @@ register(
         _recommendations(spark, sf), anomaly_count="anomalies", trend="trend"
     ).select("p_partkey", "min_pct", "max_pct", "label", F.round("impact_confidence", 4).alias("impact_confidence")),
     """WITH r AS (SELECT p_partkey, p_size, CASE WHEN p_size > 35 THEN 'high' WHEN p_size > 15 THEN 'medium' ELSE 'low' END AS pr,
-  CASE p_type WHEN 'ECONOMY' THEN 1.5 WHEN 'SMALL' THEN 1.1 WHEN 'LARGE' THEN 0.8 ELSE 1.2 END AS f, p_retailprice / 1000 AS conf FROM part),
-b AS (SELECT *, CASE pr WHEN 'high' THEN 10.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END AS lo, CASE pr WHEN 'high' THEN 25.0 WHEN 'medium' THEN 10.0 ELSE 5.0 END AS hi,
+  CASE p_type WHEN 'ECONOMY' THEN 1.5e0 WHEN 'SMALL' THEN 1.1e0 WHEN 'LARGE' THEN 0.8e0 ELSE 1.2e0 END AS f, p_retailprice / 1000 AS conf FROM part),
+b AS (SELECT *, CASE pr WHEN 'high' THEN 10e0 WHEN 'medium' THEN 3e0 ELSE 1e0 END AS lo, CASE pr WHEN 'high' THEN 25e0 WHEN 'medium' THEN 10e0 ELSE 5e0 END AS hi,
   CASE pr WHEN 'high' THEN 'Significant' WHEN 'medium' THEN 'Moderate' ELSE 'Minor' END AS label FROM r),
 m AS (SELECT * REPLACE (ROUND(lo * f, 1) AS lo, ROUND(hi * f, 1) AS hi) FROM b),
-a AS (SELECT * REPLACE (CASE WHEN p_size > 10 THEN ROUND(lo * 1.2, 1) ELSE lo END AS lo, CASE WHEN p_size > 10 THEN ROUND(hi * 1.2, 1) ELSE hi END AS hi) FROM m)
-SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN ROUND(lo * 1.1, 1) ELSE lo END::DOUBLE AS min_pct,
-  CASE WHEN p_size % 3 = 0 THEN ROUND(hi * 1.15, 1) ELSE hi END::DOUBLE AS max_pct, label, ROUND(LEAST(0.9, conf), 4) AS impact_confidence FROM a""",
+a AS (SELECT * REPLACE (CASE WHEN p_size > 10 THEN ROUND(lo * 1.2e0, 1) ELSE lo END AS lo, CASE WHEN p_size > 10 THEN ROUND(hi * 1.2e0, 1) ELSE hi END AS hi) FROM m)
+SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN ROUND(lo * 1.1e0, 1) ELSE lo END::DOUBLE AS min_pct,
+  CASE WHEN p_size % 3 = 0 THEN ROUND(hi * 1.15e0, 1) ELSE hi END::DOUBLE AS max_pct, label, ROUND(LEAST(0.9, conf), 4) AS impact_confidence FROM a""",
 )
 register(
     "matched_insights",
@@ -182,8 +182,8 @@ register(
     "usage_by_session",
     lambda spark, sf: operations.usage_by(
         operations.priced_calls(_calls(spark, sf)), ["session_id"], threshold_usd=1.0
-    ).withColumn("cost_usd", F.round("cost_usd", 4)),
-    f"WITH {_CALLS} SELECT session_id, {_USAGE}, ROUND(SUM(cost_usd)::DOUBLE, 6) >= 1.0 AS over_threshold FROM p GROUP BY 1",
+    ).withColumn("cost_usd", F.round("cost_usd", 2)),
+    f"WITH {_CALLS} SELECT session_id, {_USAGE.replace(', 4)', ', 2)')}, ROUND(SUM(cost_usd)::DOUBLE, 6) >= 1.0 AS over_threshold FROM p GROUP BY 1",
 )
 
 
@@ -282,10 +282,10 @@ register(
 )
 register(
     "requests_over_limit",
-    lambda spark, sf: operations.requests_over_limit(table(spark, sf, "events"), "event_type", "ts", 20, 7200),
+    lambda spark, sf: operations.requests_over_limit(table(spark, sf, "events"), "event_type", "ts", 10, 7200),
     """WITH c AS (SELECT event_type AS client, FLOOR(EPOCH(ts))::BIGINT AS second, COUNT(*) AS requests FROM events GROUP BY 1, 2),
 w AS (SELECT *, (SUM(requests) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW))::BIGINT AS in_window FROM c)
-SELECT * FROM w WHERE in_window > 20""",
+SELECT * FROM w WHERE in_window > 10""",
 )
 register(
     "idle_window_counts",

@@ -11,14 +11,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.columns import number, ref
 from ..session import new_folder
 from ..sources.files import stream_dataset
 
-UPLOADED = T.StructType.fromDDL(
+UPLOADED = (
     "event_id string, event_type string, correlation_id string, causation_id string, occurred_at string, "
     "dataset_id string, storage_key string, filename string, size_bytes bigint, mime_type string"
 )
@@ -28,7 +27,7 @@ REQUIRED = ("dataset_id", "storage_key")
 # ── transformations ─────────────────────────────────────────────────────────
 
 
-def decode_values(df: DataFrame, value: str, schema: T.StructType, required: Sequence[str] = REQUIRED) -> DataFrame:
+def decode_values(df: DataFrame, value: str, schema: str, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Binary messages to columns plus ``problem`` (null when usable).
 
     A zero byte and a four-byte schema number may precede the JSON text: number
