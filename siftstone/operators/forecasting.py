@@ -124,7 +124,7 @@ def model_forecast(series: DataFrame, model: str, horizon: int = 30) -> DataFram
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         found = _predict(model, part, horizon)
-        return found if found is not None else pd.DataFrame({n: [] for n in names})
+        return found if found is not None else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
 
     return series.groupBy("series").applyInPandas(fit, FORECAST)
 

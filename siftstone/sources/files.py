@@ -92,13 +92,26 @@ def catalog_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of no bytes, from the folder listing (Spark's readers pass over them)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), 0))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def check_uploads(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """Accept or reject each file: empty, unsupported, too large, or a duplicate by SHA-256.
 
     ``known`` holds the ``checksum`` of earlier files. Of equal new files the
     first path is accepted; copies meet one row per checksum.
     """
-    listed = _binary(spark, path).select("path", "length")
+    listed = _binary(spark, path).select("path", "length").unionAll(empty_files(spark, path))
     rule = (
         F.when(F.col("length") == 0, "empty")
         .when(_format_of(_extension(F.col("path"))).isNull(), "unsupported")

@@ -40,13 +40,13 @@ def test_upload_checks(spark, landing):
 
 
 def test_readers(spark, landing):
-    df = files.load_dataset(spark, str(landing / "a.csv"))
+    df = files.load_dataset(spark, str(landing / "a.csv"), has_header=True)
     assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "date"]
     assert df.where("col_a is null").count() == 1 and df.where("col_b is null").count() == 1
     assert files.load_dataset(spark, str(landing / "d.json")).count() == 3
     assert files.load_dataset(spark, str(landing / "c.jsonl")).count() == 2
     assert files.load_dataset(spark, str(landing / "e.txt")).columns == ["p", "q"]
-    assert files.load_dataset(spark, str(landing / "a.csv"), sample_rows=2).count() == 2
+    assert files.load_dataset(spark, str(landing / "a.csv"), has_header=True, sample_rows=2).count() == 2
     typed = files.load_dataset(spark, str(landing / "a.csv"), "csv", schema="a int, b string, c date")
     assert typed.columns == ["a", "b", "c"] and typed.agg(F.sum("a")).first()[0] == 3
     with pytest.raises(ValueError):
