@@ -243,3 +243,27 @@ IMPACT_RANGES = {
 IMPACT_FACTORS = {
     "currency": 1.5, "numeric_measure": 1.2, "numeric_count": 1.0, "categorical": 0.8, "percentage": 1.1,
 }
+
+# Words of which at least one is part of every match of a category's patterns (lower case).
+# A substring search is far cheaper than the patterns, so it runs first.
+INJECTION_HINTS = {
+    "persona_override": ["ignore", "forget", "now", "act", "pretend"],
+    "system_prompt_extraction": ["prompt", "instruction", "context", "directive", "everything"],
+    "instruction_override": [":", "disregard", "override"],
+    "role_jailbreak": ["dan", "dude", "stan", "jailgpt", "chatgpt", "anything", "unrestricted", "filter"],
+    "data_exfiltration": ["send", "export", "upload", "transmit", "print", "show"],
+    "code_injection": ["execute", "run", "__import__", "os.system", "subprocess"],
+    "delimiter_injection": ["```", "<|im_start|>", "[inst]", "###"],
+    "multi_step_injection": ["first", "step"],
+    "social_engineering": ["pretend", "purposes", "my"],
+    "evasion_encoding": ["base64", "rot13", "hex", "morse", "ignore", "pia", "pi a", "please"],
+}
+BIAS_HINTS = {
+    "absolute_language": [
+        "always", "never", "all", "every", "none", "no", "impossible", "certain",
+    ],
+    "causation_from_correlation": ["cause", "lead", "result", "make", "proven"],
+    "unverified_benchmark": ["standard", "average", "company", "normal", "industry"],
+    "false_precision": ["%"],
+    "overgeneralisation": ["data", "conclusive"],
+}

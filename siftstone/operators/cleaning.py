@@ -127,9 +127,9 @@ def clean(
     """Strip, deduplicate, coerce, drop or fill, optionally clip.
 
     The null rate of the raw column decides what is dropped or filled; medians
-    and modes are taken after deduplication and coercion. The coerced rows are
-    written once to the checkpoint folder, as counts, medians and the result
-    all read them.
+    and modes are taken after deduplication and coercion. The deduplicated rows
+    are written once to the checkpoint folder, as counts, medians and the
+    result all read them.
     """
     steps: list[tuple] = []
 
@@ -142,6 +142,7 @@ def clean(
     work = strip_text(raw)
     if dedup:
         work = drop_duplicates(work)
+    work = cut_lineage(work)
     stripped_nulls = null_counts(work)
     rows_after = stripped_nulls[None]
     if dedup and rows_before > rows_after:
@@ -170,7 +171,6 @@ def clean(
             if rate[c] > 0 and kind_of(work.schema[c].dataType) in ("numeric", "text")
         ]
         if gaps:
-            work = cut_lineage(work)
             missing = null_counts(work)
             fill = fill_values(work, gaps)
             for c in gaps:

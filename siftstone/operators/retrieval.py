@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
+from ..session import cut_lineage
 
 QUERY_BLOCK = 1024
 DEFAULT_TOP_K = 8
@@ -244,25 +245,30 @@ def bm25(
     """BM25 top-k per query: ``query_id, document_id, score, rank``.
 
     idf = ln(1 + (N − df + 0.5) / (df + 0.5)), average length from the data.
-    One pass counts documents, lengths and the document frequency of the query
-    terms; the second scores documents batch by batch where they are, so a word
-    that is in most documents moves no postings.
+    The texts are split once per block of queries into length and matching
+    words, which are written to the checkpoint folder; counts, document
+    frequencies and scores read that. Scores are formed batch by batch where
+    the documents are, so a word of most documents moves no postings.
     """
     words = documents.select(ref(document_id).alias("document_id"), tokens(ref(text)).alias("t"))
     wanted = queries.select(ref(query_id).alias("query_id"), query_terms(ref(query_text)).alias("terms"))
     id_type = words.schema["document_id"].dataType.simpleString()
     query_type = wanted.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, document_id {id_type}, score double"
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
-    found = None
+    found, size = None, None
     for block in _blocks(wanted, ["query_id", "terms"], QUERY_BLOCK // 8):
         vocabulary = sorted({t for r in block for t in r.terms})
-        if not vocabulary or not size.n:
+        if not vocabulary:
             continue
         position = {t: i for i, t in enumerate(vocabulary)}
-        hits = words.select(
-            "document_id", F.size("t").alias("length"), F.filter("t", lambda t: t.isin(vocabulary)).alias("hits")
-        ).where(F.size("hits") > 0)
+        matched = cut_lineage(
+            words.select(
+                "document_id", F.size("t").alias("length"), F.filter("t", lambda t: t.isin(vocabulary)).alias("hits")
+            )
+        )
+        if size is None:
+            size = matched.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
+        hits = matched.where(F.size("hits") > 0)
         frequency = (
             hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         )

@@ -5,7 +5,8 @@ the JVM over whole texts."""
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def _any_of(parts: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in parts)
 
 
+def _folded(text: Column) -> Column:
+    """Lower case under which every letter the patterns accept in any case is its plain one."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, "ſıİK", "siik")))
+
+
+def _hinted(folded: Column, words: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words])
+
+
 # ── personal data ───────────────────────────────────────────────────────────
 
 
@@ -35,9 +46,32 @@ def detect_pii(df: DataFrame, text: str, redact: bool = True) -> DataFrame:
 
 
 def _pii_flags(df, text):
-    return df.withColumns(
-        {f"_hit_{name}": F.coalesce(text.rlike(_java(p)), F.lit(False)) for name, p in fixed.PII_PATTERNS}
+    """One boolean per category; a cheap necessary condition runs before each pattern."""
+    df = df.withColumns(
+        {
+            "_digit": F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)),
+            "_digits": F.coalesce(text.rlike(r"\p{Nd}{3}"), F.lit(False)),
+        }
     )
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    needed = {
+        "email": has("@"),
+        "phone_us": F.col("_digits"),
+        "phone_intl": F.col("_digit") & has("+"),
+        "ssn": F.col("_digits"),
+        "credit_card": F.col("_digits"),
+        "ipv4": F.col("_digit") & has("."),
+        "ipv6": has(":"),
+        "name_title": has("Mr", "Ms", "Dr", "Prof"),
+        "street_addr": F.col("_digit"),
+        "passport": F.col("_digits"),
+    }
+    return df.withColumns(
+        {
+            f"_hit_{name}": F.coalesce(needed[name] & text.rlike(_java(p)), F.lit(False))
+            for name, p in fixed.PII_PATTERNS
+        }
+    ).drop("_digit", "_digits")
 
 
 def _redact(df, text):
@@ -80,12 +114,14 @@ def score_injection(df: DataFrame, text: str, min_score: float = 0.4) -> DataFra
     Each category counts once per text; texts under five characters are safe.
     """
     long_enough = F.coalesce(F.length(ref(text)) >= 5, F.lit(False))
-    flagged = df.withColumns(
+    flagged = df.withColumn("_folded", _folded(ref(text))).withColumns(
         {
-            f"_inj_{name}": long_enough & ref(text).rlike(_java(_any_of(patterns), ignore_case=True))
+            f"_inj_{name}": long_enough
+            & _hinted(F.col("_folded"), fixed.INJECTION_HINTS[name])
+            & ref(text).rlike(_java(_any_of(patterns), ignore_case=True))
             for name, _, patterns in fixed.INJECTION_PATTERNS
         }
-    )
+    ).drop("_folded")
     weight = F.lit(0.0)
     for name, points, _ in fixed.INJECTION_PATTERNS:
         weight = weight + F.when(F.col(f"_inj_{name}"), points).otherwise(0.0)
@@ -229,8 +265,10 @@ def score_bias(df: DataFrame, text: str) -> DataFrame:
         total = F.lit(0)
         for pattern in patterns:
             total = total + F.regexp_count(ref(text), F.lit(_java(pattern, ignore_case=True)))
-        counts[f"_bias_{name}"] = F.coalesce(total, F.lit(0))
-    counted = df.withColumns(counts)
+        counts[f"_bias_{name}"] = F.when(
+            _hinted(F.col("_folded"), fixed.BIAS_HINTS[name]), F.coalesce(total, F.lit(0))
+        ).otherwise(0)
+    counted = df.withColumn("_folded", _folded(ref(text))).withColumns(counts).drop("_folded")
     weight, flags, serious = F.lit(0.0), F.lit(0), F.lit(False)
     for name, severity, _, _ in fixed.BIAS_PATTERNS:
         n = F.col(f"_bias_{name}")
