@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.columns import grade, is_temporal, kind_of, number, ref, row_fingerprint
+from ..session import cut_lineage
 from .quantiles import counted_quantiles, shared_cuts
 from .statistics import (
     SHARES, counted_moments, numeric_values, restore_values, spread_of_totals, value_relation,
@@ -101,16 +102,19 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
     lengths, date range, entropy and sample values.
 
     A narrow scan gives counts, lengths and ranges; everything else is read
-    from the value relation. The joins match tables of one row per column.
+    from the value relation, which is written once to the checkpoint folder.
+    So is the result (one row per column), as scores, cards and chunks read it
+    again. The joins match tables of one row per column.
     """
     numeric = [f.name for f in df.schema if kind_of(f.dataType) == "numeric"]
     others = [c for c in df.columns if c not in numeric]
-    relations = [value_relation(df, names) for names in (numeric, others) if names]
+    relations = [cut_lineage(value_relation(df, names)) for names in (numeric, others) if names]
     counted = relations[0].unionAll(relations[1]) if len(relations) == 2 else relations[0]
     totals = []
     if numeric:
         values = numeric_values(relations[0])
         quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, numeric, df.count()))
+        quantiles = cut_lineage(quantiles.repartition(1))
         quartiles = quantiles.select("column_name", F.array(F.col("q")[1], F.col("q")[3]).alias("q"))
         spread = counted_moments(values, quartiles)
         totals.append(
@@ -148,7 +152,7 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
     q, rows, n = F.col("q"), F.col("total_rows"), F.col("non_null_count")
     distinct = F.coalesce(F.col("categories"), F.lit(0))
     ratio = F.coalesce(distinct / F.nullif(n, F.lit(0)), F.lit(0.0))
-    return out.select(
+    result = out.select(
         "ordinal", "column_name", "data_type", "kind", "total_rows", "non_null_count",
         (rows - n).alias("null_count"),
         F.coalesce(F.round((rows - n) / F.nullif(rows, F.lit(0)), 6), F.lit(0.0)).alias("null_rate"),
@@ -168,6 +172,7 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
         "entropy", "normalised_entropy", "top3_coverage",
         "min_length", "max_length", "avg_length", "has_whitespace", "min_date", "max_date",
     )
+    return cut_lineage(result.coalesce(1))
 
 
 def summarise_profile(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def summarise_profile(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def profile_table(df: DataFrame, match: str = "substring") -> TableProfile:
-    """Profile with semantic types. Lazy but for the row count that picks the percentile method."""
+    """Profile with semantic types. The column rows are computed at once, the table row when read."""
     columns = infer_semantic_types(profile_columns(df), match)
     return TableProfile(columns, summarise_profile(columns, duplicate_rows(df)))
 

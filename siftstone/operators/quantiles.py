@@ -22,13 +22,15 @@ def shared_cuts(df: DataFrame, columns: Sequence[str], rows: int, task_rows: int
     """Cut points for several columns in long form: the union of their approximate quantiles.
 
     Buckets stay in value order within every column. One scan, no shuffle of
-    rows; at most MAX_BUCKETS numbers reach the driver.
+    rows; at most MAX_BUCKETS numbers reach the driver. A sample of about 2,000
+    rows per bucket is enough: the cut points only balance the work.
     """
     buckets = min(MAX_BUCKETS // max(len(columns), 1), math.ceil(rows / (task_rows or TASK_ROWS)))
     if buckets <= 1:
         return []
     inner = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
+    sample = df.sample(fraction=min(1.0, 2000 * buckets / rows), seed=42)
+    row = sample.agg(
         *[F.percentile_approx(number(df, c), inner, 10 * buckets).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
     return sorted({v for cuts in row if cuts for v in cuts})

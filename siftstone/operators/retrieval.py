@@ -12,8 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import ref
 from ..session import cut_lineage
@@ -231,6 +234,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
 
 
+def _sql_text(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def bm25(
     documents: DataFrame,
     queries: DataFrame,
@@ -255,59 +262,62 @@ def bm25(
     id_type = words.schema["document_id"].dataType.simpleString()
     query_type = wanted.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, document_id {id_type}, score double"
+    query_arrow = to_arrow_type(wanted.schema["query_id"].dataType)
     found, size = None, None
-    for block in _blocks(wanted, ["query_id", "terms"], QUERY_BLOCK // 8):
+    for block in _blocks(wanted, ["query_id", "terms"], QUERY_BLOCK // 2):
         vocabulary = sorted({t for r in block for t in r.terms})
         if not vocabulary:
             continue
-        position = {t: i for i, t in enumerate(vocabulary)}
-        matched = cut_lineage(
-            words.select(
-                "document_id", F.size("t").alias("length"), F.filter("t", lambda t: t.isin(vocabulary)).alias("hits")
-            )
-        )
+        # words travel as 64-bit hashes; membership itself is decided on the words
+        known = documents.sparkSession.createDataFrame([(t,) for t in vocabulary], "t string")
+        hashes = {r.t: r.h for r in known.select("t", F.xxhash64("t").alias("h")).collect()}
+        if len(set(hashes.values())) < len(vocabulary):
+            raise ValueError("two query words share a hash")
+        hits = F.expr(f"transform(filter(t, w -> w IN ({', '.join(map(_sql_text, vocabulary))})), w -> xxhash64(w))")
+        matched = cut_lineage(words.select("document_id", F.size("t").alias("length"), hits.alias("hits")))
         if size is None:
             size = matched.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
-        hits = matched.where(F.size("hits") > 0)
+        order = np.array(sorted(hashes.values()), dtype=np.int64)
+        position = {t: int(np.searchsorted(order, h)) for t, h in hashes.items()}
+        matched = matched.where(F.size("hits") > 0)
         frequency = (
-            hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+            matched.select(F.explode(F.array_distinct("hits")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
         )
-        idf = np.zeros(len(vocabulary))
-        for r in frequency.collect():  # one row per query term
-            idf[position[r.term]] = np.log(1 + (size.n - r.df + 0.5) / (r.df + 0.5))
+        idf = np.zeros(len(order))
+        for r in frequency.collect():  # one row per query word
+            idf[np.searchsorted(order, r.h)] = np.log(1 + (size.n - r.df + 0.5) / (r.df + 0.5))
         ids = [r.query_id for r in block]
-        members = [np.array([position[t] for t in r.terms], dtype=int) for r in block]
-        model = documents.sparkSession.sparkContext.broadcast((ids, members, position, idf, float(size.avg)))
-
-        def best(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            ids, members, position, idf, average = model.value
-            incidence = np.zeros((len(idf), len(ids)))
-            for j, at in enumerate(members):
-                incidence[at, j] = 1.0
-            rows = max(1, 4_000_000 // len(idf))
-            pieces = (batch.iloc[i : i + rows] for batch in batches for i in range(0, len(batch), rows))
-            for batch in pieces:
-                weights = np.zeros((len(batch), len(idf)))
-                for i, (length, found) in enumerate(zip(batch["length"], batch["hits"])):
-                    terms, counts = np.unique([position[t] for t in found], return_counts=True)
+        incidence = np.zeros((len(order), len(ids)))
+        for j, r in enumerate(block):
+            incidence[[position[t] for t in r.terms], j] = 1.0
+        model = documents.sparkSession.sparkContext.broadcast((ids, incidence, order, idf, float(size.avg)))
+
+        def best(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            ids, incidence, order, idf, average = model.value
+            rows = max(1, 4_000_000 // len(order))
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    piece = batch.slice(at, rows)
+                    documents_here, length, lists = piece.column(0), piece.column(1).to_numpy(), piece.column(2)
+                    owner = np.repeat(np.arange(piece.num_rows), pc.list_value_length(lists).to_numpy())
+                    term = np.searchsorted(order, lists.flatten().to_numpy())
+                    counts = np.bincount(owner * len(order) + term, minlength=piece.num_rows * len(order))
+                    counts = counts.reshape(piece.num_rows, len(order)).astype(float)
                     norm = k1 * (1 - b + b * length / average)
-                    weights[i, terms] = idf[terms] * counts * (k1 + 1) / (counts + norm)
-                scores = weights @ incidence
-                documents_here = batch["document_id"].to_numpy()
-                parts = []
-                for j, query in enumerate(ids):
-                    column = scores[:, j]
-                    usable = np.flatnonzero(column > 0)
-                    if len(usable) > top_k:
-                        cut = np.partition(column[usable], -top_k)[-top_k]
-                        usable = usable[column[usable] >= cut - 1e-9]
-                    parts.append(
-                        pd.DataFrame({"query_id": [query] * len(usable), "document_id": documents_here[usable],
-                                      "score": column[usable]})
-                    )
-                yield pd.concat(parts)
-
-        part = hits.mapInPandas(best, schema)
+                    scores = (idf * counts * (k1 + 1) / (counts + norm[:, None])) @ incidence
+                    for j, query in enumerate(ids):
+                        column = scores[:, j]
+                        usable = np.flatnonzero(column > 0)
+                        if len(usable) > top_k:
+                            cut = np.partition(column[usable], -top_k)[-top_k]
+                            usable = usable[column[usable] >= cut - 1e-9]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([query] * len(usable)).cast(query_arrow), documents_here.take(pa.array(usable)),
+                             pa.array(column[usable])],
+                            names=["query_id", "document_id", "score"],
+                        )
+
+        part = matched.mapInArrow(best, schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], schema + ", rank int")

@@ -79,3 +79,10 @@ def test_upsert_is_idempotent(spark):
     once = retrieval.upsert_chunks(old, new)
     twice = retrieval.upsert_chunks(once, new)
     assert sorted(once.collect()) == sorted(twice.collect()) and once.where("content = 'c'").count() == 1
+
+
+def test_words_with_quotes_and_backslashes(spark):
+    documents = spark.createDataFrame([(1, r"it's a c:\temp path"), (2, "nothing else")], "doc_id int, text string")
+    queries = spark.createDataFrame([("q", r"IT'S c:\temp")], "query_id string, text string")
+    rows = retrieval.bm25(documents, queries, 3).collect()
+    assert [(r.document_id, r["rank"]) for r in rows] == [(1, 1)] and rows[0].score > 0.5
