@@ -233,7 +233,7 @@ register(
     lambda spark, sf: rounded(
         relations.correlation_matrix(table(spark, sf, "lineitem"), LINE_NUMBERS, min_abs_r=0.0), ["r", "r_squared", "abs_r"]
     ),
-    f"""SELECT col_a, col_b, ROUND(r, 4) AS r, ROUND(r * r, 4) AS r_squared,
+    f"""SELECT col_a, col_b, ROUND(ROUND(r, 6), 4) AS r, ROUND(ROUND(r * r, 6), 4) AS r_squared,
   CASE WHEN ABS(r) >= 0.9 THEN 'very_strong' WHEN ABS(r) >= 0.7 THEN 'strong' WHEN ABS(r) >= 0.5 THEN 'moderate'
        WHEN ABS(r) >= 0.3 THEN 'weak' ELSE 'negligible' END AS strength,
   CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, ROUND(ABS(r), 4) AS abs_r,
@@ -255,7 +255,7 @@ p AS (
   UNION ALL SELECT 'l_extendedprice', 'l_quantity', CORR(l_extendedprice, l_quantity), COUNT(*) FROM t
   UNION ALL SELECT 'l_extendedprice', 'net', CORR(l_extendedprice, net), COUNT(*) FROM t
   UNION ALL SELECT 'l_quantity', 'net', CORR(l_quantity, net), COUNT(*) FROM t)
-SELECT col_a, col_b, ROUND(r, 4) AS r, n AS sample_size,
+SELECT col_a, col_b, ROUND(ROUND(r, 6), 4) AS r, n AS sample_size,
   CASE WHEN ABS(r) >= 0.9 THEN 'very_strong' WHEN ABS(r) >= 0.7 THEN 'strong' WHEN ABS(r) >= 0.5 THEN 'moderate'
        WHEN ABS(r) >= 0.3 THEN 'weak' ELSE 'negligible' END AS strength,
   CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
@@ -281,7 +281,7 @@ register(
 _TREND_SQL = """WITH p AS (SELECT {keys}datediff('day', DATE '1970-01-01', {ts}::DATE)::DOUBLE AS x, {value}::DOUBLE AS y FROM {table}),
 f AS (SELECT {keys}REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_R2(y, x) AS r2, MIN(x) AS x0, MAX(x) AS x1,
         COUNT(*) AS n FROM p {group})
-SELECT {keys}ROUND(b, 6) AS slope, ROUND(r2, 4) AS r_squared,
+SELECT {keys}ROUND(ROUND(b, 8), 6) AS slope, ROUND(ROUND(r2, 6), 4) AS r_squared,
   CASE WHEN b > 0 THEN 'increasing' WHEN b < 0 THEN 'decreasing' ELSE 'flat' END AS direction,
   ROUND((a + b * x1 - (a + b * x0)) / ABS(a + b * x0) * 100, 2) AS pct_change, n AS data_points, r2 > 0.5 AS is_significant
 FROM f"""
@@ -310,7 +310,7 @@ register(
     """WITH g AS (SELECT l_returnflag AS g, AVG(l_extendedprice) AS m, VAR_SAMP(l_extendedprice) AS v, COUNT(*) AS n,
    ROW_NUMBER() OVER (ORDER BY l_returnflag) AS r FROM lineitem GROUP BY 1),
 a AS (SELECT * FROM g WHERE r = 1), b AS (SELECT * FROM g WHERE r = 2)
-SELECT 'Welch''s t-test' AS test, ROUND((a.m - b.m) / SQRT(a.v / a.n + b.v / b.n), 4) AS t_statistic,
+SELECT 'Welch''s t-test' AS test, ROUND(ROUND((a.m - b.m) / SQRT(a.v / a.n + b.v / b.n), 6), 4) AS t_statistic,
   ROUND(POWER(a.v / a.n + b.v / b.n, 2) / (POWER(a.v / a.n, 2) / (a.n - 1) + POWER(b.v / b.n, 2) / (b.n - 1)), 2) AS dof,
   a.g AS group_a, b.g AS group_b FROM a, b""",
 )
@@ -321,7 +321,7 @@ register(
     """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, COUNT(*)::DOUBLE AS o FROM lineitem GROUP BY 1, 2),
 e AS (SELECT o, SUM(o) OVER (PARTITION BY a) * SUM(o) OVER (PARTITION BY b) / SUM(o) OVER () AS e FROM c),
 x AS (SELECT SUM((o - e) * (o - e) / e) AS x FROM e)
-SELECT 'Chi-square' AS test, ROUND(x, 4) AS chi2, ROUND(EXP(-x / 2), 4) AS p_value,
+SELECT 'Chi-square' AS test, ROUND(ROUND(x, 6), 4) AS chi2, ROUND(ROUND(EXP(-x / 2), 6), 4) AS p_value,
   ((SELECT COUNT(DISTINCT a) FROM c) - 1) * ((SELECT COUNT(DISTINCT b) FROM c) - 1) AS dof, EXP(-x / 2) < 0.05 AS significant
 FROM x""",
 )
@@ -335,7 +335,7 @@ register(
         table(spark, sf, "lineitem").withColumn("expected", F.col("l_quantity") * 1500.0),
         "l_extendedprice", "expected", ["l_returnflag"],
     ).withColumn("mape", F.round("mape", 4)),
-    """SELECT l_returnflag, ROUND(AVG(ABS((l_extendedprice - l_quantity * 1500.0) / l_extendedprice)), 4) AS mape
+    """SELECT l_returnflag, ROUND(ROUND(AVG(ABS((l_extendedprice - l_quantity * 1500.0) / l_extendedprice)), 6), 4) AS mape
 FROM lineitem WHERE l_extendedprice <> 0 GROUP BY 1""",
 )
 
@@ -374,20 +374,22 @@ def _period_summary(df, ts, value, grain, func="SUM", by=()):
 
 register(
     "period_summary",
-    lambda spark, sf: _period_summary(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month"),
+    lambda spark, sf: _period_summary(
+        table(spark, sf, "orders").withColumn("revenue", F.col("o_totalprice") / 7000.0), "o_orderdate", "revenue", "month"
+    ),
     _PERIOD_SQL.format(
-        keys="", wkeys="", grain="month", ts="o_orderdate", value="o_totalprice", table="orders", func="SUM",
+        keys="", wkeys="", grain="month", ts="o_orderdate", value="(o_totalprice / 7000.0::DOUBLE)", table="orders", func="SUM",
         group="", partition="", join="CROSS JOIN", using="",
     ),
 )
 register(
     "period_summary_by_series",
     lambda spark, sf: _period_summary(
-        table(spark, sf, "events"), "ts", "value", timeseries.choose_granularity(table(spark, sf, "events"), "ts"),
-        "AVG", ["event_type"],
+        table(spark, sf, "events").withColumn("score", F.col("value") / 7.3), "ts", "score",
+        timeseries.choose_granularity(table(spark, sf, "events"), "ts"), "AVG", ["event_type"],
     ),
     _PERIOD_SQL.format(
-        keys="event_type, ", wkeys="event_type, ", grain="day", ts="ts", value="value", table="events", func="AVG",
+        keys="event_type, ", wkeys="event_type, ", grain="day", ts="ts", value="(value / 7.3::DOUBLE)", table="events", func="AVG",
         group="GROUP BY event_type", partition="PARTITION BY event_type", join="JOIN", using="USING (event_type)",
     ),
 )
