@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-Each token has the log-odds of toxic against other labelled documents under a Dirichlet prior whose shape is the
-token frequencies of all documents. A linear-time scan finds every maximal-scoring passage (Ruzzo and Tompa); the
+Each token has the log-odds of toxic against other labelled documents. Its Dirichlet prior is its stem's share, that
+stem's prior the shorter stem's, and so on; a token frequent in all documents has a stronger prior. A linear-time scan finds every maximal-scoring passage (Ruzzo and Tompa); the
 passages of a document are compared with what a document of its length shows by chance (extreme-value statistics:
 ``E = K n exp(-lambda S)``), and a logistic curve fitted on the labelled documents turns that evidence into a score.
 """
@@ -9,21 +9,28 @@ passages of a document are compared with what a document of its length shows by
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_buffer, byte_codes, row_groups, words
+from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, words
 
-#: Tokens are counted in this many hash buckets, which bounds the model that travels to the tasks (2 MB).
-BUCKET_BITS = 18
+#: Tokens and stems are counted in 2 ** BUCKET_BITS hash buckets, which bounds the model that travels to the tasks (8 MB).
+BUCKET_BITS = 20
+STEMS = (4, 5, 6)
 #: Most labelled documents that the model is fitted on; those with the smallest hash of their id are taken.
 LABELLED_ROWS = 50_000
-#: Weight of the prior in tokens, the confidence bound in standard errors, and the drift of an uninformative token.
-PRIOR_TOKENS, BOUND, DRIFT = 1_000.0, 2.0, 0.05
+#: Weight of a prior: so many tokens, and so many more spread over all tokens by their frequency.
+PRIOR_LEAST, PRIOR_SPREAD = 5.0, 1_000.0
+#: A stem never tells a longer one more than this surely.
+LEAST_SHARE = 0.01
+#: What an uninformative token costs a passage.
+DRIFT = 2.0
+#: Chance statistics come from the passages of harmless documents above this quantile of their scores.
+TAIL = 0.9
 #: A passage is significant below this many chance passages per document.
 SIGNIFICANT = 0.05
 SEED = 17
@@ -37,9 +44,20 @@ _CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
 
 
 def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every token. Tokens are runs of ASCII letters, digits and bytes above 127; A-Z count as a-z."""
-    row, _, _, h = words(data, offsets, _SEPARATOR, _CODES)
-    return row, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    """Row of every token, and the buckets of the whole token and of its beginnings of ``STEMS`` bytes (one column each).
+
+    Tokens are runs of ASCII letters, digits and bytes above 127; A-Z count as a-z. Where a token is no longer than a
+    stem, that column repeats the whole token.
+    """
+    row, start, end, whole = words(data, offsets, _SEPARATOR, _CODES)
+    out = np.empty((len(row), 1 + len(STEMS)), np.int64)
+    out[:, 0] = whole >> np.uint64(64 - BUCKET_BITS)
+    for k, size in enumerate(STEMS, 1):
+        grams = mixed(gram_hashes(_CODES[data], size) + np.uint64(size))
+        long = end - start > size
+        out[:, k] = out[:, 0]
+        out[long, k] = grams[start[long]] >> np.uint64(64 - BUCKET_BITS)
+    return row, out
 
 
 def _groups(column):
@@ -62,62 +80,86 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+#: Columns of the counts: all documents; toxic and other labelled ones for the first fit; the same of the calibration fold.
+_KINDS = ("n", "toxic", "other", "toxic_aside", "other_aside")
+
+
 def token_counts(docs: DataFrame, known: DataFrame) -> np.ndarray:
-    """Tokens per bucket of all documents, of the toxic and of the other labelled ones (3 x buckets)."""
+    """Occurrences per bucket, one row per kind of document (``_KINDS``)."""
     size = 1 << BUCKET_BITS
 
     def run(batches):
-        total = np.zeros((3, size), np.int64)
+        total = np.zeros((len(_KINDS), size), np.int64)
         for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
+            kind = batch.column(1).to_numpy(zero_copy_only=False)
             for first, last, row, bucket in _groups(batch.column(0)):
-                total[0] += np.bincount(bucket, minlength=size)
-                own = label[first:last][row]
-                for k, value in ((1, 1), (2, 0)):
-                    if (own == value).any():
-                        total[k] += np.bincount(bucket[own == value], minlength=size)
+                total[0] += np.bincount(bucket.ravel(), minlength=size)
+                own = kind[first:last][row]
+                for k in np.unique(own):
+                    if k:
+                        total[k] += np.bincount(bucket[own == k].ravel(), minlength=size)
         there = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(t[there]) for t in total]], names=["bucket", "n", "toxic", "other"])
-
-    joined = docs.join(F.broadcast(known), "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-    counts = joined.mapInArrow(run, "bucket long, n long, toxic long, other long")
-    out = np.zeros((3, size))
-    for r in counts.groupBy("bucket").agg(F.sum("n"), F.sum("toxic"), F.sum("other")).toLocalIterator():
-        out[:, r[0]] = r[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(t[there]) for t in total]], names=["bucket", *_KINDS])
+
+    kind = F.when(F.col("toxic") == 1, 1).otherwise(2) + F.when(_aside(F.col("doc_id")), 2).otherwise(0)
+    joined = docs.join(F.broadcast(known), "doc_id", "left").select("text", F.when(F.col("toxic").isNull(), 0).otherwise(kind).alias("kind"))
+    counts = joined.mapInArrow(run, "bucket long, " + ", ".join(f"{k} long" for k in _KINDS))
+    out = np.zeros((len(_KINDS), size))
+    for part in counts.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in _KINDS]).toArrow().to_batches():
+        out[:, part.column(0).to_numpy()] = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]])
     return out
 
 
+def _aside(doc_id):
+    """The calibration fold among the documents outside the held-out one."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 4
+
+
 @dataclass(frozen=True)
 class Model:
-    """Token scores, the extreme-value constants and the logistic curve."""
-
-    scores: np.ndarray
-    rate: float
-    scale: float
+    """Counts and prior weight per bucket, the share of toxic tokens, the extreme-value constants and the logistic curve."""
+
+    toxic: np.ndarray
+    seen: np.ndarray
+    prior: np.ndarray
+    share: float
+    rate: float = 1.0
+    scale: float = 1.0
     curve: tuple[float, ...] = (-3.0, 0.0, 0.0)
 
+    def token_scores(self, bucket: np.ndarray) -> np.ndarray:
+        """Log-odds of each token against the share of toxic tokens, from the shortest stem to the whole token, less the drift."""
+        share = np.full(len(bucket), self.share)
+        for k in (*range(1, bucket.shape[1]), 0):
+            own = bucket[:, k]
+            share = np.clip(share, LEAST_SHARE, 1 - LEAST_SHARE)
+            share = (self.toxic[own] + self.prior[own] * share) / (self.seen[own] + self.prior[own])
+        return np.log(share / (1 - share)) - math.log(self.share / (1 - self.share)) - DRIFT
+
+    def passages(self, column):
+        """Per text: number of tokens and the scores of its passages."""
+        for first, last, row, bucket in _groups(column):
+            score = self.token_scores(bucket)
+            cuts, up = np.searchsorted(row, np.arange(last - first + 1)), np.flatnonzero(score > 0)
+            total, inner = np.concatenate(([0.0], np.cumsum(score))), np.searchsorted(up, cuts)
+            for i in range(last - first):
+                own = up[inner[i] : inner[i + 1]]
+                yield int(cuts[i + 1] - cuts[i]), [s for _, _, s in segments(total, own)] if len(own) else []
+
     def evidence(self, column) -> np.ndarray:
         """Per text: the evidence of its best passage, and of all its significant passages together."""
-        out = np.zeros((len(column), 2))
-        for first, last, row, bucket in _groups(column):
-            score = self.scores[bucket]
-            cuts = np.searchsorted(row, np.arange(last - first + 1))
-            up = np.flatnonzero(score > 0)
-            total = np.concatenate(([0.0], np.cumsum(score)))
-            inner = np.searchsorted(up, cuts)
-            for i in np.flatnonzero(np.diff(inner)):
-                a, b = cuts[i], cuts[i + 1]
-                best = [s for _, _, s in segments(total, up[inner[i] : inner[i + 1]])]
-                out[first + i] = self.weigh(best, b - a)
-        return out
+        return np.array([self.weigh(best, n) for n, best in self.passages(column)]).reshape(-1, 2)
 
     def weigh(self, best, n) -> tuple[float, float]:
-        gains = [self.rate * s - math.log(self.scale * n) for s in best]
-        return max(0.0, *gains) if gains else 0.0, math.log1p(sum(g for g in gains if g > -math.log(SIGNIFICANT)))
+        gains = [self.rate * s - math.log(self.scale * max(n, 1)) for s in best]
+        return max([0.0, *gains]), math.log1p(sum(g for g in gains if g > -math.log(SIGNIFICANT)))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(evidence[:, 0]) + c * evidence[:, 1], -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.features(evidence) @ np.array(self.curve), -50, 50)))
+
+    @staticmethod
+    def features(evidence: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(evidence)), np.log1p(evidence[:, 0]), evidence[:, 1]])
 
 
 def segments(total: np.ndarray, up: np.ndarray) -> list[tuple[int, int, float]]:
@@ -141,70 +183,54 @@ def segments(total: np.ndarray, up: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in kept]
 
 
-def token_scores(counts: np.ndarray) -> np.ndarray:
-    """Log-odds with an informative Dirichlet prior, shrunk by ``BOUND`` standard errors towards 0, less the drift."""
-    everything, toxic, other = counts
-    prior = PRIOR_TOKENS * (everything + 0.01) / (everything + 0.01).sum()
-    a, b = toxic + prior, other + prior
-    odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    sure = np.maximum(np.abs(odds) - BOUND * np.sqrt(1 / a + 1 / b), 0)
-    return np.sign(odds) * sure - DRIFT
+def learned(everything: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> Model:
+    """Token statistics; without toxic or without other tokens there is nothing to tell apart and every token scores alike."""
+    prior = PRIOR_LEAST + PRIOR_SPREAD * everything / max(everything.sum(), 1)
+    if not (toxic.any() and other.any()):
+        toxic = other = np.zeros(len(everything))
+        share = 0.5
+    else:
+        share = float(toxic.sum() / (toxic.sum() + other.sum()))
+    return Model(toxic, toxic + other, prior, share)
 
 
-def _rate(scores: np.ndarray, frequency: np.ndarray) -> float:
-    """The positive root of sum(p exp(rate s)) = 1: how fast chance passages get rarer with their score."""
-    p = frequency / frequency.sum()
-
-    def excess(x):
-        return float(p @ np.exp(np.minimum(x * scores, 700))) - 1
-
-    low, high = 0.0, 1e-3
-    while excess(high) < 0 and high < 64:
-        low, high = high, high * 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    return max(low, 1e-3)
+def chance(scores: np.ndarray, tokens: float) -> tuple[float, float]:
+    """Rate and scale of chance passages: above a score S there are scale * exp(-rate S) of them per token."""
+    if not len(scores):
+        return 1.0, 1 / max(tokens, 1.0)
+    from_ = float(np.quantile(scores, TAIL))
+    above = scores[scores >= from_]
+    rate = min(1 / max(float((above - from_).mean()), 1e-2), 10.0)
+    return rate, len(above) / tokens * math.exp(rate * from_)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labels outside the held-out fold; the prior comes from all documents.
 
-    ``docs(doc_id, text)``. Without toxic or without other labelled documents every text gets a low score.
+    Log-odds learned on four fifths of them judge the calibration fold, which gives the chance statistics and the curve; the final
+    log-odds use all of them. ``docs(doc_id, text)``. Without toxic or without other labelled documents every text gets a low score.
     """
     known = labelled(docs, labels)
-    counts = token_counts(docs, known)
-    if not counts[1].any() or not counts[2].any():
-        return Model(np.full(counts.shape[1], -DRIFT), 1.0, 1.0)
-    scores = token_scores(counts)
-    background = counts[2] + PRIOR_TOKENS * (counts[0] + 0.01) / (counts[0] + 0.01).sum()
-    rate = _rate(scores, background)
-
-    def best_of(batches):
-        probe = Model(scores, rate, 1.0)
+    everything, toxic, other, toxic_aside, other_aside = token_counts(docs, known)
+    probe, final = learned(everything, toxic, other), learned(everything, toxic + toxic_aside, other + other_aside)
+
+    def passages(batches):
         for batch in batches:
-            lengths, tops = [], []
-            for first, last, row, bucket in _groups(batch.column(0)):
-                score = probe.scores[bucket]
-                cuts, total = np.searchsorted(row, np.arange(last - first + 1)), np.concatenate(([0.0], np.cumsum(score)))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    best = [s for _, _, s in segments(total, a + np.flatnonzero(score[a:b] > 0))]
-                    lengths.append(b - a)
-                    tops.append(best)
+            found = list(probe.passages(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(np.array(lengths, np.int64)), pa.array(tops, pa.list_(pa.float64()))], names=["toxic", "n", "best"]
+                [batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
             )
 
-    # one number per passage of at most LABELLED_ROWS documents comes to the driver, only the best 64 of each
-    found = docs.join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(best_of, "toxic int, n long, best array<double>")
-    rows = found.select("toxic", "n", F.slice(F.sort_array("best", False), 1, 64).alias("best")).toPandas()
-    y, n = rows["toxic"].to_numpy(float), np.maximum(rows["n"].to_numpy(float), 1)
-    top = np.array([max(b) if len(b) else 0.0 for b in rows["best"]])
-    calm = y == 0
-    scale = 1 / max(float(np.mean(n[calm] * np.exp(-rate * top[calm]))), 1e-9) if calm.any() else 1.0
-    model = Model(scores, rate, scale)
-    evidence = np.array([model.weigh(list(b), k) if len(b) else (0.0, 0.0) for b, k in zip(rows["best"], n)]).reshape(-1, 2)
-    return Model(scores, rate, scale, _logistic(np.column_stack([np.ones(len(y)), np.log1p(evidence[:, 0]), evidence[:, 1]]), y))
+    # of at most LABELLED_ROWS documents, whose passages are few, come some numbers each
+    aside = docs.join(F.broadcast(known.filter(_aside(F.col("doc_id")))), "doc_id").select("text", "toxic")
+    rows = aside.mapInArrow(passages, "toxic int, n long, scores array<double>").toPandas()
+    y = rows["toxic"].to_numpy(float)
+    if not (y.any() and (y == 0).any()):
+        return final
+    calm = rows[y == 0]
+    final = replace(final, **dict(zip(("rate", "scale"), chance(np.concatenate([np.zeros(0), *calm["scores"]]), float(calm["n"].sum())))))
+    evidence = np.array([final.weigh(list(s), n) for s, n in zip(rows["scores"], rows["n"])])
+    return replace(final, curve=_logistic(final.features(evidence), y))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
