@@ -1,3 +1,29 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+_MIXING = f"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size FROM documents
+), sums AS (
+    SELECT source, sum(size) AS source_size, 2.0 * sum(size) AS most FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS weight FROM sums
+), ordered AS (
+    SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER filled, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER filled, 0)) AS level
+    FROM weighed WINDOW filled AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+    SELECT source, source_size, CAST(least(most, max(level) OVER () * weight) AS DOUBLE) AS target FROM ordered
+), planned AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM goals
+), placed AS (
+    SELECT s.doc_id, s.size, p.source_size, p.target, p.passes, round(p.target - p.passes * p.source_size) AS rest,
+        sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || s.doc_id), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS before
+    FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST(passes * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op9_mixing": _MIXING}

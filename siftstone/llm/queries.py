@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import table
-from . import secrets, toxicity, winnowing
+from . import mixing, secrets, toxicity, urls, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +16,21 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op9_mixing, op10_toxicity)}
