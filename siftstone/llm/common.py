@@ -14,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 #: Texts are handled in groups of about this many bytes, so that temporary arrays stay small.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

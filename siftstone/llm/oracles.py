@@ -26,4 +26,14 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": _MIXING}
+_WARC = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages), sized AS (
+    SELECT *, strlen(html) AS payload_bytes, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS response FROM payloads
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN response <> page_id THEN response END AS refers_to
+FROM sized
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": _WARC, "op9_mixing": _MIXING}

@@ -10,12 +10,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes
+from .common import byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes
 
 GRAM, WINDOW = 20, 40
 SEED = 11
@@ -132,9 +131,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     found = keyed.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 100 * count)).first()[0] if count > 1 else None
     cuts = np.array(sorted(set(found or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), "right").astype(np.int32))
 
     # null ids come before all others and so belong to the first range
     dealt = keyed.withColumn("range", range_of(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
@@ -166,13 +165,13 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
         held = None  # the last document seen, whose next one is still to come
         for batch in batches:
             ids, guest = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            texts = batch.column(2).to_pylist()
             data, offsets = byte_buffer(batch.column(2))
-            for first, last in row_groups(offsets, 4 * GROUP_BYTES):
+            for first, last in row_groups(offsets):
+                texts = batch.column(2).slice(first, last - first).to_pylist()
                 marks = _lists(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], k, w)
                 out = []
                 for i in range(first, last):
-                    own = (ids[i], texts[i], marks[i - first])
+                    own = (ids[i], texts[i - first], marks[i - first])
                     if held is not None:
                         out.append((held, own))
                     held = None if guest[i] else own
