@@ -106,14 +106,18 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return done[: len(codes) - k + 1]
 
 
-def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every window of ``w`` entries."""
-    n, m = 1, h
+def argmin_right(h: np.ndarray, w: int) -> np.ndarray:
+    """Index of the smallest entry of each window of ``w``, the rightmost on ties (windows double, then two overlap)."""
+    at = np.arange(len(h), dtype=np.int64)
+    n, count = 1, len(h) - w + 1
+
+    def better(left, right):
+        return np.where(h[right] <= h[left], right, left)
+
     while n * 2 <= w:
-        m = np.minimum(m[:-n], m[n:])
+        at = better(at[:-n], at[n:])
         n *= 2
-    count = len(h) - w + 1
-    return np.minimum(m[:count], m[w - n : w - n + count])
+    return better(at[:count], at[w - n : w - n + count])
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -143,6 +147,18 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def prefix_hashes(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Running polynomial hashes, from which ``span_hashes`` gets that of any span."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * _powers(len(data))[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans from ``start`` to ``end``, the same wherever the bytes stand."""
+    return (total[end] - total[start]) * _powers(len(total))[1][start]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, codes: np.ndarray):
     """Words of all rows: row, start, end, 64-bit hash. ``separator[b]`` tells the bytes between words; no word crosses rows."""
     inside = ~separator[data]
@@ -154,8 +170,5 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, codes: n
     after = np.empty(len(data), bool)
     after[-1:], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | first[1:])) + 1
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * up[: len(data)], out=total[1:])
-    h = mixed((total[end] - total[start]) * down[start])
+    h = mixed(span_hashes(prefix_hashes(data, codes), start, end))
     return np.searchsorted(offsets, start, "right") - 1, start, end, h

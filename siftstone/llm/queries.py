@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, secrets, toxicity, urls, warc, winnowing
+from . import mixing, repeats, secrets, toxicity, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), URL_RULES)
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -37,4 +43,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op8_warc, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op5_suffix_dedup, op8_warc, op9_mixing, op10_toxicity)}

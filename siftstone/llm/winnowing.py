@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes
+from .common import argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes
 
 GRAM, WINDOW = 20, 40
 SEED = 11
@@ -39,7 +39,7 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = GRAM, w: int = WINDOW
         # windows lie within one text; a shorter text has one window of all its grams
         wide = grams >= w
         if wide.any():
-            best = _argmin_right(h, w)
+            best = argmin_right(h, w)
             at = flat_ranges(starts[wide], grams[wide] - w + 1)
             chosen, owner = best[at], np.repeat(np.flatnonzero(wide), grams[wide] - w + 1)
             new = np.ones(len(at), bool)
@@ -65,20 +65,6 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = GRAM, w: int = WINDOW
     return row[order], value[order], place[order]
 
 
-def _argmin_right(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the smallest entry of each window, the rightmost on ties (doubling, as for a sliding minimum)."""
-    at = np.arange(len(h), dtype=np.int64)
-    n, count = 1, len(h) - w + 1
-
-    def better(left, right):
-        return np.where(h[right] <= h[left], right, left)
-
-    while n * 2 <= w:
-        at = better(at[:-n], at[n:])
-        n *= 2
-    return better(at[:count], at[w - n : w - n + count])
-
-
 def _lists(data, offsets, k, w):
     """Per row: sorted distinct hashes, and (hashes, positions) in text order."""
     row, value, place = winnow(data, offsets, k, w)
