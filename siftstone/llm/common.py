@@ -24,6 +24,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether every ``doc_id`` is there and names one row."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, part, text`` with a key that names one text.
 
@@ -32,8 +37,7 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
     and exact repeats of a row are the same document. Null texts are empty.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    odd = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
-    part = F.lit(0).cast("long") if odd.isEmpty() else F.xxhash64("text")
+    part = F.lit(0).cast("long") if plain_ids(ids) else F.xxhash64("text")
     return ids.select("doc_id", part.alias("part"), "text")
 
 

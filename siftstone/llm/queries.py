@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, repeats, secrets, toxicity, urls, warc, winnowing
+from . import mixing, near, repeats, secrets, toxicity, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op7_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -43,4 +47,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op5_suffix_dedup, op8_warc, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op5_suffix_dedup, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
