@@ -136,7 +136,7 @@ def _hanging(members: DataFrame) -> DataFrame:
             registers, groups = _registers(table["registers"]), _Groups(len(nodes))
             for at in range(len(nodes) - 1):
                 # within one block every later member, of two blocks those of the other side
-                others = np.arange(at + 1, len(nodes)) if i == j else np.flatnonzero(side != side[at])[lambda o: o > at]
+                others = at + 1 + np.flatnonzero((side[at + 1 :] != side[at]) | (i == j))
                 others = others[(groups.of[others] != groups.of[at]) & (100 * np.minimum(n[others], n[at]) >= PERCENT * np.maximum(n[others], n[at]))]
                 for k in range(0, len(others), 4_096):
                     few = others[k : k + 4_096]
@@ -187,7 +187,7 @@ def _verified(members: DataFrame) -> DataFrame:
             sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             registers = np.stack([shingles.sketch(s) for s in sets])
             for at in range(len(nodes) - 1):
-                others = np.arange(at + 1, len(nodes)) if i == j else np.flatnonzero(side != side[at])[lambda o: o > at]
+                others = at + 1 + np.flatnonzero((side[at + 1 :] != side[at]) | (i == j))
                 others = others[(groups.of[others] != groups.of[at]) & (100 * np.minimum(n[others], n[at]) >= PERCENT * np.maximum(n[others], n[at]))]
                 if len(others):
                     others = others[_hopeful(registers[at], registers[others])]
