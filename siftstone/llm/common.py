@@ -110,6 +110,16 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return done[: len(codes) - k + 1]
 
 
+def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every window of ``w`` entries."""
+    n, m = 1, h
+    while n * 2 <= w:
+        m = np.minimum(m[:-n], m[n:])
+        n *= 2
+    count = len(h) - w + 1
+    return np.minimum(m[:count], m[w - n : w - n + count])
+
+
 def argmin_right(h: np.ndarray, w: int) -> np.ndarray:
     """Index of the smallest entry of each window of ``w``, the rightmost on ties (windows double, then two overlap)."""
     at = np.arange(len(h), dtype=np.int64)

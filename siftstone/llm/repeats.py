@@ -1,12 +1,13 @@
 """Removal of byte strings that occur earlier in the corpus, by sorting suffixes.
 
-The string of ``length`` bytes at every byte of every document is a suffix, cut to the length that matters. Equal strings choose the same
-anchor: the smallest hash among their ``GRAM``-byte grams, the rightmost on ties. So suffixes with the same anchor travel as one row,
-whose leading tokens are the anchor's hash and the hash of all bytes that its suffixes cover. Splitters sampled from the rows
-range-partition them by these tokens; each bucket is sorted by itself, a later token only where earlier ones tie. A row equal in both tokens to an earlier
-one repeats it as a whole. The first of several rows with the same anchor but other bytes around it, and whatever touches the
-boundary of a bucket, is taken apart into its suffixes, which are range-partitioned and sorted in turn, and compared across boundaries by the
-first and last suffix of each bucket. Hot strings need no care: position is the last token, so a bucket ends inside them where it must.
+The string of ``length`` bytes at every byte of every document is a suffix, cut to the length that matters. Equal strings have the
+same anchor, the smallest hash among their ``GRAM``-byte grams. So neighbouring suffixes with the same anchor travel as one row,
+whose leading tokens are the anchor and the hash of all bytes that its suffixes cover. Splitters sampled from the rows
+range-partition them by these tokens; each bucket is sorted by itself, a later token only where earlier ones tie. A row equal in both tokens to an
+earlier one repeats it as a whole. The first of several rows with the same anchor but other bytes around it, and whatever touches the
+boundary of a bucket, travels again with its bytes; these rows are range-partitioned by anchor and taken apart into suffixes, which are sorted
+bucket by bucket. An anchor whose rows lie in several buckets has the first of its equal suffixes in each compared across the boundaries. Hot strings
+need no care: position is the last token, so a bucket ends inside them where it must.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, prefix_hashes, row_groups, signed, span_hashes, stored, text_bytes,
+    byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, prefix_hashes, row_groups, signed, sliding_min, span_hashes, stored,
+    text_bytes,
 )
 
 LENGTH = 100
@@ -82,16 +84,21 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if not count.any():
                     continue
                 grams = mixed(gram_hashes(codes[here], GRAM))
+                least = sliding_min(grams, window)
                 at = flat_ranges(starts, count)
-                owner = np.repeat(np.arange(last - first), count)
-                anchor = argmin_right(grams, window)[at]
-                new = np.flatnonzero(_changes(anchor, owner))
+                owner, anchor = np.repeat(np.arange(last - first), count), least[at]
+                new = _changes(anchor, owner)
+                # where a suffix starts with its anchor and has it once more, equal suffixes may follow each other: each is a row then
+                first_gram = np.flatnonzero(grams[at] == anchor)
+                again = (grams[(at[first_gram])[:, None] + np.arange(1, window)] == anchor[first_gram][:, None]).any(1)
+                run = np.cumsum(new) - 1
+                new |= np.isin(run, run[first_gram[again]])
+                new = np.flatnonzero(new)
                 suffixes = np.diff(np.append(new, len(at)))
                 start, row = at[new], owner[new]
-                totals = prefix_hashes(here, other)
-                covered = mixed(span_hashes(totals, start, start + suffixes + length - 1) + mixed(((suffixes << 8) + anchor[new] - start).astype(np.uint64)))
+                covered = mixed(span_hashes(prefix_hashes(here, other), start, start + suffixes + length - 1) + mixed(suffixes.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams[anchor[new]])), pa.array(signed(covered)), pa.array(doc[first:last][row]), pa.array(part[first:last][row]),
+                    [pa.array(signed(anchor[new])), pa.array(signed(covered)), pa.array(doc[first:last][row]), pa.array(part[first:last][row]),
                      pa.array(start - starts[row]), pa.array(suffixes)],
                     names=["gram", "covered", "doc", "part", "start", "suffixes"],
                 )
@@ -100,7 +107,7 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def sorted_anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """``doc, part, start, suffixes, repeats``: rows that repeat an earlier one, and those to be taken apart; unique ones are gone."""
+    """``gram, doc, part, start, suffixes, repeats``: rows that repeat an earlier one, and those to be taken apart; unique ones are gone."""
 
     def run(batches):
         columns = _whole(batches)
@@ -118,71 +125,76 @@ def sorted_anchors(rows: DataFrame, buckets: int) -> DataFrame:
         keep = np.flatnonzero(repeats | several | edge)
         for a in range(0, len(keep), 50_000):
             k = keep[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (doc, part, start, suffixes, repeats)], names=["doc", "part", "start", "suffixes", "repeats"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (gram, doc, part, start, suffixes, repeats)], names=["gram", "doc", "part", "start", "suffixes", "repeats"])
 
     dealt = rows.repartitionByRange(buckets, "gram", "covered", "doc", "part", "start")
-    return dealt.mapInArrow(run, "doc long, part long, start long, suffixes long, repeats boolean")
+    return dealt.mapInArrow(run, "gram long, doc long, part long, start long, suffixes long, repeats boolean")
 
 
-def suffix_rows(docs: DataFrame, apart: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row per suffix to be compared: two independent hashes of its bytes, and its position."""
-    wanted = apart.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "suffixes")).alias("runs"))
+def with_bytes(texts: DataFrame, apart: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``gram, doc, part, start, bytes`` for each row that is to be taken apart: all bytes that its suffixes cover."""
+    wanted = apart.groupBy("doc", "part").agg(F.collect_list(F.struct("gram", "start", "suffixes")).alias("runs"))
 
     def run(batches):
-        tables = byte_codes(31), byte_codes(37)
         for batch in batches:
             data, offsets = byte_buffer(batch.column(2))
-            doc, part = (batch.column(i).to_numpy() for i in (0, 1))
-            runs = batch.column(3)
-            cuts = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+            doc, part, runs = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3))
             flat = runs.flatten()
-            start, number = (flat.field(i).to_numpy() for i in (0, 1))
-            for first, last in row_groups(offsets):
-                base = offsets[first]
-                here = data[base : offsets[last]]
-                chosen = slice(cuts[first], cuts[last])
-                row = np.repeat(np.arange(first, last), np.diff(cuts[first : last + 1]))
-                own = offsets[row] - base
-                at = flat_ranges(start[chosen] + own, number[chosen])
-                owner = np.repeat(row, number[chosen])
-                # a row repeated in the table asks for its suffixes as often
-                keep = _changes(at) if np.all(np.diff(at) >= 0) else np.isin(np.arange(len(at)), np.unique(at, return_index=True)[1])
-                at, owner = at[keep], owner[keep]
-                hashes = [signed(span_hashes(prefix_hashes(here, t), at, at + length)) for t in tables]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h) for h in hashes] + [pa.array(doc[owner]), pa.array(part[owner]), pa.array(at - offsets[owner] + base)], names=["one", "two", "doc", "part", "start"]
-                )
+            gram, start, number = (flat.field(i).to_numpy() for i in range(3))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+            size = number + length - 1
+            for a in range(0, len(row), 5_000):
+                k = slice(a, a + 5_000)
+                taken = data[flat_ranges(offsets[row[k]] + start[k], size[k])]
+                cuts = pa.py_buffer(np.concatenate(([0], np.cumsum(size[k]))).astype(np.int32))
+                held = pa.Array.from_buffers(pa.binary(), len(size[k]), [None, cuts, pa.py_buffer(taken.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[k]), pa.array(doc[row[k]]), pa.array(part[row[k]]), pa.array(start[k]), held], names=["gram", "doc", "part", "start", "bytes"])
 
-    return docs.join(wanted, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(run, "one long, two long, doc long, part long, start long")
+    return texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(run, "gram long, doc long, part long, start long, bytes binary")
 
 
-def repeated_suffixes(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """``doc, part, start`` of the suffixes that have an equal one at an earlier position."""
+def taken_apart(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
+    """``one, two, doc, part, start, sure``: suffixes equal to an earlier one in their bucket (sure), and those that are the first of
+    their bucket while their anchor goes on beyond it. The two hashes name the bytes of a suffix."""
 
     def run(batches):
-        columns = _whole(batches)
-        if columns is None:
+        tables, parts = (byte_codes(31), byte_codes(37)), []
+        for batch in batches:
+            data, offsets = byte_buffer(batch.column(4))
+            gram, doc, part, start = (batch.column(i).to_numpy() for i in range(4))
+            for first, last in row_groups(offsets):
+                base = offsets[first]
+                own = np.arange(first, last)
+                count = np.diff(offsets[first : last + 1]) - length + 1
+                at, row = flat_ranges(offsets[first:last] - base, count), np.repeat(own, count)
+                hashes = [span_hashes(prefix_hashes(data[base : offsets[last]], t), at, at + length) for t in tables]
+                parts.append([*(signed(h) for h in hashes), doc[row], part[row], start[row] + at - offsets[row] + base, gram[row]])
+        if not parts:
             return
-        order = multikey_order(columns)
-        one, two, doc, part, start = columns = [c[order] for c in columns]
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = multikey_order(columns[:5])
+        one, two, doc, part, start, gram = columns = [c[order] for c in columns]
         run_start = _changes(one, two)
         first = np.flatnonzero(run_start)[np.cumsum(run_start) - 1]
-        kind = ((doc != doc[first]) | (part != part[first]) | (start != start[first])).astype(np.int32)
-        # the first row may repeat the last one of the bucket before
-        edges = np.array([0, len(order) - 1])
-        rows, kinds = np.concatenate([np.flatnonzero(kind), edges]), np.concatenate([kind[kind > 0], [2, 3]]).astype(np.int32)
-        for a in range(0, len(rows), 50_000):
-            r = rows[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c[r]) for c in columns] + [pa.array(kinds[a : a + 50_000])], names=["one", "two", "doc", "part", "start", "kind"])
-
-    dealt = suffixes.repartitionByRange(buckets, "one", "two", "doc", "part", "start")
-    found = stored(dealt.mapInArrow(run, "one long, two long, doc long, part long, start long, kind int"), "repeated-suffixes")
-    # across boundaries: two rows per bucket
-    edges = found.filter("kind > 1")
+        sure = (doc != doc[first]) | (part != part[first]) | (start != start[first])
+        edge = run_start & ((gram == gram.min()) | (gram == gram.max()))
+        keep = np.flatnonzero(sure | edge)
+        for a in range(0, len(keep), 50_000):
+            k = keep[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (*columns[:5], sure)], names=["one", "two", "doc", "part", "start", "sure"])
+
+    dealt = rows.repartitionByRange(buckets, "gram", "doc", "part", "start")
+    return dealt.mapInArrow(run, "one long, two long, doc long, part long, start long, sure boolean")
+
+
+def across_boundaries(firsts: DataFrame) -> DataFrame:
+    """``doc, part, start`` of the suffixes of ``firsts`` that have an equal one at an earlier position.
+
+    One row per bucket and distinct suffix of an anchor on its boundary: equal ones are aggregated before they are dealt out.
+    """
     place = F.struct("doc", "part", "start")
-    earliest = edges.groupBy("one", "two").agg(F.min(place).alias("earliest"))
-    late = edges.join(earliest, ["one", "two"]).filter((F.col("kind") == 2) & (place > F.col("earliest")))
-    return found.filter("kind = 1").select("doc", "part", "start").unionByName(late.select("doc", "part", "start"))
+    earliest = firsts.groupBy("one", "two").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("latest > earliest")
+    return firsts.join(earliest, ["one", "two"]).filter(place > F.col("earliest")).select("doc", "part", "start")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -194,20 +206,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Strings count as equal if 128 bits of hashes are.
     """
     keyed = keyed_documents(docs)
-    keyed = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "part", "text", "doc_id")
-    size = text_bytes(keyed)
-    texts = keyed.select("doc", "part", "text")
+    # the same columns in both joins, so that the texts are shuffled once
+    texts = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "part", "text")
     # about two anchors per (length - GRAM + 2) bytes
-    rows = anchored_rows(texts, length)
-    found = stored(sorted_anchors(rows, partitions_for(2 * size / (length - GRAM + 2), BUCKET_ROWS, docs)), "repeated-anchors")
-    apart = found.filter("NOT repeats")
+    anchors = 2 * text_bytes(texts) / (length - GRAM + 2)
+    found = stored(sorted_anchors(anchored_rows(texts, length), partitions_for(anchors, BUCKET_ROWS, docs)), "repeated-anchors")
+    apart = found.filter("NOT repeats").drop("repeats")
     number = apart.agg(F.sum("suffixes")).first()[0] or 0
-    late = repeated_suffixes(suffix_rows(texts, apart, length), partitions_for(number, BUCKET_ROWS, docs))
+    late = taken_apart(with_bytes(texts, apart, length), partitions_for(number, BUCKET_ROWS, docs), length)
+    single = late.filter("sure").select("doc", "part", "start").unionByName(across_boundaries(late.filter("NOT sure")))
     spans = found.filter("repeats").select("doc", "part", "start", (F.col("suffixes") + length - 1).alias("bytes")).unionByName(
-        late.select("doc", "part", "start", F.lit(length).cast("long").alias("bytes"))
+        single.withColumn("bytes", F.lit(length).cast("long"))
     )
     listed = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
-    joined = keyed.join(listed, ["doc", "part"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(listed, ["doc", "part"], "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
 
     def run(batches):
         for batch in batches:
