@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import partitions_for
-
 LEAST = 1_000
 SEGMENT = 1 << 15
 CHUNK = 1 << 12
-#: Payload bytes in one archive file, about.
-FILE_BYTES = 16 << 20
+#: Most records in one archive file, which bounds it at 64 MB before compression.
+FILE_RECORDS = 2_048
 #: Copies of the table of repeated payloads, over which the pages of one payload are spread.
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -105,13 +103,11 @@ def _records(page_id, url, html, refers_to, name, segment):
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
-    """Writes a WARC record per row of ``pages(page_id, url, html)`` below ``path``, gzip-compressed files of about ``FILE_BYTES``.
+    """Writes WARC records for each row of ``pages(page_id, url, html)`` below ``path``, at most ``FILE_RECORDS`` in a gzip-compressed file.
 
     Spark's text writer commits the files, so a lost task leaves none behind; its line separator is the end of a record. Record
     ids come from the task's partition and a counter: they are unique, also for repeated rows.
     """
-    count = partitions_for(pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0, FILE_BYTES, pages)
-
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -122,9 +118,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
                     records += _records(page_id, url, html, refers_to, f"urn:record:{part}:{number}", segment)
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
-    roles = with_roles(pages, least)
-    spread = roles.repartition(count, F.xxhash64("page_id", "url"))
-    spread.mapInArrow(run, "value string").write.option("lineSep", _END).option("compression", "gzip").text(path)
+    records = with_roles(pages, least).mapInArrow(run, "value string")
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
