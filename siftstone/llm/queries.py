@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, near, repeats, secrets, toxicity, urls, warc, winnowing
+from . import mixing, near, neighbours, repeats, secrets, toxicity, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, folder, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, folder, "documents")))
 
@@ -47,4 +51,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_secrets, op4_url_filter, op5_suffix_dedup, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
