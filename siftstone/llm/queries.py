@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, near, neighbours, repeats, secrets, toxicity, urls, warc, winnowing
+from . import mixing, near, neighbours, pieces, repeats, secrets, toxicity, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +23,15 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+#: The model file whose pieces op6 and the pipeline use.
+MODEL_FILE = os.environ.get("SIFTSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def vocabulary(path: str = MODEL_FILE) -> pieces.Segmenter:
+    names, kinds = pieces.read_vocabulary(path)
+    return pieces.Segmenter(names, kinds, pieces.rank_scores(kinds))
+
+
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
@@ -35,6 +46,11 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = pieces.encode_documents(table(spark, folder, "documents"), vocabulary())
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 def op7_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
 
@@ -51,4 +67,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
