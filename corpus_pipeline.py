@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import common, secrets, toxicity
+from siftstone.llm import common, mixing, near, pieces, queries, secrets, toxicity
 from siftstone.plans.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under one half; the model is fitted on this stage's input."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +27,19 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redact(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("secrets", redact_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents drawn so that the sources' words come to their targets, up to twice each, shuffled within their shards."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text with the next best segmentations."""
+    return pieces.encode_documents(docs, queries.vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("sentencepiece", encode_texts),
+]
 
 #: The model scores and the mixing draws have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -214,6 +214,13 @@ def _linked(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 100 * common >= PERCENT * (len(own) + sizes - common)
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``node`` that names a text: the id, if ids are unique and not null (the second result), else a hash of id and text."""
+    plain = plain_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("node", doc_id if plain else F.xxhash64(doc_id, text)), plain
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -221,14 +228,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and empty texts have no shingles and stand alone. Where ids are null or repeated, rows are told apart by id and text: equal rows
     are copies of each other, all rows with the component's smallest id are kept, and a component of null ids only has a null id and is kept.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = plain_ids(ids)
-    nodes = ids.withColumn("node", F.col("doc_id") if plain else F.xxhash64("doc_id", "text"))
-    sketched = stored(_sketches(nodes) if plain else _sketches(nodes.select("node", "text").distinct()), "sketches")
+    nodes, plain = _nodes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    placed = components(nodes.select("node", "text"), plain)
+    if plain:
+        return placed.select(F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    rows = nodes.select("doc_id", "node").join(placed, "node")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component").select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, but one document of each component only; exact repeats of a row are copies too."""
+    taken = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*taken).alias("rest")) if taken else docs.select("doc_id", "text", F.lit(None).alias("rest"))
+    nodes, plain = _nodes(packed)
+    placed = components(nodes.select("node", "text"), plain)
+    dropped = placed.filter("node <> component").select("node")
+    kept = nodes.join(dropped, "node", "left_anti")
+    kept = kept if plain else kept.dropDuplicates(["node"])
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
+def components(nodes: DataFrame, plain: bool) -> DataFrame:
+    """``node, n_shingles, component`` of ``nodes(node, text)``, with the smallest node of each component; ``plain``: nodes are unique."""
+    nodes = nodes.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    nodes = nodes if plain else nodes.dropDuplicates(["node"])
+    sketched = stored(_sketches(nodes), "sketches")
     full = sketched.filter("key IS NOT NULL")
     classes = full.groupBy("key").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("n_shingles", "registers"), "node").alias("s"))
     classes = stored(classes.select("key", "node", "n", "s.n_shingles", "s.registers"), "classes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     bands = _band_rows(classes)
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -237,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hanging = connected(_hanging(members.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node")))
     hanging = hanging.select("node", F.col("component").alias("group"))
 
-    sets = _with_sets(nodes.select("node", "text").join(hanging, "node") if plain else nodes.select("node", "text").distinct().join(hanging, "node"))
+    sets = _with_sets(nodes.join(hanging, "node"))
     sizes = hanging.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     grouped = _in_blocks(sets, "group", sizes, GROUP_BLOCK).select("group", "i", "j", "node", "side", "hashes")
     found = connected(_verified(grouped.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node")))
@@ -247,9 +276,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = several.select(F.col("key").alias("k"), F.coalesce("component", "first").alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     salted = sketched.select("node", "n_shingles", "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     placed = salted.join(several, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")), "left").join(found, "node", "left")
-    placed = placed.select("node", "n_shingles", F.coalesce("shared", "component", "node").alias("component_id"))
-    if plain:
-        return placed.select(F.col("node").alias("doc_id"), "n_shingles", "component_id", (F.col("node") == F.col("component_id")).alias("kept"))
-    rows = nodes.select("doc_id", "node").join(placed, "node")
-    least = rows.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+    return placed.select("node", "n_shingles", F.coalesce("shared", "component", "node").alias("component"))

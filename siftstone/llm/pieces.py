@@ -28,7 +28,7 @@ MARK = "\ud800"
 UNKNOWN_PENALTY = 10.0
 BEST = 4
 #: Segments that one of a task's two stores remembers, which bounds its memory.
-REMEMBERED = 75_000
+REMEMBERED = 150_000
 
 
 def read_vocabulary(path: str) -> tuple[list[str], list[int]]:
@@ -70,14 +70,15 @@ class Segmenter:
 
     def __post_init__(self):
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
-        self.ids = {self.pieces[i]: (i, self.scores[i]) for i in usable}
-        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p))}
+        #: Each piece's ids and score; what only begins a piece has no score.
+        self.table: dict[str, tuple] = {self.pieces[i][:n]: ((), None) for i in usable for n in range(1, len(self.pieces[i]))}
+        self.table.update({self.pieces[i]: ((i,), self.scores[i]) for i in usable})
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
-        self.unknown_score = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
+        self.unknown_score = min(self.scores[i] for i in usable) - UNKNOWN_PENALTY
         self.unknown_id = self.kinds.index(UNKNOWN)
         # characters that stand beside another one in some piece; a space mark only ever begins one, or stands among its like
-        beside = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        beside = {c for i in usable if len(self.pieces[i]) > 1 for c in self.pieces[i]} - {SPACE}
+        if any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable):
             raise ValueError("a piece with a space mark inside it: segments cannot be cut at spaces")
         members = "".join(re.escape(c) for c in sorted(beside))
         self.segments = re.compile(f"{SPACE}+[{members}]*|[{members}]+|." if members else f"{SPACE}+|.", re.DOTALL)
@@ -94,13 +95,12 @@ class Segmenter:
         for i, c in enumerate(word):
             alone = False
             for j in range(i + 1, len(word) + 1):
-                part = word[i:j]
-                found = self.ids.get(part)
-                if found:
-                    out[j].append((i, (found[0],), found[1]))
-                    alone |= j == i + 1
-                if part not in self.beginnings:
+                found = self.table.get(word[i:j])
+                if found is None:
                     break
+                if found[1] is not None:
+                    out[j].append((i, *found))
+                    alone |= j == i + 1
             if not alone:
                 out[i + 1].append((i, self.fallback(c), self.unknown_score))
         return out
@@ -123,24 +123,27 @@ class Segmenter:
 
         The forward pass with two scores per place; of equals the first edge found stays.
         """
-        size, get, beginnings = len(word), self.ids.get, self.beginnings
+        size, get = len(word), self.table.get
         best, second, last = [0.0] + [-math.inf] * size, [-math.inf] * (size + 1), [None] * (size + 1)
         for i in range(size):
             here, next_ = best[i], second[i]
             alone = False
             for j in range(i + 1, size + 1):
-                part = word[i:j]
-                found = get(part)
-                if found is not None:
-                    alone = alone or j == i + 1
-                    score = here + found[1]
-                    if score > best[j]:
-                        second[j] = max(best[j], next_ + found[1])
-                        best[j], last[j] = score, (i, (found[0],))
-                    elif score > second[j]:
-                        second[j] = score
-                if part not in beginnings:
+                own = get(word[i:j])
+                if own is None:
                     break
+                ids, score = own
+                if score is None:
+                    continue
+                if j == i + 1:
+                    alone = True
+                total = here + score
+                if total > best[j]:
+                    other = next_ + score
+                    second[j] = other if other > best[j] else best[j]
+                    best[j], last[j] = total, (i, ids)
+                elif total > second[j]:
+                    second[j] = total
             if not alone:
                 best[i + 1], second[i + 1], last[i + 1] = self._other(here, next_, best[i + 1], second[i + 1], last[i + 1], i, word[i])
         ids, j = [], size
