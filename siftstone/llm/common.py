@@ -77,6 +77,41 @@ def row_groups(offsets: np.ndarray, most: int = GROUP_BYTES):
         i = j
 
 
+def text_pieces(data: np.ndarray, offsets: np.ndarray, overlap: int, most: int = GROUP_BYTES):
+    """Groups of whole rows and pieces of long ones: (first row, last row, bytes, offsets within, shift of the piece in its row).
+
+    Neighbouring pieces of a row share ``overlap`` bytes, so that every span of ``overlap + 1`` bytes lies in exactly one that starts there.
+    """
+    for first, last in row_groups(offsets, most):
+        a, b = int(offsets[first]), int(offsets[last])
+        if b - a <= 4 * most:
+            yield first, last, data[a:b], offsets[first : last + 1] - a, 0
+            continue
+        for p in range(a, b, most):
+            end = min(p + most + overlap, b)
+            yield first, last, data[p:end], np.array([0, end - p]), p - a
+            if end == b:
+                break
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, most: int = 4 * GROUP_BYTES):
+    """Cuts that no word crosses: (start, end, offsets within), pieces of about ``most`` bytes."""
+    at = 0
+    while at < len(data) or at == 0:
+        end = min(at + most, len(data))
+        while end < len(data):
+            gaps = np.flatnonzero(separator[data[end : end + most]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + most, len(data))
+        inner = offsets[(offsets > at) & (offsets < end)]
+        yield at, end, np.concatenate(([at], inner, [end])) - at
+        at = end
+        if at == len(data):
+            break
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the whole word."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX_A)
@@ -175,6 +210,15 @@ def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, codes: np.ndarray):
     """Words of all rows: row, start, end, 64-bit hash. ``separator[b]`` tells the bytes between words; no word crosses rows."""
+    parts = []
+    for a, b, inner in word_pieces(data, offsets, separator):
+        start, end, h = _words(data[a:b], inner, separator, codes)
+        parts.append((start + a, end + a, h))
+    start, end, h = (np.concatenate(c) for c in zip(*parts))
+    return np.searchsorted(offsets, start, "right") - 1, start, end, h
+
+
+def _words(data, offsets, separator, codes):
     inside = ~separator[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
@@ -185,4 +229,4 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, codes: n
     after[-1:], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | first[1:])) + 1
     h = mixed(span_hashes(prefix_hashes(data, codes), start, end))
-    return np.searchsorted(offsets, start, "right") - 1, start, end, h
+    return start, end, h

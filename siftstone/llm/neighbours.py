@@ -27,6 +27,8 @@ FIT_QUERIES = 256
 COLUMNS, TOLERANCE = 16, 2.1
 #: Vectors and queries that one task holds of a list; larger lists are cut into cells.
 CELL_ROWS, CELL_QUERIES = 8_192, 4_096
+#: Queries whose best a task holds before it hands them on.
+HELD_QUERIES = 50_000
 SALTS = 16
 SEED = 47
 
@@ -146,15 +148,16 @@ def _rows(table, name) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), np.float32).reshape(table.num_rows, -1)
 
 
-def scan(vectors: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+def scan(vectors: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query the places of its ``k`` nearest of ``vectors``, as far as the test keeps them.
 
     Vectors come in groups of rows; within a group all queries take the first block of dimensions together, and only pairs that pass the test
-    go on to the next block. The bound of a query is its k-th best distance so far.
+    go on to the next block. The bound of a query is its k-th best distance so far, or the one given, if smaller.
     """
     size = vectors.shape[1]
     best = np.full((len(queries), k), np.inf, np.float32)
     place = np.full((len(queries), k), -1, np.int64)
+    bound = np.full(len(queries), np.inf, np.float32) if bound is None else bound.astype(np.float32)
     edges = [*range(0, size, COLUMNS), size]
     # a short first group finds bounds that spare the rest
     starts = [0, *range(min(128, len(vectors)), len(vectors), 1_024), len(vectors)]
@@ -162,12 +165,12 @@ def scan(vectors: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
         columns = np.ascontiguousarray(vectors[a:b].T)
         head = columns[: edges[1]]
         far = (head**2).sum(0)[None, :] - 2 * queries[:, : edges[1]] @ head + (queries[:, : edges[1]] ** 2).sum(1)[:, None]
-        q, v = np.nonzero(far <= (best[:, -1] * _slack(edges[1], size))[:, None])
+        q, v = np.nonzero(far <= (bound * _slack(edges[1], size))[:, None])
         d = far[q, v]
         for low, high in zip(edges[1:-1], edges[2:]):
             step = columns[low:high, v].T - queries[q, low:high]
             d = d + np.einsum("ij,ij->i", step, step)
-            keep = d <= best[q, -1] * _slack(high, size)
+            keep = d <= bound[q] * _slack(high, size)
             q, v, d = q[keep], v[keep], d[keep]
         if not len(q):
             continue
@@ -178,25 +181,45 @@ def scan(vectors: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
         where = np.concatenate([place[hit], np.broadcast_to(np.arange(a, b), (len(hit), b - a))], 1)
         order = np.argpartition(both, k - 1, 1)[:, :k]
         best[hit], place[hit] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
-        best[hit], place[hit] = _sorted(best[hit], place[hit])
+        bound[hit] = np.minimum(bound[hit], best[hit].max(1))
     return [p[np.isfinite(d)] for p, d in zip(place, best)]
 
 
-def _sorted(values, places):
-    order = np.argsort(values, 1, kind="stable")
-    return np.take_along_axis(values, order, 1), np.take_along_axis(places, order, 1)
-
-
 def _slack(seen: int, size: int) -> float:
     """How far a distance over ``seen`` dimensions may lie beyond the bound: its expected share, widened by the tolerance."""
     return 1.0 if seen >= size else seen / size * (1 + TOLERANCE / np.sqrt(seen)) ** 2
 
 
-def _searched(cells: DataFrame, k: int) -> DataFrame:
-    """``key, vec_id, score``: each query's best in each cell. Rows come sorted by cell, its vectors first."""
+class _Best:
+    """The best candidates of each query, over all cells that a task has seen."""
+
+    def __init__(self, k: int, reach: float):
+        self.k, self.reach, self.found = k, reach, {}
+
+    def add(self, queries: pa.RecordBatch, placed, vectors, ids) -> None:
+        table = pa.Table.from_batches([queries])
+        asked, keys = _rows(table, "embedding").astype(np.float64), queries.column("key").to_pylist()
+        # the distance that belongs to a score, with room for the rounding of 32-bit floats
+        far = [(float(x @ x) + self.reach + 2 * own[-1][0]) * (1 + 1e-5) if len(own := self.found.get(key, ())) == self.k else np.inf for key, x in zip(keys, asked)]
+        for key, x, places in zip(keys, asked, scan(placed, _rows(table, "placed"), self.k, np.array(far))):
+            if len(places):
+                score = (vectors[places].astype(np.float64) * x).sum(1).tolist()
+                new = [(-s, i) for s, p in zip(score, places) for i in ids[p]]
+                self.found[key] = sorted([*self.found.get(key, ()), *new])[: self.k]
+
+    def rows(self):
+        rows = [(key, i, -s) for key, own in self.found.items() for s, i in own]
+        self.found = {}
+        for a in range(0, len(rows), 50_000):
+            key, vec, score = zip(*rows[a : a + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["key", "vec_id", "score"])
+
+
+def _searched(cells: DataFrame, k: int, reach: float) -> DataFrame:
+    """``key, vec_id, score``: each query's best in each task. Rows come sorted by cell, its vectors first."""
 
     def run(batches):
-        name, held, ready = None, [], None
+        name, held, ready, best = None, [], None, _Best(k, reach)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,23 +237,14 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
                     ready = _rows(table, "placed"), _rows(table, "embedding"), table["ids"].to_pylist()
                     held = []
                 for at in range(a, b, 64) if ready else ():
-                    yield _best(batch.slice(at, min(64, b - at)), *ready, k)
+                    best.add(batch.slice(at, min(64, b - at)), *ready)
+                if len(best.found) > HELD_QUERIES:
+                    yield from best.rows()
+        yield from best.rows()
 
     return cells.mapInArrow(run, "key long, vec_id long, score double")
 
 
-def _best(queries: pa.RecordBatch, placed, vectors, ids, k):
-    table = pa.Table.from_batches([queries])
-    asked, keys = _rows(table, "embedding").astype(np.float64), queries.column("key").to_pylist()
-    out = []
-    for key, x, places in zip(keys, asked, scan(placed, _rows(table, "placed"), k)):
-        score = (vectors[places].astype(np.float64) * x).sum(1).tolist()
-        own = sorted((-s, i) for s, p in zip(score, places) for i in ids[p])[:k]
-        out += [(key, i, -s) for s, i in own]
-    key, vec, score = zip(*out) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["key", "vec_id", "score"])
-
-
 def _cells(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Vectors and queries of each list dealt into cells: blocks of the list times chunks of the queries that probe it.
 
@@ -271,7 +285,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     cells = _cells(stored(_listed(distinct, index), "lists"), stored(_probing(units, index), "probes"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_cells = cells.repartition(parts, "list", "block", "chunk").sortWithinPartitions("list", "block", "chunk", "is_query", "key")
-    found = _searched(sorted_cells, k + 1)
+    found = _searched(sorted_cells, k + 1, index.reach)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     # at most k + 1 rows of each
     listed = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))

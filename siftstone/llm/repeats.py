@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, prefix_hashes, row_groups, signed, sliding_min, span_hashes, stored,
-    text_bytes,
+    text_bytes, text_pieces,
 )
 
 LENGTH = 100
@@ -77,9 +77,8 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             data, offsets = byte_buffer(batch.column(2))
             doc, part = (batch.column(i).to_numpy() for i in (0, 1))
-            for first, last in row_groups(offsets):
-                base = offsets[first]
-                here, starts, ends = data[base : offsets[last]], offsets[first:last] - base, offsets[first + 1 : last + 1] - base
+            for first, last, here, inner, shift in text_pieces(data, offsets, length - 1):
+                starts, ends = inner[:-1], inner[1:]
                 count = np.maximum(ends - starts - length + 1, 0)
                 if not count.any():
                     continue
@@ -99,7 +98,7 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 covered = mixed(span_hashes(prefix_hashes(here, other), start, start + suffixes + length - 1) + mixed(suffixes.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(anchor[new])), pa.array(signed(covered)), pa.array(doc[first:last][row]), pa.array(part[first:last][row]),
-                     pa.array(start - starts[row]), pa.array(suffixes)],
+                     pa.array(start - starts[row] + shift), pa.array(suffixes)],
                     names=["gram", "covered", "doc", "part", "start", "suffixes"],
                 )
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, words
+from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, word_pieces, words
 
 #: Tokens and stems are counted in 2 ** BUCKET_BITS hash buckets, which bounds the model that travels to the tasks (8 MB).
 BUCKET_BITS = 20
@@ -64,8 +64,12 @@ def _groups(column):
     """Row range, token rows and buckets, group by group."""
     data, offsets = byte_buffer(column)
     for first, last in row_groups(offsets):
-        row, bucket = token_buckets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        yield first, last, row, bucket
+        here, inner = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        if last > first + 1:
+            yield first, last, *token_buckets(here, inner)
+        else:  # a long text is cut between tokens
+            parts = [token_buckets(here[a:b], np.array([0, b - a])) for a, b, _ in word_pieces(here, inner, _SEPARATOR)]
+            yield first, last, *(np.concatenate(c) for c in zip(*parts))
 
 
 def is_held_out(doc_id):

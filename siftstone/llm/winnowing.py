@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes
+from .common import argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes, text_pieces
 
 GRAM, WINDOW = 20, 40
 SEED = 11
@@ -30,9 +30,8 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = GRAM, w: int = WINDOW
     """
     rows, hashes, positions = [], [], []
     codes = byte_codes(SEED)
-    for first, last in row_groups(offsets):
-        base, ends = offsets[first], offsets[first + 1 : last + 1] - offsets[first]
-        starts, here = offsets[first:last] - base, data[base : offsets[last]]
+    for first, last, here, inner, shift in text_pieces(data, offsets, w + k - 2):
+        starts, ends = inner[:-1], inner[1:]
         lengths = ends - starts
         grams = np.maximum(lengths - k + 1, 0)
         h = mixed(gram_hashes(codes[here], k))
@@ -46,7 +45,7 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = GRAM, w: int = WINDOW
             new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
             rows.append(owner[new] + first)
             hashes.append(h[chosen[new]])
-            positions.append(chosen[new] - starts[owner[new]])
+            positions.append(chosen[new] - starts[owner[new]] + shift)
         for i in np.flatnonzero(~wide & (lengths > 0)):
             a, n = starts[i], grams[i]
             if n:
@@ -62,7 +61,11 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = GRAM, w: int = WINDOW
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     row, value, place = np.concatenate(rows), np.concatenate(hashes), np.concatenate(positions)
     order = np.lexsort((place, row))
-    return row[order], value[order], place[order]
+    row, value, place = row[order], value[order], place[order]
+    # pieces of a long text may choose the same place
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    return row[new], value[new], place[new]
 
 
 def _lists(data, offsets, k, w):
