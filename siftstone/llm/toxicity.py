@@ -129,7 +129,7 @@ class Model:
     share: float
     rate: float = 1.0
     scale: float = 1.0
-    curve: tuple[float, ...] = (-3.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
 
     def token_scores(self, bucket: np.ndarray) -> np.ndarray:
         """Log-odds of each token against the share of toxic tokens, from the shortest stem to the whole token, less the drift."""
@@ -141,29 +141,30 @@ class Model:
         return np.log(share / (1 - share)) - math.log(self.share / (1 - self.share)) - DRIFT
 
     def passages(self, column):
-        """Per text: number of tokens and the scores of its passages."""
+        """Per text: number of tokens, the scores of its passages, and the score of its worst token (the drift's loss, if none)."""
         for first, last, row, bucket in _groups(column):
             score = self.token_scores(bucket)
             cuts, up = np.searchsorted(row, np.arange(last - first + 1)), np.flatnonzero(score > 0)
             total, inner = np.concatenate(([0.0], np.cumsum(score))), np.searchsorted(up, cuts)
             for i in range(last - first):
                 own = up[inner[i] : inner[i + 1]]
-                yield int(cuts[i + 1] - cuts[i]), [s for _, _, s in segments(total, own)] if len(own) else []
+                top = float(score[cuts[i] : cuts[i + 1]].max()) if cuts[i + 1] > cuts[i] else -2 * DRIFT
+                yield int(cuts[i + 1] - cuts[i]), [s for _, _, s in segments(total, own)] if len(own) else [], max(top, -2 * DRIFT)
 
     def evidence(self, column) -> np.ndarray:
-        """Per text: the evidence of its best passage, and of all its significant passages together."""
-        return np.array([self.weigh(best, n) for n, best in self.passages(column)]).reshape(-1, 2)
+        """Per text: the evidence of its best passage, of all its significant passages together, and of its worst token."""
+        return np.array([self.weigh(*found) for found in self.passages(column)]).reshape(-1, 3)
 
-    def weigh(self, best, n) -> tuple[float, float]:
+    def weigh(self, n, best, top) -> tuple[float, float, float]:
         gains = [self.rate * s - math.log(self.scale * max(n, 1)) for s in best]
-        return max([0.0, *gains]), math.log1p(sum(g for g in gains if g > -math.log(SIGNIFICANT)))
+        return max([0.0, *gains]), math.log1p(sum(g for g in gains if g > -math.log(SIGNIFICANT))), min(top, 0.0)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(evidence) @ np.array(self.curve), -50, 50)))
 
     @staticmethod
     def features(evidence: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(evidence)), np.log1p(evidence[:, 0]), evidence[:, 1]])
+        return np.column_stack([np.ones(len(evidence)), np.log1p(evidence[:, 0]), evidence[:, 1:]])
 
 
 def segments(total: np.ndarray, up: np.ndarray) -> list[tuple[int, int, float]]:
@@ -222,18 +223,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             found = list(probe.passages(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
+                [batch.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.float64())],
+                names=["toxic", "n", "scores", "top"],
             )
 
     # of at most LABELLED_ROWS documents, whose passages are few, come some numbers each
     aside = docs.join(F.broadcast(known.filter(_aside(F.col("doc_id")))), "doc_id").select("text", "toxic")
-    rows = aside.mapInArrow(passages, "toxic int, n long, scores array<double>").toPandas()
+    rows = aside.mapInArrow(passages, "toxic int, n long, scores array<double>, top double").toPandas()
     y = rows["toxic"].to_numpy(float)
     if not (y.any() and (y == 0).any()):
         return final
     calm = rows[y == 0]
     final = replace(final, **dict(zip(("rate", "scale"), chance(np.concatenate([np.zeros(0), *calm["scores"]]), float(calm["n"].sum())))))
-    evidence = np.array([final.weigh(list(s), n) for s, n in zip(rows["scores"], rows["n"])])
+    evidence = np.array([final.weigh(n, list(s), top) for n, s, top in zip(rows["n"], rows["scores"], rows["top"])])
     return replace(final, curve=_logistic(final.features(evidence), y))
 
 
