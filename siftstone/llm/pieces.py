@@ -28,7 +28,7 @@ MARK = "\ud800"
 UNKNOWN_PENALTY = 10.0
 BEST = 4
 #: Segments that one of a task's two stores remembers, which bounds its memory.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 
 def read_vocabulary(path: str) -> tuple[list[str], list[int]]:
@@ -57,6 +57,18 @@ def rank_scores(kinds: list[int]) -> list[float]:
     return out
 
 
+@dataclass
+class Store:
+    """Solved segments: a new and an old generation, and N-best lists. A worker process keeps one per vocabulary, across its tasks."""
+
+    new: dict = field(default_factory=dict)
+    old: dict = field(default_factory=dict)
+    lists: dict = field(default_factory=dict)
+
+
+_STORES: dict[int, Store] = {}
+
+
 @dataclass
 class Segmenter:
     """A vocabulary with scores, and what follows from it."""
@@ -64,17 +76,26 @@ class Segmenter:
     pieces: list[str]
     kinds: list[int]
     scores: list[float]
-    _known: dict = field(default_factory=dict, repr=False)
-    _old: dict = field(default_factory=dict, repr=False)
-    _lists: dict = field(default_factory=dict, repr=False)
+    store: "Store | None" = field(default=None, repr=False)
 
     def __post_init__(self):
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
-        #: Each piece's ids and score; what only begins a piece has no score.
-        self.table: dict[str, tuple] = {self.pieces[i][:n]: ((), None) for i in usable for n in range(1, len(self.pieces[i]))}
-        self.table.update({self.pieces[i]: ((i,), self.scores[i]) for i in usable})
+        if self.store is None:
+            self.store = _STORES.setdefault(hash((*self.pieces, *self.kinds, *self.scores)), Store())
+        #: A tree of characters: each leads to (tree, ids, score); what only begins a piece has no score.
+        self.tree: dict = {}
+        for i in usable:
+            node, piece = self.tree, self.pieces[i]
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None, None))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({},))[0], (i,), self.scores[i])
+        # bytes above 127 decode through the code points that stand for them in undecodable input
+        self.shown = ["" if k in (UNKNOWN, CONTROL, UNUSED) else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
+        for b, i in self.bytes.items():
+            self.shown[i] = chr(b) if b < 128 else chr(0xDC00 + b)
         self.unknown_score = min(self.scores[i] for i in usable) - UNKNOWN_PENALTY
+        self.longest = max(len(self.pieces[i]) for i in usable)
         self.unknown_id = self.kinds.index(UNKNOWN)
         # characters that stand beside another one in some piece; a space mark only ever begins one, or stands among its like
         beside = {c for i in usable if len(self.pieces[i]) > 1 for c in self.pieces[i]} - {SPACE}
@@ -93,13 +114,13 @@ class Segmenter:
         """For each place the edges that end there: (start, ids, score)."""
         out = [[] for _ in range(len(word) + 1)]
         for i, c in enumerate(word):
-            alone = False
+            alone, node = False, self.tree
             for j in range(i + 1, len(word) + 1):
-                found = self.table.get(word[i:j])
-                if found is None:
+                if word[j - 1] not in node:
                     break
-                if found[1] is not None:
-                    out[j].append((i, *found))
+                node, ids, score = node[word[j - 1]]
+                if score is not None:
+                    out[j].append((i, ids, score))
                     alone |= j == i + 1
             if not alone:
                 out[i + 1].append((i, self.fallback(c), self.unknown_score))
@@ -123,20 +144,18 @@ class Segmenter:
 
         The forward pass with two scores per place; of equals the first edge found stays.
         """
-        size, get = len(word), self.table.get
+        size, tree = len(word), self.tree
         best, second, last = [0.0] + [-math.inf] * size, [-math.inf] * (size + 1), [None] * (size + 1)
         for i in range(size):
-            here, next_ = best[i], second[i]
+            here, next_, node, j = best[i], second[i], tree, i
             alone = False
-            for j in range(i + 1, size + 1):
-                own = get(word[i:j])
-                if own is None:
+            for c in word[i : i + self.longest]:
+                if c not in node:
                     break
-                ids, score = own
+                node, ids, score = node[c]
+                j += 1
                 if score is None:
                     continue
-                if j == i + 1:
-                    alone = True
                 total = here + score
                 if total > best[j]:
                     other = next_ + score
@@ -144,6 +163,8 @@ class Segmenter:
                     best[j], last[j] = total, (i, ids)
                 elif total > second[j]:
                     second[j] = total
+                if j == i + 1:
+                    alone = True
             if not alone:
                 best[i + 1], second[i + 1], last[i + 1] = self._other(here, next_, best[i + 1], second[i + 1], last[i + 1], i, word[i])
         ids, j = [], size
@@ -155,10 +176,11 @@ class Segmenter:
 
     def recall(self, word: str) -> tuple[tuple, float, float]:
         """``solve``, remembered. When one store is full it becomes the old one, from which words still in use move to the new one."""
-        found = self._known.get(word) or self._old.get(word) or self.solve(word)
-        if len(self._known) >= REMEMBERED:
-            self._old, self._known = self._known, {}
-        self._known[word] = found
+        store = self.store
+        found = store.new.get(word) or store.old.get(word) or self.solve(word)
+        if len(store.new) >= REMEMBERED:
+            store.old, store.new = store.new, {}
+        store.new[word] = found
         return found
 
     def _other(self, here, next_, best, second, last, i, c):
@@ -170,7 +192,7 @@ class Segmenter:
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best segmentations of one segment: (score, ids), best first."""
-        known = self._lists.get((word, n))
+        known = self.store.lists.get((word, n))
         if known is not None:
             return known
         edges = self.edges(word)
@@ -184,9 +206,9 @@ class Segmenter:
             for start, own, score in edges[at]:
                 count += 1
                 heapq.heappush(queue, (-(best[start] + score + done), count, start, score + done, (own, ids)))
-        if len(self._lists) >= REMEMBERED // 10:
-            self._lists.clear()
-        self._lists[word, n] = out
+        if len(self.store.lists) >= REMEMBERED // 10:
+            self.store.lists.clear()
+        self.store.lists[word, n] = out
         return out
 
     def encode(self, text: str, n: int = BEST):
@@ -194,7 +216,7 @@ class Segmenter:
         if not text:
             return [], 0.0, []
         words = self.segments.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
-        known = self._known
+        known = self.store.new
         found = [known.get(w) or self.recall(w) for w in words]
         ids, score = list(chain.from_iterable([f[0] for f in found])), sum([f[1] for f in found])
         if n < 2:
@@ -202,26 +224,16 @@ class Segmenter:
         # only the n - 1 segments with the least loss can differ in the n best ones
         losses = np.array([f[2] for f in found])
         chosen = np.argpartition(losses, n - 2)[: n - 1] if len(losses) >= n else np.arange(len(losses))
-        lists = [(k, self.n_best(words[k], n)) for k in np.sort(chosen).tolist() if losses[k] < math.inf]
+        # the one with the j-th least loss comes after j better texts, which leaves n - j places for its own list
+        ranked = sorted((losses[k], k) for k in chosen.tolist() if losses[k] < math.inf)
+        lists = sorted((k, self.n_best(words[k], n - j)) for j, (_, k) in enumerate(ranked))
         place = {k: sum([len(f[0]) for f in found[:k]]) for k, _ in lists}
         others = _combined(lists, n)[1:]
         return ids, score, [(score - loss, [(place[k], len(found[k][0]), o) for k, o in changes]) for loss, changes in others]
 
     def decode(self, ids) -> str:
         """The text of ids; inverse of ``encode``."""
-        out, held = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                held.append(int(self.pieces[i][3:5], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if self.kinds[i] in (NORMAL, USER):
-                out.append(self.pieces[i].replace(SPACE, " "))
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out)[1:]
+        return "".join([self.shown[i] for i in ids]).encode("utf-8", "surrogateescape").decode("utf-8", "replace")[1:]
 
 
 def _flat(ids):
