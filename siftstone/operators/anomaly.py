@@ -90,7 +90,7 @@ def two_method_candidates(
     columns: Sequence[str] | str,
     z_threshold: float = 3.0,
     iqr_multiplier: float = 1.5,
-    limit: int | None = 500,
+    limit: int | None = None,
     stddev: str = "pop",
 ) -> DataFrame:
     """Rows outside the z-score bound or the Tukey fence, with severity and confidence.
@@ -331,7 +331,7 @@ def _none(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def modified_zscore(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | str,
-    threshold: float = 3.0, max_results: int | None = 100,
+    threshold: float = 3.0, max_results: int | None = None,
 ) -> DataFrame:
     """0.6745·(x − median)/MAD at or above the threshold; needs ten values and a spread."""
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -345,7 +345,7 @@ def modified_zscore(
 
 def iqr_outliers(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | str,
-    multiplier: float = 1.5, max_results: int | None = 100,
+    multiplier: float = 1.5, max_results: int | None = None,
 ) -> DataFrame:
     """Values outside the Tukey fence, ``score`` is the signed distance to the fence."""
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -357,7 +357,7 @@ def iqr_outliers(
 
 
 def rule_violations(
-    df: DataFrame, key: Sequence[str], types: Mapping[str, str], max_results: int | None = 50
+    df: DataFrame, key: Sequence[str], types: Mapping[str, str], max_results: int | None = None
 ) -> DataFrame:
     """Domain rules for the given semantic types (column name -> type)."""
     percent = [c for c, t in types.items() if t == "percentage"]
@@ -383,7 +383,7 @@ def detect_anomalies(
     types: Mapping[str, str] | None = None,
     z_threshold: float = 3.0,
     iqr_multiplier: float = 1.5,
-    max_per_column: int | None = 50,
+    max_per_column: int | None = None,
     forest: bool = True,
     contamination: float = 0.05,
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import fixed_point, number, ref
+from ..session import cut_lineage
 from .quantiles import column_quantiles
 
 TREE_ROWS = 256
@@ -47,6 +48,11 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "size"])
 
 
+def _bound(share: float) -> int:
+    """The signed 64-bit number that a ``share`` of all 64-bit hashes lies below (at 1 all but one)."""
+    return min(int(share * 2**64) - 2**63, 2**63 - 1)
+
+
 def tree_samples(data: DataFrame, key: Sequence[str], trees: int, rows: int, seed: int) -> DataFrame:
     """Up to 256 rows for each tree, chosen by a hash of the row key.
 
@@ -62,7 +68,7 @@ def tree_samples(data: DataFrame, key: Sequence[str], trees: int, rows: int, see
     # Copies of a row start at its own tree and step on, so a tree never holds a row twice.
     home = F.pmod(F.xxhash64(*[ref(k) for k in key], F.lit(seed + 1)), F.lit(trees))
     step = max(1, trees // copies)
-    drawn = drawn.where(F.pmod("_hash", F.lit(1_000_000)) < int(share * 1_000_000)).withColumn(
+    drawn = drawn.where(F.col("_hash") < _bound(share)).withColumn(
         "tree", F.pmod(home + F.col("_copy") * step, F.lit(trees)).cast("int")
     )
     order = Window.partitionBy("tree").orderBy("_hash", *[ref(k) for k in key])
@@ -130,13 +136,12 @@ def isolation_forest(
     contamination: float = 0.05,
     trees: int = 100,
     seed: int = 42,
-    max_results: int | None = 200,
+    max_results: int | None = None,
 ) -> DataFrame:
     """Multivariate outliers: the ``contamination`` share of rows that are isolated fastest.
 
-    Needs two columns and fifty rows (else no row). The cut is the quantile of
-    the scores; above 50,000 rows it is taken from a 10 % hash sample of the
-    rows. Every row is scored.
+    Needs two columns and fifty rows (else no row). Every row is scored once, into the
+    shared folder; the cut is the exact quantile of all scores.
     """
     from .anomaly import _none
 
@@ -144,11 +149,8 @@ def isolation_forest(
     rows = df.count()
     if len(columns) < 2 or rows < 50:
         return _none(df, key)
-    scored = score_rows(df, key, columns, trees, seed, rows)
-    fit = scored
-    if rows > 50_000:
-        fit = scored.where(F.pmod(F.xxhash64(*[ref(k) for k in key], F.lit(seed)), F.lit(10)) == 0)
-    cut = column_quantiles(fit, ["anomaly"], [1.0 - contamination], rows=min(rows, max(50_000, rows // 10)))
+    scored = cut_lineage(score_rows(df, key, columns, trees, seed, rows))
+    cut = column_quantiles(scored, ["anomaly"], [1.0 - contamination], rows=rows)
     cut = cut.select(F.col("q")[0]).first()[0]
     decision = F.lit(cut) - F.col("anomaly")
     confidence = F.round(F.least(F.lit(1.0), 0.5 + F.abs(decision) * 2), 4)

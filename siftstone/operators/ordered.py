@@ -18,16 +18,15 @@ from ..functions.columns import join_null_safe
 
 # Rows one task is asked to sort in a window; more rows mean more buckets.
 TASK_ROWS = 2_000_000
-MAX_BUCKETS = 4096
 
 
 def cut_points(df: DataFrame, column: str, rows: int, task_rows: int | None = None) -> list[float]:
     """Approximate quantiles of a numeric column; none when the rows fit one task.
 
-    Taken from a sample, as they only balance the work. Only the cut points (at
-    most MAX_BUCKETS numbers) reach the driver.
+    Taken from a sample, as they only balance the work. Only the cut points, one
+    per task, reach the driver.
     """
-    buckets = min(MAX_BUCKETS, math.ceil(rows / (task_rows or TASK_ROWS)))
+    buckets = math.ceil(rows / (task_rows or TASK_ROWS))
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -71,7 +70,7 @@ def running_total(
     local = placed.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     if not cuts:
         return local.withColumn(name, F.col("_local")).drop("_local", "_bucket")
-    # One row per (by, bucket): the window below sees at most MAX_BUCKETS rows per group.
+    # One row per (by, bucket): the window below sees a row per task's share.
     chain = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = (
         placed.groupBy(*by, "_bucket")

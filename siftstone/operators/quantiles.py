@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe, long_form, number, ref
-from .ordered import MAX_BUCKETS, TASK_ROWS, cut_points, with_bucket
+from .ordered import TASK_ROWS, cut_points, with_bucket
 
 
 def shared_cuts(df: DataFrame, columns: Sequence[str], rows: int, task_rows: int | None = None) -> list[float]:
     """Cut points for several columns in long form: the union of their approximate quantiles.
 
     Buckets stay in value order within every column. One scan, no shuffle of
-    rows; at most MAX_BUCKETS numbers reach the driver. A sample of about 2,000
+    rows; one number per column and task reaches the driver. A sample of about 2,000
     rows per bucket is enough: the cut points only balance the work.
     """
-    buckets = min(MAX_BUCKETS // max(len(columns), 1), math.ceil(rows / (task_rows or TASK_ROWS)))
+    buckets = math.ceil(rows / (task_rows or TASK_ROWS))
     if buckets <= 1:
         return []
     inner = [i / buckets for i in range(1, buckets)]

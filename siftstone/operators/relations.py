@@ -72,11 +72,11 @@ def correlations(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     min_abs_r: float = 0.3,
-    max_pairs: int = 200,
+    max_pairs: int | None = None,
     listwise: bool = False,
     method: str = "pearson",
 ) -> DataFrame:
-    """Strongest pairs with |r| of at least ``min_abs_r``."""
+    """Pairs with |r| of at least ``min_abs_r``; only the strongest ``max_pairs``, if given."""
     columns = list(columns or numeric_columns(df))
     if method == "spearman":
         found = spearman(df, columns)
@@ -84,14 +84,12 @@ def correlations(
         found = pair_correlations(df, columns, listwise)
     else:
         raise ValueError(f"unsupported method: {method!r}")
-    return (
-        found.where(F.abs("r") >= min_abs_r)
-        .orderBy(F.desc(F.abs("r")), "col_a", "col_b")
-        .limit(max_pairs)
-        .select(
-            "col_a", "col_b", F.round("r", 6).alias("r"), F.col("n").alias("sample_size"),
-            strength(F.col("r")).alias("strength"), direction(F.col("r")).alias("direction"),
-        )
+    strong = found.where(F.abs("r") >= min_abs_r)
+    if max_pairs is not None:
+        strong = strong.orderBy(F.desc(F.abs("r")), "col_a", "col_b").limit(max_pairs)
+    return strong.select(
+        "col_a", "col_b", F.round("r", 6).alias("r"), F.col("n").alias("sample_size"),
+        strength(F.col("r")).alias("strength"), direction(F.col("r")).alias("direction"),
     )
 
 

@@ -381,9 +381,10 @@ def schema_chunks(dataset_id: str, columns: DataFrame) -> DataFrame:
     return columns.select(*_chunk(dataset_id, "column_description", F.col("column_name"), content, meta))
 
 
-def index_chunks(dataset_id: str, columns: DataFrame, table: DataFrame, max_columns: int = 300) -> DataFrame:
-    """The indexing variant: columns with at most half nulls (the first 300) and one overview chunk."""
-    usable = columns.where(F.col("null_rate") <= 0.5).orderBy("ordinal").limit(max_columns)
+def index_chunks(dataset_id: str, columns: DataFrame, table: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """The indexing variant: columns with at most half nulls (the first ``max_columns``, if given) and one overview chunk."""
+    usable = columns.where(F.col("null_rate") <= 0.5)
+    usable = usable if max_columns is None else usable.orderBy("ordinal").limit(max_columns)
     key = (F.col("semantic_type") == "identifier") & (F.col("unique_count") == F.col("total_rows"))
     content = F.concat(
         F.lit("Column: "), F.col("column_name"), F.lit("\nData type: "), F.col("data_type"),
@@ -396,7 +397,7 @@ def index_chunks(dataset_id: str, columns: DataFrame, table: DataFrame, max_colu
     described = usable.select(*_chunk(dataset_id, "column_description", F.col("column_name"), content, meta))
     counts = columns.agg(
         F.struct(
-            F.least(F.count_if(F.col("null_rate") <= 0.5), F.lit(max_columns)).alias("i"), F.count("*").alias("n")
+            F.least(F.count_if(F.col("null_rate") <= 0.5), F.lit(max_columns).cast("long")).alias("i"), F.count("*").alias("n")
         )
     ).scalar()
     overview = F.concat(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
+from ..session import cut_lineage
 from .quantiles import grouped_quantiles
-from .screening import check_sql
 
 _COMPARISONS = {
     "=": lambda c, v: c == v,
@@ -48,7 +51,8 @@ def predicate(filters: Sequence[Mapping[str, Any]]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def filter_rows(df, filters=(), columns=None, limit=1000) -> DataFrame:
+def filter_rows(df, filters=(), columns=None, limit=None) -> DataFrame:
+    """All rows that meet the filters; ``limit`` takes any so many of them."""
     out = df.where(predicate(filters)) if filters else df
     out = out.select(*[ref(c) for c in columns]) if columns else out
     return out.limit(limit) if limit else out
@@ -65,7 +69,7 @@ def aggregate(
     group_by: Sequence[str] = (),
     filters: Sequence[Mapping[str, Any]] = (),
     order_by: Sequence[Mapping[str, Any]] = (),
-    limit: int | None = 1000,
+    limit: int | None = None,
     order_key: str | None = None,
 ) -> DataFrame:
     """One aggregate by name, column ``{func}_{column}``.
@@ -135,33 +139,106 @@ def top_n_per_group(
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-def run_sql(
-    spark: SparkSession,
-    sql: str,
-    views: Mapping[str, DataFrame],
-    row_limit: int = 10_000,
-) -> DataFrame:
-    """A guarded SELECT over the given views only, at most ``row_limit`` rows.
+# ── guarded SQL ─────────────────────────────────────────────────────────────
+
+#: Functions that a guarded query may call; none reads files, runs code or tells about the session.
+ALLOWED_FUNCTIONS = frozenset(
+    """abs acos any_value approx_count_distinct array array_contains array_distinct array_join ascii asin atan atan2 avg bool_and
+    bool_or cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if
+    covar_pop covar_samp cume_dist current_date date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth
+    dayofweek dayofyear decimal dense_rank double element_at endswith every exp explode first first_value floor from_unixtime
+    greatest hour if ifnull initcap int isnan isnotnull isnull kurtosis lag last last_day last_value lead least left len length
+    ln locate log log10 log2 lower lpad ltrim max max_by mean median min min_by minute mod mode month months_between nth_value
+    ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod posexplode position pow power quarter rank regexp_extract
+    regexp_like regexp_replace replace reverse right round row_number rpad rtrim second sequence sign signum sin size skewness
+    some sort_array split sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan timestamp
+    to_date to_timestamp translate trim trunc try_cast try_divide try_sum unix_timestamp upper var_pop var_samp variance weekday
+    weekofyear when year""".split()
+)
+#: Steps that a guarded query may consist of.
+_ALLOWED_STEPS = frozenset(
+    """Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join SubqueryAlias UnresolvedRelation Distinct Union Intersect Except
+    UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedHaving WithWindowDefinition Generate LateralJoin
+    UnresolvedSubqueryColumnAliases""".split()
+)
+
+
+def _each(scala_seq):
+    return [scala_seq.apply(i) for i in range(scala_seq.size())]
+
+
+def _refusal(plan, views: Sequence[str]) -> str | None:
+    """Why a parsed, unresolved plan is refused; null if every step, relation and function in it is allowed."""
+    steps, expressions = [plan], []
+    while steps or expressions:
+        if steps:
+            node = steps.pop()
+            kind = node.getClass().getSimpleName()
+            if kind not in _ALLOWED_STEPS:
+                return f"step {kind}"
+            if kind == "UnresolvedRelation":
+                name = [str(n) for n in _each(node.multipartIdentifier())]
+                if len(name) != 1 or name[0].lower() not in views:
+                    return f"relation {'.'.join(name)}"
+            steps += _each(node.children())
+            expressions += _each(node.expressions())
+            if kind == "Generate":
+                expressions.append(node.generator())
+            continue
+        node = expressions.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = [str(n) for n in _each(node.nameParts())] if kind == "UnresolvedFunction" else [str(node.name().funcName())]
+            if len(name) != 1 or name[0].lower() not in ALLOWED_FUNCTIONS:
+                return f"function {'.'.join(name)}"
+        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            steps.append(node.plan())
+        expressions += _each(node.children())
+    return None
 
-    The views exist only while the text is analysed; a temp view of the same
-    name is replaced. Everything behind the guard is Spark SQL.
+
+def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_limit: int | None = None) -> DataFrame:
+    """A SELECT over the given views only; at most ``row_limit`` of its rows, if given.
+
+    Spark parses the text, and the plan is checked before anything is resolved: the only relations are the given views, the only functions those in
+    ``ALLOWED_FUNCTIONS``, and neither common tables nor commands nor scripts are steps of it. The views are bound under names of their own, so
+    the caller's views stay as they are. Anything else raises ValueError. A fence around the text and comments in it are no matter.
     """
-    text = check_sql(sql)
+    text = re.sub(r"\A\s*```\w*|```\s*\Z", "", sql or "").strip().rstrip(";")
+    if not text:
+        raise ValueError("empty query")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as exc:
+        raise ValueError(f"not one readable SELECT: {str(exc)[:200]}") from exc
+    reason = _refusal(plan, [v.lower() for v in views])
+    if reason:
+        raise ValueError(f"not allowed in a query: {reason}")
+    own = {name: f"siftstone_{uuid.uuid4().hex}" for name in views}
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
+        df.createTempView(own[name])
     try:
-        return spark.sql(text).limit(row_limit)
+        bound = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in own.items())
+        out = spark.sql(f"WITH {bound} {text}" if own else text)
     finally:
-        for name in views:
-            spark.catalog.dropTempView(name)
+        for view in own.values():
+            spark.catalog.dropTempView(view)
+    return out if row_limit is None else out.limit(row_limit)
+
+
+class SqlPage(NamedTuple):
+    rows: DataFrame
+    row_count: int
+    truncated: bool
+    seconds: float
 
 
-def run_sql_page(
-    spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_limit: int = 10_000
-) -> tuple[DataFrame, bool]:
-    """The result and whether it was cut (one row more than the limit is looked for)."""
-    probe = run_sql(spark, sql, views, row_limit + 1)
-    return probe.limit(row_limit), probe.count() > row_limit
+def run_sql_page(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_limit: int = 10_000) -> SqlPage:
+    """A bounded page of the result, run once: its rows, their number, whether the result has more, and how long it took."""
+    begin = time.perf_counter()
+    probe = cut_lineage(run_sql(spark, sql, views, row_limit + 1))
+    found = probe.count()
+    return SqlPage(probe.limit(row_limit), min(found, row_limit), found > row_limit, time.perf_counter() - begin)
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ register(
     lambda spark, sf: anomaly.two_method_candidates(_shares(spark, sf), ["event_id"], "value").select(
         *CANDIDATE_COLUMNS
     ),
-    _candidate_sql("STDDEV_POP", "LIMIT 500"),
+    _candidate_sql("STDDEV_POP", ""),
 )
 register(
     "two_method_candidates_all_sample_deviation",
@@ -70,13 +70,13 @@ register(
 
 register(
     "modified_zscore",
-    lambda spark, sf: anomaly.modified_zscore(table(spark, sf, "events"), ["event_id"], "value", 3.0, 100)
+    lambda spark, sf: anomaly.modified_zscore(table(spark, sf, "events"), ["event_id"], "value", 3.0)
     .select("event_id", "column", "detection_method", "severity", "confidence", "score"),
     """WITH m AS (SELECT MEDIAN(value) AS med FROM events), d AS (SELECT MEDIAN(ABS(value - med)) AS mad FROM events, m),
 z AS (SELECT event_id, 0.6745 * (value - med) / mad AS z FROM events, m, d)
 SELECT event_id, 'value' AS column, 'ZScore' AS detection_method, CASE WHEN ABS(z) > 5 THEN 'high' ELSE 'medium' END AS severity,
   ROUND(ABS(z) / (ABS(z) + 3.0), 4) AS confidence, ROUND(z, 4) AS score
-FROM z WHERE ABS(z) >= 3.0 ORDER BY ABS(ROUND(z, 4)) DESC, event_id LIMIT 100""",
+FROM z WHERE ABS(z) >= 3.0 ORDER BY ABS(ROUND(z, 4)) DESC, event_id""",
 )
 register(
     "fence_outliers",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import distributions as dist
-from siftstone.operators import operations, profiling, quantiles, relations, scoring, selecting, statistics, timeseries
+from siftstone.operators import anomaly, operations, profiling, quantiles, relations, scoring, selecting, statistics, timeseries
 from siftstone.operators.profiling import TableProfile
 
 
@@ -249,11 +249,12 @@ def test_selecting(sales):
 def test_guarded_sql(spark, sales):
     views = {"dataset": sales}
     assert selecting.run_sql(spark, "SELECT SUM(revenue) AS s FROM dataset", views).count() == 1
-    page, cut = selecting.run_sql_page(spark, "SELECT * FROM dataset", views, 4)
+    page, rows, cut, _ = selecting.run_sql_page(spark, "SELECT * FROM dataset", views, 4)
+    assert rows == 4
     assert cut and page.count() == 4
     quoted = "SELECT * FROM dataset WHERE region = 'set -- x'"
     assert selecting.run_sql(spark, quoted, views).count() == 0
-    for bad in ("DROP TABLE dataset", "SELECT 1; SELECT 2", "SELECT 1 -- x", "SELECT * FROM parquet.`/etc`",
+    for bad in ("DROP TABLE dataset", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`",
                 "SELECT * FROM READ_CSV('x')", "", "EXEC x"):
         with pytest.raises(ValueError):
             selecting.run_sql(spark, bad, views)
@@ -313,3 +314,42 @@ def test_rate_windows_across_slices(spark):
     seconds = [7200 - 30 + i // 2 for i in range(120)]
     want = {s: sum(1 for x in seconds if s - 59 <= x <= s) for s in set(seconds)}
     assert {r.second: r.in_window for r in rows} == {s: n for s, n in want.items() if n > 60}
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM secret", "SELECT (SELECT MAX(revenue) FROM secret) AS m FROM dataset", "SELECT * FROM dataset WHERE units IN (SELECT units FROM secret)",
+    "SELECT java_method('java.util.UUID', 'randomUUID')", "SELECT reflect('java.util.UUID', 'randomUUID') FROM dataset", "SELECT * FROM parquet.`/root/testdata`",
+    "WITH secret AS (SELECT 1) SELECT * FROM secret", "SELECT TRANSFORM(region) USING 'cat' FROM dataset", "DROP VIEW secret", "SELECT 1; SELECT 2", "SELECT input_file_name() FROM dataset",
+    "INSERT INTO dataset SELECT * FROM dataset", "SELECT * FROM range(5)", "SELECT explode(array(java_method('a', 'b')))", "", None,
+])
+def test_sql_guard_refuses(spark, sales, text):
+    sales.createOrReplaceTempView("secret")
+    with pytest.raises(ValueError):
+        selecting.run_sql(spark, text, {"dataset": sales})
+
+
+def test_sql_guard_leaves_the_callers_views(spark, sales):
+    spark.range(3).createOrReplaceTempView("dataset")
+    text = """SELECT region, SUM(revenue) AS s, 'drop; -- /* text' AS t FROM dataset d JOIN (SELECT DISTINCT region AS r FROM dataset) x ON d.region = x.r
+        WHERE units >= 0 AND product LIKE 'Widget%' GROUP BY region HAVING COUNT(*) > 1 ORDER BY s DESC LIMIT 3"""
+    assert selecting.run_sql(spark, text, {"dataset": sales}).count() == 3
+    assert spark.table("dataset").count() == 3
+    spark.catalog.dropTempView("dataset")
+
+
+def test_nothing_is_capped_by_default(spark):
+    many = spark.range(1500).selectExpr("id", "id AS k", "IF(id < 800, 1000.0 + id, id % 10) AS value")
+    assert selecting.aggregate(many, "SUM", "value", ["k"]).count() == 1500
+    assert selecting.filter_rows(many).count() == 1500
+    spread = spark.range(20_000).selectExpr("id", "IF(id < 700, 100000.0 + id, id % 100) AS value")
+    assert anomaly.two_method_candidates(spread, ["id"], "value").count() == 700
+    assert anomaly.modified_zscore(spread, ["id"], "value").count() == 700
+
+
+def test_tree_samples_of_a_huge_table(spark):
+    """The bound of the thinning holds for tables of which a tree sees almost nothing."""
+    from siftstone.operators import forest
+
+    assert forest._bound(1.0) == 2**63 - 1 and forest._bound(0.5) == 0
+    share = 1.5 * forest.TREE_ROWS * 100 / 1e12
+    assert forest._bound(share) + 2**63 == pytest.approx(share * 2**64)
