@@ -15,7 +15,11 @@ from ..functions.columns import blank_to_null, ref
 
 HEAD_BYTES = 8192
 SNIFF_CHARS = 4096
-SNIFFED = T.StructType([T.StructField("delimiter", T.StringType()), T.StructField("has_header", T.BooleanType())])
+SNIFFED = T.StructType([
+    T.StructField("delimiter", T.StringType()), T.StructField("has_header", T.BooleanType()), T.StructField("has_quotes", T.BooleanType()),
+])
+# Spark's names of the encodings; its UTF-16 reads the byte order from the mark and drops it
+CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16", "utf-16-be": "UTF-16"}
 
 
 def _extension(path: Column) -> Column:
@@ -35,10 +39,20 @@ def _encoding_of(head: Column) -> Column:
         F.when(mark.startswith("FFFE"), "utf-16-le")
         .when(mark.startswith("FEFF"), "utf-16-be")
         .when(mark == "EFBBBF", "utf-8-sig")
-        .otherwise("utf-8")
+        .when(_is_utf8(head), "utf-8")
+        .otherwise("latin-1")
     )
 
 
+def _is_utf8(head: Column) -> Column:
+    """Whether the first bytes of a file are UTF-8; a character may be cut off at their end."""
+    size = F.length(head)
+    valid = F.is_valid_utf8(head.cast("string"))
+    for cut in (1, 2, 3):
+        valid = valid | ((size == HEAD_BYTES) & F.is_valid_utf8(F.substring(head, F.lit(1), size - cut).cast("string")))
+    return valid
+
+
 @F.pandas_udf(SNIFFED)
 def _sniff(head: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     """Delimiter and header guess of the first characters of each file."""
@@ -47,10 +61,10 @@ def _sniff(head: pd.Series, encoding: pd.Series) -> pd.DataFrame:
         text = bytes(raw).decode(name, errors="replace")[:SNIFF_CHARS]
         try:
             dialect = csv.Sniffer().sniff(text, delimiters=",\t;|")
-            found.append((dialect.delimiter, bool(csv.Sniffer().has_header(text))))
+            found.append((dialect.delimiter, bool(csv.Sniffer().has_header(text)), '"' in text))
         except csv.Error:
-            found.append((",", True))
-    return pd.DataFrame(found, columns=["delimiter", "has_header"])
+            found.append((",", True, '"' in text))
+    return pd.DataFrame(found, columns=["delimiter", "has_header", "has_quotes"])
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -60,15 +74,13 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 def catalog_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: format (extension, then magic bytes, else csv), encoding, CSV layout.
 
-    Files beyond the upload limit are listed by extension only; their content
-    is not read, because the length condition reaches the source.
+    Files beyond the upload limit and those whose extension tells that they are not text tables are listed by
+    extension only: both conditions are on the listing, so that their content is not read.
     """
-    readable = _binary(spark, path).where(F.col("length") <= fixed.MAX_UPLOAD_BYTES)
-    heads = readable.select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    large = _binary(spark, path).where(F.col("length") > fixed.MAX_UPLOAD_BYTES).select(
-        "path", "length", F.lit(None).cast("binary").alias("head")
-    )
     extension = _extension(F.col("path"))
+    wanted = (F.col("length") <= fixed.MAX_UPLOAD_BYTES) & (F.coalesce(_format_of(extension), F.lit("csv")) == "csv")
+    heads = _binary(spark, path).where(wanted).select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    large = _binary(spark, path).select("path", "length").where(~wanted).withColumn("head", F.lit(None).cast("binary"))
     magic = F.hex(F.substring("head", 1, 6))
     form = (
         F.when(magic.startswith("504B0304") | magic.startswith("D0CF11E0"), "excel")
@@ -82,13 +94,13 @@ def catalog_files(spark: SparkSession, path: str) -> DataFrame:
     text = (F.col("format") == "csv") & F.col("head").isNotNull() & (F.length("head") > 0)
     texts = listed.where(text).withColumn("s", _sniff("head", "encoding"))
     others = listed.where(~text | F.col("head").isNull()).withColumn(
-        "s", F.struct(F.lit(",").alias("delimiter"), F.lit(True).alias("has_header"))
+        "s", F.struct(F.lit(",").alias("delimiter"), F.lit(True).alias("has_header"), F.lit(False).alias("has_quotes"))
     )
     newline = (F.col("format") == "json") & F.col("extension").isin("jsonl", "ndjson")
     return texts.unionByName(others).select(
         "path", "length", "extension", "format", "encoding",
         F.col("s.delimiter").alias("delimiter"), F.col("s.has_header").alias("has_header"),
-        newline.alias("is_newline_json"),
+        F.col("s.has_quotes").alias("has_quotes"), newline.alias("is_newline_json"),
     )
 
 
@@ -145,13 +157,16 @@ def check_uploads(spark: SparkSession, path: str, known: DataFrame | None = None
 def infer_text_types(df: DataFrame) -> DataFrame:
     """Text columns cast to the narrowest type that fits every non-null value (one aggregate)."""
     ladder = ["bigint", "double", "boolean", "date", "timestamp"]
+    # a cast to date also takes a timestamp and drops its time of day
+    only_date = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
     checks = []
     for i, c in enumerate(names):
         checks.append(F.count(ref(c)).alias(f"n{i}"))
-        checks += [F.count(ref(c).try_cast(t)).alias(f"{t}{i}") for t in ladder]
+        checks += [F.count(ref(c).try_cast(t)).alias(f"{t}{i}") for t in ladder if t != "date"]
+        checks.append(F.count(F.when(ref(c).rlike(only_date), ref(c).try_cast("date"))).alias(f"date{i}"))
     row = df.agg(*checks).first()
     casts = {}
     for i, c in enumerate(names):
@@ -171,15 +186,17 @@ def read_csv(
     encoding: str = "utf-8",
     schema: T.StructType | str | None = None,
     null_tokens: Sequence[str] = tuple(fixed.NULL_TOKENS),
+    quoted_newlines: bool = False,
 ) -> DataFrame:
     """CSV with several null texts; unreadable values become null.
 
-    With a ``schema`` the file is read once; else the types are inferred from all rows.
+    With a ``schema`` the file is read once; else the types are inferred from all rows. With ``quoted_newlines`` a quoted value may
+    span lines; a file is then one task, as it also is in UTF-16.
     """
-    charset = "utf-8" if encoding == "utf-8-sig" else encoding
+    charset = CHARSETS.get(encoding.lower(), encoding)
     raw = (
-        spark.read.option("header", has_header).option("sep", delimiter).option("encoding", charset)
-        .option("mode", "PERMISSIVE").option("multiLine", False).csv(path)
+        spark.read.option("header", has_header).option("sep", delimiter).option("encoding", charset).option("escape", '"')
+        .option("mode", "PERMISSIVE").option("multiLine", quoted_newlines or charset.startswith("UTF-16")).csv(path)
     )
     text = raw.withColumns({c: blank_to_null(ref(c), null_tokens) for c in raw.columns})
     if schema is None:
@@ -199,19 +216,26 @@ def load_dataset(
     has_header: bool | None = None,
     encoding: str | None = None,
 ) -> DataFrame:
-    """A dataset by URI; without ``fmt`` the first file of the path decides."""
-    newline = True
+    """A dataset by URI; without ``fmt`` the files' heads decide. Files of different layouts are an error.
+
+    A CSV file whose head has quotes is read with quoted newlines.
+    """
+    newline, quotes = True, False
     if fmt is None:
-        head = catalog_files(spark, path).orderBy("path").limit(1).first()
-        if head is None:
+        layout = ["format", "is_newline_json", "delimiter", "has_header", "encoding"]
+        heads = catalog_files(spark, path).groupBy(*layout).agg(F.max("has_quotes").alias("has_quotes"), F.min("path").alias("path")).orderBy("path").limit(2).collect()
+        if not heads:
             raise FileNotFoundError(path)
-        fmt, newline = head.format, head.is_newline_json
+        if len(heads) > 1:
+            raise ValueError(f"files of different layouts: {heads[0].path} and {heads[1].path}")
+        head = heads[0]
+        fmt, newline, quotes = head.format, head.is_newline_json, head.has_quotes
         delimiter = delimiter or head.delimiter
         has_header = head.has_header if has_header is None else has_header
         encoding = encoding or head.encoding
     if fmt == "csv":
         df = read_csv(
-            spark, path, delimiter or ",", True if has_header is None else has_header, encoding or "utf-8", schema
+            spark, path, delimiter or ",", True if has_header is None else has_header, encoding or "utf-8", schema, quoted_newlines=quotes
         )
     elif fmt == "parquet":
         df = spark.read.parquet(path)

@@ -116,3 +116,45 @@ def test_decode_problems(spark):
     )
     got = [r.problem for r in streams.decode_values(df, "value", streams.UPLOADED).collect()]
     assert got == [None, None, "avro schema", "unreadable", "missing field"]
+
+
+# ── layouts of CSV files ────────────────────────────────────────────────────
+
+
+def _written(tmp_path, name, data):
+    (tmp_path / name).write_bytes(data)
+    return str(tmp_path)
+
+
+def test_timestamps_keep_the_time_of_day(spark, tmp_path):
+    path = _written(tmp_path, "a.csv", b"id,at,day\n1,2024-01-01 10:05:00,2024-01-01\n2,2024-01-02 00:00:00,2024-01-02\n3,2024-01-03 07:00:00,2024-01-05\n")
+    df = files.load_dataset(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "at": "timestamp", "day": "date"}
+    assert df.orderBy("id").first().at.hour == 10
+
+
+def test_quoted_newlines(spark, tmp_path):
+    path = _written(tmp_path, "a.csv", b'id,note\n1,"two\nlines, and ""quotes"""\n2,"one"\n3,"x"\n')
+    rows = files.load_dataset(spark, path).orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2, 3] and rows[0].note == 'two\nlines, and "quotes"'
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-8", "utf-8-sig", "utf-16"])
+def test_encodings(spark, tmp_path, encoding):
+    text = "id,name\n" + "".join(f"{i},Müller {i}\n" for i in range(20))
+    path = _written(tmp_path, "a.csv", text.encode(encoding))
+    rows = files.load_dataset(spark, path)
+    assert rows.columns == ["id", "name"] and rows.where("name = 'Müller 7'").count() == 1
+
+
+def test_long_utf8_heads(spark, tmp_path):
+    text = "id,name\n" + "".join(f"{i},{'ü' * (i % 7)}\n" for i in range(4000))
+    path = _written(tmp_path, "a.csv", text.encode())
+    assert files.catalog_files(spark, path).first().encoding == "utf-8"
+
+
+def test_mixed_layouts_are_an_error(spark, tmp_path):
+    _written(tmp_path, "a.csv", b"id,name\n1,a\n2,b\n3,c\n")
+    path = _written(tmp_path, "b.csv", b"id;name\n1;a\n2;b\n3;c\n")
+    with pytest.raises(ValueError, match="different layouts"):
+        files.load_dataset(spark, path)
