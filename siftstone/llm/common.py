@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +21,19 @@ MIX_B = 0x94D049BB133111EB
 GROUP_BYTES = 1 << 18
 
 
+def tidy(run):
+    """A function for ``mapInArrow`` that hands memory back when its partition is done, as workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = new_folder(df.sparkSession, label)

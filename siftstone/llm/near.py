@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import byte_buffer, plain_ids, signed, stored
+from .common import byte_buffer, plain_ids, signed, stored, tidy
 from .components import connected
 
 #: Links: 100 * intersection >= PERCENT * union. Pairs are verified down to MARGIN standard errors below.
@@ -39,7 +39,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 registers.append(shingles.sketch(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())], names=["node", "n_shingles", "key", "registers"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n_shingles long, key binary, registers binary")
+    return docs.select("node", "text").mapInArrow(tidy(run), "node long, n_shingles long, key binary, registers binary")
 
 
 def _band_rows(sketches: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def _band_rows(sketches: DataFrame) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(piece.column(0).to_numpy(), shingles.BANDS)), pa.array(np.concatenate(keys))], names=["node", "band"])
 
-    return sketches.select("node", "registers").mapInArrow(run, "node long, band long")
+    return sketches.select("node", "registers").mapInArrow(tidy(run), "node long, band long")
 
 
 def _in_blocks(rows: DataFrame, key: str, counts: DataFrame, block: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _hanging(members: DataFrame) -> DataFrame:
         if out_a:
             yield _pairs(out_a, out_b)
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(a, b):
@@ -170,7 +170,7 @@ def _with_sets(texts: DataFrame) -> DataFrame:
                 sets = [own.tobytes() for _, own in shingles.shingle_sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(sets, pa.binary())], names=["node", "group", "hashes"])
 
-    return texts.select("node", "group", "text").mapInArrow(run, "node long, group long, hashes binary")
+    return texts.select("node", "group", "text").mapInArrow(tidy(run), "node long, group long, hashes binary")
 
 
 def _verified(members: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _verified(members: DataFrame) -> DataFrame:
             if len(a):
                 yield _pairs([a], [b])
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:

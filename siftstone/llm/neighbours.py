@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain_ids, stored
+from .common import plain_ids, stored, tidy
 
 #: The index is fitted on at most so many vectors, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -120,7 +120,7 @@ def _listed(vectors: DataFrame, index: Index) -> DataFrame:
                 near = _nearest(placed, index.centres)
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), piece.column(0), _binary(placed), _binary(_matrix(piece.column(1))), piece.column(2)], names=["list", "key", "placed", "embedding", "ids"])
 
-    return vectors.select("key", "embedding", "ids").mapInArrow(run, "list int, key long, placed binary, embedding binary, ids array<long>")
+    return vectors.select("key", "embedding", "ids").mapInArrow(tidy(run), "list int, key long, placed binary, embedding binary, ids array<long>")
 
 
 def _probing(queries: DataFrame, index: Index) -> DataFrame:
@@ -136,7 +136,7 @@ def _probing(queries: DataFrame, index: Index) -> DataFrame:
                 rows = np.repeat(np.arange(len(x)), index.probes)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), piece.column(0).take(pa.array(rows)), _binary(placed).take(pa.array(rows)), _binary(x).take(pa.array(rows))], names=["list", "key", "placed", "embedding"])
 
-    return queries.select("key", "embedding").mapInArrow(run, "list int, key long, placed binary, embedding binary")
+    return queries.select("key", "embedding").mapInArrow(tidy(run), "list int, key long, placed binary, embedding binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -242,7 +242,7 @@ def _searched(cells: DataFrame, k: int, reach: float) -> DataFrame:
                     yield from best.rows()
         yield from best.rows()
 
-    return cells.mapInArrow(run, "key long, vec_id long, score double")
+    return cells.mapInArrow(tidy(run), "key long, vec_id long, score double")
 
 
 def _cells(vectors: DataFrame, queries: DataFrame) -> DataFrame:

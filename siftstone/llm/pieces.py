@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_buffer, flat_ranges, row_groups, tidy
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stands for a space mark that is in the text itself; half a surrogate pair, which no text has.
@@ -28,7 +30,9 @@ MARK = "\ud800"
 UNKNOWN_PENALTY = 10.0
 BEST = 4
 #: Segments that one of a task's two stores remembers, which bounds its memory.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
+#: Texts of about so many bytes are cut into words and solved together.
+SLICE_BYTES = 2 << 20
 
 
 def read_vocabulary(path: str) -> tuple[list[str], list[int]]:
@@ -77,6 +81,7 @@ class Segmenter:
     kinds: list[int]
     scores: list[float]
     store: "Store | None" = field(default=None, repr=False)
+    _table: tuple | None = field(default=None, repr=False)
 
     def __post_init__(self):
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
@@ -176,8 +181,10 @@ class Segmenter:
 
     def recall(self, word: str) -> tuple[tuple, float, float]:
         """``solve``, remembered. When one store is full it becomes the old one, from which words still in use move to the new one."""
+        return self.keep(word, self.store.new.get(word) or self.store.old.get(word) or self.solve(word))
+
+    def keep(self, word, found):
         store = self.store
-        found = store.new.get(word) or store.old.get(word) or self.solve(word)
         if len(store.new) >= REMEMBERED:
             store.old, store.new = store.new, {}
         store.new[word] = found
@@ -190,6 +197,91 @@ class Segmenter:
             return score, max(best, next_ + self.unknown_score), (i, self.fallback(c))
         return best, max(second, score), last
 
+    def _arrays(self):
+        """The tree as arrays, for the characters that can stand in a word of several: next state per (inner state, character class), score and id."""
+        if self._table is None:
+            chars = sorted({c for p, k in zip(self.pieces, self.kinds) if k in (NORMAL, USER) and len(p) > 1 for c in p if ord(c) < 1 << 16})
+            classes = np.zeros(1 << 16, np.int32)
+            classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            # state 0 is dead, state 1 the root; only states with children have a row of their own
+            todo, rows, row, score, ids = [(self.tree, 1)], [np.zeros(len(chars) + 1, np.int32)], [0, 0], [-math.inf, -math.inf], [-1, -1]
+            for node, state in todo:  # grows while it runs
+                own = np.zeros(len(chars) + 1, np.int32)
+                row[state] = len(rows)
+                rows.append(own)
+                for c, (below, piece, value) in node.items():
+                    if ord(c) < 1 << 16 and classes[ord(c)]:
+                        own[classes[ord(c)]] = len(row)
+                        if below:
+                            todo.append((below, len(row)))
+                        row.append(0)
+                        score.append(-math.inf if value is None else value)
+                        ids.append(-1 if value is None else piece[0])
+            self._table = classes, np.stack(rows).astype(np.min_scalar_type(len(row))), np.array(row), np.array(score), np.array(ids)
+        return self._table
+
+    def solve_many(self, words: list[str]) -> None:
+        """``solve`` for many words at once, into the store: the same pass over places, each step for all words of a length together."""
+        classes = self._arrays()[0]
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(w) for w in words])
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        known = np.where(points < 1 << 16, classes[np.minimum(points, (1 << 16) - 1)], 0)
+        plain = np.logical_and.reduceat(known > 0, starts) & (sizes > 1) if len(words) else sizes > 1
+        for size in np.unique(sizes[plain]).tolist():
+            chosen = np.flatnonzero(plain & (sizes == size))
+            for at in range(0, len(chosen), 4_096):
+                few = chosen[at : at + 4_096]
+                self._solve_equal([words[k] for k in few.tolist()], known[starts[few][None, :] + np.arange(size)[:, None]])
+        for k in np.flatnonzero(~plain).tolist():
+            self.recall(words[k])
+
+    def _solve_equal(self, words: list[str], codes: np.ndarray) -> None:
+        """Words of one length; ``codes`` has a row per place."""
+        _, table, row, score, piece = self._arrays()
+        size, n = codes.shape
+        best, second = np.full((size + 1, n), -math.inf), np.full((size + 1, n), -math.inf)
+        back, last = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int64)
+        best[0] = 0.0
+        for i in range(size):
+            alive, state = np.arange(n), np.ones(n, np.int64)
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                state = table[row[state], codes[j - 1, alive]]
+                if j > i + 1:
+                    alive, state = alive[state > 0], state[state > 0]
+                    if not len(alive):
+                        break
+                value, ids = score[state], piece[state]
+                if j == i + 1:
+                    value = np.where(ids < 0, self.unknown_score, value)
+                    chosen, who = slice(None), alive
+                else:
+                    chosen = ids >= 0
+                    who = alive[chosen]
+                value, ids = value[chosen], ids[chosen]
+                total, old = best[i, who] + value, best[j, who]
+                better = total > old
+                second[j, who] = np.where(better, np.maximum(old, second[i, who] + value), np.maximum(second[j, who], total))
+                best[j, who[better]] = total[better]
+                back[j, who[better]] = i
+                last[j, who[better]] = ids[better]
+                if j == i + 1:
+                    alive, state = alive[state > 0], state[state > 0]
+        # all paths at once, from their ends: how many pieces each has, then the pieces in their places
+        at, many, steps = np.full(n, size), np.zeros(n, np.int64), []
+        everyone = np.arange(n)
+        while at.any():
+            steps.append(np.where(at > 0, last[at, everyone], -2))
+            many += at > 0
+            at = back[at, everyone]
+        path = np.empty((n, len(steps)), np.int64)
+        for k, step in enumerate(steps):
+            there = step > -2
+            path[everyone[there], many[there] - 1 - k] = step[there]
+        known = (path >= 0) | (np.arange(len(steps)) >= many[:, None])
+        for word, row, count, whole, top, other in zip(words, path.tolist(), many.tolist(), known.all(1).tolist(), best[size].tolist(), second[size].tolist()):
+            self.keep(word, (tuple(row[:count]), top, top - other) if whole else self.solve(word))
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best segmentations of one segment: (score, ids), best first."""
         known = self.store.lists.get((word, n))
@@ -211,25 +303,47 @@ class Segmenter:
         self.store.lists[word, n] = out
         return out
 
+    def words(self, text: str) -> list[str]:
+        """The segments of a text, with the space mark that SentencePiece puts in front."""
+        return self.segments.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)) if text else []
+
     def encode(self, text: str, n: int = BEST):
         """Ids of the best segmentation, its score, and of the next best ones (score, [(first token, tokens, ids instead)])."""
-        if not text:
-            return [], 0.0, []
-        words = self.segments.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
-        known = self.store.new
-        found = [known.get(w) or self.recall(w) for w in words]
-        ids, score = list(chain.from_iterable([f[0] for f in found])), sum([f[1] for f in found])
-        if n < 2:
-            return ids, score, []
+        ids, cuts, scores, others = self.encode_many([text], n)
+        return ids.tolist(), scores[0], others[0]
+
+    def encode_many(self, texts: list[str], n: int = BEST):
+        """``encode`` of several texts: all ids one after another, the cuts between the texts, scores, and the next best segmentations."""
+        words = [self.words(t) for t in texts]
+        distinct = list(set().union(*words))
+        store = self.store
+        self.solve_many([w for w in distinct if w not in store.new and w not in store.old])
+        found = [self.recall(w) for w in distinct]
+        number = dict(zip(distinct, range(len(distinct))))
+        counts = np.array([len(w) for w in words])
+        all_words = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        sizes = np.array([len(f[0]) for f in found], np.int64)
+        flat = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32, sizes.sum())
+        own_sizes = sizes[all_words]
+        before = np.concatenate(([0], np.cumsum(own_sizes)))
+        ids = flat[flat_ranges((np.cumsum(sizes) - sizes)[all_words], own_sizes)]
+        value, loss = np.array([f[1] for f in found])[all_words], np.array([f[2] for f in found])[all_words]
+        scores, others = [], []
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            scores.append(float(value[a:b].sum()))
+            others.append([] if n < 2 else self._others(words[k], loss[a:b], before[a : b + 1], scores[-1], n))
+        return ids, before[ends], scores, others
+
+    def _others(self, words, losses, before, score, n):
+        """The next best segmentations of one text."""
         # only the n - 1 segments with the least loss can differ in the n best ones
-        losses = np.array([f[2] for f in found])
         chosen = np.argpartition(losses, n - 2)[: n - 1] if len(losses) >= n else np.arange(len(losses))
         # the one with the j-th least loss comes after j better texts, which leaves n - j places for its own list
-        ranked = sorted((losses[k], k) for k in chosen.tolist() if losses[k] < math.inf)
+        ranked = sorted((float(losses[k]), k) for k in chosen.tolist() if losses[k] < math.inf)
         lists = sorted((k, self.n_best(words[k], n - j)) for j, (_, k) in enumerate(ranked))
-        place = {k: sum([len(f[0]) for f in found[:k]]) for k, _ in lists}
-        others = _combined(lists, n)[1:]
-        return ids, score, [(score - loss, [(place[k], len(found[k][0]), o) for k, o in changes]) for loss, changes in others]
+        place = {k: (int(before[k] - before[0]), int(before[k + 1] - before[k])) for k, _ in lists}
+        return [(score - loss, [(*place[k], own) for k, own in changes]) for loss, changes in _combined(lists, n)[1:]]
 
     def decode(self, ids) -> str:
         """The text of ids; inverse of ``encode``."""
@@ -276,14 +390,17 @@ def encode_documents(docs: DataFrame, segmenter: Segmenter, n: int = BEST) -> Da
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(1).slice(at, 200).to_pylist()]
-                found = [segmenter.encode(t, n) for t in texts]
-                others = [[{"score": s, "changes": [{"at": a, "tokens": m, "ids": i} for a, m, i in c]} for s, c in f[2]] for f in found]
+            _, offsets = byte_buffer(batch.column(1))
+            for first, last in row_groups(offsets, SLICE_BYTES):
+                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                ids, cuts, scores, found = segmenter.encode_many(texts, n)
+                others = [[{"score": s, "changes": [{"at": a, "tokens": m, "ids": i} for a, m, i in c]} for s, c in f] for f in found]
+                listed = ids.tolist()
+                restored = [segmenter.decode(listed[a:b]) == t for a, b, t in zip(cuts[:-1], cuts[1:], texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 200), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.float64()),
-                     pa.array(others, alternatives), pa.array([segmenter.decode(f[0]) == t for f, t in zip(found, texts)])],
+                    [batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)), pa.array(scores, pa.float64()),
+                     pa.array(others, alternatives), pa.array(restored)],
                     names=["doc_id", "ids", "score", "alternatives", "restored"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, " + _SCHEMA)

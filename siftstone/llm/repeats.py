@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, prefix_hashes, row_groups, signed, sliding_min, span_hashes, stored,
-    text_bytes, text_pieces,
+    text_bytes, text_pieces, tidy,
 )
 
 LENGTH = 100
@@ -102,7 +102,7 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["gram", "covered", "doc", "part", "start", "suffixes"],
                 )
 
-    return docs.select("doc", "part", "text").mapInArrow(run, _ROWS)
+    return docs.select("doc", "part", "text").mapInArrow(tidy(run), _ROWS)
 
 
 def sorted_anchors(rows: DataFrame, buckets: int) -> DataFrame:
@@ -127,7 +127,7 @@ def sorted_anchors(rows: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (gram, doc, part, start, suffixes, repeats)], names=["gram", "doc", "part", "start", "suffixes", "repeats"])
 
     dealt = rows.repartitionByRange(buckets, "gram", "covered", "doc", "part", "start")
-    return dealt.mapInArrow(run, "gram long, doc long, part long, start long, suffixes long, repeats boolean")
+    return dealt.mapInArrow(tidy(run), "gram long, doc long, part long, start long, suffixes long, repeats boolean")
 
 
 def with_bytes(texts: DataFrame, apart: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -149,7 +149,7 @@ def with_bytes(texts: DataFrame, apart: DataFrame, length: int = LENGTH) -> Data
                 held = pa.Array.from_buffers(pa.binary(), len(size[k]), [None, cuts, pa.py_buffer(taken.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(gram[k]), pa.array(doc[row[k]]), pa.array(part[row[k]]), pa.array(start[k]), held], names=["gram", "doc", "part", "start", "bytes"])
 
-    return texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(run, "gram long, doc long, part long, start long, bytes binary")
+    return texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(tidy(run), "gram long, doc long, part long, start long, bytes binary")
 
 
 def taken_apart(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
@@ -183,7 +183,7 @@ def taken_apart(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (*columns[:5], sure)], names=["one", "two", "doc", "part", "start", "sure"])
 
     dealt = rows.repartitionByRange(buckets, "gram", "doc", "part", "start")
-    return dealt.mapInArrow(run, "one long, two long, doc long, part long, start long, sure boolean")
+    return dealt.mapInArrow(tidy(run), "one long, two long, doc long, part long, start long, sure boolean")
 
 
 def across_boundaries(firsts: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _kept(text, spans):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import backwards, compile_rules, parse
-from .common import byte_buffer
+from .common import byte_buffer, tidy
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(fields))], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, spans array<struct<kind string, start long, end long>>"
+        tidy(run), "doc_id long, spans array<struct<kind string, start long, end long>>"
     )
 
 
@@ -174,5 +174,5 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
             arrays[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    out = docs.mapInArrow(run, text_schema)
+    out = docs.mapInArrow(tidy(run), text_schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, word_pieces, words
+from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, tidy, word_pieces, words
 
 #: Tokens and stems are counted in 2 ** BUCKET_BITS hash buckets, which bounds the model that travels to the tasks (8 MB).
 BUCKET_BITS = 20
@@ -93,7 +93,7 @@ def token_counts(docs: DataFrame, known: DataFrame) -> np.ndarray:
     size = 1 << BUCKET_BITS
 
     def run(batches):
-        total = np.zeros((len(_KINDS), size), np.int64)
+        total = np.zeros((len(_KINDS), size), np.int32)
         for batch in batches:
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             for first, last, row, bucket in _groups(batch.column(0)):
@@ -103,11 +103,11 @@ def token_counts(docs: DataFrame, known: DataFrame) -> np.ndarray:
                     if k:
                         total[k] += np.bincount(bucket[own == k].ravel(), minlength=size)
         there = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(t[there]) for t in total]], names=["bucket", *_KINDS])
+        yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(t[there], pa.int64()) for t in total]], names=["bucket", *_KINDS])
 
     kind = F.when(F.col("toxic") == 1, 1).otherwise(2) + F.when(_aside(F.col("doc_id")), 2).otherwise(0)
     joined = docs.join(F.broadcast(known), "doc_id", "left").select("text", F.when(F.col("toxic").isNull(), 0).otherwise(kind).alias("kind"))
-    counts = joined.mapInArrow(run, "bucket long, " + ", ".join(f"{k} long" for k in _KINDS))
+    counts = joined.mapInArrow(tidy(run), "bucket long, " + ", ".join(f"{k} long" for k in _KINDS))
     out = np.zeros((len(_KINDS), size))
     for part in counts.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in _KINDS]).toArrow().to_batches():
         out[:, part.column(0).to_numpy()] = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]])
@@ -137,7 +137,8 @@ class Model:
         for k in (*range(1, bucket.shape[1]), 0):
             own = bucket[:, k]
             share = np.clip(share, LEAST_SHARE, 1 - LEAST_SHARE)
-            share = (self.toxic[own] + self.prior[own] * share) / (self.seen[own] + self.prior[own])
+            prior = self.prior[own].astype(float)
+            share = (self.toxic[own] + prior * share) / (self.seen[own] + prior)
         return np.log(share / (1 - share)) - math.log(self.share / (1 - self.share)) - DRIFT
 
     def passages(self, column):
@@ -196,7 +197,8 @@ def learned(everything: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> Mod
         share = 0.5
     else:
         share = float(toxic.sum() / (toxic.sum() + other.sum()))
-    return Model(toxic, toxic + other, prior, share)
+    # single precision is enough in transit; shares are reckoned in double
+    return Model(*(a.astype(np.float32) for a in (toxic, toxic + other, prior)), share)
 
 
 def chance(scores: np.ndarray, tokens: float) -> tuple[float, float]:
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     # of at most LABELLED_ROWS documents, whose passages are few, come some numbers each
     aside = docs.join(F.broadcast(known.filter(_aside(F.col("doc_id")))), "doc_id").select("text", "toxic")
-    rows = aside.mapInArrow(passages, "toxic int, n long, scores array<double>, top double").toPandas()
+    rows = aside.mapInArrow(tidy(passages), "toxic int, n long, scores array<double>, top double").toPandas()
     y = rows["toxic"].to_numpy(float)
     if not (y.any() and (y == 0).any()):
         return final
@@ -263,7 +265,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = model.probability(model.evidence(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
@@ -275,7 +277,7 @@ def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
             score = model.probability(model.evidence(batch.column(where)))
             yield pa.RecordBatch.from_arrays(batch.columns, names=columns).filter(pa.array(score < below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
+from .common import tidy
 LEAST = 1_000
 SEGMENT = 1 << 15
 CHUNK = 1 << 12
@@ -118,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
                     records += _records(page_id, url, html, refers_to, f"urn:record:{part}:{number}", segment)
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
-    records = with_roles(pages, least).mapInArrow(run, "value string")
+    records = with_roles(pages, least).mapInArrow(tidy(run), "value string")
     records.write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
@@ -190,7 +191,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _SEGMENTS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), _SEGMENTS)
 
 
 def _batch(rows):
@@ -242,7 +243,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PAGES.split(", ")])
 
-    return reassembled(read_records(spark, path)).mapInArrow(run, _PAGES)
+    return reassembled(read_records(spark, path)).mapInArrow(tidy(run), _PAGES)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes, text_pieces
+from .common import argmin_right, byte_buffer, byte_codes, flat_ranges, gram_hashes, keyed_documents, mixed, partitions_for, row_groups, signed, text_bytes, text_pieces, tidy
 
 GRAM, WINDOW = 20, 40
 SEED = 11
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, hashes array<long>, positions array<int>"
+        tidy(run), "doc_id long, hashes array<long>, positions array<int>"
     )
 
 
@@ -170,7 +170,7 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
             raise RuntimeError("a range of documents has no successor")
 
     return with_neighbours(docs).select("doc_id", "part", "text", "guest").mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
 
