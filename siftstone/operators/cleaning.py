@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import blank_to_null, kind_of, number, parse_datetime, parse_number, ref, strip
 from ..session import cut_lineage
@@ -14,6 +16,8 @@ from .quantiles import column_quantiles
 from .statistics import top_value_counts
 
 HIGH_NULL_RATE = 0.80
+#: Up to here every whole number is a double.
+EXACT_DOUBLE = 2**53
 TO_NUMBER = ("currency", "numeric_measure", "numeric_count", "percentage")
 TO_DATETIME = ("date", "datetime")
 STEP = "step_no int, action string, `column` string, rows_affected long, description string"
@@ -67,14 +71,14 @@ def null_counts(df: DataFrame) -> dict[str, int]:
     return {None: row[0], **dict(zip(df.columns, row[1:]))}
 
 
-def fill_values(df: DataFrame, columns) -> dict[str, object]:
+def fill_values(df: DataFrame, columns, rows: int | None = None) -> dict[str, object]:
     """Median of numeric and most frequent value of text columns; one row per column is read."""
     kinds = {c: kind_of(df.schema[c].dataType) for c in columns}
     numeric = [c for c, k in kinds.items() if k == "numeric"]
     text = [c for c, k in kinds.items() if k == "text"]
     fill: dict[str, object] = {}
     if numeric:
-        for r in column_quantiles(df, numeric, [0.5]).collect():
+        for r in column_quantiles(df, numeric, [0.5], rows=rows).collect():
             if r.q and r.q[0] is not None:
                 fill[r.column_name] = r.q[0]
     if text:
@@ -84,17 +88,34 @@ def fill_values(df: DataFrame, columns) -> dict[str, object]:
 
 
 def impute(df: DataFrame, fill: Mapping[str, object]) -> DataFrame:
+    """Nulls (and NaN) filled in the column's own type, so that present values stay as they are.
+
+    A fractional fill turns a column of whole numbers into doubles, unless it holds values that a double cannot: then the fill is
+    rounded.
+    """
+    numeric = [c for c in fill if kind_of(df.schema[c].dataType) == "numeric"]
+    fractional = [c for c in numeric if _is_whole(df, c) and float(fill[c]) != math.floor(float(fill[c]))]
+    wide = {}
+    if fractional:
+        beyond = df.agg(*[F.max(F.abs(ref(c).cast("decimal(38,0)"))).alias(str(i)) for i, c in enumerate(fractional)]).first()
+        wide = {c: (beyond[i] or 0) <= EXACT_DOUBLE for i, c in enumerate(fractional)}
     filled = {}
     for c, v in fill.items():
         dtype = df.schema[c].dataType
-        if kind_of(dtype) == "numeric":
-            # a median of whole numbers may be fractional, so filled columns become double
+        if c not in numeric:
+            filled[c] = F.coalesce(ref(c), F.lit(v))
+        elif wide.get(c):
             filled[c] = F.coalesce(number(df, c), F.lit(v).cast("double"))
         else:
-            filled[c] = F.coalesce(ref(c), F.lit(v))
+            own = F.round(F.lit(float(v))).cast(dtype) if _is_whole(df, c) else F.lit(float(v)).cast(dtype)
+            filled[c] = F.when(number(df, c).isNull(), own).otherwise(ref(c))
     return df.withColumns(filled) if filled else df
 
 
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
 def clip_bounds(df: DataFrame, columns, multiplier: float = 3.0) -> dict[str, tuple[float, float]]:
     out = {}
     for r in column_quantiles(df, columns, [0.25, 0.75]).collect():
@@ -105,11 +126,15 @@ def clip_bounds(df: DataFrame, columns, multiplier: float = 3.0) -> dict[str, tu
 
 
 def clip(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Values beyond the bounds move to the bound; nulls stay null."""
+    """Values beyond the bounds move to the bound, all others stay as they are; nulls stay null.
+
+    The column keeps its type: whole numbers move to the whole number next inside the bound.
+    """
     clipped = {}
     for c, (low, high) in bounds.items():
-        v = number(df, c)
-        clipped[c] = F.when(v < low, F.lit(low)).when(v > high, F.lit(high)).otherwise(v)
+        v, dtype = number(df, c), df.schema[c].dataType
+        first, last = (math.ceil(low), math.floor(high)) if _is_whole(df, c) else (low, high)
+        clipped[c] = F.when(v < low, F.lit(first).cast(dtype)).when(v > high, F.lit(last).cast(dtype)).otherwise(ref(c))
     return df.withColumns(clipped) if clipped else df
 
 
@@ -127,9 +152,9 @@ def clean(
     """Strip, deduplicate, coerce, drop or fill, optionally clip.
 
     The null rate of the raw column decides what is dropped or filled; medians
-    and modes are taken after deduplication and coercion. The deduplicated rows
-    are written once to the checkpoint folder, as counts, medians and the
-    result all read them.
+    and modes are taken after deduplication and coercion. Deduplicated rows are written once
+    to the checkpoint folder, as counts, medians and the result all read them; without
+    deduplication nothing is written.
     """
     steps: list[tuple] = []
 
@@ -141,8 +166,7 @@ def clean(
     rows_before = before[None]
     work = strip_text(raw)
     if dedup:
-        work = drop_duplicates(work)
-    work = cut_lineage(work)
+        work = cut_lineage(drop_duplicates(work))
     stripped_nulls = null_counts(work)
     rows_after = stripped_nulls[None]
     if dedup and rows_before > rows_after:
@@ -171,8 +195,9 @@ def clean(
             if rate[c] > 0 and kind_of(work.schema[c].dataType) in ("numeric", "text")
         ]
         if gaps:
-            missing = null_counts(work)
-            fill = fill_values(work, gaps)
+            # only parsing adds nulls to those counted after stripping
+            missing = null_counts(work) if coerce and texts else stripped_nulls
+            fill = fill_values(work, gaps, rows_after)
             for c in gaps:
                 if c in fill:
                     numeric = kind_of(work.schema[c].dataType) == "numeric"

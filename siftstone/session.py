@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,8 @@ def build_session(app_name: str = "siftstone", master: str | None = None, **conf
     """A session with AQE, skew-join handling, UTC and Arrow on, and no web UI.
 
     On a cluster leave ``master`` unset; shuffle partitions start high and AQE
-    coalesces them, so nothing here depends on the size of the data.
+    coalesces them, so nothing here depends on the size of the data. The package is
+    sent to the workers, where functions that run in Python import it.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -26,19 +29,40 @@ def build_session(app_name: str = "siftstone", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # reliable checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # recording the call site of every column expression costs more than building the plan
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers (once a session)."""
+    context = spark.sparkContext
+    if getattr(context, "_siftstone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siftstone-package-")) / "siftstone.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._siftstone_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session may do without: it gets a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="siftstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

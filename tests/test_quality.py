@@ -242,3 +242,24 @@ def test_one_long_conversation(spark):
     rows = out.where("conv_id = 0").orderBy("position").collect()
     assert len(rows) == 6 and "3996 turns" in rows[0].text
     assert out.count() == 6 + 1000
+
+
+def test_whole_numbers_beyond_doubles_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big, 1), (2, None, 2), (3, big + 2, None), (4, big + 4, 5)], "id long, v long, w long")
+    out = cleaning.clean(df, {}, dedup=False)
+    assert dict(out.data.dtypes) == {"id": "bigint", "v": "bigint", "w": "bigint"}
+    rows = {r.id: (r.v, r.w) for r in out.data.collect()}
+    assert rows[1][0] == big and rows[3][0] == big + 2 and rows[3][1] == 2 and rows[2][0] is not None
+    half = cleaning.impute(spark.createDataFrame([(1,), (None,), (4,)], "v int"), {"v": 2.5})
+    assert sorted(r.v for r in half.collect()) == [1.0, 2.5, 4.0]
+    money = cleaning.impute(spark.sql("SELECT CAST(v AS decimal(20,2)) AS v FROM VALUES ('90071992547409.93'), (null) t(v)"), {"v": 1.5})
+    assert dict(money.dtypes) == {"v": "decimal(20,2)"} and {str(r.v) for r in money.collect()} == {"90071992547409.93", "1.50"}
+
+
+def test_clipping_keeps_types_and_values(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big,), (-5,), (None,), (big + 10**6,)], "v long")
+    out = cleaning.clip(df, {"v": (-1.5, float(big + 1000))})
+    assert dict(out.dtypes) == {"v": "bigint"}
+    assert sorted(r.v for r in out.where("v IS NOT NULL").collect())[:2] == [-1, big]
