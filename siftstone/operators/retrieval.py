@@ -1,28 +1,28 @@
 """Text chunks, vector and keyword retrieval.
 
-Queries are the small side of every search. Their size is checked: up to
-QUERY_BLOCK queries are broadcast at a time, and a larger set is searched block
-by block. Each Arrow batch of chunks keeps its own best rows per query, so only
-candidates move; no (query, chunk) pairs are formed as rows.
+Both searches cut the corpus into slices that a task holds, and let the queries, a DataFrame to the end, stream past each
+slice. Only the best rows per query and slice move on; no (query, chunk) pairs are formed as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import ref
 from ..session import cut_lineage
 
-QUERY_BLOCK = 1024
 DEFAULT_TOP_K = 8
+#: Numbers of the corpus that one task holds, and queries that it scores at a time.
+SLICE_NUMBERS = 4_000_000
+QUERY_ROWS = 256
+#: Up to so many query words they are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_WORDS = 200_000
 
 
 # ── vectors ─────────────────────────────────────────────────────────────────
@@ -38,16 +38,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.when(size == 0, 0.0).otherwise(dot / size), 6)
 
 
-def _blocks(queries: DataFrame, columns: Sequence[str], size: int = QUERY_BLOCK) -> Iterator[list]:
-    """Query rows in blocks of bounded size, streamed partition by partition."""
-    block = []
-    for row in queries.select(*columns).toLocalIterator():
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+def _sliced(items: DataFrame, queries: DataFrame, slices: int) -> DataFrame:
+    """Items dealt out by a hash of their id, and all queries with every slice; per slice the items come first."""
+    slice_ = F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int")
+    own = items.select(slice_.alias("slice"), F.lit(0).alias("is_query"), *items.columns, *_missing(queries, items))
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("is_query"), *queries.columns, *_missing(items, queries)
+    )
+    return own.unionByName(asked).repartition(slices, "slice").sortWithinPartitions("slice", "is_query")
+
+
+def _missing(there: DataFrame, here: DataFrame) -> list[Column]:
+    return [F.lit(None).cast(f.dataType).alias(f.name) for f in there.schema if f.name not in here.columns]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], hold, score) -> Iterator[pa.RecordBatch]:
+    """Goes through the slices of a task: ``hold`` gets the items of one, ``score`` that and a few queries at a time."""
+    current, held, ready = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if mark[a] // 2 != current:
+                current, held, ready = mark[a] // 2, [], None
+            if mark[a] % 2 == 0:
+                held.append(batch.slice(a, b - a))
+                continue
+            if held:
+                ready, held = hold(pa.Table.from_batches(held).combine_chunks()), []
+            if ready is not None:
+                for at in range(a, b, QUERY_ROWS):
+                    yield from score(ready, batch.slice(at, min(QUERY_ROWS, b - at)))
+
+
+def _tops(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, item) of the best finite scores of each row; ties at the cut stay, the final ranking decides by id."""
+    rows, places = [], []
+    for i, row in enumerate(scores):
+        usable = np.flatnonzero(np.isfinite(row))
+        if len(usable) > top_k:
+            cut = np.partition(row[usable], -top_k)[-top_k]
+            usable = usable[row[usable] >= cut - 1e-9]
+        rows.append(np.full(len(usable), i))
+        places.append(usable)
+    return np.concatenate(rows), np.concatenate(places)
+
+
+def _ranked(found: DataFrame, top_k: int, item: str, digits: int) -> DataFrame:
+    """One ranking per query; scores are compared at 1e-9 so that ties go to the smaller id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), item)
+    return (
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+        .select("query_id", item, F.round("score", digits).alias("score"), "rank")
+    )
 
 
 def search_vectors(
@@ -64,99 +109,46 @@ def search_vectors(
 ) -> DataFrame:
     """Exact cosine top-k per query: ``query_id, chunk_id, score, rank``.
 
-    ``scope`` names a column (the dataset) that query and chunk must share.
+    ``scope`` names a column (the dataset) that query and chunk must share. Null vectors, vectors with null parts and
+    those whose length is not the chunks' most frequent one take no part.
     """
     data = chunks.where(F.col("chunk_type") == chunk_type) if chunk_type else chunks
-    scope_column = ref(scope).cast("string") if scope else F.lit("")
-    data = data.select(ref(chunk_id).alias("chunk_id"), scope_column.alias("scope"), ref(vector).alias("v"))
-    wanted = queries.select(
-        ref(query_id).alias("query_id"), scope_column.alias("scope"), ref(query_vector).alias("v")
-    )
-    id_type = data.schema["chunk_id"].dataType.simpleString()
-    query_type = wanted.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    found = None
-    for block in _blocks(wanted, ["query_id", "scope", "v"]):
-        matrix = np.array([r.v for r in block], dtype=float)
-        norms = np.linalg.norm(matrix, axis=1)
-        matrix = matrix / np.where(norms == 0, 1.0, norms)[:, None]
-        ids = [r.query_id for r in block]
-        scopes = np.array([r.scope or "" for r in block])
-        model = chunks.sparkSession.sparkContext.broadcast((ids, scopes, matrix))
-
-        def best(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            ids, scopes, matrix = model.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                v = np.stack(batch["v"].to_numpy()).astype(float)
-                size = np.linalg.norm(v, axis=1)
-                scores = (v / np.where(size == 0, 1.0, size)[:, None]) @ matrix.T
-                own = batch["scope"].fillna("").to_numpy()
-                allowed = own[:, None] == scopes[None, :]
-                if threshold is not None:
-                    allowed &= scores >= threshold
-                scores = np.where(allowed, scores, -np.inf)
-                chunk_ids = batch["chunk_id"].to_numpy()
-                parts = []
-                for j, query in enumerate(ids):
-                    column = scores[:, j]
-                    usable = np.flatnonzero(np.isfinite(column))
-                    if len(usable) > top_k:
-                        # ties at the cut stay, the final ranking decides by id
-                        cut = np.partition(column[usable], -top_k)[-top_k]
-                        usable = usable[column[usable] >= cut - 1e-9]
-                    parts.append(
-                        pd.DataFrame({"query_id": [query] * len(usable), "chunk_id": chunk_ids[usable],
-                                      "score": column[usable]})
-                    )
-                yield pd.concat(parts)
-
-        part = data.mapInPandas(best, schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
-    # one ranking for all queries; scores are compared at 1e-9 so that ties go to the smaller id
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
-        .select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
-    )
-
-
-def search_vectors_lsh(
-    chunks: DataFrame,
-    queries: DataFrame,
-    top_k: int = DEFAULT_TOP_K,
-    threshold: float = 0.72,
-    chunk_id: str = "id",
-    vector: str = "embedding",
-    query_id: str = "query_id",
-    tables: int = 8,
-    bucket_length: float = 0.5,
-) -> DataFrame:
-    """Approximate search through random-projection hashing, re-scored exactly.
+    scope_column = F.coalesce(ref(scope).cast("string"), F.lit("")) if scope else F.lit("")
+
+    def whole(df, id_column, name, column):
+        v = ref(column).cast("array<double>").alias("v")
+        return df.select(ref(id_column).alias(name), scope_column.alias("scope"), v).where(F.forall("v", lambda x: x.isNotNull()))
+
+    items, asked = whole(data, chunk_id, "item_id", vector), whole(queries, query_id, "query_id", query_vector)
+    usual = items.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    size, rows = (usual.d, usual.n) if usual else (0, 0)
+    items, asked = items.where(F.size("v") == size), asked.where(F.size("v") == size)
+    placed = _sliced(items, asked, max(1, math.ceil(rows * size / SLICE_NUMBERS)))
+    at = {c: i for i, c in enumerate(placed.columns)}
+
+    def unit(column) -> np.ndarray:
+        v = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        v = v.flatten().to_numpy().reshape(len(v), size)
+        norms = np.linalg.norm(v, axis=1)
+        return v / np.where(norms == 0, 1.0, norms)[:, None]
+
+    def hold(table):
+        return table["item_id"].combine_chunks(), table["scope"].to_numpy(), unit(table["v"])
+
+    def score(ready, batch):
+        ids, scopes, vectors = ready
+        scores = unit(batch.column(at["v"])) @ vectors.T
+        allowed = batch.column(at["scope"]).to_numpy(zero_copy_only=False)[:, None] == scopes[None, :]
+        if threshold is not None:
+            allowed &= scores >= threshold
+        row, place = _tops(np.where(allowed, scores, -np.inf), top_k)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(at["query_id"]).take(pa.array(row)), ids.take(pa.array(place)), pa.array(scores[row, place])], names=["query_id", "chunk_id", "score"]
+        )
 
-    On unit vectors the cosine threshold is a distance: d² = 2 − 2·cos. Rows
-    that share no hash bucket are missed; the default search has no such gap.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="raw", outputCol="unit", p=2.0)
-    data = unit.transform(chunks.select(ref(chunk_id).alias("chunk_id"), array_to_vector(ref(vector)).alias("raw")))
-    wanted = unit.transform(queries.select(ref(query_id).alias("query_id"), array_to_vector(ref(vector)).alias("raw")))
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=42
-    ).fit(data)
-    pairs = model.approxSimilarityJoin(wanted, data, float(np.sqrt(2 - 2 * threshold)) + 1e-9, "distance")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"),
-    ).where(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    kinds = [placed.schema[c].dataType.simpleString() for c in ("query_id", "item_id")]
+    found = placed.mapInArrow(lambda batches: _streamed(batches, hold, score), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return _ranked(found, top_k, "chunk_id", 6)
 
 
 def query_terms(text: Column) -> Column:
@@ -234,10 +226,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
 
 
-def _sql_text(word: str) -> str:
-    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def bm25(
     documents: DataFrame,
     queries: DataFrame,
@@ -251,82 +239,57 @@ def bm25(
 ) -> DataFrame:
     """BM25 top-k per query: ``query_id, document_id, score, rank``.
 
-    idf = ln(1 + (N − df + 0.5) / (df + 0.5)), average length from the data.
-    The texts are split once per block of queries into length and matching
-    words, which are written to the checkpoint folder; counts, document
-    frequencies and scores read that. Scores are formed batch by batch where
-    the documents are, so a word of most documents moves no postings.
+    idf = ln(1 + (N − df + 0.5) / (df + 0.5)), average length from the data. The texts are split once into their
+    length and the counts of the words that queries ask for, which are written to the checkpoint folder;
+    document frequencies and scores read that. Query words are broadcast up to a checked number, else joined by a shuffle.
     """
-    words = documents.select(ref(document_id).alias("document_id"), tokens(ref(text)).alias("t"))
-    wanted = queries.select(ref(query_id).alias("query_id"), query_terms(ref(query_text)).alias("terms"))
-    id_type = words.schema["document_id"].dataType.simpleString()
-    query_type = wanted.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, document_id {id_type}, score double"
-    query_arrow = to_arrow_type(wanted.schema["query_id"].dataType)
-    found, size = None, None
-    for block in _blocks(wanted, ["query_id", "terms"], QUERY_BLOCK // 2):
-        vocabulary = sorted({t for r in block for t in r.terms})
-        if not vocabulary:
-            continue
-        # words travel as 64-bit hashes; membership itself is decided on the words
-        known = documents.sparkSession.createDataFrame([(t,) for t in vocabulary], "t string")
-        hashes = {r.t: r.h for r in known.select("t", F.xxhash64("t").alias("h")).collect()}
-        if len(set(hashes.values())) < len(vocabulary):
-            raise ValueError("two query words share a hash")
-        hits = F.expr(f"transform(filter(t, w -> w IN ({', '.join(map(_sql_text, vocabulary))})), w -> xxhash64(w))")
-        matched = cut_lineage(words.select("document_id", F.size("t").alias("length"), hits.alias("hits")))
-        if size is None:
-            size = matched.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
-        order = np.array(sorted(hashes.values()), dtype=np.int64)
-        position = {t: int(np.searchsorted(order, h)) for t, h in hashes.items()}
-        matched = matched.where(F.size("hits") > 0)
-        frequency = (
-            matched.select(F.explode(F.array_distinct("hits")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-        )
-        idf = np.zeros(len(order))
-        for r in frequency.collect():  # one row per query word
-            idf[np.searchsorted(order, r.h)] = np.log(1 + (size.n - r.df + 0.5) / (r.df + 0.5))
-        ids = [r.query_id for r in block]
-        incidence = np.zeros((len(order), len(ids)))
-        for j, r in enumerate(block):
-            incidence[[position[t] for t in r.terms], j] = 1.0
-        model = documents.sparkSession.sparkContext.broadcast((ids, incidence, order, idf, float(size.avg)))
-
-        def best(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            ids, incidence, order, idf, average = model.value
-            rows = max(1, 4_000_000 // len(order))
-            for batch in batches:
-                for at in range(0, batch.num_rows, rows):
-                    piece = batch.slice(at, rows)
-                    documents_here, length, lists = piece.column(0), piece.column(1).to_numpy(), piece.column(2)
-                    owner = np.repeat(np.arange(piece.num_rows), pc.list_value_length(lists).to_numpy())
-                    term = np.searchsorted(order, lists.flatten().to_numpy())
-                    counts = np.bincount(owner * len(order) + term, minlength=piece.num_rows * len(order))
-                    counts = counts.reshape(piece.num_rows, len(order)).astype(float)
-                    norm = k1 * (1 - b + b * length / average)
-                    scores = (idf * counts * (k1 + 1) / (counts + norm[:, None])) @ incidence
-                    for j, query in enumerate(ids):
-                        column = scores[:, j]
-                        usable = np.flatnonzero(column > 0)
-                        if len(usable) > top_k:
-                            cut = np.partition(column[usable], -top_k)[-top_k]
-                            usable = usable[column[usable] >= cut - 1e-9]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([query] * len(usable)).cast(query_arrow), documents_here.take(pa.array(usable)),
-                             pa.array(column[usable])],
-                            names=["query_id", "document_id", "score"],
-                        )
-
-        part = matched.mapInArrow(best, schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return documents.sparkSession.createDataFrame([], schema + ", rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "document_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_k)
-        .select("query_id", "document_id", F.round("score", 4).alias("score"), "rank")
+    asked = queries.select(ref(query_id).alias("query_id"), F.explode(query_terms(ref(query_text))).alias("t"))
+    vocabulary = cut_lineage(asked.select("t").distinct())
+    wanted = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary
+    words = documents.select(ref(document_id).alias("item_id"), tokens(ref(text)).alias("w"))
+    named = words.select("item_id", F.size("w").alias("length"), F.explode_outer("w").alias("t"))
+    # a document without any of the words keeps one row, for its length
+    counted = named.join(wanted.withColumn("known", F.lit(True)), "t", "left").groupBy("item_id", "length", F.when(F.col("known"), F.col("t")).alias("t")).agg(F.count("*").alias("tf"))
+    matched = cut_lineage(
+        counted.groupBy("item_id", "length").agg(F.collect_list(F.when(F.col("t").isNotNull(), F.struct(F.xxhash64("t").alias("h"), "t", F.col("tf").cast("double").alias("tf")))).alias("p"))
     )
+    size = matched.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), F.sum(F.size("p")).alias("postings")).first()
+    frequency = matched.select(F.explode("p.t").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    weighed = asked.join(frequency, "t").select("query_id", F.xxhash64("t").alias("h"), F.log1p((size.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    terms = weighed.groupBy("query_id").agg(F.collect_list("h").alias("h"), F.collect_list("idf").alias("idf"))
+    items = matched.where(F.size("p") > 0).select("item_id", "length", F.col("p.h").alias("words"), F.col("p.tf").alias("tf"))
+    average = float(size.avg or 1)
+    placed = _sliced(items, terms, max(1, math.ceil((size.postings or 0) / SLICE_NUMBERS)))
+    at = {c: i for i, c in enumerate(placed.columns)}
+
+    def hold(table):
+        ids, lists = table["item_id"].combine_chunks(), table["words"].combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        h, tf = lists.flatten().to_numpy(), table["tf"].combine_chunks().flatten().to_numpy()
+        norm = k1 * (1 - b + b * table["length"].to_numpy() / average)
+        order = np.argsort(h, kind="stable")
+        return ids, h[order], owner[order], (tf * (k1 + 1) / (tf + norm[owner]))[order]
+
+    def score(ready, batch):
+        ids, h, owner, part = ready
+        rows, places, values = [], [], []
+        for i, (hashes, idf) in enumerate(zip(batch.column(at["h"]).to_pylist(), batch.column(at["idf"]).to_pylist())):
+            low, high = np.searchsorted(h, hashes, "left"), np.searchsorted(h, hashes, "right")
+            total = np.zeros(len(ids))
+            for a, z, w in zip(low, high, idf):
+                total[owner[a:z]] += w * part[a:z]
+            _, place = _tops(np.where(total > 0, total, -np.inf)[None, :], top_k)
+            rows.append(np.full(len(place), i))
+            places.append(place)
+            values.append(total[place])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(at["query_id"]).take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(values))],
+            names=["query_id", "document_id", "score"],
+        )
+
+    kinds = [placed.schema[c].dataType.simpleString() for c in ("query_id", "item_id")]
+    found = placed.mapInArrow(lambda batches: _streamed(batches, hold, score), f"query_id {kinds[0]}, document_id {kinds[1]}, score double")
+    return _ranked(found, top_k, "document_id", 4)
 
 
 def hit_rate(results: DataFrame, truth: DataFrame, item: str = "document_id", k: int = 3) -> DataFrame:

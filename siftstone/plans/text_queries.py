@@ -465,10 +465,6 @@ m AS (SELECT query_id % 3 AS query_id, chunk_id, AVG(ROUND(score, 6)) AS score F
 SELECT query_id, chunk_id, ROUND(score, 4) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id
   ORDER BY ROUND(score, 9) DESC, chunk_id) AS rank FROM m) WHERE rank <= 8""",
 )
-register(
-    "vector_search_hashed",
-    lambda spark, sf: retrieval.search_vectors_lsh(_chunks(spark, sf), _centroids(spark, sf), 8, 0.3),
-)
 register(
     "cosine_to_centroid",
     lambda spark, sf: table(spark, sf, "embeddings").join(
@@ -500,15 +496,29 @@ register(
 )
 
 
+_LEAD = 8
+
+
 def _passages(spark, sf):
-    """Truth for the keyword search: the best document by the share of the query's terms it contains."""
-    return _bm25(spark, sf).where("rank = 2").select("query_id", "document_id")
+    """Truth for the keyword search: the documents in which the first words of a benchmark item stand one after another."""
+    words = retrieval.tokens(F.col("text"))
+    lead = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(F.size("w") >= _LEAD)
+    lead = lead.select("query_id", F.array_join(F.slice("w", 1, _LEAD), " ").alias("run"))
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), words.alias("w")).where(F.size("w") >= _LEAD)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - _LEAD + 1), lambda i: F.array_join(F.slice("w", i, _LEAD), " "))
+    return documents.select("document_id", F.explode(runs).alias("run")).join(lead, "run").select("query_id", "document_id").distinct()
 
 
 register(
     "search_hit_rate",
     lambda spark, sf: retrieval.hit_rate(_bm25(spark, sf), _passages(spark, sf)),
-    _BM25 + " SELECT COUNT(DISTINCT query_id) AS queries, COUNT(*) AS hits, ROUND(COUNT(*) / COUNT(DISTINCT query_id), 4) AS hit_rate FROM r WHERE rank = 2",
+    _BM25 + f""", w AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(LOWER(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark),
+e AS (SELECT query_id, ' ' || array_to_string(w[1:{_LEAD}], ' ') || ' ' AS run FROM w WHERE LEN(w) >= {_LEAD}),
+x AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS body FROM d),
+truth AS (SELECT query_id, doc_id AS document_id FROM e JOIN x ON contains(body, run)),
+hit AS (SELECT DISTINCT query_id FROM truth JOIN r USING (query_id, document_id) WHERE rank <= 3)
+SELECT (SELECT COUNT(DISTINCT query_id) FROM truth) AS queries, (SELECT COUNT(*) FROM hit) AS hits,
+  ROUND((SELECT COUNT(*) FROM hit) / (SELECT COUNT(DISTINCT query_id) FROM truth), 4) AS hit_rate""",
 )
 
 

@@ -10,12 +10,10 @@ def vectors(spark, n, seed, name):
     return spark.createDataFrame(rows, f"{name} int, embedding array<double>")
 
 
-def test_search_equals_brute_force_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+def test_search_equals_brute_force_over_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 7)
+    monkeypatch.setattr(retrieval, "SLICE_NUMBERS", 400)
     chunks, queries = vectors(spark, 300, 1, "id"), vectors(spark, 20, 2, "query_id")
-    monkeypatch.setattr(
-        retrieval, "_blocks", lambda q, c, size=7, original=retrieval._blocks: original(q, c, 7)
-    )
     got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.search_vectors(chunks, queries, 5, None).collect()}
     a = np.array([r.embedding for r in chunks.orderBy("id").collect()])
     b = np.array([r.embedding for r in queries.orderBy("query_id").collect()])
@@ -36,11 +34,23 @@ def test_zero_vector(spark):
     assert [r[0] for r in df.select(retrieval.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
 
 
-def test_hashed_search_returns_only_true_neighbours(spark):
-    chunks, queries = vectors(spark, 300, 1, "id"), vectors(spark, 5, 2, "query_id")
-    exact = {(r.query_id, r.chunk_id): r.score for r in retrieval.search_vectors(chunks, queries, 300, 0.5).collect()}
-    hashed = retrieval.search_vectors_lsh(chunks, queries, 300, 0.5).collect()
-    assert hashed and all(abs(exact[r.query_id, r.chunk_id] - r.score) < 1e-5 for r in hashed)
+def test_null_and_odd_vectors_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0, 2.0, 3.0]), (5, [0.9, 0.1])]
+    chunks, queries = spark.createDataFrame(rows, "id int, embedding array<double>"), spark.createDataFrame(rows, "query_id int, embedding array<double>")
+    found = {(r.query_id, r.chunk_id) for r in retrieval.search_vectors(chunks, queries, 5).collect()}
+    assert found == {(1, 1), (1, 5), (5, 1), (5, 5)}
+    assert retrieval.search_vectors(chunks.where("id = 0"), queries, 5).count() == 0
+    assert retrieval.search_vectors(chunks, queries.where("query_id = 0"), 5).count() == 0
+
+
+def test_keyword_search_over_several_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common {'rare' if i == 5 else 'plain'} text {i}") for i in range(60)] + [(60, None), (61, "")], "doc_id int, text string")
+    queries = spark.createDataFrame([("a", "rare word5"), ("b", "common"), ("c", "absent"), ("d", None)], "query_id string, text string")
+    whole = sorted(map(tuple, retrieval.bm25(docs, queries).collect()))
+    monkeypatch.setattr(retrieval, "SLICE_NUMBERS", 20)
+    monkeypatch.setattr(retrieval, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, retrieval.bm25(docs, queries).collect())) == whole
+    assert ("a", 5) in {r[:2] for r in whole} and {r[0] for r in whole} == {"a", "b"}
 
 
 def test_context_stops_at_the_first_block_that_does_not_fit(spark):
