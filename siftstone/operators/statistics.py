@@ -155,6 +155,22 @@ def counted_moments(values: DataFrame, quartiles: DataFrame | None = None, multi
     )
 
 
+def narrow_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name`` with counts, sum, bounds and moments from one scan; only one partial row per task is shuffled."""
+    aggregates, structs = [], []
+    for i, column in enumerate(columns):
+        v = number(df, column)
+        named = {
+            "non_null_count": F.count(v), "total_sum": F.sum(v), "min_val": F.min(v), "max_val": F.max(v),
+            "zero_count": F.count_if(v == 0), "negative_count": F.count_if(v < 0), "mean": F.avg(v),
+            "var_pop": F.var_pop(v), "stddev_pop": F.stddev_pop(v), "var_samp": F.var_samp(v), "stddev_samp": F.stddev_samp(v),
+            "g1": F.skewness(v), "g2": F.kurtosis(v),
+        }
+        aggregates += [expr.alias(f"{name}__{i}") for name, expr in named.items()]
+        structs.append(F.struct(F.lit(column).alias("column_name"), *[F.col(f"{name}__{i}").alias(name) for name in named]))
+    return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+
+
 def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, total_rows, non_null_count, mean, stddev…, min_val, max_val`` from one scan
     without a shuffle of values."""
@@ -198,8 +214,8 @@ def column_statistics(
 ) -> DataFrame:
     """Descriptive statistics, one row per numeric column.
 
-    Exact: everything is derived from the value-count relation of the columns.
-    ``approx``: one scan with sketches for percentiles and distinct counts, no
+    Exact: counts, sums and moments come from one scan, distinct counts and percentiles
+    from the value-count relation of the columns. ``approx``: one scan with sketches for percentiles and distinct counts, no
     shuffle of values.
     """
     columns = [columns] if isinstance(columns, str) else list(columns or numeric_columns(df))
@@ -209,7 +225,8 @@ def column_statistics(
         quantiles = column_quantiles(df, columns, SHARES, approx=True)
     else:
         values = numeric_values(value_relation(df, columns))
-        base = counted_moments(values)
+        distinct = values.groupBy("column_name").agg(F.count("*").alias("unique_count"))
+        base = narrow_moments(df, columns).join(F.broadcast(distinct), "column_name", "left")
         quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, columns, rows))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     q = F.col("q")
