@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import ref
+from ..functions.columns import join_null_safe, ref
 from .ordered import cut_points, previous_rows, with_bucket
 
 # USD per million tokens (input, output), and the price of an unlisted model.
@@ -214,8 +214,6 @@ def requests_over_limit(
     home = F.floor(F.col("second") / slice_seconds)
     reach = F.floor((F.col("second") + window_seconds - 1) / slice_seconds)
     spread = counted.withColumn("_home", home).withColumn("_slice", F.explode(F.sequence(home, reach)))
-    from pyspark.sql import Window
-
     trailing = Window.partitionBy("client", "_slice").orderBy("second").rangeBetween(-(window_seconds - 1), 0)
     return (
         spread.withColumn("in_window", F.sum("requests").over(trailing))
@@ -225,12 +223,25 @@ def requests_over_limit(
     )
 
 
-def idle_window_counts(requests: DataFrame, client: str, ts: str, idle: str = "60 seconds") -> DataFrame:
-    """The other counter: a window that ends only after an idle minute (a session window)."""
-    return requests.groupBy(
-        ref(client).alias("client"), F.session_window(ref(ts).cast("timestamp"), idle).alias("w")
-    ).agg(F.count("*").alias("requests")).select(
-        "client", F.unix_seconds("w.start").alias("start_second"), "requests"
+def idle_window_counts(requests: DataFrame, client: str, ts: str, idle: str = "60 seconds", slice_seconds: int = 3600) -> DataFrame:
+    """The other counter: a window that ends only after an idle minute (a session window).
+
+    Requests are counted per client and instant; gaps and sessions are found per (client, slice of an hour), and one row per slice
+    carries the running session on, so one busy client spreads over many tasks.
+    """
+    at = F.unix_micros(ref(ts).cast("timestamp"))
+    counted = requests.where(ref(ts).isNotNull()).groupBy(ref(client).alias("client"), at.alias("at")).agg(F.count("*").alias("n"))
+    slice_ = F.floor(F.col("at") / (slice_seconds * 1_000_000))
+    gaps = previous_rows(counted, ["client"], slice_, ["at"], ["at"])
+    gap = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {idle})")
+    opens = F.col("prev_at").isNull() | (F.col("at") - F.col("prev_at") >= gap)
+    marked = gaps.withColumns({"_slice": slice_, "_opened": F.when(opens, F.col("at"))})
+    inside = Window.partitionBy("client", "_slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("client").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("client", "_slice").agg(F.max("_opened").alias("_opened")).select("client", "_slice", F.max("_opened").over(earlier).alias("_carried"))
+    joined = join_null_safe(marked.withColumn("_own", F.max("_opened").over(inside)), carried, ["client", "_slice"], "left")
+    return joined.groupBy("client", F.coalesce("_own", "_carried").alias("start")).agg(F.sum("n").alias("requests")).select(
+        "client", F.floor(F.col("start") / 1_000_000).alias("start_second"), "requests"
     )
 
 

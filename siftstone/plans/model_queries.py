@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecasting, learning, operations
+from ..operators import forecasting, forest, learning, operations
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -52,6 +52,54 @@ register(
 register("boosted_tree_forecast", lambda spark, sf: forecasting.tree_forecast(_events_daily(spark, sf), 30))
 
 
+# ── what must hold for the models, as rows ──────────────────────────────────
+
+_MODELS = ("seasonal_trend", "seasonal_ar")
+register(
+    "forecast_calendar",
+    lambda spark, sf: forecasting.model_forecast(_orders_daily(spark, sf), _MODELS[0]).unionAll(
+        forecasting.model_forecast(_orders_daily(spark, sf), _MODELS[1])
+    ).select(
+        "series", "model", F.date_format("ts", "yyyy-MM-dd").alias("ts"),
+        ((F.col("lower") <= F.col("value")) & (F.col("value") <= F.col("upper"))).alias("in_band"),
+    ),
+    f"""SELECT o_orderpriority AS series, model, STRFTIME(MAX(o_orderdate)::DATE + k::INTEGER, '%Y-%m-%d') AS ts, TRUE AS in_band
+FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model), (SELECT UNNEST(range(1, 31)) AS k) GROUP BY o_orderpriority, model, k""",
+)
+register(
+    "backtest_errors",
+    lambda spark, sf: forecasting.backtest(_orders_daily(spark, sf)).select("series", "model", F.col("mape").between(0, 100).alias("below_100_percent")),
+    f"SELECT DISTINCT o_orderpriority AS series, model, TRUE AS below_100_percent FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model)",
+)
+
+
+def _planted(spark, sf):
+    """Orders of which every 3,000th lies far off in both columns."""
+    far = F.col("o_orderkey") % 3000 == 0
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.when(far, 1e9).otherwise(F.col("o_totalprice")).alias("price"), F.when(far, 1e9).otherwise(F.col("o_custkey")).alias("customer")
+    )
+
+
+register(
+    "isolation_forest_planted",
+    lambda spark, sf: forest.isolation_forest(_planted(spark, sf), ["o_orderkey"], ["price", "customer"], contamination=0.02).agg(
+        F.count_if(F.col("o_orderkey") % 3000 == 0).alias("planted_found"),
+        (F.count("*") <= F.lit(0.02 * table(spark, sf, "orders").count() + 1)).alias("within_share"),
+    ),
+    "SELECT COUNT(*) FILTER (WHERE o_orderkey % 3000 = 0) AS planted_found, TRUE AS within_share FROM orders",
+)
+register(
+    "learned_checks",
+    lambda spark, sf: learning.learn(
+        table(spark, sf, "part"), "p_retailprice",
+        {"p_size": "numeric_count", "p_brand": "categorical", "p_type": "categorical", "p_partkey": "numeric_count"},
+        ["p_partkey"], trees=20,
+    ).importances.agg(F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative")),
+    "SELECT 1.0 AS total, COUNT(*) > 0 AS none_negative FROM part",
+)
+
+
 def _labelled(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", "quality", "n_chars", "lang",
