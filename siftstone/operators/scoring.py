@@ -199,6 +199,9 @@ def ordered_recommendations(df: DataFrame) -> DataFrame:
 
 # ── report tables ───────────────────────────────────────────────────────────
 
+#: Caps of the printed report.
+PRINTED = {"max_kpis": 10, "max_anomalies": 200, "max_series": 3, "max_points": 365}
+
 
 def report_tables(
     kpis: DataFrame,
@@ -207,22 +210,28 @@ def report_tables(
     recommendations: DataFrame,
     forecasts: DataFrame | None = None,
     key: Sequence[str] = (),
+    max_kpis: int | None = None,
+    max_anomalies: int | None = None,
+    max_series: int | None = None,
+    max_points: int | None = None,
 ) -> dict[str, DataFrame]:
-    """The sections of a report with the columns and caps of the printed one:
-    10 KPIs, 200 anomalies, 3 forecasts of at most 365 points."""
+    """The sections of a report with the columns of the printed one, whole where no cap is given (``PRINTED`` has its caps)."""
     from ..functions.columns import severity_rank
 
+    def first(df, n):
+        return df if n is None else df.limit(n)
+
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("position"))
     out = {
-        "kpis": kpis.orderBy("position").limit(10).select(F.col("name").alias("metric"), "value"),
+        "kpis": first(kpis.orderBy("position"), max_kpis).select(F.col("name").alias("metric"), "value"),
         "insights": insights.select(
             number.alias("number"), "headline", F.upper("business_impact").alias("business_impact"),
             F.concat(F.format_number(F.col("confidence") * 100, 0), F.lit("%")).alias("confidence"),
             F.concat_ws(", ", "source_columns").alias("source_columns"),
         ),
-        "anomalies": anomalies.orderBy(
+        "anomalies": first(anomalies.orderBy(
             severity_rank(F.col("severity")), F.desc("confidence"), "column", *[ref(k) for k in key]
-        ).limit(200).select(
+        ), max_anomalies).select(
             "column", F.col("anomaly_type").alias("type"), F.upper("severity").alias("severity"),
             F.concat_ws(",", *[ref(k).cast("string") for k in key]).alias("row_key"), "value", "description",
         ),
@@ -231,12 +240,13 @@ def report_tables(
         ),
     }
     if forecasts is not None:
-        series = forecasts.select("series").distinct().orderBy("series").limit(3)
-        order = Window.partitionBy("series").orderBy("ts")
+        if max_series is not None:
+            series = forecasts.select("series").distinct().orderBy("series").limit(max_series)
+            forecasts = forecasts.join(series, "series", "left_semi")
+        if max_points is not None:
+            order = Window.partitionBy("series").orderBy("ts")
+            forecasts = forecasts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_points)
         out["forecasts"] = (
-            forecasts.join(F.broadcast(series), "series", "left_semi")
-            .withColumn("_r", F.row_number().over(order))
-            .where(F.col("_r") <= 365)
-            .select("series", F.col("ts").alias("date"), F.col("value").alias("forecast"), "lower", "upper")
+            forecasts.select("series", F.col("ts").alias("date"), F.col("value").alias("forecast"), "lower", "upper")
         )
     return out

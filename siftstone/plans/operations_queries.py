@@ -42,15 +42,16 @@ register(
 SELECT complete AS completeness, consistent AS consistency, v AS validity, 1.0 AS timeliness, overall AS overall_score,
   {_GRADE.format(x="overall")} AS grade FROM o""",
 )
-register(
-    "kpi_cards",
-    lambda spark, sf: scoring.kpi_cards(_profile(spark, sf)).drop("position"),
-    f"""WITH {_FACTS} SELECT 'Total Rows' AS name, n::DOUBLE AS value, 'rows' AS unit, 'integer' AS format, NULL AS benchmark FROM s
+_KPI_SQL = f"""WITH {_FACTS} SELECT 'Total Rows' AS name, n::DOUBLE AS value, 'rows' AS unit, 'integer' AS format, NULL AS benchmark FROM s
 UNION ALL SELECT 'Columns', 5, 'cols', 'integer', NULL FROM s
 UNION ALL SELECT 'Completeness', ROUND(complete * 100, 1), '%', 'percent', 95.0 FROM s
 UNION ALL SELECT 'Consistency', ROUND(consistent * 100, 1), '%', 'percent', 95.0 FROM s
 UNION ALL SELECT 'Duplicate Rows', dup, 'rows', 'integer', NULL FROM s
-UNION ALL SELECT 'Avg total_price', ROUND(price, 2), '', 'currency', NULL FROM s""",
+UNION ALL SELECT 'Avg total_price', ROUND(price, 2), '', 'currency', NULL FROM s"""
+register(
+    "kpi_cards",
+    lambda spark, sf: scoring.kpi_cards(_profile(spark, sf)).drop("position"),
+    _KPI_SQL,
 )
 register(
     "basic_insights",
@@ -138,7 +139,7 @@ def _reports(spark, sf):
     )
 
 
-register("report_kpis", lambda spark, sf: _reports(spark, sf)["kpis"])
+register("report_kpis", lambda spark, sf: _reports(spark, sf)["kpis"], f"SELECT name AS metric, value FROM ({_KPI_SQL})")
 register(
     "report_insights",
     lambda spark, sf: _reports(spark, sf)["insights"],
@@ -148,6 +149,19 @@ UNION ALL SELECT 3, format('{{:,}}', dup) || ' duplicate rows detected', 'MEDIUM
 SELECT *, '100%' AS confidence, '' AS source_columns FROM i""",
 )
 register("report_anomalies", lambda spark, sf: _reports(spark, sf)["anomalies"])
+register(
+    "report_anomaly_rows",
+    lambda spark, sf: _reports(spark, sf)["anomalies"].drop("value", "description"),
+    """WITH v AS (SELECT event_id, value / 3.7::DOUBLE AS value FROM events),
+m AS (SELECT MEDIAN(value) AS med, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v),
+d AS (SELECT MEDIAN(ABS(value - med)) AS mad FROM v, m),
+z AS (SELECT event_id, ABS(0.6745 * (value - med) / mad) AS z FROM v, m, d),
+a AS (SELECT event_id, 'ZScore' AS method, CASE WHEN z > 5 THEN 'high' ELSE 'medium' END AS severity, ROUND(z / (z + 3.0), 4) AS confidence FROM z WHERE z >= 3.0
+  UNION ALL SELECT event_id, 'IQR', 'low', 0.7 FROM v, m WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY confidence DESC,
+  CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, method DESC) AS k FROM a)
+SELECT 'value' AS "column", 'outlier' AS type, UPPER(severity) AS severity, event_id::VARCHAR AS row_key FROM r WHERE k = 1""",
+)
 
 # ── usage, metrics, lifecycle ───────────────────────────────────────────────
 
