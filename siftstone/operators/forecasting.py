@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..session import cut_lineage
+from .profiling import forecast_candidates
 from .relations import mape
 from .timeseries import period_totals
 
@@ -244,13 +245,28 @@ def forecast(
 ) -> DataFrame:
     """The best model's forecast for every series: ``series, model, ts, value, lower, upper, mape``.
 
-    The daily totals are written once, as every model and the backtest read them.
+    A series for which none of the models gives a forecast falls back to boosted trees, if it is long enough for them. The daily totals are written once, as every model and the backtest read them.
     """
     series = cut_lineage(daily_series(df, ts, value, by, func))
     every = None
     for model in models:
         part = tree_forecast(series, horizon) if model == "boosted_trees" else model_forecast(series, model, horizon)
         every = part if every is None else every.unionAll(part)
+    left = series.join(every.select("series").distinct(), "series", "left_anti")
+    left = left.join(left.groupBy("series").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_TREE_POINTS).select("series"), "series", "left_semi")
+    if "boosted_trees" not in models and not left.isEmpty():
+        every = every.unionAll(tree_forecast(left, horizon))
     scores = backtest(series, models, horizon)
     offered = every.select("series", "model").distinct().join(scores, ["series", "model"], "left")
     return every.join(best_models(offered), ["series", "model"])
+
+
+def viable_forecast(df: DataFrame, columns: DataFrame, horizon: int = 30) -> tuple[DataFrame, str]:
+    """The forecast of the first target over the first date column of a profiled table, and the verdict.
+
+    ``columns`` are profile rows with semantic types. Where the table is no candidate, there are no rows and the verdict tells why.
+    """
+    found = forecast_candidates(columns).first()
+    if not found.viable:
+        return df.sparkSession.createDataFrame([], FORECAST + ", mape double"), found.reason
+    return forecast(df, found.date_columns[0], found.target_columns[0], horizon=horizon), found.reason

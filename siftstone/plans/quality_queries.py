@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, cleaning, forest, profiling
+from ..operators import anomaly, cleaning, forest, profiling, selecting
 from .tables import rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -467,3 +467,32 @@ register(
     ),
     "SELECT c_custkey, c_acctbal AS balance FROM customer",
 )
+
+
+# ── samples and ranking ─────────────────────────────────────────────────────
+
+register(
+    "sampled_rows",
+    lambda spark, sf: selecting.sample_rows(table(spark, sf, "part"), n=40).join(table(spark, sf, "part").select("p_partkey"), "p_partkey", "left_semi").agg(
+        F.count("*").alias("n"), F.count_distinct("p_partkey").alias("different")
+    ),
+    "SELECT LEAST(40, COUNT(*)) AS n, LEAST(40, COUNT(*)) AS different FROM part",
+)
+register(
+    "sample_value_counts",
+    lambda spark, sf: profiling.profile_table(table(spark, sf, "part")).columns.select("column_name", F.size("sample_values").alias("samples")),
+    union(
+        f"SELECT '{c}' AS column_name, LEAST(5, COUNT(DISTINCT {c}))::INTEGER AS samples FROM part"
+        for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    ),
+)
+register(
+    "ranked_anomalies",
+    lambda spark, sf: anomaly.rank_anomalies(
+        anomaly.modified_zscore(table(spark, sf, "events"), ["event_id"], "value"), ["event_id"], 40
+    ).select("event_id", "severity", "confidence"),
+    """WITH m AS (SELECT MEDIAN(value) AS med FROM events), d AS (SELECT MEDIAN(ABS(value - med)) AS mad FROM events, m),
+z AS (SELECT event_id, ABS(0.6745 * (value - med) / mad) AS z FROM events, m, d),
+r AS (SELECT event_id, CASE WHEN z > 5 THEN 'high' ELSE 'medium' END AS severity, ROUND(z / (z + 3.0), 4) AS confidence FROM z WHERE z >= 3.0)
+SELECT * FROM r ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, confidence DESC, event_id LIMIT 40""",
+)

@@ -7,6 +7,7 @@ return what the sink holds; their checkpoints lie in the shared folder.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,6 +180,27 @@ def consume(
     )
 
 
+def retried(
+    handler: Callable[[DataFrame, int], None], dead_letters: str, attempts: int = 3, wait_seconds: float = 1.0
+) -> Callable[[DataFrame, int], None]:
+    """A handler that is tried ``attempts`` times, waiting twice as long each time; then the batch is set aside and the stream goes on.
+
+    Set-aside rows go to the Parquet folder ``dead_letters`` with the batch number and the error; a batch that is run again replaces its own.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        for attempt in range(1, attempts + 1):
+            try:
+                return handler(batch, number)
+            except Exception as exc:  # noqa: BLE001
+                error = f"{type(exc).__name__}: {str(exc)[:500]}"
+                if attempt < attempts:
+                    time.sleep(wait_seconds * 2 ** (attempt - 1))
+        batch.withColumn("error", F.lit(error)).write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={number}")
+
+    return handle
+
+
 def newest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
     """Last written row per key over all batches."""
     rows = spark.read.parquet(f"{folder}/data")

@@ -62,3 +62,19 @@ def test_classification_and_regression(spark):
     assert row.task == "classification" and row.cv_score_mean > 0.95 and hit.importances.first().feature == "amount"
     fit = learning.learn(df.drop("label"), "score", types, ["id"], trees=10)
     assert fit.summary.first().task == "regression" and fit.summary.first().cv_score_mean > 0.9
+
+
+def test_viability_and_fallback(spark, monkeypatch):
+    from siftstone.operators import profiling
+
+    days = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), (100 + F.col("id") % 7 + F.col("id") / 2).alias("sales_amount"))
+    profile = profiling.types_of(profiling.profile_table(days).columns)
+    assert profile["day"] == "date"
+    found, reason = forecasting.viable_forecast(days, profiling.profile_table(days).columns)
+    assert found.count() == 30 and reason == "Forecasting conditions met"
+    flat = days.select("sales_amount")
+    none, reason = forecasting.viable_forecast(flat, profiling.profile_table(flat).columns)
+    assert none.count() == 0 and reason == "No datetime columns detected"
+    monkeypatch.setattr(forecasting, "_predict", lambda *a: None)
+    fallen = forecasting.forecast(days, "day", "sales_amount", horizon=3)
+    assert {r.model for r in fallen.collect()} == {"boosted_trees"} and fallen.count() == 3

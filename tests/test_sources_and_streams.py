@@ -158,3 +158,21 @@ def test_mixed_layouts_are_an_error(spark, tmp_path):
     path = _written(tmp_path, "b.csv", b"id;name\n1;a\n2;b\n3;c\n")
     with pytest.raises(ValueError, match="different layouts"):
         files.load_dataset(spark, path)
+
+
+def test_retry_then_dead_letter(spark, tmp_path):
+    calls = []
+
+    def fails_twice(batch, number):
+        calls.append(number)
+        if number == 1 or len(calls) < 3:
+            raise RuntimeError("not now")
+
+    handle = streams.retried(fails_twice, str(tmp_path / "dead"), 3, 0.0)
+    handle(spark.range(4), 0)
+    assert calls == [0, 0, 0] and not (tmp_path / "dead").exists()
+    handle(spark.range(4), 1)
+    rows = spark.read.parquet(str(tmp_path / "dead")).collect()
+    assert len(rows) == 4 and {r.batch for r in rows} == {1} and "not now" in rows[0].error
+    handle(spark.range(4), 1)
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 4
