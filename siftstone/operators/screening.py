@@ -310,76 +310,45 @@ def claim_issues(df: DataFrame, keys: Sequence[str], text: str, profile: DataFra
     ``profile`` needs ``column_name, min_val, max_val`` and optionally
     ``ordinal``. A range claim belongs to the first column (by ordinal, then
     name) whose name contains, or is contained in, the claim's subject. The
-    profile has one row per column of a table, so it is broadcast.
+    profile, one row per column of a table, is a scalar of the plan; the texts are
+    read and split once, and each sentence lists its issues.
     """
-    parts = sentences(df, keys, text)
-    named = [ref(k) for k in keys]
+    sentence = F.col("sentence")
 
-    def issues(kind, severity, expected, actual):
-        return [
-            F.lit(kind).alias("issue_type"),
-            F.lit(severity).alias("severity"),
-            expected.alias("expected"),
-            actual.alias("actual"),
-        ]
-
-    percent = parts.select(
-        *named, "sentence_no", "sentence",
-        F.explode(F.regexp_extract_all("sentence", F.lit(_java(PERCENT_CLAIM)), F.lit(1))).alias("raw"),
-    ).withColumn("claimed", _as_number(F.col("raw")))
-    out = percent.where((F.col("claimed") < 0) | (F.col("claimed") > 100)).select(
-        *named, "sentence_no", "sentence",
-        *issues("percentage", "high", F.lit("0% to 100%"), F.concat(F.col("raw"), F.lit("%"))),
-    )
-    negative = parts.select(
-        *named, "sentence_no", "sentence",
-        F.explode(
-            F.regexp_extract_all("sentence", F.lit(_java(NEGATIVE_COUNT_CLAIM, ignore_case=True)), F.lit(1))
-        ).alias("raw"),
-    ).select(
-        *named, "sentence_no", "sentence",
-        *issues("count", "medium", F.lit("non-negative integer"), F.concat(F.lit("-"), F.col("raw"))),
-    )
-    out = out.unionAll(negative)
+    def issue(kind, severity, expected, actual):
+        return F.struct(
+            F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), expected.alias("expected"), actual.alias("actual")
+        )
+
+    shares = F.regexp_extract_all(sentence, F.lit(_java(PERCENT_CLAIM)), F.lit(1))
+    impossible = F.filter(shares, lambda raw: (_as_number(raw) < 0) | (_as_number(raw) > 100))
+    counts = F.regexp_extract_all(sentence, F.lit(_java(NEGATIVE_COUNT_CLAIM, ignore_case=True)), F.lit(1))
+    found = [
+        F.transform(impossible, lambda raw: issue("percentage", "high", F.lit("0% to 100%"), F.concat(raw, F.lit("%")))),
+        F.transform(counts, lambda raw: issue("count", "medium", F.lit("non-negative integer"), F.concat(F.lit("-"), raw))),
+    ]
     if profile is not None:
-        lowered = F.lower("sentence")
-        claim = F.arrays_zip(
+        ordinal = F.col("ordinal") if "ordinal" in profile.columns else F.lit(0)
+        row = F.struct(ordinal.alias("ordinal"), "column_name", F.lower("column_name").alias("name"), "min_val", "max_val")
+        known = profile.agg(F.sort_array(F.collect_list(row))).scalar()
+        lowered = F.lower(sentence)
+        claims = F.arrays_zip(
             F.regexp_extract_all(lowered, F.lit(_java(RANGE_CLAIM)), F.lit(1)).alias("subject"),
             F.regexp_extract_all(lowered, F.lit(_java(RANGE_CLAIM)), F.lit(2)).alias("raw"),
         )
-        claims = parts.select(
-            *named, "sentence_no", "sentence", F.posexplode(claim).alias("claim_no", "c")
-        ).select(
-            *named, "sentence_no", "sentence", "claim_no",
-            F.trim(F.col("c.subject")).alias("subject"), F.col("c.raw").alias("raw"),
-            _as_number(F.col("c.raw")).alias("claimed"),
-        ).where(F.col("claimed").isNotNull())
-        ranks = profile.columns
-        columns = profile.select(
-            (F.col("ordinal") if "ordinal" in ranks else F.lit(0)).alias("_ordinal"),
-            F.col("column_name").alias("_column"), "min_val", "max_val",
-        )
-        name = F.lower("_column")
-        matched = claims.join(
-            F.broadcast(columns),
-            F.contains(F.col("subject"), name) | F.contains(name, F.col("subject")),
-        )
-        first = matched.groupBy(*named, "sentence_no", "sentence", "claim_no", "raw", "claimed").agg(
-            F.min_by(
-                F.struct("min_val", "max_val"), F.struct(F.col("_ordinal"), F.col("_column"))
-            ).alias("b")
-        )
-        low, high = F.col("b.min_val"), F.col("b.max_val")
-        ranged = first.where((F.col("claimed") < low) | (F.col("claimed") > high)).select(
-            *named, "sentence_no", "sentence",
-            *issues(
-                "range", "high",
-                F.concat(F.lit("between "), low.cast("string"), F.lit(" and "), high.cast("string")),
-                F.col("raw"),
-            ),
-        )
-        out = out.unionAll(ranged)
-    return out
+
+        def bounded(claim):
+            subject = F.trim(claim["subject"])
+            own = F.get(F.filter(F.col("_known"), lambda c: F.contains(subject, c["name"]) | F.contains(c["name"], subject)), F.lit(0))
+            return F.struct(claim["raw"].alias("raw"), own["min_val"].alias("low"), own["max_val"].alias("high"))
+
+        beyond = F.filter(F.transform(claims, bounded), lambda c: (_as_number(c["raw"]) < c["low"]) | (_as_number(c["raw"]) > c["high"]))
+        between = lambda c: F.concat(F.lit("between "), c["low"].cast("string"), F.lit(" and "), c["high"].cast("string"))
+        found.append(F.transform(beyond, lambda c: issue("range", "high", between(c), c["raw"])))
+    parts = sentences(df, keys, text)
+    parts = parts if profile is None else parts.withColumn("_known", known)
+    listed = parts.select(*[ref(k) for k in keys], "sentence_no", "sentence", F.explode(F.concat(*found)).alias("_i"))
+    return listed.select(*[ref(k) for k in keys], "sentence_no", "sentence", "_i.*")
 
 
 def validate_responses(
