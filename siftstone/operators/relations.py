@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import distributions as dist
 from ..functions.columns import moment, number, numeric_columns, ref
+from ..session import cut_lineage
 from .ordered import cut_points, running_total
 
 # Pairs per aggregate: keeps the generated code and the aggregation buffer small.
@@ -94,21 +95,22 @@ def correlations(
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of complete rows through MLlib (distributed ranking)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """Rank correlation of complete rows.
 
+    Equal values share their mean rank, which follows from running counts of the distinct values; a value of any frequency is
+    one row there. The rows then look their ranks up column by column.
+    """
     columns = sorted(columns)
-    data = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
-    vectors = VectorAssembler(inputCols=data.columns, outputCol="v").transform(data)
-    matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
-    n = data.count()
-    rows = [
-        (columns[i], columns[j], float(matrix[i, j]), n)
-        for i, j in combinations(range(len(columns)), 2)
-        if not math.isnan(matrix[i, j])
-    ]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double, n long")
+    ranked = cut_lineage(df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]).dropna())
+    rows = ranked.count()
+    for i in range(len(columns)):
+        counted = ranked.groupBy(f"v{i}").agg(F.count("*").alias("n"))
+        before = running_total(counted, f"v{i}", "n", cut_points(ranked, f"v{i}", rows))
+        ranks = before.select(F.col(f"v{i}").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{i:04d}"))
+        ranked = ranked.join(ranks, F.col(f"v{i}") == F.col("_v")).drop("_v", f"v{i}")
+    found = pair_correlations(ranked, [f"r{i:04d}" for i in range(len(columns))])
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"r{i:04d}", c)])
+    return found.withColumns({"col_a": names[F.col("col_a")], "col_b": names[F.col("col_b")]})
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_abs_r: float = 0.3) -> DataFrame:
