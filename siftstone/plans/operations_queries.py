@@ -458,6 +458,11 @@ register(
     lambda spark, sf: streams.run_latest_status(spark, sf),
     f"""WITH {_STATUS} SELECT dataset_id, ARG_MAX(status, (ts, event_id)) AS status FROM st GROUP BY 1""",
 )
+register(
+    "stream_two_consumers",
+    lambda spark, sf: streams.run_two_consumers(spark, sf).groupBy("consumer", "event_type").agg(F.count_distinct("event_id").alias("events")),
+    "SELECT consumer, event_type, COUNT(*) AS events FROM events, (SELECT UNNEST(['notify', 'index']) AS consumer) GROUP BY ALL",
+)
 register(
     "stream_deduplicated",
     lambda spark, sf: streams.run_deduplicated(spark, sf).groupBy("event_type").agg(F.count("*").alias("events")),

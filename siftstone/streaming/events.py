@@ -95,11 +95,20 @@ def metrics_windows(runs: DataFrame, ts: str, window: str = "15 seconds", delay:
     )
 
 
-def latest_status(events: DataFrame, entity: str, status: str, ts: str, event_id: str) -> DataFrame:
-    """Last status per entity; late events cannot overwrite newer ones."""
-    return events.groupBy(ref(entity)).agg(
-        F.max_by(ref(status), F.struct(ref(ts), ref(event_id))).alias("status"), F.max(ref(ts)).alias("updated_at")
-    )
+def latest_status(events: DataFrame, entity: str, status: str, ts: str, event_id: str, keep: str = "7 days") -> DataFrame:
+    """Last status per entity and period of ``keep``: ``entity, status, at``. Late events cannot overwrite newer ones.
+
+    State older than ``keep`` is dropped by the watermark; a reader takes the row with the largest ``at`` per entity (``last_of``).
+    """
+    at = F.struct(ref(ts).alias("ts"), ref(event_id).alias("event_id"))
+    return events.withWatermark(ts, keep).groupBy(ref(entity), F.window(ref(ts), keep).alias("_period")).agg(
+        F.max_by(ref(status), at).alias("status"), F.max(at).alias("at")
+    ).drop("_period")
+
+
+def last_of(rows: DataFrame, entity: str) -> DataFrame:
+    """The newest of the written status rows per entity."""
+    return rows.groupBy(ref(entity)).agg(F.max_by("status", "at").alias("status"), F.max("at.ts").alias("updated_at"))
 
 
 def progress_of(stage: Column) -> Column:
@@ -171,13 +180,14 @@ def update_to(stream: DataFrame, folder: str, mode: str = "update") -> None:
 
 
 def consume(
-    stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None], folder: str, mode: str = "append"
+    stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None], folder: str, mode: str = "append", available_now: bool = False
 ):
-    """A named consumer with its own checkpoint. Two consumers of one source are two calls."""
-    return (
-        stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}")
-        .foreachBatch(handler).start()
-    )
+    """A named consumer with its own checkpoint. Two consumers of one source are two calls.
+
+    With ``available_now`` it ends when it has read what is there.
+    """
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").foreachBatch(handler)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def retried(
@@ -259,7 +269,24 @@ def run_latest_status(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = new_folder(spark, "stream-status")
     update_to(latest_status(events, "dataset_id", "status", "ts", "event_id"), out)
-    return newest(spark, out, ["dataset_id"]).select("dataset_id", "status")
+    return last_of(spark.read.parquet(f"{out}/data"), "dataset_id").select("dataset_id", "status")
+
+
+def run_two_consumers(spark: SparkSession, folder: str) -> DataFrame:
+    """Two consumers of the same events, each with all of them: ``consumer, event_id, event_type``."""
+    out = new_folder(spark, "stream-fan-out")
+
+    def writer(name):
+        def write(batch: DataFrame, number: int) -> None:
+            rows = batch.select(F.lit(name).alias("consumer"), "event_id", "event_type")
+            retried(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/data/consumer_name={name}/batch={n}"), f"{out}/dead")(rows, number)
+
+        return write
+
+    running = [consume(_events(spark, folder), f"{name}-{out.rsplit('-', 1)[-1]}", writer(name), out, available_now=True) for name in ("notify", "index")]
+    for query in running:
+        query.awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("consumer", "event_id", "event_type")
 
 
 def run_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
