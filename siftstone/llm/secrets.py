@@ -7,7 +7,6 @@ automaton of that rule finds the longest match. Per rule the matches are leftmos
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 

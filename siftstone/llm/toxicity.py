@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_buffer, byte_codes, gram_hashes, mixed, row_groups, tidy, word_pieces, words
 
-#: Tokens and stems are counted in 2 ** BUCKET_BITS hash buckets, which bounds the model that travels to the tasks (8 MB).
+#: Tokens and stems are counted in 2 ** BUCKET_BITS hash buckets, which bounds the model that travels to the tasks (12 MB).
 BUCKET_BITS = 20
 STEMS = (4, 5, 6)
 #: Most labelled documents that the model is fitted on; those with the smallest hash of their id are taken.
