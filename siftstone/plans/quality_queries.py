@@ -133,10 +133,6 @@ register(
 )
 
 
-def _customer_balance(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal")).alias("balance_amount"))
-
-
 register(
     "routed_anomalies",
     lambda spark, sf: anomaly.detect_anomalies(
