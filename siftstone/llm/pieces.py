@@ -179,15 +179,16 @@ class Segmenter:
         found = tuple([x for part in reversed(ids) for x in part]), best[size], best[size] - second[size]
         return found
 
-    def recall(self, word: str) -> tuple[tuple, float, float]:
-        """``solve``, remembered. When one store is full it becomes the old one, from which words still in use move to the new one."""
-        return self.keep(word, self.store.new.get(word) or self.store.old.get(word) or self.solve(word))
-
-    def keep(self, word, found):
+    def recall(self, words: list[str]) -> list[tuple]:
+        """``solve`` of distinct words, remembered. When one store is full it becomes the old one, from which words still in use move to the new one."""
         store = self.store
+        found = [store.new.get(w) or store.old.get(w) for w in words]
+        places = [k for k, f in enumerate(found) if f is None]
+        for k, f in zip(places, self.solve_many([words[k] for k in places])):
+            found[k] = f
         if len(store.new) >= REMEMBERED:
             store.old, store.new = store.new, {}
-        store.new[word] = found
+        store.new.update(zip(words, found))
         return found
 
     def _other(self, here, next_, best, second, last, i, c):
@@ -220,23 +221,28 @@ class Segmenter:
             self._table = classes, np.stack(rows).astype(np.min_scalar_type(len(row))), np.array(row), np.array(score), np.array(ids)
         return self._table
 
-    def solve_many(self, words: list[str]) -> None:
-        """``solve`` for many words at once, into the store: the same pass over places, each step for all words of a length together."""
-        classes = self._arrays()[0]
+    def solve_many(self, words: list[str]) -> list[tuple]:
+        """``solve`` for many words at once: the same pass over places, each step for all words of a length together."""
+        if not words:
+            return []
+        classes, out = self._arrays()[0], [None] * len(words)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(w) for w in words])
         starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         known = np.where(points < 1 << 16, classes[np.minimum(points, (1 << 16) - 1)], 0)
-        plain = np.logical_and.reduceat(known > 0, starts) & (sizes > 1) if len(words) else sizes > 1
+        plain = np.logical_and.reduceat(known > 0, starts) & (sizes > 1)
         for size in np.unique(sizes[plain]).tolist():
             chosen = np.flatnonzero(plain & (sizes == size))
             for at in range(0, len(chosen), 4_096):
                 few = chosen[at : at + 4_096]
-                self._solve_equal([words[k] for k in few.tolist()], known[starts[few][None, :] + np.arange(size)[:, None]])
+                places = few.tolist()
+                for k, f in zip(places, self._solve_equal([words[k] for k in places], known[starts[few][None, :] + np.arange(size)[:, None]])):
+                    out[k] = f
         for k in np.flatnonzero(~plain).tolist():
-            self.recall(words[k])
+            out[k] = self.solve(words[k])
+        return out
 
-    def _solve_equal(self, words: list[str], codes: np.ndarray) -> None:
+    def _solve_equal(self, words: list[str], codes: np.ndarray) -> list[tuple]:
         """Words of one length; ``codes`` has a row per place."""
         _, table, row, score, piece = self._arrays()
         size, n = codes.shape
@@ -279,8 +285,8 @@ class Segmenter:
             there = step > -2
             path[everyone[there], many[there] - 1 - k] = step[there]
         known = (path >= 0) | (np.arange(len(steps)) >= many[:, None])
-        for word, row, count, whole, top, other in zip(words, path.tolist(), many.tolist(), known.all(1).tolist(), best[size].tolist(), second[size].tolist()):
-            self.keep(word, (tuple(row[:count]), top, top - other) if whole else self.solve(word))
+        rows = zip(words, path.tolist(), many.tolist(), known.all(1).tolist(), best[size].tolist(), second[size].tolist())
+        return [(tuple(row[:count]), top, top - other) if whole else self.solve(word) for word, row, count, whole, top, other in rows]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best segmentations of one segment: (score, ids), best first."""
@@ -316,9 +322,7 @@ class Segmenter:
         """``encode`` of several texts: all ids one after another, the cuts between the texts, scores, and the next best segmentations."""
         words = [self.words(t) for t in texts]
         distinct = list(set().union(*words))
-        store = self.store
-        self.solve_many([w for w in distinct if w not in store.new and w not in store.old])
-        found = [self.recall(w) for w in distinct]
+        found = self.recall(distinct)
         number = dict(zip(distinct, range(len(distinct))))
         counts = np.array([len(w) for w in words])
         all_words = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
