@@ -14,7 +14,7 @@ from ..functions.columns import grade, is_temporal, kind_of, number, ref, row_fi
 from ..session import cut_lineage
 from .quantiles import counted_quantiles, shared_cuts
 from .statistics import (
-    SHARES, counted_moments, numeric_values, restore_values, spread_of_totals, value_relation,
+    SHARES, narrow_moments, numeric_values, restore_values, spread_of_totals, value_relation,
 )
 
 
@@ -97,12 +97,29 @@ def sample_values(df: DataFrame, counted: DataFrame, size: int = 5) -> DataFrame
     )
 
 
+def _counted_totals(relation: DataFrame) -> DataFrame:
+    return relation.groupBy("column_name").agg(
+        F.sum("n").alias("total"), F.count("*").alias("categories"), F.sum(F.col("n") * F.log2("n")).alias("nlogn")
+    )
+
+
+def _fences(df: DataFrame, quantiles: DataFrame, multiplier: float = 1.5) -> DataFrame:
+    """Fences of each column from its quartiles, and in one scan the values outside; one row per column is read."""
+    found = []
+    for r in quantiles.collect():
+        iqr = r.q[3] - r.q[1]
+        found.append((r.column_name, round(iqr, 6), round(r.q[1] - multiplier * iqr, 6), round(r.q[3] + multiplier * iqr, 6)))
+    outside = df.agg(F.lit(0), *[F.count_if((number(df, c) < low) | (number(df, c) > high)) for c, _, low, high in found]).first()
+    rows = [(*f, outside[i]) for i, f in enumerate(found, 1)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, iqr double, tukey_lower double, tukey_upper double, outlier_count_iqr long")
+
+
 def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
     """One row per column: completeness, distinct values, moments, percentiles,
     lengths, date range, entropy and sample values.
 
-    A narrow scan gives counts, lengths and ranges; everything else is read
-    from the value relation, which is written once to the checkpoint folder.
+    Narrow scans give counts, moments, lengths, ranges and values outside the fences; distinct counts, percentiles, entropy
+    and samples are read from the value relation, which is written once to the checkpoint folder.
     So is the result (one row per column), as scores, cards and chunks read it
     again. The joins match tables of one row per column.
     """
@@ -115,20 +132,10 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
         values = numeric_values(relations[0])
         quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, numeric, df.count()))
         quantiles = cut_lineage(quantiles.repartition(1))
-        quartiles = quantiles.select("column_name", F.array(F.col("q")[1], F.col("q")[3]).alias("q"))
-        spread = counted_moments(values, quartiles)
-        totals.append(
-            spread.select(
-                "column_name", F.col("non_null_count").alias("total"), F.col("unique_count").alias("categories"), "nlogn"
-            )
-        )
+        totals.append(_counted_totals(relations[0]))
+        spread = narrow_moments(df, numeric).join(F.broadcast(_fences(df, quantiles)), "column_name", "left")
     if others:
-        totals.append(
-            relations[-1].groupBy("column_name").agg(
-                F.sum("n").alias("total"), F.count("*").alias("categories"),
-                F.sum(F.col("n") * F.log2("n")).alias("nlogn"),
-            )
-        )
+        totals.append(_counted_totals(relations[-1]))
     all_totals = totals[0].unionAll(totals[1]) if len(totals) == 2 else totals[0]
     out = _wide(df).join(F.broadcast(spread_of_totals(all_totals, counted)), "column_name", "left")
     if samples:
