@@ -25,7 +25,7 @@ GROUP_BYTES = 1 << 18
 def tidy(run):
     """A function for ``mapInArrow`` that hands memory back when its partition is done, as workers live on.
 
-    Meanwhile the collector of reference cycles rests: these functions make none, and it would walk through large stores again and again.
+    Meanwhile the collector of reference cycles rests, as it would walk through large stores again and again; what little there is goes at the end.
     """
 
     @functools.wraps(run)
@@ -37,6 +37,7 @@ def tidy(run):
         finally:
             if collecting:
                 gc.enable()
+        gc.collect(0)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)

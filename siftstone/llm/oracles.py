@@ -36,4 +36,64 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM sized
 """
 
-ORACLES: dict[str, str] = {"op8_warc": _WARC, "op9_mixing": _MIXING}
+
+
+def _smoothed(k: int, side: str) -> str:
+    """Witten-Bell estimate of order ``k`` for one class, from that of the order below."""
+    lower = f"p{k - 1}_{side}" if k else "(1 / 256.0)"
+    count, total, kinds = (f"l{k}.{c}_{side}" for c in ("n", "t", "m"))
+    return f"CASE WHEN {total} > 0 THEN ({count} + {kinds} * {lower}) / ({total} + {kinds}) ELSE {lower} END AS p{k}_{side}"
+
+
+def _url_filter() -> str:
+    levels = "\n".join(
+        f", o{k} AS (SELECT o.*, {_smoothed(k, 'a')}, {_smoothed(k, 'r')} FROM {f'o{k - 1}' if k else 'totals'} o "
+        f"JOIN known l{k} ON l{k}.k = {k} AND l{k}.tail = right(o.gram, {k + 1}))"
+        for k in range(5)
+    )
+    return f"""
+WITH u AS (
+    SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), ruled AS (
+    SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+        WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM u
+), judged AS (
+    SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given,
+        coalesce(left(md5(page_id::VARCHAR), 1) IN ('0', '1', '2'), FALSE) AS aside FROM ruled
+), places AS (
+    SELECT page_id, url, given, aside, substring(repeat(chr(2), 4) || coalesce(url, '') || chr(3), i::INTEGER, 5) AS gram
+    FROM (SELECT *, unnest(range(1, length(coalesce(url, '')) + 2)) AS i FROM judged)
+), totals AS (
+    SELECT gram, count(*) FILTER (given = 'allow' AND NOT aside) AS a, count(*) FILTER (given = 'block' AND NOT aside) AS r FROM places GROUP BY gram
+), levels AS (
+    SELECT k, right(gram, k::INTEGER + 1) AS tail, a, r FROM totals, (SELECT unnest(range(0, 5)) AS k)
+), seen AS (
+    SELECT k, tail, left(tail, k::INTEGER) AS context, sum(a) AS n_a, sum(r) AS n_r FROM levels GROUP BY k, tail
+), contexts AS (
+    SELECT k, context, sum(n_a) AS t_a, sum(n_r) AS t_r, count(*) FILTER (n_a > 0) AS m_a, count(*) FILTER (n_r > 0) AS m_r FROM seen GROUP BY k, context
+), known AS (
+    SELECT s.k, s.tail, s.n_a, s.n_r, c.t_a, c.t_r, c.m_a, c.m_r FROM seen s JOIN contexts c USING (k, context)
+){levels}, scores AS (
+    SELECT gram, ln(p4_a) - ln(p4_r) AS score FROM o4
+), pages_scored AS (
+    SELECT page_id, url, avg(score) AS score FROM places JOIN scores USING (gram) GROUP BY page_id, url
+), full_rows AS (
+    SELECT j.*, p.score FROM judged j JOIN pages_scored p ON j.page_id IS NOT DISTINCT FROM p.page_id AND j.url IS NOT DISTINCT FROM p.url
+), spread AS (
+    SELECT avg(score) FILTER (given = 'allow') AS ma, avg(score) FILTER (given = 'block') AS mb,
+        stddev_pop(score) FILTER (given = 'allow') AS sa, stddev_pop(score) FILTER (given = 'block') AS sb
+    FROM (SELECT DISTINCT page_id, url, given, aside, score FROM full_rows) WHERE aside
+), cut AS (
+    SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN '-infinity'::DOUBLE ELSE mb + coalesce(sb / nullif(sa + sb, 0), 0.5) * (ma - mb) END AS least_score FROM spread
+)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN score >= least_score THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM full_rows, cut
+"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op8_warc": _WARC, "op9_mixing": _MIXING}

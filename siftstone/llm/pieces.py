@@ -30,9 +30,9 @@ MARK = "\ud800"
 UNKNOWN_PENALTY = 10.0
 BEST = 4
 #: Segments that one of a task's two stores remembers, which bounds its memory.
-REMEMBERED = 100_000
+REMEMBERED = 80_000
 #: Texts of about so many bytes are cut into words and solved together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_vocabulary(path: str) -> tuple[list[str], list[int]]:
@@ -63,14 +63,22 @@ def rank_scores(kinds: list[int]) -> list[float]:
 
 @dataclass
 class Store:
-    """Solved segments: a new and an old generation, and N-best lists. A worker process keeps one per vocabulary, across its tasks."""
+    """Solved segments: a new and an old generation, and N-best lists."""
 
     new: dict = field(default_factory=dict)
     old: dict = field(default_factory=dict)
     lists: dict = field(default_factory=dict)
 
 
-_STORES: dict[int, Store] = {}
+#: A worker process keeps one segmenter per vocabulary, with its store, across its tasks.
+_SEGMENTERS: dict[int, "Segmenter"] = {}
+
+
+def _segmenter(pieces: list[str], kinds: list[int], scores: list[float]) -> "Segmenter":
+    key = hash((*pieces, *kinds, *scores))
+    if key not in _SEGMENTERS:
+        _SEGMENTERS[key] = Segmenter(pieces, kinds, scores)
+    return _SEGMENTERS[key]
 
 
 @dataclass
@@ -80,13 +88,11 @@ class Segmenter:
     pieces: list[str]
     kinds: list[int]
     scores: list[float]
-    store: "Store | None" = field(default=None, repr=False)
+    store: Store = field(default_factory=Store, repr=False)
     _table: tuple | None = field(default=None, repr=False)
 
     def __post_init__(self):
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
-        if self.store is None:
-            self.store = _STORES.setdefault(hash((*self.pieces, *self.kinds, *self.scores)), Store())
         #: A tree of characters: each leads to (tree, ids, score); what only begins a piece has no score.
         self.tree: dict = {}
         for i in usable:
@@ -109,11 +115,8 @@ class Segmenter:
         members = "".join(re.escape(c) for c in sorted(beside))
         self.segments = re.compile(f"{SPACE}+[{members}]*|[{members}]+|." if members else f"{SPACE}+|.", re.DOTALL)
 
-    def __getstate__(self):
-        return {"pieces": self.pieces, "kinds": self.kinds, "scores": self.scores}
-
-    def __setstate__(self, state):
-        self.__init__(state["pieces"], state["kinds"], state["scores"])
+    def __reduce__(self):
+        return _segmenter, (self.pieces, self.kinds, self.scores)
 
     def edges(self, word: str) -> list[list[tuple[int, tuple, float]]]:
         """For each place the edges that end there: (start, ids, score)."""
@@ -218,7 +221,8 @@ class Segmenter:
                         row.append(0)
                         score.append(-math.inf if value is None else value)
                         ids.append(-1 if value is None else piece[0])
-            self._table = classes, np.stack(rows).astype(np.min_scalar_type(len(row))), np.array(row), np.array(score), np.array(ids)
+            kind = np.min_scalar_type(len(row))
+            self._table = classes, np.stack([r.astype(kind) for r in rows]), np.array(row), np.array(score), np.array(ids)
         return self._table
 
     def solve_many(self, words: list[str]) -> list[tuple]:

