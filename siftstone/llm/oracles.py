@@ -37,6 +37,27 @@ FROM sized
 """
 
 
+_NEAR = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), both_ways AS (
+    SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM reached d LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 
 def _smoothed(k: int, side: str) -> str:
     """Witten-Bell estimate of order ``k`` for one class, from that of the order below."""
@@ -96,4 +117,4 @@ FROM full_rows, cut
 """
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op8_warc": _WARC, "op9_mixing": _MIXING}
+ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING}
