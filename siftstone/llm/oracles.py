@@ -59,6 +59,29 @@ FROM reached d LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+#: Bytes as pairs of hexadecimal digits; texts are cut into pieces of 1,024 bytes, as a substring far into a long text is slow.
+_REPEATS = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), pieces AS (
+    SELECT doc_id, n, k, substring(h, 2048 * k + 1, 2246) AS h FROM (SELECT *, unnest(range(0, n // 1024 + 1)) AS k FROM texts)
+), places AS (
+    SELECT doc_id, 1024 * k + j AS i, substring(h, 2 * j + 1, 2) AS byte, CASE WHEN 1024 * k + j + 100 <= n THEN substring(h, 2 * j + 1, 200) END AS s
+    FROM (SELECT *, unnest(range(0, least(1024, n - 1024 * k))) AS j FROM pieces)
+), judged AS (
+    SELECT doc_id, i, byte, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM places
+), covered AS (
+    SELECT doc_id, i, byte, max(again::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), runs AS (
+    SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM covered
+), kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS h FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+
 def _smoothed(k: int, side: str) -> str:
     """Witten-Bell estimate of order ``k`` for one class, from that of the order below."""
     lower = f"p{k - 1}_{side}" if k else "(1 / 256.0)"
@@ -117,4 +140,4 @@ FROM full_rows, cut
 """
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING}
+ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op5_suffix_dedup": _REPEATS, "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING}
