@@ -250,7 +250,7 @@ INJECTION_HINTS = {
     "persona_override": ["ignore", "forget", "now", "act", "pretend"],
     "system_prompt_extraction": ["prompt", "instruction", "context", "directive", "everything"],
     "instruction_override": [":", "disregard", "override"],
-    "role_jailbreak": ["dan", "dude", "stan", "jailgpt", "chatgpt", "anything", "unrestricted", "filter"],
+    "role_jailbreak": ["^dan", "^dude", "^stan", "jailgpt", "chatgpt", "anything", "unrestricted", "filter"],
     "data_exfiltration": ["send", "export", "upload", "transmit", "print", "show"],
     "code_injection": ["execute", "run", "__import__", "os.system", "subprocess"],
     "delimiter_injection": ["```", "<|im_start|>", "[inst]", "###"],
