@@ -87,11 +87,11 @@ def anchored_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 at = flat_ranges(starts, count)
                 owner, anchor = np.repeat(np.arange(last - first), count), least[at]
                 new = _changes(anchor, owner)
-                # where a suffix starts with its anchor and has it once more, equal suffixes may follow each other: each is a row then
-                first_gram = np.flatnonzero(grams[at] == anchor)
-                again = (grams[(at[first_gram])[:, None] + np.arange(1, window)] == anchor[first_gram][:, None]).any(1)
+                # where a suffix starts with its anchor and the next one has the same, the anchor comes again 1 to ``window`` bytes on
+                # and equal suffixes may follow each other: each is a row then
+                first_gram = np.flatnonzero((grams[at] == anchor) & ~np.append(new[1:], True))
                 run = np.cumsum(new) - 1
-                new |= np.isin(run, run[first_gram[again]])
+                new |= np.isin(run, run[first_gram])
                 new = np.flatnonzero(new)
                 suffixes = np.diff(np.append(new, len(at)))
                 start, row = at[new], owner[new]

@@ -59,6 +59,19 @@ def test_long_texts_in_pieces_and_small_buckets(spark, monkeypatch):
     assert found(frame(spark, rows)) == brute(rows)
 
 
+def test_every_period(spark):
+    """Repeats inside one document that no other one shares, at every distance up to beyond the length of a suffix."""
+    rows = []
+    for period in range(1, 151):
+        random_ = random.Random(period)
+        line = "".join(random_.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(period))
+        rows.append((period, f"{random_.random()} {line * (300 // period + 2)} {random_.random()}"))
+    # a line of 68 characters and a newline, from the first length at which a string comes twice
+    line = "The quick brown fox jumps over the lazy dog, then goes home to sleep"
+    rows += [(300 + n, (f"{line[:-3]}{n}\n" * 4)[:n]) for n in (168, 169, 170, 237, 238)]
+    assert found(frame(spark, rows)) == brute(rows)
+
+
 def test_odd_tables(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     text = prose(1, 50)
