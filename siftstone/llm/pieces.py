@@ -299,15 +299,29 @@ class Segmenter:
             return known
         edges = self.edges(word)
         best = self.forward(edges)
-        queue, count, out = [(-best[-1], 0, len(word), 0.0, ())], 0, []
+        # of equal totals the place nearest to the start is opened first, so that ties do not keep a path from being completed;
+        # the n best paths from a place to the end are all that can be in the n best ones, so others are neither opened nor queued
+        queue, count, out = [(-best[-1], len(word), 0, 0.0, ())], 0, []
+        opened, nearest = [0] * len(edges), [[] for _ in edges]
         while queue and len(out) < n:
-            total, _, at, done, ids = heapq.heappop(queue)
+            _, at, _, done, ids = heapq.heappop(queue)
             if at == 0:
-                out.append((-total, _flat(ids)))
+                out.append((done, _flat(ids)))
                 continue
+            if opened[at] == n:
+                continue
+            opened[at] += 1
             for start, own, score in edges[at]:
+                after, held = done + score, nearest[start]
+                if len(held) < n:
+                    heapq.heappush(held, after)
+                elif after > held[0]:
+                    heapq.heapreplace(held, after)
+                else:
+                    continue
                 count += 1
-                heapq.heappush(queue, (-(best[start] + score + done), count, start, score + done, (own, ids)))
+                heapq.heappush(queue, (-(best[start] + after), start, count, after, (own, ids)))
+        out.sort(key=lambda found: -found[0])  # equal up to rounding, they may come in any order
         if len(self.store.lists) >= REMEMBERED // 10:
             self.store.lists.clear()
         self.store.lists[word, n] = out
@@ -340,16 +354,16 @@ class Segmenter:
         scores, others = [], []
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             scores.append(float(value[a:b].sum()))
-            others.append([] if n < 2 else self._others(words[k], loss[a:b], before[a : b + 1], scores[-1], n))
+            others.append([] if n < 2 else self._others(words[k], ids, loss[a:b], before[a : b + 1], scores[-1], n))
         return ids, before[ends], scores, others
 
-    def _others(self, words, losses, before, score, n):
+    def _others(self, words, ids, losses, before, score, n):
         """The next best segmentations of one text."""
         # only the n - 1 segments with the least loss can differ in the n best ones
         chosen = np.argpartition(losses, n - 2)[: n - 1] if len(losses) >= n else np.arange(len(losses))
         # the one with the j-th least loss comes after j better texts, which leaves n - j places for its own list
         ranked = sorted((float(losses[k]), k) for k in chosen.tolist() if losses[k] < math.inf)
-        lists = sorted((k, self.n_best(words[k], n - j)) for j, (_, k) in enumerate(ranked))
+        lists = sorted((k, _led_by(tuple(ids[before[k] : before[k + 1]].tolist()), self.n_best(words[k], n - j))) for j, (_, k) in enumerate(ranked))
         place = {k: (int(before[k] - before[0]), int(before[k + 1] - before[k])) for k, _ in lists}
         return [(score - loss, [(*place[k], own) for k, own in changes]) for loss, changes in _combined(lists, n)[1:]]
 
@@ -366,21 +380,30 @@ def _flat(ids):
     return tuple(out)
 
 
+def _led_by(own, options):
+    """The n best ``options`` of a segment with its chosen ids in front: of equal scores another one may stand there, or all of them."""
+    return [(options[0][0], own), *[o for o in options if o[1] != own][: len(options) - 1]]
+
+
 def _combined(lists, n):
     """The ``n`` best choices over independent segments: (loss, [(segment, ids)] for those not at their best).
 
     Backward A-star over the segments; what is before a segment can always be had without loss, which is the exact estimate.
+    Ties are opened, and places closed, as in ``Segmenter.n_best``.
     """
-    queue, count, out = [(0.0, 0, len(lists), ())], 0, []
+    queue, count, out, opened = [(0.0, len(lists), 0, ())], 0, [], [0] * (len(lists) + 1)
     while queue and len(out) < n:
-        loss, _, at, changes = heapq.heappop(queue)
+        loss, at, _, changes = heapq.heappop(queue)
         if at == 0:
             out.append((loss, list(changes)))
             continue
+        if opened[at] == n:
+            continue
+        opened[at] += 1
         segment, options = lists[at - 1]
         for j, (score, ids) in enumerate(options):
             count += 1
-            heapq.heappush(queue, (loss + options[0][0] - score, count, at - 1, ((segment, ids), *changes) if j else changes))
+            heapq.heappush(queue, (loss + options[0][0] - score, at - 1, count, ((segment, ids), *changes) if j else changes))
     return out
 
 

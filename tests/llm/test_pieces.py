@@ -1,3 +1,4 @@
+import heapq
 import math
 import random
 import struct
@@ -53,6 +54,52 @@ def test_texts_against_the_whole_lattice():
                 assert S.decode(own) == text
 
 
+def best_scores(word, n):
+    """The ``n`` best scores of a segment, kept place by place."""
+    edges, scores = S.edges(word), [[0.0]]
+    for ending in edges[1:]:
+        scores.append(heapq.nlargest(n, [before + score for start, _, score in ending for before in scores[start]]))
+    return scores[-1]
+
+
+@pytest.mark.parametrize("c", [pieces.SPACE, "}", "]", "c", "=", "-", "0"])
+@pytest.mark.parametrize("size", [2, 7, 14, 201, 5_000])
+def test_runs_of_one_character(c, size):
+    """Orders of the same pieces tie; the search is as long as the run, not as the number of orders."""
+    own = pieces.Segmenter(S.pieces, S.kinds, S.scores, pieces.Store())
+    pops, pop = [0], heapq.heappop
+
+    def counted(queue):
+        pops[0] += 1
+        assert pops[0] <= 64 * (size + 1)  # else it would not end
+        return pop(queue)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pieces.heapq, "heappop", counted)
+        found = own.n_best(c * size, 4)
+    assert [s for s, _ in found] == pytest.approx(best_scores(c * size, 4), rel=1e-9)
+    assert len({ids for _, ids in found}) == len(found)
+    assert all("".join(S.pieces[i] for i in ids) == c * size for _, ids in found)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 5_000 + "b", "}" * 5_000, "x = {" + " " * 300 + "}" * 300 + "]" * 300, "}" * 12, "c" * 4_003])
+@pytest.mark.parametrize("n", [2, 4, 9])
+def test_alternatives_differ(text, n):
+    """Among ties too, every alternative is another segmentation than the best one, and than the others."""
+    ids, score, others = S.encode(text, n)
+    seen, last = {tuple(ids)}, score
+    for total, changes in others:
+        own = list(ids)
+        for at, count, instead in sorted(changes, reverse=True):
+            own[at : at + count] = instead
+        assert S.decode(own) == text
+        assert sum(S.scores[i] for i in own) == pytest.approx(total, rel=1e-9)
+        assert total <= last + 1e-9
+        seen.add(tuple(own))
+        last = total
+    assert len(seen) == n
+
+
 def _field(number, wire, value):
     tag = bytes([number << 3 | wire])
     if wire == 2:
