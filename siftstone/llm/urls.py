@@ -49,14 +49,16 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """One row per character of each url (and its end): the character after its ``ORDER`` predecessors."""
+    """One row per character of each url (and its end): the character after its ``ORDER`` predecessors; ``last`` is 1 at the end, else 0."""
     padded = F.concat(F.lit(START * ORDER), F.coalesce(F.col("url"), F.lit("")), F.lit(END))
     # a split in characters is linear in the length, where a substring per place would be quadratic
     letters = F.split(padded, "")
     places = F.sequence(F.lit(1), F.size("letters") - ORDER)
     return urls.withColumn("letters", letters).withColumn(
-        "grams", F.transform(places, lambda i: F.array_join(F.slice("letters", i, ORDER + 1), ""))
-    ).drop("letters").withColumn("gram", F.explode("grams")).drop("grams")
+        "grams", F.transform(places, lambda i: F.struct(
+            F.array_join(F.slice("letters", i, ORDER + 1), "").alias("gram"), (i == F.size("letters") - ORDER).cast("int").alias("last")
+        ))
+    ).drop("letters").withColumn("place", F.explode("grams")).drop("grams").withColumns({"gram": F.col("place.gram"), "last": F.col("place.last")}).drop("place")
 
 
 def gram_scores(places: DataFrame) -> DataFrame:
@@ -97,9 +99,9 @@ def score_urls(keyed: DataFrame, scores: DataFrame) -> DataFrame:
     places = _grams(keyed.select("page_id", "url"))
     heavy = F.broadcast(scores.filter("heavy").select(F.col("gram").alias("g"), "score"))
     own = places.join(heavy, F.col("gram") == F.col("g"), "left").drop("g")
-    ends = F.col("gram").endswith(END).cast("int").alias("last")
-    parts = own.filter("score IS NOT NULL").select("page_id", "url", "score", ends).unionByName(
-        own.filter("score IS NULL").drop("score").join(scores.filter("NOT heavy").select("gram", "score"), "gram").select("page_id", "url", "score", ends)
+    # the end has a flag of its own, as a url may hold its character
+    parts = own.filter("score IS NOT NULL").select("page_id", "url", "score", "last").unionByName(
+        own.filter("score IS NULL").drop("score").join(scores.filter("NOT heavy").select("gram", "score"), "gram").select("page_id", "url", "score", "last")
     )
     return parts.groupBy("page_id", "url").agg(F.sum("last").alias("copies"), F.avg("score").alias("score"))
 

@@ -80,3 +80,11 @@ def test_odd_tables(spark):
 def test_path_needs_its_slash(spark):
     pages = spark.createDataFrame([(1, "http://a.com"), (2, "http://a.com/"), (3, "http://notcom/"), (4, "http://com/x")], "page_id long, url string")
     assert {r["page_id"]: r["rule"] for r in urls.judge(pages, RULES).collect()} == {1: None, 2: "com/", 3: None, 4: "com/"}
+
+
+def test_urls_that_hold_the_end_mark(spark):
+    """One row comes back for each row, also where a url holds the characters that stand for its start and end."""
+    rows = [(i, f"http://{'good' if i % 2 else 'casino'}{i}.example.{'com' if i % 2 else 'net'}/{i}") for i in range(20)]
+    rows += [(30, "http://a.com/\x03b"), (31, "\x03"), (32, "http://a.com/\x03\x03\x03"), (33, "http://a.com/\x02\x03"), (33, "http://a.com/\x02\x03"), (None, "\x03x")]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    assert Counter(r["page_id"] for r in found) == Counter(i for i, _ in rows)
