@@ -80,6 +80,20 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``rows`` left-joined with ``lookup``, whose keys are unique and whose ``weight`` tells how many rows have that key (or more).
+
+    Keys with a thousandth of all weight or more, so 1,000 at most, are broadcast; no task gets all rows of a frequent key.
+    ``lookup`` loses ``weight``; both sides are read twice, so they should be stored.
+    """
+    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    frequent = F.coalesce(F.col(weight) * 1000 >= total, F.lit(False))
+    heavy, light = lookup.filter(frequent).drop(weight), lookup.filter(~frequent).drop(weight)
+    near = rows.join(F.broadcast(heavy), on)
+    far = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light.hint("merge"), on, "left")
+    return near.unionByName(far)
+
+
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column without a copy, and the offsets of its rows. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -140,4 +140,41 @@ FROM full_rows, cut
 """
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op5_suffix_dedup": _REPEATS, "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING}
+#: CRC-32 of the id's digits by its table; a node is the list of its turns, and what lies below it meets it by its first turns.
+_TRIE = """
+WITH entries AS (
+    SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS entry
+    FROM (SELECT unnest(range(0, 256)) AS n)
+), turns AS (
+    SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), originals AS (
+    SELECT conv_id, list(t ORDER BY place) AS own FROM turns GROUP BY conv_id
+), planned AS (
+    SELECT conv_id, own, conv_id - conv_id % 5 AS lender, CAST(xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+        lambda c, d: xor(entry[1 + xor(c % 256, d)], c // 256))) % 9 AS BIGINT) AS h
+    FROM originals, entries
+), rebuilt AS (
+    SELECT p.conv_id, coalesce(o.own, [])[1:h] || p.own[h + 1:] AS path FROM planned p LEFT JOIN originals o ON o.conv_id = p.lender
+), prefixes AS (
+    SELECT conv_id, path[1:depth] AS node, depth, len(path) = depth AS ends FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY prefixes.conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY node, depth
+), families AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.node[1:n.depth] = n.node) AS n_children,
+        CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * octet_length(encode(n.node[n.depth].text)) ELSE 0 END AS saved
+    FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+), below AS (
+    SELECT node[1:top] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM families) GROUP BY 1
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM families JOIN below USING (node)
+"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op5_suffix_dedup": _REPEATS, "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING, "op13_prefix_trie": _TRIE}

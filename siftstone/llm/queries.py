@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, near, neighbours, pieces, repeats, secrets, toxicity, urls, warc, winnowing
+from . import mixing, near, neighbours, pieces, repeats, secrets, toxicity, tries, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,4 +67,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity)}
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, folder, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity, op13_prefix_trie)}
