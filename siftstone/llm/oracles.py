@@ -177,4 +177,37 @@ FROM families JOIN below USING (node)
 """
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op5_suffix_dedup": _REPEATS, "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING, "op13_prefix_trie": _TRIE}
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3]) AS k))
+), counts AS (
+    SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.*, i, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates) c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:i], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[i + 1:], ' ')
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
+), inside AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM candidates WHERE k = 3
+), covered AS (
+    SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL
+), ranked AS (
+    SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(c.phrase)) AS rank, c.phrase, a, l, r, score::BIGINT AS score
+    FROM lowest c LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase WHERE 100 * coalesce(longer, 0) < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+ORACLES: dict[str, str] = {"op4_url_filter": _url_filter(), "op5_suffix_dedup": _REPEATS, "op7_hyperminhash": _NEAR, "op8_warc": _WARC, "op9_mixing": _MIXING, "op12_phrases": _PHRASES, "op13_prefix_trie": _TRIE}
