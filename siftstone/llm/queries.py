@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import mixing, near, neighbours, phrases, pieces, repeats, secrets, toxicity, tries, urls, warc, winnowing
+from . import languages, mixing, near, neighbours, phrases, pieces, repeats, secrets, toxicity, tries, urls, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_id(table(spark, folder, "documents"))
+
+
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
@@ -75,4 +79,4 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return tries.prefix_trie(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity, op12_phrases, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_neighbours, op3_secrets, op4_url_filter, op5_suffix_dedup, op6_sentencepiece, op7_hyperminhash, op8_warc, op9_mixing, op10_toxicity, op11_languages, op12_phrases, op13_prefix_trie)}
