@@ -298,8 +298,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     texts = join_spread(spelled, stored(vocabulary, "phrases-vocabulary"), ["id"], "uses").groupBy("key").agg(
         F.first("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase")
     )
-    ranked = scored.join(texts, "key").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    )
+    # every task keeps no more than ``first`` rows of a lang before they meet (WindowGroupLimit)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    ranked = scored.join(texts, "key").withColumn("rank", place).filter(F.col("rank") <= first)
     totals = known.groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked.filter(F.col("rank") <= first).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
