@@ -366,8 +366,87 @@ def _stored_statistics(spark, sf):
 
 # ── files and keys ──────────────────────────────────────────────────────────
 
-register("landing_catalog", lambda spark, sf: files.catalog_files(spark, sf))
-register("upload_checks", lambda spark, sf: files.check_uploads(spark, sf))
+
+def _landed(df, key, folder, form, **options):
+    """One file per key value, below a folder named after it."""
+    df.repartition(key).write.mode("append").partitionBy(key).format(form).options(**options).save(folder)
+
+
+def _landing_catalog(spark, sf):
+    """Documents and orders written in several layouts, a folder per language or priority, and catalogued from samples of the files."""
+    folder = new_folder(spark, "landing")
+    # few letters of the English texts are beyond ASCII, so that samples may miss them; without them the answer is one
+    plain = F.when(F.col("lang") == "en", F.regexp_replace("text", r"[^\x00-\x7F]", "")).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", plain.alias("text"), "n_chars", F.concat("lang", F.lit("-latin")).alias("kind"))
+    _landed(docs, "kind", f"{folder}/csv", "csv", header=True, encoding="ISO-8859-1", quoteAll=True, escape='"')
+    _landed(docs.withColumn("kind", F.regexp_replace("kind", "latin", "utf")), "kind", f"{folder}/csv", "csv", header=True, quoteAll=True, escape='"')
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderpriority").substr(1, 1).alias("kind"))
+    _landed(orders, "kind", f"{folder}/rows", "csv", header=True, sep=";")
+    _landed(orders, "kind", f"{folder}/lines", "json")
+    _landed(orders, "kind", f"{folder}/columns", "parquet")
+    place = F.regexp_extract("path", r"/(csv|rows|lines|columns)/kind=([^/]+)/", 1)
+    return files.catalog_files(spark, folder).select(
+        place.alias("place"), F.regexp_extract("path", r"/kind=([^/]+)/", 1).alias("kind"), "format", "encoding",
+        F.when(place == "rows", F.col("delimiter")).alias("delimiter"), "has_quotes", "is_newline_json",
+    )
+
+
+register(
+    "landing_catalog",
+    _landing_catalog,
+    """WITH langs AS (SELECT lang, lang <> 'en' AS wide FROM documents GROUP BY lang),
+kinds AS (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS kind FROM orders)
+SELECT 'csv' AS place, lang || '-latin' AS kind, 'csv' AS format, CASE WHEN wide THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+  NULL AS delimiter, TRUE AS has_quotes, FALSE AS is_newline_json FROM langs
+UNION ALL SELECT 'csv', lang || '-utf', 'csv', 'utf-8', NULL, TRUE, FALSE FROM langs
+UNION ALL SELECT 'rows', kind, 'csv', 'utf-8', ';', FALSE, FALSE FROM kinds
+UNION ALL SELECT 'lines', kind, 'json', 'utf-8', NULL, FALSE, FALSE FROM kinds
+UNION ALL SELECT 'columns', kind, 'parquet', 'utf-8', NULL, FALSE, FALSE FROM kinds""",
+)
+
+
+def _upload_checks(spark, sf):
+    """A file per nation that holds its region's row, so that nations of a region are copies, and one of an unknown kind per region."""
+    folder = new_folder(spark, "uploads")
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    _landed(nations.select("r_regionkey", "r_name", F.col("n_nationkey").alias("key")), "key", f"{folder}/rows", "csv", header=True)
+    _landed(nations.select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("key")).groupBy("key").agg(F.min("value").alias("value")), "key", f"{folder}/odd", "text", compression="gzip")
+    known = table(spark, sf, "region").where("r_regionkey = 0").select(
+        F.sha2(F.concat_ws("\n", F.lit("r_regionkey,r_name"), F.concat_ws(",", "r_regionkey", "r_name"), F.lit("")), 256).alias("checksum")
+    )
+    checked = files.check_uploads(spark, folder, known)
+    kind = F.regexp_extract("path", r"/(rows|odd)/key=(\d+)/", 1)
+    return checked.select(
+        kind.alias("kind"), F.regexp_extract("path", r"/key=(\d+)/", 1).cast("int").alias("key"),
+        F.when(kind == "rows", F.col("length")).alias("length"), F.when(kind == "rows", F.col("checksum")).alias("checksum"), "reject_reason", "accepted",
+    )
+
+
+register(
+    "upload_checks",
+    _upload_checks,
+    """WITH files AS (SELECT n_nationkey AS key, r_regionkey, 'r_regionkey,r_name' || chr(10) || r_regionkey || ',' || r_name || chr(10) AS content
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+judged AS (SELECT *, r_regionkey = 0 OR row_number() OVER (PARTITION BY content ORDER BY key || '/') > 1 AS again FROM files)
+SELECT 'rows' AS kind, CAST(key AS INTEGER) AS key, CAST(length(content) AS BIGINT) AS length, sha256(content) AS checksum,
+  CASE WHEN again THEN 'duplicate' END AS reject_reason, NOT again AS accepted FROM judged
+UNION ALL SELECT DISTINCT 'odd', CAST(n_regionkey AS INTEGER), NULL::BIGINT, NULL, 'unsupported', FALSE FROM nation""",
+)
+
+
+def _late_quotes(spark, sf):
+    """Documents written with their line breaks inside quotes, Latin-1 and UTF-8 side by side, and read back without being told so."""
+    folder = new_folder(spark, "quoted")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    latin, first = F.col("lang") == "fr", F.col("doc_id") % 2 == 0
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    fits = ~F.col("text").rlike("[^\\x00-\\xFF]")
+    docs.where(latin & fits).write.options(**options).csv(f"{folder}/latin", encoding="ISO-8859-1")
+    docs.where(~(latin & fits)).orderBy(first).write.options(**options).csv(f"{folder}/utf")
+    return files.load_dataset(spark, folder, "csv").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+register("csv_quoted_round_trip", _late_quotes, "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents")
 
 
 def _round_trip(spark, sf):

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.columns import blank_to_null, ref
+from ..session import cut_lineage
+from . import ranges, records
 
 HEAD_BYTES = 8192
 SNIFF_CHARS = 4096
@@ -33,26 +35,17 @@ def _format_of(extension: Column) -> Column:
     return out
 
 
-def _encoding_of(head: Column) -> Column:
+def _encoding_of(head: Column, utf8: Column) -> Column:
     mark = F.hex(F.substring(head, 1, 3))
     return (
         F.when(mark.startswith("FFFE"), "utf-16-le")
         .when(mark.startswith("FEFF"), "utf-16-be")
+        .when(~utf8, "latin-1")
         .when(mark == "EFBBBF", "utf-8-sig")
-        .when(_is_utf8(head), "utf-8")
-        .otherwise("latin-1")
+        .otherwise("utf-8")
     )
 
 
-def _is_utf8(head: Column) -> Column:
-    """Whether the first bytes of a file are UTF-8; a character may be cut off at their end."""
-    size = F.length(head)
-    valid = F.is_valid_utf8(head.cast("string"))
-    for cut in (1, 2, 3):
-        valid = valid | ((size == HEAD_BYTES) & F.is_valid_utf8(F.substring(head, F.lit(1), size - cut).cast("string")))
-    return valid
-
-
 @F.pandas_udf(SNIFFED)
 def _sniff(head: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     """Delimiter and header guess of the first characters of each file."""
@@ -68,73 +61,70 @@ def _sniff(head: pd.Series, encoding: pd.Series) -> pd.DataFrame:
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a store that only Spark opens; their content comes whole, and empty ones are passed over."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def _samples(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, head, utf8, quotes`` of every file, from a few pieces of it; beyond the upload limit only where ranges can be read."""
+    if ranges.open_store(path):
+        return ranges.with_samples(ranges.listing(spark, path), path).select("path", "length", "head", "utf8", "quotes")
+    text = F.col("content").cast("string")
+    read = _binary(spark, path).where(F.col("length") <= fixed.MAX_UPLOAD_BYTES).select(
+        "path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"), F.is_valid_utf8(text).alias("utf8"), text.contains('"').alias("quotes")
+    )
+    large = _binary(spark, path).select("path", "length").where(F.col("length") > fixed.MAX_UPLOAD_BYTES)
+    return read.unionAll(large.selectExpr("path", "length", "CAST(NULL AS BINARY) AS head", "true AS utf8", "false AS quotes"))
+
+
 def catalog_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: format (extension, then magic bytes, else csv), encoding, CSV layout.
+    """One row per file: format (magic bytes, then extension, else csv), encoding, CSV layout.
 
-    Files beyond the upload limit and those whose extension tells that they are not text tables are listed by
-    extension only: both conditions are on the listing, so that their content is not read.
+    Folders are listed in tasks, and of each file only its head, three inner pieces and its tail are read, however large it is. The encoding is what those
+    pieces show; ``load_dataset`` decides on whole files.
     """
     extension = _extension(F.col("path"))
-    wanted = (F.col("length") <= fixed.MAX_UPLOAD_BYTES) & (F.coalesce(_format_of(extension), F.lit("csv")) == "csv")
-    heads = _binary(spark, path).where(wanted).select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    large = _binary(spark, path).select("path", "length").where(~wanted).withColumn("head", F.lit(None).cast("binary"))
-    magic = F.hex(F.substring("head", 1, 6))
+    magic = F.coalesce(F.hex(F.substring("head", 1, 6)), F.lit(""))
     form = (
         F.when(magic.startswith("504B0304") | magic.startswith("D0CF11E0"), "excel")
         .when(magic.startswith("50415231") | magic.startswith("FFFE50415231"), "parquet")
         .otherwise(F.coalesce(_format_of(extension), F.lit("csv")))
     )
-    listed = heads.unionAll(large).select(
-        "path", "length", extension.alias("extension"), form.alias("format"), "head",
-        F.when(form == "csv", _encoding_of(F.col("head"))).otherwise("utf-8").alias("encoding"),
-    )
-    text = (F.col("format") == "csv") & F.col("head").isNotNull() & (F.length("head") > 0)
-    texts = listed.where(text).withColumn("s", _sniff("head", "encoding"))
-    others = listed.where(~text | F.col("head").isNull()).withColumn(
-        "s", F.struct(F.lit(",").alias("delimiter"), F.lit(True).alias("has_header"), F.lit(False).alias("has_quotes"))
+    listed = _samples(spark, path).select(
+        "path", "length", extension.alias("extension"), form.alias("format"), "head", "quotes",
+        F.when((form == "csv") & F.col("head").isNotNull(), _encoding_of(F.col("head"), F.col("utf8"))).otherwise("utf-8").alias("encoding"),
     )
+    text = (F.col("format") == "csv") & (F.length("head") > 0)
+    # sniffed in the task that reads the head; a file without one has the defaults
+    sniffed = listed.withColumn("s", _sniff(F.when(text, F.col("head")).otherwise(F.lit(b"")), "encoding"))
     newline = (F.col("format") == "json") & F.col("extension").isin("jsonl", "ndjson")
-    return texts.unionByName(others).select(
+    return sniffed.select(
         "path", "length", "extension", "format", "encoding",
         F.col("s.delimiter").alias("delimiter"), F.col("s.has_header").alias("has_header"),
-        F.col("s.has_quotes").alias("has_quotes"), newline.alias("is_newline_json"),
+        (F.coalesce(text, F.lit(False)) & F.col("quotes")).alias("has_quotes"), newline.alias("is_newline_json"),
     )
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of no bytes, from the folder listing (Spark's readers pass over them)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0:
-            found.append((status.getPath().toString(), 0))
-    return spark.createDataFrame(found, "path string, length long")
-
-
 def check_uploads(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """Accept or reject each file: empty, unsupported, too large, or a duplicate by SHA-256.
 
-    ``known`` holds the ``checksum`` of earlier files. Of equal new files the
-    first path is accepted; copies meet one row per checksum.
+    ``known`` holds the ``checksum`` of earlier files. Of equal new files the first path is accepted; copies meet one row per checksum.
+    Files are listed in tasks and hashed as they stream by, so that none has to fit a row.
     """
-    listed = _binary(spark, path).select("path", "length").unionAll(empty_files(spark, path))
+    whole = ranges.open_store(path) is None
+    listed = cut_lineage((_binary(spark, path) if whole else ranges.listing(spark, path)).select("path", "length"))
     rule = (
         F.when(F.col("length") == 0, "empty")
         .when(_format_of(_extension(F.col("path"))).isNull(), "unsupported")
         .when(F.col("length") > fixed.MAX_UPLOAD_BYTES, "too large")
     )
     judged = listed.withColumn("rule", rule)
-    hashed = (
-        _binary(spark, path)
-        .where((F.col("length") > 0) & (F.col("length") <= fixed.MAX_UPLOAD_BYTES))
-        .select("path", F.sha2("content", 256).alias("checksum"))
-    )
+    sized = (F.col("length") > 0) & (F.col("length") <= fixed.MAX_UPLOAD_BYTES)
+    if whole:
+        hashed = _binary(spark, path).where(sized).select("path", F.sha2("content", 256).alias("checksum"))
+    else:
+        hashed = ranges.with_checksums(listed.where(sized), path)
+    hashed = cut_lineage(hashed)
     valid = judged.where(F.col("rule").isNull()).select("path")
     first = hashed.join(valid, "path", "left_semi").groupBy("checksum").agg(F.min("path").alias("first_path"))
     out = judged.join(hashed, "path", "left").join(first, "checksum", "left")
@@ -183,21 +173,38 @@ def read_csv(
     path: str,
     delimiter: str = ",",
     has_header: bool = True,
-    encoding: str = "utf-8",
+    encoding: str | None = None,
     schema: T.StructType | str | None = None,
     null_tokens: Sequence[str] = tuple(fixed.NULL_TOKENS),
-    quoted_newlines: bool = False,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """CSV with several null texts; unreadable values become null.
 
-    With a ``schema`` the file is read once; else the types are inferred from all rows. With ``quoted_newlines`` a quoted value may
-    span lines; a file is then one task, as it also is in UTF-16.
+    What is not given is found in a first pass over all bytes: the ``encoding`` of each file (UTF-8 if all of it is, else Latin-1), and whether any quoted
+    value spans lines. If so, records are cut by quote states block by block, so that a large file still is many tasks; else Spark's reader splits at
+    lines. A file is one task in UTF-16, or where only Spark can open the store and quoted values may span lines.
+    With a ``schema`` values are cast to it, by position; else types are inferred from all rows.
     """
-    charset = CHARSETS.get(encoding.lower(), encoding)
-    raw = (
-        spark.read.option("header", has_header).option("sep", delimiter).option("encoding", charset).option("escape", '"')
-        .option("mode", "PERMISSIVE").option("multiLine", quoted_newlines or charset.startswith("UTF-16")).csv(path)
-    )
+    charset = CHARSETS.get(encoding.lower(), encoding) if encoding else None
+    raw, by_bytes = None, ranges.open_store(path) is not None and not (charset or "").startswith("UTF-16")
+    if by_bytes and (charset is None or quoted_newlines is not False):
+        states = cut_lineage(records.block_states(ranges.listing(spark, path), path, delimiter))
+        layouts = records.file_layouts(states).withColumn("encoding", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1") if charset is None else F.lit(charset))
+        facts = layouts.agg(F.min("encoding").alias("least"), F.max("encoding").alias("most"), F.bool_or("quoted_break").alias("breaks"), F.bool_or("returns").alias("returns")).first()
+        breaks = facts.breaks if quoted_newlines is None else quoted_newlines
+        if facts.returns:  # lines end in carriage returns alone
+            charset, quoted_newlines = charset or facts.most, breaks
+        elif breaks or facts.least != facts.most:
+            cut = records.cut_records(states.join(layouts.select("path", "encoding"), "path"), path, delimiter)
+            raw = records.parsed(cut, delimiter, has_header)
+        else:
+            charset, quoted_newlines = charset or facts.most, False
+    if raw is None:
+        charset = charset or _whole_encoding(spark, path)
+        raw = (
+            spark.read.option("header", has_header).option("sep", delimiter).option("encoding", charset or "UTF-8").option("escape", '"')
+            .option("mode", "PERMISSIVE").option("multiLine", quoted_newlines is not False or charset.startswith("UTF-16")).csv(path)
+        )
     text = raw.withColumns({c: blank_to_null(ref(c), null_tokens) for c in raw.columns})
     if schema is None:
         return infer_text_types(text)
@@ -206,6 +213,12 @@ def read_csv(
     return text.select(*[ref(c).try_cast(f.dataType).alias(f.name) for c, f in by_position.items()])
 
 
+def _whole_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of every file is, else Latin-1; by Spark's own text reader."""
+    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
+    return "ISO-8859-1" if row.utf8 is False else "UTF-8"
+
+
 def load_dataset(
     spark: SparkSession,
     path: str,
@@ -215,27 +228,29 @@ def load_dataset(
     delimiter: str | None = None,
     has_header: bool | None = None,
     encoding: str | None = None,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
-    """A dataset by URI; without ``fmt`` the files' heads decide. Files of different layouts are an error.
+    """A dataset by URI; without ``fmt`` the files' heads tell format, delimiter and header. Files of different layouts are an error.
 
-    A CSV file whose head has quotes is read with quoted newlines.
+    Encoding and quoted line breaks are found in the whole files (see ``read_csv``) unless both are given.
     """
-    newline, quotes = True, False
+    newline = True
     if fmt is None:
-        layout = ["format", "is_newline_json", "delimiter", "has_header", "encoding"]
-        heads = catalog_files(spark, path).groupBy(*layout).agg(F.max("has_quotes").alias("has_quotes"), F.min("path").alias("path")).orderBy("path").limit(2).collect()
+        layout = ["format", "is_newline_json", "delimiter", "has_header", "wide"]
+        wide = F.when(F.col("encoding").startswith("utf-16"), F.col("encoding"))
+        heads = catalog_files(spark, path).where("length > 0").withColumn("wide", wide).groupBy(*layout).agg(F.min("path").alias("path")).orderBy("path").limit(2).collect()
         if not heads:
             raise FileNotFoundError(path)
         if len(heads) > 1:
             raise ValueError(f"files of different layouts: {heads[0].path} and {heads[1].path}")
         head = heads[0]
-        fmt, newline, quotes = head.format, head.is_newline_json, head.has_quotes
+        fmt, newline = head.format, head.is_newline_json
         delimiter = delimiter or head.delimiter
         has_header = head.has_header if has_header is None else has_header
-        encoding = encoding or head.encoding
+        encoding = encoding or head.wide
     if fmt == "csv":
         df = read_csv(
-            spark, path, delimiter or ",", True if has_header is None else has_header, encoding or "utf-8", schema, quoted_newlines=quotes
+            spark, path, delimiter or ",", True if has_header is None else has_header, encoding, schema, quoted_newlines=quoted_newlines
         )
     elif fmt == "parquet":
         df = spark.read.parquet(path)
