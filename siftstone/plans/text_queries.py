@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import profiling, relations, retrieval, scoring, screening
+from ..operators import profiling, relations, retrieval, scoring, screening, vector_index
+from ..session import new_folder
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -465,6 +466,69 @@ m AS (SELECT query_id % 3 AS query_id, chunk_id, AVG(ROUND(score, 6)) AS score F
 SELECT query_id, chunk_id, ROUND(score, 4) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id
   ORDER BY ROUND(score, 9) DESC, chunk_id) AS rank FROM m) WHERE rank <= 8""",
 )
+def _indexed(spark, sf):
+    return vector_index.build_index(_chunks(spark, sf), new_folder(spark, "vectors"), 12, scope="dataset_id", chunk_type="chunk_type")
+
+
+register(
+    "indexed_vector_search",
+    lambda spark, sf: vector_index.search_index(_indexed(spark, sf), _centroids(spark, sf), 8, None).rows,
+    f"""WITH {_CENTROIDS}
+SELECT query_id, chunk_id, ROUND(score, 6) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id
+  ORDER BY ROUND(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""",
+)
+
+
+def _changed_index(spark, sf):
+    """Every fourth vector turned around by an upsert, twice over, and one dataset deleted; searched within datasets too."""
+    index, chunks = _indexed(spark, sf), _chunks(spark, sf)
+    turned = chunks.where(F.col("id") % 4 == 0).withColumn("embedding", F.reverse("embedding"))
+    for _ in range(2):
+        vector_index.upsert(index, turned, scope="dataset_id", chunk_type="chunk_type")
+    vector_index.delete(index, scope="label 3")
+    queries = _centroids(spark, sf).withColumn("dataset_id", F.concat(F.lit("label "), F.col("query_id")))
+    everywhere = vector_index.search_index(index, queries, 8, None).rows.withColumn("scoped", F.lit(False))
+    inside = vector_index.search_index(index, queries, 4, None, chunk_type="insight", scope="dataset_id").rows.withColumn("scoped", F.lit(True))
+    return everywhere.unionByName(inside)
+
+
+register(
+    "indexed_search_after_changes",
+    _changed_index,
+    f"""WITH {_CENTROIDS.split("s AS (")[0].rstrip().rstrip(",")},
+s AS (SELECT query_id, vec_id AS chunk_id, label, list_cosine_similarity(CASE WHEN vec_id % 4 = 0 THEN list_reverse(embedding) ELSE embedding END::DOUBLE[], q) AS score
+  FROM embeddings, c WHERE label <> 3),
+r AS (SELECT *, FALSE AS scoped, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, chunk_id) AS rank FROM s
+  UNION ALL SELECT *, TRUE, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, chunk_id) FROM s WHERE label = query_id)
+SELECT query_id, chunk_id, ROUND(score, 6) AS score, rank, scoped FROM r WHERE rank <= CASE WHEN scoped THEN 4 ELSE 8 END""",
+)
+register(
+    "indexed_retrieved_chunks",
+    lambda spark, sf: vector_index.retrieve_from(_indexed(spark, sf), _chunks(spark, sf), _centroids(spark, sf), 8, 0.2),
+    _RERANKED + " SELECT query_id, chunk_id, boosted AS score, keyword_hits::INTEGER AS keyword_hits, rank FROM f WHERE rank <= 8",
+)
+
+
+def _similar_orders(spark, sf):
+    """Orders as vectors of four measures: what the index finds for some of them, against the search without it."""
+    day = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
+    measures = F.array(F.col("o_totalprice") / 100_000 - 1, F.col("o_custkey") % 97 / 48 - 1, F.dayofyear("o_orderdate") / 180 - 1, day / 1000)
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), measures.alias("embedding"))
+    asked = orders.where(F.col("id") % 50 == 1).withColumnRenamed("id", "query_id")
+    exact = retrieval.search_vectors(orders, asked, 8, None)
+    index = vector_index.build_index(orders, new_folder(spark, "orders"), 150)
+    found = vector_index.search_index(index, asked, 8, None)
+    hits = exact.select("query_id", "chunk_id").join(found.rows.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("n"), F.count("hit").alias("same")).select(
+        "queries", (F.col("same") >= 0.95 * F.col("n")).alias("recall_reached"), (F.lit(found.probed) < 0.1 * found.parts * F.col("queries")).alias("few_partitions")
+    )
+
+
+register(
+    "indexed_recall",
+    _similar_orders,
+    "SELECT COUNT(*) AS queries, TRUE AS recall_reached, TRUE AS few_partitions FROM orders WHERE o_orderkey % 50 = 1",
+)
 register(
     "cosine_to_centroid",
     lambda spark, sf: table(spark, sf, "embeddings").join(
