@@ -46,6 +46,10 @@ class VectorIndex:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def changed(self) -> bool:
+        """Whether anything was ever replaced or deleted."""
+        return not self.table("gone").isEmpty()
+
     def batch(self) -> int:
         """The last batch."""
         return self.table("extents").agg(F.max("batch")).first()[0]
@@ -99,11 +103,16 @@ def build_index(
     centroids = fit_centroids(sample, min(wanted, len(sample)))
     table = [(i, c.tolist()) for i, c in enumerate(centroids)]
     spark.createDataFrame(table, "part int, centroid array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+    _no_changes(chunks, folder, chunk_id)
     index = VectorIndex(spark, folder, centroids)
     _append(index, chunks, 0, chunk_id, vector, scope, chunk_type)
     return index
 
 
+def _no_changes(chunks: DataFrame, folder: str, chunk_id: str) -> None:
+    chunks.limit(0).select(ref(chunk_id).alias("id"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("batch")).write.parquet(f"{folder}/gone")
+
+
 def open_index(spark: SparkSession, folder: str) -> VectorIndex:
     rows = spark.read.parquet(f"{folder}/centroids").orderBy("part").collect()  # MOST_PARTS rows at most
     return VectorIndex(spark, folder, np.array([r.centroid for r in rows]))
@@ -186,6 +195,7 @@ def delete(index: VectorIndex, ids: DataFrame | None = None, scope: str | None =
 def compact(index: VectorIndex, folder: str) -> VectorIndex:
     """The same index in a new folder, without what is gone."""
     index.table("centroids").coalesce(1).write.parquet(f"{folder}/centroids")
+    _no_changes(index.table("rows"), folder, "id")
     fresh = VectorIndex(index.spark, folder, index.centroids)
     _append(fresh, live_rows(index).select("id", "v", "scope", "chunk_type"), 0, "id", "v", "scope", "chunk_type")
     return fresh
@@ -196,9 +206,8 @@ def live_rows(index: VectorIndex, parts: list[int] | None = None) -> DataFrame:
     rows = index.table("rows")
     if parts is not None:
         rows = rows.where(F.col("part").isin(parts))
-    try:
-        gone = index.table("gone")
-    except Exception:  # no change yet, so no such folder
+    gone = index.table("gone")
+    if not index.changed():
         return rows
     gone = gone if parts is None else gone.where(F.col("part").isin(parts))
     gone = gone.groupBy("part", "id").agg(F.max("batch").alias("buried"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import profiling, relations, retrieval, scoring, screening, vector_index
+from ..operators import keyword_index, profiling, relations, retrieval, scoring, screening, vector_index
 from ..session import new_folder
 from .tables import table
 
@@ -560,6 +560,42 @@ register(
 )
 
 
+def _keyword_index(spark, sf):
+    return keyword_index.build_index(table(spark, sf, "documents"), new_folder(spark, "keywords"))
+
+
+def _items(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+register(
+    "indexed_keyword_search",
+    lambda spark, sf: keyword_index.search_index(_keyword_index(spark, sf), _items(spark, sf), 3).rows,
+    _BM25 + " SELECT query_id, document_id, ROUND(score, 4) AS score, rank FROM r WHERE rank <= 3",
+)
+
+
+def _changed_keywords(spark, sf):
+    """Every fifth document replaced by its upper half, twice over, and every seventh deleted."""
+    index, docs = _keyword_index(spark, sf), table(spark, sf, "documents")
+    halved = docs.where("doc_id % 5 = 0").withColumn("text", F.expr("substr(text, 1, int(length(text) / 2))"))
+    for _ in range(2):
+        keyword_index.upsert(index, halved)
+    keyword_index.delete(index, docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    return keyword_index.search_index(index, _items(spark, sf), 3).rows
+
+
+register(
+    "indexed_keyword_search_after_changes",
+    _changed_keywords,
+    _BM25.replace(
+        "FROM documents)",
+        "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT)) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))",
+        1,
+    ) + " SELECT query_id, document_id, ROUND(score, 4) AS score, rank FROM r WHERE rank <= 3",
+)
+
+
 _LEAD = 8
 
 
