@@ -23,13 +23,13 @@ from ..functions.columns import ref
 from ..session import cut_lineage
 from . import retrieval
 
-#: Documents of a span at most, and words of texts that a task turns into cells at a time.
-SPAN_DOCS, SPAN_WORDS = 20_000, 8_000_000
+#: Documents of a span, about, and words of its texts.
+SPAN_DOCS, SPAN_WORDS = 2_500, 2_500_000
 #: Folders of the tables, by span and by word.
-FOLDERS = 64
+FOLDERS = 16
 #: Spans that a query looks into first.
-FIRST_SPANS = 1
-#: Spans and documents that are gone are broadcast up to so many rows, beyond it joined by a shuffle.
+FIRST_SPANS = 4
+#: Spans are broadcast up to so many rows, beyond it joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 K1, B = 1.5, 0.75
 
@@ -71,19 +71,19 @@ def _append(index: KeywordIndex, documents: DataFrame, document_id: str, text: s
     docs = docs.select("id", retrieval.tokens(F.col("text")).alias("w"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).first()
     tasks = max(1, math.ceil(size.n / SPAN_DOCS), math.ceil((size.words or 0) / SPAN_WORDS))
-    step = 1 << 20  # spans of a task are numbered one after another
+    most, step = math.ceil(1.25 * SPAN_DOCS), 1 << 20  # tasks hold about a span; what one has beyond a quarter more is a span of its own
 
     def cells(batches):
         span, held, n, count = first_span + TaskContext.get().partitionId() * step, [], 0, 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, min(SPAN_DOCS - n, batch.num_rows - at))
+                part = batch.slice(at, min(most - n, batch.num_rows - at))
                 at += part.num_rows
                 held.append(part)
                 n += part.num_rows
                 count += len(part.column(1).flatten())
-                if n >= SPAN_DOCS or count >= SPAN_WORDS:
+                if n >= most or count >= 1.25 * SPAN_WORDS:
                     yield _cells(span, pa.Table.from_batches(held).combine_chunks(), index_kind)
                     span, held, n, count = span + 1, [], 0, 0
         if held:
@@ -91,7 +91,7 @@ def _append(index: KeywordIndex, documents: DataFrame, document_id: str, text: s
 
     index_kind = pa.field("id", docs.limit(0).toArrow().schema.field("id").type).type
     schema = f"span long, term string, places array<int>, tf array<int>, ids array<{index.kind}>, lengths array<int>, max_tf int, min_length int"
-    made = docs.repartition(tasks, F.xxhash64("id")).mapInArrow(cells, schema).withColumn("folder", (F.col("span") % FOLDERS).cast("int"))
+    made = docs.repartition(tasks, F.xxhash64("id")).mapInArrow(cells, schema).withColumn("folder", F.pmod(F.xxhash64("span"), F.lit(FOLDERS)).cast("int"))
     made.write.mode("append").partitionBy("folder").parquet(f"{index.folder}/cells")
     new = index.table("cells").where(F.col("span") >= first_span)
     words = new.where(F.col("term").isNotNull()).select(
@@ -181,47 +181,53 @@ def search_index(
     index: KeywordIndex, queries: DataFrame, top_k: int = 3, k1: float = K1, b: float = B, query_id: str = "query_id", query_text: str = "text",
 ) -> Found:
     """BM25 top-k per query from the index: the same rows as ``bm25`` on the documents that it holds."""
-    asked = cut_lineage(queries.select(ref(query_id).alias("query_id"), F.explode(retrieval.query_terms(ref(query_text))).alias("term")).distinct())
-    wanted = asked.select("term").distinct()
+    asked = queries.select(ref(query_id).alias("query_id"), F.explode(retrieval.query_terms(ref(query_text))).alias("term")).distinct()
+    wanted = cut_lineage(asked.select("term").distinct())
     few = wanted.count() <= retrieval.BROADCAST_WORDS
+    size = index.table("totals").agg(
+        F.sum("docs").alias("n"), F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.countDistinct("span").alias("spans")
+    ).first()
+    average = float(size.words / size.texts) if size.texts and size.words else 1.0
     # a word's rows lie in one folder, sorted
     maxima = index.table("maxima").join(F.broadcast(wanted) if few else wanted, "term")
     maxima = cut_lineage(maxima.groupBy("term", "span").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")))
-    size = index.table("totals").agg(F.sum("docs").alias("n"), F.sum("texts").alias("texts"), F.sum("words").alias("words")).first()
-    average = float(size.words / size.texts) if size.texts and size.words else 1.0
     frequency = maxima.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     idf = F.log1p((F.lit(size.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = cut_lineage(asked.join(frequency, "term").select("query_id", "term", idf.alias("idf")))
+    words = asked.join(frequency, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("words"))
+    words = cut_lineage(words)
+    look = lambda pairs, few_spans: _scored(index, pairs, words, wanted, few, few_spans, top_k, average, k1, b)
+    if size.spans <= FIRST_SPANS:  # nothing to leave out
+        all_spans = [r.span for r in index.table("totals").select("span").distinct().collect()]
+        pairs = words.select("query_id", F.explode(F.lit(all_spans).cast("array<bigint>")).alias("span"))
+        looked = words.count() * size.spans
+        return Found(retrieval._ranked(look(pairs, True), top_k, "document_id", 4), looked, looked)
     best = F.sum(F.col("idf") * _part(F.col("max_tf"), F.col("min_length"), average, k1, b))
+    weights = words.select("query_id", F.inline("words"))
     bounds = weights.join(maxima.where("df > 0"), "term").groupBy("query_id", "span").agg(best.alias("bound"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "span")
     bounds = cut_lineage(bounds.withColumn("turn", F.row_number().over(order)))
-    words = weights.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))
-    words = cut_lineage(words)
-    opening = bounds.where(F.col("turn") <= FIRST_SPANS)
-    found = _scored(index, opening, words, wanted, few, top_k, average, k1, b)
+    few_spans = size.spans <= BROADCAST_ROWS
+    found = look(bounds.where(F.col("turn") <= FIRST_SPANS), few_spans)
     least = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") == top_k).select("query_id", "score")
     # equal scores go by id, so a span that can only draw level counts too
     rest = bounds.where(F.col("turn") > FIRST_SPANS).join(least, "query_id", "left").where(F.col("score").isNull() | (F.col("bound") >= F.col("score") - 1e-9))
     rest = cut_lineage(rest.select("query_id", "span"))
     more = rest.count()
-    if more:
-        found = found.unionByName(_scored(index, rest, words, wanted, few, top_k, average, k1, b))
-    return Found(retrieval._ranked(found, top_k, "document_id", 4), opening.count() + more, bounds.count())
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    found = found.unionByName(look(rest, few_spans)) if more else found
+    counted = bounds.agg(F.count("*").alias("all"), F.count_if(F.col("turn") <= FIRST_SPANS).alias("first")).first()
+    return Found(retrieval._ranked(found, top_k, "document_id", 4), counted["first"] + more, counted["all"])
 
 
-def _scored(index, pairs, words, wanted, few, top_k, average, k1, b) -> DataFrame:
+def _scored(index, pairs, words, wanted, few, few_spans, top_k, average, k1, b) -> DataFrame:
     """``query_id, document_id, score``: the best of each (query, span); a task holds a span's cells of the words that are asked for."""
-    spans = _few(cut_lineage(pairs.select("span").distinct()))
+    spans = pairs.select("span").distinct()
+    spans = F.broadcast(spans) if few_spans else spans
     cells = index.table("cells").join(spans, "span", "left_semi")
     named = cells.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").select("span", "term", "places", "tf", "ids", "lengths")
     named = named.unionByName(cells.where(F.col("term").isNull()).select(named.columns))
     gone = index.table("gone").join(spans, "span", "left_semi").groupBy("span").agg(F.collect_list("id").alias("ids"))
     items = named.unionByName(gone.select("span", *[F.lit(None).cast(named.schema[c].dataType).alias(c) for c in ("term", "places", "tf")], "ids", F.lit(None).cast("array<int>").alias("lengths")))
+    words = words.select("query_id", F.col("words.term").alias("terms"), F.col("words.idf").alias("idf"))
     terms = pairs.select("query_id", "span").join(words, "query_id")
     own = items.select(F.col("span").alias("slice"), F.lit(0).alias("is_query"), "term", "places", "tf", "ids", "lengths", *retrieval._missing(words, items))
     sent = terms.select(F.col("span").alias("slice"), F.lit(1).alias("is_query"), *retrieval._missing(items.drop("span"), terms), *words.columns).select(own.columns)
@@ -230,18 +236,22 @@ def _scored(index, pairs, words, wanted, few, top_k, average, k1, b) -> DataFram
     at = {c: i for i, c in enumerate(placed.columns)}
 
     def hold(table):
-        ids, norm, known, dead = None, None, {}, []
-        for term, places, tf, own_ids, lengths in zip(table["term"].to_pylist(), table["places"], table["tf"], table["ids"], table["lengths"]):
-            if term is not None:
-                known[term] = (places.values.to_numpy(), tf.values.to_numpy())
-            elif lengths.is_valid:
+        ids, norm, dead = None, None, []
+        names = table["term"].combine_chunks()
+        for i in np.flatnonzero(names.is_null().to_numpy(zero_copy_only=False)):  # the span's documents, and those that are gone
+            own_ids, lengths = table["ids"][i], table["lengths"][i]
+            if lengths.is_valid:
                 ids, norm = own_ids.values, k1 * (1 - b + b * lengths.values.to_numpy(zero_copy_only=False) / average)
             else:
                 dead += own_ids.as_py()
+        places, tf = table["places"].combine_chunks(), table["tf"].combine_chunks()
+        at_place, n = places.flatten().to_numpy(), tf.flatten().to_numpy()
+        part = n * (k1 + 1) / (n + norm[at_place])
+        cuts = np.concatenate(([0], np.cumsum(np.nan_to_num(places.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
+        parts = {t: (at_place[x:y], part[x:y]) for t, x, y in zip(names.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()) if t is not None}
         alive = np.ones(len(ids), bool)
         if dead:
             alive = ~np.isin(np.array(ids.to_pylist(), object), np.array(dead, object))
-        parts = {t: (p, tf * (k1 + 1) / (tf + norm[p])) for t, (p, tf) in known.items()}
         return ids, alive, parts
 
     def score(ready, batch):
