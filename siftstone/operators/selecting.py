@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -143,17 +145,21 @@ def top_n_per_group(
 
 #: Functions that a guarded query may call; none reads files, runs code or tells about the session.
 ALLOWED_FUNCTIONS = frozenset(
-    """abs acos any_value approx_count_distinct array array_contains array_distinct array_join ascii asin atan atan2 avg bool_and
-    bool_or cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if
-    covar_pop covar_samp cume_dist current_date date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth
-    dayofweek dayofyear decimal dense_rank double element_at endswith every exp explode first first_value floor from_unixtime
-    greatest hour if ifnull initcap int isnan isnotnull isnull kurtosis lag last last_day last_value lead least left len length
-    ln locate log log10 log2 lower lpad ltrim max max_by mean median min min_by minute mod mode month months_between nth_value
-    ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod posexplode position pow power quarter rank regexp_extract
-    regexp_like regexp_replace replace reverse right round row_number rpad rtrim second sequence sign signum sin size skewness
-    some sort_array split sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan timestamp
-    to_date to_timestamp translate trim trunc try_cast try_divide try_sum unix_timestamp upper var_pop var_samp variance weekday
-    weekofyear when year""".split()
+    """abs acos any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_join array_max
+    array_min ascii asin atan atan2 avg between bool_and bool_or btrim cardinality cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if
+    covar_pop covar_samp cume_dist current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc
+    dateadd datediff datepart day dayname dayofmonth dayofweek dayofyear decimal degrees dense_rank double e element_at endswith equal_null
+    every exp explode extract filter first first_value flatten float floor format_number from_unixtime greatest grouping grouping_id
+    hour if ifnull ilike initcap instr int isnan isnotnull isnull kurtosis lag last last_day last_value lcase lead least left len length
+    levenshtein like ln locate log log10 log2 lower lpad ltrim make_date map map_keys map_values max max_by mean median min min_by minute mod
+    mode month monthname months_between named_struct nanvl negative now nth_value ntile nullif nullifzero nvl nvl2 percent_rank percentile
+    percentile_approx percentile_cont percentile_disc pi pmod posexplode position positive pow power quarter radians rank
+    regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr regr_count regr_intercept regr_r2
+    regr_slope repeat replace reverse right rint round row_number rpad rtrim second sequence sign signum sin size skewness slice some
+    sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan tanh
+    timestamp timestampadd timestampdiff to_char to_date to_number to_timestamp transform translate trim trunc try_add try_avg try_cast
+    try_divide try_multiply try_subtract try_sum try_to_date try_to_number try_to_timestamp typeof ucase unix_date unix_timestamp upper var_pop
+    var_samp variance weekday weekofyear when width_bucket year zeroifnull""".split()
 )
 #: Steps that a guarded query may consist of.
 _ALLOWED_STEPS = frozenset(
@@ -163,17 +169,43 @@ _ALLOWED_STEPS = frozenset(
 )
 
 
+#: Expressions that a parsed query may consist of; names are looked up above. Anything else is refused, known or not.
+_ALLOWED_EXPRESSIONS = frozenset(
+    """Add AggregateExpression Alias And AnyValue AttributeReference Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat
+    CreateNamedStruct Cube CurrentRow Divide EqualNullSafe EqualTo Exists First GreaterThan GreaterThanOrEqual GroupingSets ILike In
+    InSubquery IntegralDivide IsNotNull IsNull LambdaFunction Last LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery
+    Literal Multiply Not NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup ScalarSubquery SortOrder SpecifiedWindowFrame StringLocate
+    StringTrim StringTrimBoth StringTrimLeft StringTrimRight Substring Subtract UnaryMinus UnaryPositive UnboundedFollowing UnboundedPreceding
+    UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedInlineTable
+    UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedWindowExpression UnspecifiedFrame
+    WindowExpression WindowSpecDefinition""".split()
+)
+#: What may not stand in a resolved query, by whatever name it got there.
+_REFUSED_WHEN_RESOLVED = frozenset(
+    """CallMethodViaReflection TryReflect ScalaUDF PythonUDF PythonUDAF ScalaAggregator ScalaUDAF SQLFunctionExpression SQLScalarFunction PythonUDTF
+    UserDefinedExpression CurrentUser CurrentCatalog CurrentDatabase CurrentSchema SparkVersion InputFileName InputFileBlockStart
+    InputFileBlockLength RaiseError SparkPartitionID MonotonicallyIncreasingID""".split()
+)
+
+
 def _each(scala_seq):
     return [scala_seq.apply(i) for i in range(scala_seq.size())]
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+_SUBQUERIES = ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery")
+
+
 def _refusal(plan, views: Sequence[str]) -> str | None:
-    """Why a parsed, unresolved plan is refused; null if every step, relation and function in it is allowed."""
+    """Why a parsed, unresolved plan is refused; null if every step, relation, expression and function in it is allowed."""
     steps, expressions = [plan], []
     while steps or expressions:
         if steps:
             node = steps.pop()
-            kind = node.getClass().getSimpleName()
+            kind = _kind(node)
             if kind not in _ALLOWED_STEPS:
                 return f"step {kind}"
             if kind == "UnresolvedRelation":
@@ -186,12 +218,41 @@ def _refusal(plan, views: Sequence[str]) -> str | None:
                 expressions.append(node.generator())
             continue
         node = expressions.pop()
-        kind = node.getClass().getSimpleName()
+        kind = _kind(node)
+        if kind not in _ALLOWED_EXPRESSIONS:
+            return f"expression {kind}"
         if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
             name = [str(n) for n in _each(node.nameParts())] if kind == "UnresolvedFunction" else [str(node.name().funcName())]
             if len(name) != 1 or name[0].lower() not in ALLOWED_FUNCTIONS:
                 return f"function {'.'.join(name)}"
-        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+        if kind in _SUBQUERIES:
+            steps.append(node.plan())
+        expressions += _each(node.children())
+    return None
+
+
+def _refusal_when_resolved(plan, own: set[str]) -> str | None:
+    """The same of the analysed plan, outside the bound views: no relation but those, and no call into the JVM or the session."""
+    steps, expressions = [plan], []
+    while steps or expressions:
+        if steps:
+            node = steps.pop()
+            kind = _kind(node)
+            if kind == "View":
+                if node.desc().identifier().table() not in own:
+                    return "another view"
+                continue  # what a caller binds is the caller's
+            children = _each(node.children())
+            if not children and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+                return f"relation {kind}"
+            steps += children
+            expressions += _each(node.expressions())
+            continue
+        node = expressions.pop()
+        kind = _kind(node)
+        if kind in _REFUSED_WHEN_RESOLVED:
+            return f"expression {kind}"
+        if kind in _SUBQUERIES:
             steps.append(node.plan())
         expressions += _each(node.children())
     return None
@@ -201,8 +262,9 @@ def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_l
     """A SELECT over the given views only; at most ``row_limit`` of its rows, if given.
 
     Spark parses the text, and the plan is checked before anything is resolved: the only relations are the given views, the only functions those in
-    ``ALLOWED_FUNCTIONS``, and neither common tables nor commands nor scripts are steps of it. The views are bound under names of their own, so
-    the caller's views stay as they are. Anything else raises ValueError. A fence around the text and comments in it are no matter.
+    ``ALLOWED_FUNCTIONS``, and every step and expression is of a listed kind. The resolved plan is checked again, since a name may turn out to be something
+    else. The views are bound under names of their own, so the caller's views stay as they are. Anything else raises ValueError. A fence
+    around the text and comments in it are no matter.
     """
     text = re.sub(r"\A\s*```\w*|```\s*\Z", "", sql or "").strip().rstrip(";")
     if not text:
@@ -220,12 +282,47 @@ def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_l
     try:
         bound = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in own.items())
         out = spark.sql(f"WITH {bound} {text}" if own else text)
+        reason = _refusal_when_resolved(out._jdf.queryExecution().analyzed(), set(own.values()))
+        if reason:
+            raise ValueError(f"not allowed in a query: {reason}")
     finally:
         for view in own.values():
             spark.catalog.dropTempView(view)
     return out if row_limit is None else out.limit(row_limit)
 
 
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None):
+    """Ends what this thread runs in the session after so many seconds, in the executors too; then TimeoutError is raised. Other work goes on.
+
+    The jobs get a tag of their own, and a watcher interrupts that tag alone.
+    """
+    if seconds is None:
+        yield
+        return
+    tag, over = f"siftstone-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        over.set()
+        spark.interruptTag(tag)
+
+    watcher = threading.Timer(seconds, stop)
+    watcher.daemon = True
+    spark.addTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as exc:
+        if over.is_set():
+            raise TimeoutError(f"over {seconds} seconds") from exc
+        raise
+    finally:
+        watcher.cancel()
+        spark.removeTag(tag)
+    if over.is_set():  # between two jobs nothing is there to interrupt
+        raise TimeoutError(f"over {seconds} seconds")
+
+
 class SqlPage(NamedTuple):
     rows: DataFrame
     row_count: int
@@ -233,11 +330,15 @@ class SqlPage(NamedTuple):
     seconds: float
 
 
-def run_sql_page(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_limit: int = 10_000) -> SqlPage:
-    """A bounded page of the result, run once: its rows, their number, whether the result has more, and how long it took."""
+def run_sql_page(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_limit: int = 10_000, timeout: float | None = 30) -> SqlPage:
+    """A bounded page of the result, run once: its rows, their number, whether the result has more, and how long it took.
+
+    A query that takes longer than ``timeout`` seconds is cancelled and raises TimeoutError.
+    """
     begin = time.perf_counter()
-    probe = cut_lineage(run_sql(spark, sql, views, row_limit + 1))
-    found = probe.count()
+    with time_limit(spark, timeout):
+        probe = cut_lineage(run_sql(spark, sql, views, row_limit + 1))
+        found = probe.count()
     return SqlPage(probe.limit(row_limit), min(found, row_limit), found > row_limit, time.perf_counter() - begin)
 
 

@@ -513,3 +513,28 @@ register(
     """SELECT c.c_mktsegment, COUNT(*) AS orders, ROUND(SUM(o.o_totalprice) / 1000, 2) AS revenue_thousands
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment""",
 )
+_FORMS = """SELECT EXTRACT(YEAR FROM o_orderdate) AS y, COUNT(*) FILTER (WHERE o_totalprice BETWEEN 1000 AND 100000) AS middling,
+  COUNT(DISTINCT CASE WHEN o_orderpriority ILIKE '%urgent' THEN o_custkey END) AS urgent_buyers, MAX(o_orderkey % 7) AS top
+FROM dataset WHERE o_orderkey NOT IN (1, 2, 3) AND o_custkey IN (SELECT c_custkey FROM buyers WHERE c_acctbal IS NOT NULL)
+GROUP BY EXTRACT(YEAR FROM o_orderdate) HAVING COUNT(*) > 1"""
+register(
+    "guarded_sql_forms",
+    lambda spark, sf: selecting.run_sql(spark, _FORMS, {"dataset": table(spark, sf, "orders"), "buyers": table(spark, sf, "customer")}),
+    _FORMS.replace("FROM dataset", "FROM orders").replace("FROM buyers", "FROM customer"),
+)
+
+
+def _sql_page(spark, sf):
+    """A page of a guarded query within its time limit, with what the page tells about the whole."""
+    page = selecting.run_sql_page(
+        spark, "SELECT o_orderkey, o_totalprice FROM dataset WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey", {"dataset": table(spark, sf, "orders")}, 100, 300
+    )
+    return page.rows.select("*", F.lit(page.row_count).alias("row_count"), F.lit(page.truncated).alias("truncated"))
+
+
+register(
+    "guarded_sql_page",
+    _sql_page,
+    """SELECT o_orderkey, o_totalprice, LEAST(100, (SELECT COUNT(*) FROM orders WHERE o_totalprice > 1000)) AS row_count,
+  (SELECT COUNT(*) > 100 FROM orders WHERE o_totalprice > 1000) AS truncated FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
+)
