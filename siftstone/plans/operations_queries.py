@@ -9,6 +9,7 @@ from ..operators import anomaly, operations, profiling, scoring
 from ..session import new_folder
 from ..sources import files, sinks
 from ..streaming import events as streams
+from ..streaming import stateful
 from .quality_queries import MESSY_ORDERS, _messy_orders, _shares
 from .tables import table
 
@@ -537,6 +538,37 @@ register(
     lambda spark, sf: streams.run_latest_status(spark, sf),
     f"""WITH {_STATUS} SELECT dataset_id, ARG_MAX(status, (ts, event_id)) AS status FROM st GROUP BY 1""",
 )
+register(
+    "stream_requests_over_limit",
+    lambda spark, sf: stateful.run_sliding_counts(spark, sf, 10, 7200),
+    """WITH c AS (SELECT event_type AS client, FLOOR(EPOCH(ts))::BIGINT AS second, COUNT(*) AS requests FROM events GROUP BY 1, 2),
+w AS (SELECT *, (SUM(requests) OVER (PARTITION BY client ORDER BY second RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW))::BIGINT AS in_window FROM c)
+SELECT * FROM w WHERE in_window > 10""",
+)
+register(
+    "stream_tracked_jobs",
+    lambda spark, sf: stateful.run_tracked_jobs(spark, sf).select("kind", "entity", "status", F.unix_micros("at").alias("at_micros")),
+    f"""WITH {_STATUS}, n AS (SELECT dataset_id::VARCHAR AS entity, status, ts, EPOCH_US(LEAD(ts) OVER (PARTITION BY dataset_id ORDER BY ts, event_id)) - EPOCH_US(ts) AS gap FROM st)
+SELECT 'status' AS kind, entity, status, EPOCH_US(ts) AS at_micros FROM n
+UNION ALL SELECT 'stalled', entity, status, EPOCH_US(ts) FROM n WHERE status IN ('profiling', 'cleaning') AND COALESCE(gap > 7200000000, TRUE)
+UNION ALL SELECT 'expired', entity, status, EPOCH_US(ts) FROM n WHERE COALESCE(gap > 86400000000, TRUE)""",
+)
+
+
+def _stalled_now(spark, sf):
+    """The alarms of the stream that still stand: those of an entity's last status, as the batch watchdog lists them."""
+    rows = stateful.run_tracked_jobs(spark, sf, keep_hours=24.0 * 60)
+    last = rows.where("kind = 'status'").groupBy("entity").agg(F.max("at").alias("at"))
+    alarms = rows.where("kind = 'stalled'").join(last, ["entity", "at"]).where(F.col("at") < F.lit("2024-01-30 21:59:59").cast("timestamp"))
+    return alarms.select(F.col("entity").cast("long").alias("entity"), F.col("status").alias("stalled_in"))
+
+
+register(
+    "stream_stalled_jobs",
+    _stalled_now,
+    f"""WITH {_STATUS}, x AS (SELECT dataset_id AS entity, ARG_MAX(status, (ts, event_id)) AS status, MAX(ts) AS t FROM st GROUP BY 1)
+SELECT entity, status AS stalled_in FROM x WHERE status IN ('profiling', 'cleaning') AND t < TIMESTAMP '2024-01-30 21:59:59'""",
+)
 register(
     "stream_two_consumers",
     lambda spark, sf: streams.run_two_consumers(spark, sf).groupBy("consumer", "event_type").agg(F.count_distinct("event_id").alias("events")),

@@ -248,7 +248,7 @@ def run_metrics_windows(spark: SparkSession, folder: str) -> DataFrame:
     return newest(spark, out, ["agent", "window_start"])
 
 
-_STATUS_OF = {
+STATUS_OF = {
     "signup": "uploaded", "click": "profiling", "view": "profiled", "purchase": "cleaning", "error": "failed",
 }
 _TYPE_OF = {
@@ -256,7 +256,7 @@ _TYPE_OF = {
 }
 
 
-def _mapped(column: str, values: Mapping[str, str], default: str) -> Column:
+def mapped(column: str, values: Mapping[str, str], default: str) -> Column:
     out = F.lit(default)
     for key, value in values.items():
         out = F.when(F.col(column) == key, value).otherwise(out)
@@ -265,7 +265,7 @@ def _mapped(column: str, values: Mapping[str, str], default: str) -> Column:
 
 def run_latest_status(spark: SparkSession, folder: str) -> DataFrame:
     events = _events(spark, folder).select(
-        "event_id", "ts", F.col("user_id").alias("dataset_id"), _mapped("event_type", _STATUS_OF, "failed").alias("status")
+        "event_id", "ts", F.col("user_id").alias("dataset_id"), mapped("event_type", STATUS_OF, "failed").alias("status")
     )
     out = new_folder(spark, "stream-status")
     update_to(latest_status(events, "dataset_id", "status", "ts", "event_id"), out)
@@ -300,7 +300,7 @@ def run_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 def _typed(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).select(
         "event_id", "ts", F.col("user_id").cast("string").alias("dataset_id"),
-        _mapped("event_type", _TYPE_OF, "SomethingElse").alias("event_type"),
+        mapped("event_type", _TYPE_OF, "SomethingElse").alias("event_type"),
     )
 
 
