@@ -13,6 +13,7 @@ from ..functions import fixed
 from ..functions.columns import grade, is_temporal, kind_of, number, ref, row_fingerprint
 from ..session import cut_lineage
 from .quantiles import counted_quantiles, shared_cuts
+from .sketches import sketch_columns, sketched_statistics
 from .statistics import (
     SHARES, narrow_moments, numeric_values, restore_values, spread_of_totals, value_relation,
 )
@@ -114,7 +115,19 @@ def _fences(df: DataFrame, quantiles: DataFrame, multiplier: float = 1.5) -> Dat
     return df.sparkSession.createDataFrame(rows, "column_name string, iqr double, tukey_lower double, tukey_upper double, outlier_count_iqr long")
 
 
-def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
+def _sketched_columns(df: DataFrame) -> DataFrame:
+    """The column rows from one pass of mergeable aggregates; what needs every value's count (entropy, samples, values outside the fences, shape) stays null."""
+    known = sketched_statistics(sketch_columns(df)).select("column_name", F.col("unique_estimate").alias("categories"), "mean", "stddev_samp", "min_val", "max_val", "q")
+    iqr = F.col("q")[3] - F.col("q")[1]
+    nulls = {c: F.lit(None).cast("double") for c in ("skewness", "kurtosis", "entropy", "normalised_entropy", "top3_coverage")}
+    return _wide(df).join(F.broadcast(known), "column_name", "left").withColumns({
+        "stddev": F.col("stddev_samp"), "variance": F.col("stddev_samp") * F.col("stddev_samp"), "iqr": F.round(iqr, 6),
+        "tukey_lower": F.round(F.col("q")[1] - 1.5 * iqr, 6), "tukey_upper": F.round(F.col("q")[3] + 1.5 * iqr, 6),
+        "outlier_count_iqr": F.lit(None).cast("long"), "sample_values": F.lit(None).cast("array<string>"), **nulls,
+    })
+
+
+def profile_columns(df: DataFrame, samples: bool = True, approx: bool = False) -> DataFrame:
     """One row per column: completeness, distinct values, moments, percentiles,
     lengths, date range, entropy and sample values.
 
@@ -122,7 +135,12 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
     and samples are read from the value relation, which is written once to the checkpoint folder.
     So is the result (one row per column), as scores, cards and chunks read it
     again. The joins match tables of one row per column.
+
+    ``approx``: distinct counts and percentiles come from sketches, in narrow scans that shuffle no values; entropy, shape, samples and
+    values outside the fences stay null.
     """
+    if approx:
+        return _column_rows(_sketched_columns(df))
     numeric = [f.name for f in df.schema if kind_of(f.dataType) == "numeric"]
     others = [c for c in df.columns if c not in numeric]
     relations = [cut_lineage(value_relation(df, names)) for names in (numeric, others) if names]
@@ -156,6 +174,10 @@ def profile_columns(df: DataFrame, samples: bool = True) -> DataFrame:
              "tukey_upper"), "double")
         empty |= {"q": "array<double>", "outlier_count_iqr": "long"}
         out = out.withColumns({n: F.lit(None).cast(t) for n, t in empty.items()})
+    return _column_rows(out)
+
+
+def _column_rows(out: DataFrame) -> DataFrame:
     q, rows, n = F.col("q"), F.col("total_rows"), F.col("non_null_count")
     distinct = F.coalesce(F.col("categories"), F.lit(0))
     ratio = F.coalesce(distinct / F.nullif(n, F.lit(0)), F.lit(0.0))
@@ -210,9 +232,9 @@ def summarise_profile(columns: DataFrame, duplicates: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, match: str = "substring") -> TableProfile:
-    """Profile with semantic types. The column rows are computed at once, the table row when read."""
-    columns = infer_semantic_types(profile_columns(df), match)
+def profile_table(df: DataFrame, match: str = "substring", approx: bool = False) -> TableProfile:
+    """Profile with semantic types. The column rows are computed at once, the table row when read. ``approx``: see ``profile_columns``."""
+    columns = infer_semantic_types(profile_columns(df, approx=approx), match)
     return TableProfile(columns, summarise_profile(columns, duplicate_rows(df)))
 
 

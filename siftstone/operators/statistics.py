@@ -155,20 +155,36 @@ def counted_moments(values: DataFrame, quartiles: DataFrame | None = None, multi
     )
 
 
+#: Aggregates of one scan; the code that Spark generates for many more is too long to be compiled, and then runs several times slower.
+SCAN_AGGREGATES = 24
+
+
+def _one_scan_rows(df: DataFrame, columns: Sequence[str], named) -> DataFrame:
+    """``column_name`` and the aggregates that ``named(value)`` names, a few columns a scan (a scan reads only its columns)."""
+    each = max(1, SCAN_AGGREGATES // len(named(F.lit(0.0))))
+    out = None
+    for begin in range(0, len(columns), each):
+        aggregates, structs = [], []
+        for i, column in enumerate(columns[begin : begin + each]):
+            found = named(number(df, column))
+            aggregates += [expr.alias(f"{name}__{i}") for name, expr in found.items()]
+            structs.append(F.struct(F.lit(column).alias("column_name"), *[F.col(f"{name}__{i}").alias(name) for name in found]))
+        part = df.agg(*aggregates).select(F.inline(F.array(*structs)))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def narrow_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column_name`` with counts, sum, bounds and moments from one scan; only one partial row per task is shuffled."""
-    aggregates, structs = [], []
-    for i, column in enumerate(columns):
-        v = number(df, column)
-        named = {
-            "non_null_count": F.count(v), "total_sum": F.sum(v), "min_val": F.min(v), "max_val": F.max(v),
-            "zero_count": F.count_if(v == 0), "negative_count": F.count_if(v < 0), "mean": F.avg(v),
-            "var_pop": F.var_pop(v), "stddev_pop": F.stddev_pop(v), "var_samp": F.var_samp(v), "stddev_samp": F.stddev_samp(v),
-            "g1": F.skewness(v), "g2": F.kurtosis(v),
-        }
-        aggregates += [expr.alias(f"{name}__{i}") for name, expr in named.items()]
-        structs.append(F.struct(F.lit(column).alias("column_name"), *[F.col(f"{name}__{i}").alias(name) for name in named]))
-    return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+    """``column_name`` with counts, sum, bounds and moments from narrow scans; only one partial row per task is shuffled."""
+    counts = _one_scan_rows(df, columns, lambda v: {
+        "non_null_count": F.count(v), "total_sum": F.sum(v), "min_val": F.min(v), "max_val": F.max(v),
+        "zero_count": F.count_if(v == 0), "negative_count": F.count_if(v < 0),
+    })
+    centred = _one_scan_rows(df, columns, lambda v: {
+        "mean": F.avg(v), "var_pop": F.var_pop(v), "stddev_pop": F.stddev_pop(v), "var_samp": F.var_samp(v), "stddev_samp": F.stddev_samp(v),
+        "g1": F.skewness(v), "g2": F.kurtosis(v),
+    })
+    return counts.join(F.broadcast(centred), "column_name")
 
 
 def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:

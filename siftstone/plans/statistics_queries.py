@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relations, selecting, statistics, timeseries
+from ..operators import profiling, relations, selecting, sketches, statistics, timeseries
+from ..session import new_folder
 from .tables import rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -538,3 +539,62 @@ register(
     """SELECT o_orderkey, o_totalprice, LEAST(100, (SELECT COUNT(*) FROM orders WHERE o_totalprice > 1000)) AS row_count,
   (SELECT COUNT(*) > 100 FROM orders WHERE o_totalprice > 1000) AS truncated FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
 )
+
+
+def _merged_sketches(spark, sf):
+    """Order lines sketched a run per return flag, the runs stored and merged by project; how near the estimates are to the exact values."""
+    lines, folder, names = table(spark, sf, "lineitem"), new_folder(spark, "sketches"), ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus"]
+    for month, flag in enumerate(["A", "N", "R"], 1):
+        part = lines.where(F.col("l_returnflag") == flag)
+        sketches.append_sketches(sketches.sketch_columns(part, "lines", "p1", f"run {flag}", 202400 + month, names), folder)
+    stored = sketches.read_sketches(spark, folder)
+    by_month = sketches.merge_sketches(stored, ["project_id", "yyyymm", "column_name"])
+    merged = sketches.sketched_statistics(sketches.merge_sketches(by_month, ["project_id", "column_name"]))
+    kept = lines.where(F.col("l_returnflag").isin("A", "N", "R"))
+    exact = statistics.distinct_counts(kept, names)
+    # a quantile is as near as the share of values up to it is to the share asked for
+    q = {r.column_name: r.q for r in merged.where("kind = 'numeric'").select("column_name", "q").collect()}
+    ranks = kept.agg(*[
+        F.forall(F.array(*[F.struct(F.avg((F.col(c) < v).cast("double")).alias("low"), F.avg((F.col(c) <= v).cast("double")).alias("high"), F.lit(share).alias("share"))
+                           for v, share in zip(values, statistics.SHARES)]), lambda x: (x["low"] <= x["share"] + 0.01) & (x["high"] >= x["share"] - 0.01)).alias(c)
+        for c, values in q.items()
+    ]).unpivot([], list(q), "column_name", "quantiles_close")
+    return merged.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "project_id", "column_name", "total_rows", "non_null_count", F.round("mean", 6).alias("mean"), F.round("stddev_pop", 6).alias("stddev_pop"), "min_val", "max_val",
+        (F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 0.01 * F.col("unique_count") + 1).alias("distinct_close"),
+        F.coalesce("quantiles_close", F.lit(True)).alias("quantiles_close"),
+    )
+
+
+register(
+    "merged_sketches",
+    _merged_sketches,
+    "WITH l AS (SELECT * FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R')) " + " UNION ALL ".join(
+        f"SELECT 'p1' AS project_id, '{c}' AS column_name, COUNT(*) AS total_rows, COUNT({c}) AS non_null_count, ROUND(AVG({v}), 6) AS mean, "
+        f"ROUND(STDDEV_POP({v}), 6) AS stddev_pop, MIN({v}) AS min_val, MAX({v}) AS max_val, TRUE AS distinct_close, TRUE AS quantiles_close FROM l"
+        for c, v in [(c, f"{c}::DOUBLE") for c in ("l_partkey", "l_quantity", "l_extendedprice", "l_discount")] + [("l_linestatus", "NULL::DOUBLE")]
+    ),
+)
+
+
+def _sketched_profile(spark, sf):
+    """The profile by sketches: what is exact in it, and whether its distinct counts are near those of the exact one."""
+    lines = table(spark, sf, "lineitem")
+    found, exact = profiling.profile_columns(lines, approx=True), statistics.distinct_counts(lines, lines.columns)
+    return found.join(exact.withColumnRenamed("unique_count", "exact"), "column_name").select(
+        "column_name", "kind", "total_rows", "non_null_count", "null_count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "max_length",
+        (F.abs(F.col("unique_count") - F.col("exact")) <= 0.01 * F.col("exact") + 1).alias("distinct_close"),
+    )
+
+
+register(
+    "sketched_profile",
+    _sketched_profile,
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS kind, COUNT(*) AS total_rows, COUNT({c}) AS non_null_count, COUNT(*) - COUNT({c}) AS null_count, "
+        + (f"ROUND(AVG({c}), 4) AS mean, ROUND(STDDEV_SAMP({c}), 4) AS stddev, " if kind == "numeric" else "NULL::DOUBLE AS mean, NULL::DOUBLE AS stddev, ")
+        + (f"MAX(LENGTH({c})) AS max_length, " if kind == "text" else "NULL AS max_length, ") + "TRUE AS distinct_close FROM lineitem"
+        for c, kind in [("l_orderkey", "numeric"), ("l_partkey", "numeric"), ("l_suppkey", "numeric"), ("l_linenumber", "numeric"), ("l_quantity", "numeric"),
+                        ("l_extendedprice", "numeric"), ("l_discount", "numeric"), ("l_tax", "numeric"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "datetime")]
+    ),
+)
