@@ -262,9 +262,10 @@ def mape(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) ->
 def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -> DataFrame:
     """Best of normal, exponential, log-normal, gamma and beta by the KS statistic.
 
-    Parameters come from moments (one aggregate). The empirical distribution is
+    Parameters are the likeliest ones; they follow from means, mean logarithms and bounds (two aggregates), for gamma and beta by Newton steps on
+    those. The beta lies between the least and the greatest value, which themselves have no likelihood under it. The empirical distribution is
     a bucketed running count over distinct values, the CDFs run on Arrow
-    batches, and only maxima are aggregated. One row; 'unknown' under 30 values.
+    batches, and only maxima are aggregated. One row with the ``parameters`` of the chosen one; 'unknown' under 30 values.
     """
     spark = df.sparkSession
     data = df.select(number(df, column).alias("v")).where(F.col("v").isNotNull())
@@ -277,23 +278,29 @@ def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -
         F.avg(F.when(F.col("v") > 0, F.ln("v"))).alias("log_mean"),
         F.stddev_pop(F.when(F.col("v") > 0, F.ln("v"))).alias("log_sd"),
     ).first()
-    schema = "distribution string, ks_statistic double, p_value double, is_good_fit boolean"
+    schema = "distribution string, ks_statistic double, p_value double, is_good_fit boolean, parameters map<string, double>"
     if s.n < 30:
-        return spark.createDataFrame([("unknown", None, None, False)], schema)
+        return spark.createDataFrame([("unknown", None, None, False, None)], schema)
     models: dict[str, dict] = {}
     if s.sd > 0:
         models["norm"] = {"mean": s.mean, "stddev": s.sd}
         models["expon"] = {"loc": s.lo, "scale": s.mean - s.lo}
         if s.lo > 0 and s.log_sd:
             models["lognorm"] = {"log_mean": s.log_mean, "log_stddev": s.log_sd}
-            models["gamma"] = {"shape": (s.mean / s.sd) ** 2, "scale": s.sd**2 / s.mean, "loc": 0.0}
+            shape = dist.gamma_shape(s.mean, s.log_mean)
+            if shape:
+                models["gamma"] = {"shape": shape, "scale": s.mean / shape, "loc": 0.0}
         width = s.hi - s.lo
         m, v = (s.mean - s.lo) / width, (s.sd / width) ** 2
         common = m * (1 - m) / v - 1
         if common > 0 and 0 < m < 1:
-            models["beta"] = {"a": m * common, "b": (1 - m) * common, "loc": s.lo, "scale": width}
+            share = (F.col("v") - F.lit(s.lo)) / F.lit(width)
+            logs = data.where((share > 0) & (share < 1)).agg(F.avg(F.ln(share)).alias("x"), F.avg(F.ln(1 - share)).alias("rest")).first()
+            if logs.x is not None:
+                a, b = dist.beta_shapes(logs.x, logs.rest, m * common, (1 - m) * common)
+                models["beta"] = {"a": a, "b": b, "loc": s.lo, "scale": width}
     if not models:
-        return spark.createDataFrame([("unknown", None, None, False)], schema)
+        return spark.createDataFrame([("unknown", None, None, False, None)], schema)
     names = list(models)
 
     @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in names]))
@@ -317,5 +324,5 @@ def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -
     best = min(names, key=lambda name: row[name])
     p = dist.kolmogorov_tail(row[best], n)
     return spark.createDataFrame(
-        [(best, round(row[best], 6), round(p, 6), p > 0.05)], schema
+        [(best, round(row[best], 6), round(p, 6), p > 0.05, {k: float(v) for k, v in models[best].items()})], schema
     )

@@ -68,8 +68,28 @@ FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model), (SELECT UNNEST(range(1,
 )
 register(
     "backtest_errors",
-    lambda spark, sf: forecasting.backtest(_orders_daily(spark, sf)).select("series", "model", F.col("mape").between(0, 100).alias("below_100_percent")),
-    f"SELECT DISTINCT o_orderpriority AS series, model, TRUE AS below_100_percent FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model)",
+    lambda spark, sf: forecasting.backtest(_orders_daily(spark, sf)).select("series", "model", (F.col("mape") >= 0).alias("has_error")),
+    f"SELECT DISTINCT o_orderpriority AS series, model, TRUE AS has_error FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model)",
+)
+
+
+def _planted_series(spark, sf):
+    """A value for every day from the first order to the last: a level per priority, a trend, and a wave over the week."""
+    span = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    days = span.select("series", F.explode(F.sequence(F.col("a").cast("date"), F.col("b").cast("date"))).alias("day"))
+    number, level = F.datediff("day", F.lit("1992-01-01").cast("date")), F.substring("series", 1, 1).cast("int") * 1000
+    return days.select("series", "day", (level + 0.5 * number + 50 * F.sin(2 * 3.141592653589793 * F.dayofweek("day") / 7)).alias("y"))
+
+
+def _planted_backtest(spark, sf):
+    daily = forecasting.daily_series(_planted_series(spark, sf), "day", "y", ["series"])
+    return forecasting.backtest(daily).select("series", "model", (F.col("mape") <= 0.02).alias("within_2_percent"))
+
+
+register(
+    "backtest_planted",
+    _planted_backtest,
+    f"SELECT DISTINCT o_orderpriority AS series, model, TRUE AS within_2_percent FROM orders, (SELECT UNNEST({list(_MODELS)}) AS model)",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns, fixed
-from ..operators import anomaly, operations, profiling, scoring
+from ..operators import anomaly, forecasting, operations, profiling, scoring
 from ..session import new_folder
 from ..sources import files, sinks
 from ..streaming import events as streams
@@ -164,6 +164,33 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY confidence DES
 SELECT 'value' AS "column", 'outlier' AS type, UPPER(severity) AS severity, event_id::VARCHAR AS row_key FROM r WHERE k = 1""",
 )
 
+register(
+    "report_recommendations",
+    lambda spark, sf: _reports(spark, sf)["recommendations"],
+    f"""WITH {_FACTS} SELECT 'MEDIUM' AS priority, 'Address: ' || SUBSTRING('Dataset contains ' || format('{{:,}}', n) || ' rows across 5 columns', 1, 40) AS title,
+  'Basic dataset dimensions are confirmed and ready for analysis.' AS situation, 'Review this finding with your data team and define next steps.' AS action FROM s""",
+)
+register(
+    "report_forecasts",
+    lambda spark, sf: _forecast_section(spark, sf),
+    """WITH d AS (SELECT event_type AS series, MAX(ts)::DATE AS last FROM events GROUP BY 1)
+SELECT series, STRFTIME(last + k::INTEGER, '%Y-%m-%d') AS date, TRUE AS in_band FROM d, (SELECT UNNEST(range(1, 8)) AS k)""",
+)
+
+
+def _forecast_section(spark, sf):
+    """The forecasts of the printed report: a week a series, each inside its band."""
+    daily = forecasting.daily_series(table(spark, sf, "events"), "ts", "value", ["event_type"])
+    p = _profile(spark, sf)
+    insights = scoring.basic_insights(p.table)
+    none = anomaly.detect_anomalies(_shares(spark, sf), ["event_id"], {"value": "numeric_measure"}, forest=False)
+    forecasts = forecasting.model_forecast(daily, "seasonal_trend", 30)
+    sections = scoring.report_tables(
+        scoring.kpi_cards(p), insights, none, scoring.basic_recommendations(insights), forecasts, key=["event_id"], max_points=7
+    )
+    return sections["forecasts"].select("series", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("forecast").between(F.col("lower"), F.col("upper")).alias("in_band"))
+
+
 # ── usage, metrics, lifecycle ───────────────────────────────────────────────
 
 

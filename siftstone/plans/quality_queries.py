@@ -155,6 +155,24 @@ SELECT event_id, 'unit', 'rule_violation', 'Rule', 'medium', 0.95 FROM events"""
 )
 
 
+def _routed_with_forest(spark, sf):
+    """Orders of which every 1,500th is far off in two measures together, routed with the defaults: what each method finds of them."""
+    far = F.col("o_orderkey") % 1500 == 0
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(far, 9e8).otherwise(F.col("o_totalprice")).alias("price"), F.when(far, 8e8).otherwise(F.col("o_custkey")).alias("customer")
+    )
+    found = anomaly.detect_anomalies(orders, ["o_orderkey"], {"price": "numeric_measure", "customer": "numeric_measure"}, max_per_column=None)
+    hits = found.where(F.col("o_orderkey") % 1500 == 0).groupBy("detection_method").agg(F.count_distinct("o_orderkey").alias("planted_found"))
+    return hits.where(F.col("detection_method").isin("ZScore", "IsolationForest"))
+
+
+register(
+    "routed_with_forest",
+    _routed_with_forest,
+    "SELECT m AS detection_method, COUNT(*) FILTER (o_orderkey % 1500 = 0) AS planted_found FROM orders, (SELECT UNNEST(['ZScore', 'IsolationForest']) AS m) GROUP BY m",
+)
+
+
 def _alerts(spark, sf):
     found = anomaly.two_method_candidates(_shares(spark, sf), ["event_id"], "value", limit=None)
     return found.select(

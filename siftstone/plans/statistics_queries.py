@@ -330,6 +330,35 @@ register(
     "fitted_distribution",
     lambda spark, sf: relations.fit_distribution(table(spark, sf, "events"), "value"),
 )
+
+
+def _planted_fits(spark, sf):
+    """Orders turned into values of known distributions by evenly spread fractions of their keys; which family is found, and how near its parameters are."""
+    part = lambda step: F.greatest(F.pmod(F.col("key") * F.lit(step) + 0.5, F.lit(1.0)), F.lit(1e-9))
+    u, v, w = (part(step) for step in (0.8191725133961645, 0.6710436067037893, 0.5497004779019703))
+    orders = table(spark, sf, "orders").select(F.explode(F.sequence(F.col("o_orderkey") * 8, F.col("o_orderkey") * 8 + 7)).alias("key"))
+    planted = {
+        "gamma": (-2 * (F.ln(u) + F.ln(v) + F.ln(w)), {"shape": 3.0, "scale": 2.0}),  # three waits of mean 2
+        "beta": (F.pow(F.sin(1.5707963267948966 * u), F.lit(2.0)), {"a": 0.5, "b": 0.5}),  # the arcsine law
+        "lognorm": (F.exp(1 + 0.5 * F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)), {"log_mean": 1.0, "log_stddev": 0.5}),
+        "norm": (10 + 3 * F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v), {"mean": 10.0, "stddev": 3.0}),
+    }
+    found = None
+    for name, (value, parameters) in planted.items():
+        fit = relations.fit_distribution(orders.select(value.alias("x")), "x")
+        near = F.lit(True)
+        for key, true in parameters.items():
+            near = near & (F.abs(F.col("parameters")[key] - true) <= 0.02 * true)
+        row = fit.select(F.lit(name).alias("planted"), "distribution", F.coalesce(near, F.lit(False)).alias("parameters_close"), "is_good_fit")
+        found = row if found is None else found.unionAll(row)
+    return found
+
+
+register(
+    "fitted_planted",
+    _planted_fits,
+    "SELECT p AS planted, p AS distribution, TRUE AS parameters_close, TRUE AS is_good_fit FROM (SELECT UNNEST(['gamma', 'beta', 'lognorm', 'norm']) AS p)",
+)
 register(
     "mape_by_group",
     lambda spark, sf: relations.mape(

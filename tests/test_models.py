@@ -78,3 +78,24 @@ def test_viability_and_fallback(spark, monkeypatch):
     monkeypatch.setattr(forecasting, "_predict", lambda *a: None)
     fallen = forecasting.forecast(days, "day", "sales_amount", horizon=3)
     assert {r.model for r in fallen.collect()} == {"boosted_trees"} and fallen.count() == 3
+
+
+def test_likelihood_of_shapes():
+    """Newton's answers are where the likelihood is greatest."""
+    import math
+
+    import numpy as np
+
+    from siftstone.functions import distributions as dist
+
+    assert abs(dist.digamma(1.0) + 0.5772156649015329) < 1e-12 and abs(dist.trigamma(1.0) - math.pi**2 / 6) < 1e-10
+    random = np.random.default_rng(4)
+    x = random.gamma(2.5, 3.0, 5000)
+    a = dist.gamma_shape(x.mean(), np.log(x).mean())
+    like = lambda a: (a - 1) * np.log(x).mean() - a - math.lgamma(a) - a * math.log(x.mean() / a)
+    assert abs(a - 2.5) < 0.1 and all(like(a) >= like(a + d) for d in (-0.01, 0.01))
+    y = random.beta(0.7, 4.0, 5000)
+    p, q = dist.beta_shapes(np.log(y).mean(), np.log1p(-y).mean(), 1.0, 1.0)
+    of = lambda p, q: (p - 1) * np.log(y).mean() + (q - 1) * np.log1p(-y).mean() - math.lgamma(p) - math.lgamma(q) + math.lgamma(p + q)
+    assert abs(p - 0.7) < 0.05 and all(of(p, q) >= of(p + d, q + e) for d in (-0.01, 0.01) for e in (-0.02, 0.02))
+    assert dist.gamma_shape(3.0, math.log(3.0)) is None
