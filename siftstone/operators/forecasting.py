@@ -38,21 +38,111 @@ def _season(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.hstack([np.sin(angle), np.cos(angle)])
 
 
-def _trend_model(days: np.ndarray, y: np.ndarray, future: np.ndarray):
-    """Ridge regression on a line, a yearly and a weekly wave."""
+#: Changes of trend are looked for at up to so many places, evenly over the first part of a series.
+CHANGE_PLACES, CHANGE_RANGE = 120, 0.9
+#: Fewest days for changes to be looked for, and most of them in one series.
+CHANGE_DAYS, MOST_CHANGES = 60, 10
+
+
+def _lasso(gram: np.ndarray, target: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Coordinate descent for ``b'Gb / 2 - t'b + penalty * |b|``."""
+    b, pull = start.copy(), gram @ start
+    for _ in range(rounds):
+        moved = 0.0
+        for j in np.flatnonzero((b != 0) | (np.abs(target - pull) > penalty)):
+            if gram[j, j] <= 1e-12:
+                continue
+            free = target[j] - pull[j] + gram[j, j] * b[j]
+            new = np.sign(free) * max(abs(free) - penalty, 0.0) / gram[j, j]
+            if new != b[j]:
+                pull += gram[:, j] * (new - b[j])
+                moved, b[j] = max(moved, abs(new - b[j]) * np.sqrt(gram[j, j])), new
+        if moved < 1e-9 * (1 + np.abs(b).max()):
+            break
+    return b
+
+
+def _hinges(days: np.ndarray, changes: np.ndarray, span: float) -> np.ndarray:
+    return np.maximum(days[:, None] - np.asarray(changes, float)[None, :], 0.0) / span
+
+
+def _trend_changes(days: np.ndarray, y: np.ndarray, x: np.ndarray, span: float) -> np.ndarray:
+    """Days on which the slope changes; none where a straight line does (by the Bayesian criterion).
+
+    Slopes may change at many places, and the sum of the changes' sizes is penalised. Along the penalty's path neighbouring places count as one
+    change; of the sets found, each moved to where it fits best, the one with the best criterion stays.
+    """
+    n = len(days)
+    if n < CHANGE_DAYS or np.ptp(y) == 0:
+        return np.zeros(0)
+    places = np.linspace(days[0], days[0] + CHANGE_RANGE * span, min(CHANGE_PLACES, n // 4) + 2)[1:-1]
+    basis, _ = np.linalg.qr(x)
+    rest = lambda m: m - basis @ (basis.T @ m)
+    bends, residual = rest(_hinges(days, places, span)), rest(y)
+    size = np.sqrt((bends**2).sum(axis=0))
+    bends = bends / np.where(size < 1e-12, 1.0, size)
+    gram, target = bends.T @ bends, bends.T @ residual
+
+    def criterion(changes):
+        bent = rest(_hinges(days, changes, span)) if len(changes) else np.zeros((n, 0))
+        left = residual - bent @ np.linalg.lstsq(bent, residual, rcond=None)[0] if len(changes) else residual
+        # a change costs its place and its size
+        return n * np.log(max(float(left @ left) / n, 1e-18)) + 2 * len(changes) * np.log(n)
+
+    best, score, b = np.zeros(0), criterion(np.zeros(0)), np.zeros(len(places))
+    seen = set()
+    for penalty in np.abs(target).max() * np.geomspace(0.9, 0.01, 14):
+        b = _lasso(gram, target, penalty, b)
+        active = np.flatnonzero(b)
+        groups = np.split(active, np.flatnonzero(np.diff(active) > 2) + 1) if len(active) else []
+        if not groups or len(groups) > MOST_CHANGES:
+            continue
+        changes = np.array([np.average(places[g], weights=np.abs(b[g])) for g in groups])
+        key = tuple(np.round(changes))
+        if key in seen:
+            continue
+        seen.add(key)
+        step = places[1] - places[0] if len(places) > 1 else 1.0
+        while step >= 0.5:  # each change moves while that fits better
+            for k in range(len(changes)):
+                tries = [np.concatenate((changes[:k], [changes[k] + d], changes[k + 1 :])) for d in (-step, 0.0, step)]
+                changes = min(tries, key=criterion)
+            step /= 2
+        while len(changes):  # and goes where it is not worth its cost
+            fewer = min((np.delete(changes, k) for k in range(len(changes))), key=criterion)
+            if criterion(fewer) > criterion(changes):
+                break
+            changes = fewer
+        if criterion(changes) < score - 1e-9:
+            best, score = changes, criterion(changes)
+    return np.sort(best)
+
+
+def _trend_fit(days: np.ndarray, y: np.ndarray, changing: bool = True):
+    """Ridge regression on a line that may bend, a yearly and a weekly wave: the design of any days, coefficients, days of the bends."""
     origin, span = days[0], max(days[-1] - days[0], 1.0)
 
-    def design(d):
+    def straight(d):
         line = np.column_stack([np.ones(len(d)), (d - origin) / span])
         return np.hstack([line, _season(d, 7.0, 3), _season(d, 365.25, 5)])
 
+    changes = _trend_changes(days, y, straight(days), span) if changing else np.zeros(0)
+    design = lambda d: np.hstack([straight(d), _hinges(d, changes, span)])
     x = design(days)
     penalty = np.full(x.shape[1], 1.0)
     penalty[:2] = 1e-8
+    penalty[x.shape[1] - len(changes) :] = 1e-8
     beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
-    spread = float(np.std(y - x @ beta))
+    return design, beta, changes
+
+
+def _trend_model(days: np.ndarray, y: np.ndarray, future: np.ndarray, changing: bool = True):
+    """The bending line and the waves, carried on."""
+    design, beta, changes = _trend_fit(days, y, changing)
+    spread = float(np.std(y - design(days) @ beta))
     ahead = design(future)
-    line = ahead[:, :2] @ beta[:2]
+    parts = [0, 1, *range(len(beta) - len(changes), len(beta))]
+    line = ahead[:, parts] @ beta[parts]
     value = ahead @ beta
     band = 1.96 * spread * np.ones(len(future))
     return value, band, float(line[-1] - line[0])
@@ -100,9 +190,9 @@ def _predict(model: str, part: pd.DataFrame, horizon: int) -> pd.DataFrame | Non
     if len(y) < MIN_POINTS:
         return None
     future = pd.date_range(dates.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D")
-    if model == "seasonal_trend":
+    if model in ("seasonal_trend", "straight_trend"):
         days = lambda d: (d - pd.Timestamp("1970-01-01")).days.to_numpy(dtype=float)
-        found = _trend_model(days(pd.DatetimeIndex(dates)), y, days(future))
+        found = _trend_model(days(pd.DatetimeIndex(dates)), y, days(future), model == "seasonal_trend")
     else:
         found = _ar_model(y, horizon)
     if found is None:
@@ -118,8 +208,11 @@ def _predict(model: str, part: pd.DataFrame, horizon: int) -> pd.DataFrame | Non
 
 
 def model_forecast(series: DataFrame, model: str, horizon: int = 30) -> DataFrame:
-    """30 days ahead with a 95 % band, each series fitted in its own task; under ten points no rows."""
-    if model not in ("seasonal_trend", "seasonal_ar"):
+    """30 days ahead with a 95 % band, each series fitted in its own task; under ten points no rows.
+
+    ``seasonal_trend`` has a line that may bend, ``straight_trend`` one that does not; ``seasonal_ar`` is an autoregression.
+    """
+    if model not in ("seasonal_trend", "straight_trend", "seasonal_ar"):
         raise ValueError(f"unknown model: {model!r}")
     names = [f.split()[0] for f in FORECAST.split(", ")]
 
@@ -130,6 +223,22 @@ def model_forecast(series: DataFrame, model: str, horizon: int = 30) -> DataFram
     return series.groupBy("series").applyInPandas(fit, FORECAST)
 
 
+def trend_changes(series: DataFrame) -> DataFrame:
+    """``series, ts, slope_before, slope_after``: where the trend of each series changes, and its slope a day on either side."""
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ts")
+        days = (pd.DatetimeIndex(pd.to_datetime(part["ts"])) - pd.Timestamp("1970-01-01")).days.to_numpy(dtype=float)
+        _, beta, changes = _trend_fit(days, part["y"].to_numpy(dtype=float)) if len(part) >= MIN_POINTS else (None, np.zeros(2), np.zeros(0))
+        slopes = np.cumsum(np.concatenate(([beta[1]], beta[len(beta) - len(changes) :]))) / max(days[-1] - days[0], 1.0)
+        return pd.DataFrame({
+            "series": [part["series"].iloc[0]] * len(changes), "ts": (pd.Timestamp("1970-01-01") + pd.to_timedelta(np.round(changes), unit="D")).date,
+            "slope_before": slopes[:-1], "slope_after": slopes[1:],
+        })
+
+    return series.groupBy("series").applyInPandas(find, "series string, ts date, slope_before double, slope_after double")
+
+
 # ── boosted trees over lags ─────────────────────────────────────────────────
 
 

@@ -93,6 +93,36 @@ register(
 )
 
 
+def _bent_series(spark, sf):
+    """The planted series with a slope that turns round on a day two thirds into them, and some noise by hash."""
+    daily = forecasting.daily_series(_planted_series(spark, sf), "day", "y", ["series"])
+    noise = (F.pmod(F.xxhash64("series", "ts"), F.lit(2001)) - 1000) / 1000 * 20
+    return daily.withColumn("y", F.col("y") - 1.5 * F.greatest(F.datediff("ts", F.lit(_BEND).cast("date")), F.lit(0)) + noise)
+
+
+_BEND = "1996-08-01"
+
+
+def _changes_found(spark, sf):
+    """Whether the planted change is found within a week, alone, with its slopes; and whether the bent line forecasts better than the straight one."""
+    bent = _bent_series(spark, sf)
+    changes = forecasting.trend_changes(bent).groupBy("series").agg(
+        F.count("*").alias("changes"), F.max(F.abs(F.datediff("ts", F.lit(_BEND).cast("date"))) <= 7).alias("within_a_week"),
+        F.max((F.abs(F.col("slope_before") - 0.5) < 0.05) & (F.abs(F.col("slope_after") + 1) < 0.05)).alias("slopes_close"),
+    )
+    errors = forecasting.backtest(bent, ["seasonal_trend", "straight_trend"]).groupBy("series").agg(
+        (F.max(F.when(F.col("model") == "seasonal_trend", F.col("mape"))) < 0.5 * F.max(F.when(F.col("model") == "straight_trend", F.col("mape")))).alias("better")
+    )
+    return changes.join(errors, "series")
+
+
+register(
+    "trend_changes",
+    _changes_found,
+    "SELECT DISTINCT o_orderpriority AS series, 1 AS changes, TRUE AS within_a_week, TRUE AS slopes_close, TRUE AS better FROM orders",
+)
+
+
 def _planted(spark, sf):
     """Orders of which every 3,000th lies far off in both columns."""
     far = F.col("o_orderkey") % 3000 == 0

@@ -99,3 +99,24 @@ def test_likelihood_of_shapes():
     of = lambda p, q: (p - 1) * np.log(y).mean() + (q - 1) * np.log1p(-y).mean() - math.lgamma(p) - math.lgamma(q) + math.lgamma(p + q)
     assert abs(p - 0.7) < 0.05 and all(of(p, q) >= of(p + d, q + e) for d in (-0.01, 0.01) for e in (-0.02, 0.02))
     assert dist.gamma_shape(3.0, math.log(3.0)) is None
+
+
+def test_trend_changes_of_one_series():
+    import numpy as np
+
+    from siftstone.operators import forecasting
+
+    random, days = np.random.default_rng(2), np.arange(9000.0, 9600.0)
+    wave = 8 * np.sin(2 * np.pi * days / 7)
+    straight = 100 + 0.3 * (days - 9000) + wave + random.normal(0, 3, len(days))
+    assert len(forecasting._trend_fit(days, straight)[2]) == 0
+    bent = straight - 0.9 * np.maximum(days - 9210, 0) + 1.5 * np.maximum(days - 9430, 0)
+    changes = forecasting._trend_fit(days, bent)[2]
+    assert len(changes) == 2 and abs(changes[0] - 9210) <= 7 and abs(changes[1] - 9430) <= 7
+    ahead = np.arange(9600.0, 9630.0)
+    truth = 100 + 0.3 * (ahead - 9000) - 0.9 * (ahead - 9210) + 1.5 * (ahead - 9430) + 8 * np.sin(2 * np.pi * ahead / 7)
+    errors = [np.abs(forecasting._trend_model(days, bent, ahead, changing)[0] - truth).mean() for changing in (True, False)]
+    assert errors[0] < 5 and errors[0] < 0.3 * errors[1]
+    for y in (np.zeros(600), random.normal(0, 1, 600), np.arange(600.0)):
+        assert len(forecasting._trend_fit(days, y)[2]) == 0
+    assert len(forecasting._trend_fit(days[:20], bent[:20])[2]) == 0
