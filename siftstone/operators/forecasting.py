@@ -124,7 +124,8 @@ def _trend_fit(days: np.ndarray, y: np.ndarray, changing: bool = True):
 
     def straight(d):
         line = np.column_stack([np.ones(len(d)), (d - origin) / span])
-        return np.hstack([line, _season(d, 7.0, 3), _season(d, 365.25, 5)])
+        # a yearly wave needs two years to be told from a trend
+        return np.hstack([line, _season(d, 7.0, 3), _season(d, 365.25, 5 if span >= 2 * 365 else 0)])
 
     changes = _trend_changes(days, y, straight(days), span) if changing else np.zeros(0)
     design = lambda d: np.hstack([straight(d), _hinges(d, changes, span)])
