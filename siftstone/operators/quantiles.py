@@ -82,9 +82,9 @@ def grouped_quantiles(
 
 
 def counted_quantiles(
-    counted: DataFrame, by: Sequence[str], shares: Sequence[float], cuts: Sequence[float] = ()
+    counted: DataFrame, by: Sequence[str], shares: Sequence[float], cuts: Sequence[float] = (), distinct: bool = False
 ) -> DataFrame:
-    """Quantiles of a value-count relation (``by…, v, n``, one row per distinct value)."""
+    """Quantiles of a value-count relation (``by…, v, n``, one row per distinct value); with ``distinct`` also ``unique_count``, its rows."""
     by = list(by)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     total = F.col("_total")
@@ -97,8 +97,9 @@ def counted_quantiles(
         placed = with_bucket(counted, "v", cuts)
         cells = (
             placed.groupBy(*by, "_bucket")
-            .agg(F.sum("n").alias("_cell"))
+            .agg(F.sum("n").alias("_cell"), F.count("*").alias("_rows"))
             .withColumn("_total", F.sum("_cell").over(group))
+            .withColumn("_distinct", F.sum("_rows").over(group))
             .withColumn(
                 "_start",
                 F.coalesce(
@@ -112,16 +113,17 @@ def counted_quantiles(
             _, low, high = positions(share)
             for rank in (low, high):
                 wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_cell")))
-        cells = cells.where(wanted).select(*by, "_bucket", "_start", "_total")
+        cells = cells.where(wanted).select(*by, "_bucket", "_start", "_total", "_distinct")
         values = join_null_safe(placed, cells, [*by, "_bucket"])
         inside = Window.partitionBy(*by, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         values = values.withColumn("_end", F.col("_start") + F.sum("n").over(inside))
     else:
         running = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         values = counted.withColumn("_end", F.sum("n").over(running)).withColumn("_total", F.sum("n").over(group))
+        values = values.withColumn("_distinct", F.count("*").over(group))
     begin, end = F.col("_end") - F.col("n"), F.col("_end")
 
-    picks = [F.max("_total").alias("_total")]
+    picks = [F.max("_total").alias("_total"), F.max("_distinct").alias("unique_count")]
     useful = F.lit(False)
     for i, share in enumerate(shares):
         _, low, high = positions(share)
@@ -134,4 +136,4 @@ def counted_quantiles(
     for i, share in enumerate(shares):
         at, low, _ = positions(share)
         quantiles.append(F.col(f"_lo{i}") + (at - low) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-    return found.select(*by, F.array(*quantiles).alias("q"))
+    return found.select(*by, F.array(*quantiles).alias("q"), *(["unique_count"] if distinct else []))

@@ -241,9 +241,8 @@ def column_statistics(
         quantiles = column_quantiles(df, columns, SHARES, approx=True)
     else:
         values = numeric_values(value_relation(df, columns))
-        distinct = values.groupBy("column_name").agg(F.count("*").alias("unique_count"))
-        base = narrow_moments(df, columns).join(F.broadcast(distinct), "column_name", "left")
-        quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, columns, rows))
+        base = narrow_moments(df, columns)
+        quantiles = counted_quantiles(values, ["column_name"], SHARES, shared_cuts(df, columns, rows), distinct=True)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     q = F.col("q")
     iqr = q[3] - q[1]
