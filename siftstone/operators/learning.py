@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import number, numeric_columns, ref
+from ..session import SPREAD_ROWS
 from .quantiles import column_quantiles
 from .statistics import distinct_counts, top_value_counts
 
@@ -66,6 +68,15 @@ def engineer_features(
     return Features(data, list(columns))
 
 
+def _dealt(data: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows beyond one task's share dealt out by key, in a fixed order, as the bagging follows it.
+
+    Every task hands on its statistics of all nodes of the trees, so there are no more tasks than a few per core.
+    """
+    tasks = min(math.ceil(data.count() / SPREAD_ROWS), 2 * data.sparkSession.sparkContext.defaultParallelism)
+    return data.repartition(tasks, *[ref(k) for k in key]).sortWithinPartitions(*[ref(c) for c in data.columns]) if tasks > 1 else data
+
+
 @dataclass(frozen=True)
 class Learned:
     """One-row summary, the ten most important features, the fitted model."""
@@ -105,7 +116,7 @@ def learn(
     features = engineer_features(df, types, keep=[*key, target])
     if not features.names:
         raise ValueError("no usable features")
-    data = features.data
+    data = _dealt(features.data, key)
     if classify:
         text = F.coalesce(ref(target).cast("string"), F.lit("0"))
         classes = sorted(r[0] for r in data.select(text).distinct().collect())  # at most 21 values

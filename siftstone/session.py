@@ -3,6 +3,7 @@ shared folder used for checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -73,6 +74,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/siftstone-{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of a task whose work per row is dear (regular expressions, trees).
+SPREAD_ROWS = 20_000
+
+
+def spread(df: DataFrame, rows: int | None = None, task_rows: int | None = None) -> DataFrame:
+    """The same rows in tasks of about ``SPREAD_ROWS``: a small file is one task, however many rows it has. Few rows stay where they are."""
+    tasks = math.ceil((df.count() if rows is None else rows) / (task_rows or SPREAD_ROWS))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     context = df.sparkSession.sparkContext
