@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import keyword_index, profiling, relations, retrieval, scoring, screening, vector_index
-from ..session import new_folder
+from ..session import new_folder, spread
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -174,7 +174,7 @@ _BIAS_ROWS = [(n, s, p) for n, s, _, ps in fixed.BIAS_PATTERNS for p in ps]
 
 
 def _claims(spark, sf):
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey",
         F.concat(
             F.lit("The data proves that p_retailprice is "), F.format_string("%.2f", F.col("p_retailprice") * 1.2),
@@ -265,7 +265,7 @@ SELECT p_partkey, COALESCE(claim_issues, 0) AS claim_issues, bias_score, is_vali
 
 def _query_texts(spark, sf):
     size, name = F.col("p_size"), F.col("p_name")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey",
         F.when(size < 8, F.concat(F.lit("SELECT * FROM dataset WHERE name = '"), name, F.lit("' LIMIT 10")))
         .when(size < 15, F.concat(F.lit("```sql\nselect count(*) from dataset where x = '"), name, F.lit("'\n```")))
