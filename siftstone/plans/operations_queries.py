@@ -395,28 +395,44 @@ def _stored_statistics(spark, sf):
 # ── files and keys ──────────────────────────────────────────────────────────
 
 
-def _landed(df, key, folder, form, **options):
-    """One file per key value, below a folder named after it."""
-    df.repartition(key).write.mode("append").partitionBy(key).format(form).options(**options).save(folder)
+#: Rows of a landed file, at most about: of long texts, and of narrow rows.
+TEXT_ROWS, NARROW_ROWS = 20_000, 500_000
+
+
+def _landed(df, key, folder, form, rows=NARROW_ROWS, **options):
+    """One file per key value, below a folder named after it; a value of more than ``rows`` rows has several, by a hash of the row, each from a task of its own."""
+    counted = df.groupBy(key).agg(F.ceil(F.count("*") / rows).alias("_files"))
+    size = counted.agg(F.sum("_files").alias("files"), F.count("*").alias("keys")).first()
+    if size.keys and size.files > size.keys:
+        dealt = columns.join_null_safe(df, F.broadcast(counted), [key]).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+        dealt = dealt.repartition(4 * size.files, key, "_file").select(*df.columns)
+    else:
+        dealt = df.repartition(key)
+    dealt.write.mode("append").partitionBy(key).format(form).options(**options).save(folder)
 
 
 def _landing_catalog(spark, sf):
-    """Documents and orders written in several layouts, a folder per language or priority, and catalogued from samples of the files."""
+    """Documents and orders written in several layouts, a folder per language or priority, and catalogued from samples of the files; a row per folder and layout.
+
+    Of a folder's files few may show letters beyond ASCII; one that is Latin-1 makes the folder so.
+    """
     folder = new_folder(spark, "landing")
     # few letters of the English texts are beyond ASCII, so that samples may miss them; without them the answer is one
     plain = F.when(F.col("lang") == "en", F.regexp_replace("text", r"[^\x00-\x7F]", "")).otherwise(F.col("text"))
     docs = table(spark, sf, "documents").select("doc_id", plain.alias("text"), "n_chars", F.concat("lang", F.lit("-latin")).alias("kind"))
-    _landed(docs, "kind", f"{folder}/csv", "csv", header=True, encoding="ISO-8859-1", quoteAll=True, escape='"')
-    _landed(docs.withColumn("kind", F.regexp_replace("kind", "latin", "utf")), "kind", f"{folder}/csv", "csv", header=True, quoteAll=True, escape='"')
+    _landed(docs, "kind", f"{folder}/csv", "csv", TEXT_ROWS, header=True, encoding="ISO-8859-1", quoteAll=True, escape='"')
+    _landed(docs.withColumn("kind", F.regexp_replace("kind", "latin", "utf")), "kind", f"{folder}/csv", "csv", TEXT_ROWS, header=True, quoteAll=True, escape='"')
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderpriority").substr(1, 1).alias("kind"))
     _landed(orders, "kind", f"{folder}/rows", "csv", header=True, sep=";")
     _landed(orders, "kind", f"{folder}/lines", "json")
     _landed(orders, "kind", f"{folder}/columns", "parquet")
     place = F.regexp_extract("path", r"/(csv|rows|lines|columns)/kind=([^/]+)/", 1)
-    return files.catalog_files(spark, folder).select(
+    found = files.catalog_files(spark, folder).select(
         place.alias("place"), F.regexp_extract("path", r"/kind=([^/]+)/", 1).alias("kind"), "format", "encoding",
         F.when(place == "rows", F.col("delimiter")).alias("delimiter"), "has_quotes", "is_newline_json",
     )
+    layout = [c for c in found.columns if c != "encoding"]
+    return found.groupBy(*layout).agg(F.min("encoding").alias("encoding")).select(*found.columns)
 
 
 register(

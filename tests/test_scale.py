@@ -31,3 +31,25 @@ def test_a_forest_is_trained_in_several_tasks_and_always_alike(spark, monkeypatc
     assert learning._dealt(rows, ["id"]).rdd.getNumPartitions() == 6
     first, again = (learning.learn(rows, "y", types, ["id"], trees=5).importances.collect() for _ in range(2))
     assert first == again and first[0].feature == "a" and first[0].importance > 0.9
+
+
+def test_a_large_key_lands_in_several_files(spark, tmp_path):
+    from siftstone.plans import operations_queries as queries
+
+    rows = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 10 == 0, "small").when(F.col("id") > 3, "large").alias("kind"))
+    queries._landed(rows, "kind", str(tmp_path / "out"), "parquet", 100)
+    read = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, read.select("id", "kind").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    sizes = read.groupBy("kind", F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) < 350 and sum(r.kind == "large" for r in sizes) > 4 and sum(r.kind == "small" for r in sizes) == 1
+    queries._landed(rows, "kind", str(tmp_path / "few"), "parquet")
+    assert len(list((tmp_path / "few").glob("*/part-*"))) == 3
+
+
+def test_a_folder_of_several_files_is_one_row(spark, folder, monkeypatch):
+    from siftstone.plans import operations_queries as queries
+
+    whole = sorted(map(tuple, queries._landing_catalog(spark, folder).collect()), key=str)
+    monkeypatch.setattr(queries, "TEXT_ROWS", 10)
+    monkeypatch.setattr(queries._landed, "__defaults__", (100,))
+    assert sorted(map(tuple, queries._landing_catalog(spark, folder).collect()), key=str) == whole
