@@ -486,7 +486,7 @@ def _late_quotes(spark, sf):
     options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     fits = ~F.col("text").rlike("[^\\x00-\\xFF]")
     docs.where(latin & fits).write.options(**options).csv(f"{folder}/latin", encoding="ISO-8859-1")
-    docs.where(~(latin & fits)).orderBy(first).write.options(**options).csv(f"{folder}/utf")
+    docs.where(~(latin & fits)).orderBy(first, "doc_id").write.options(**options).csv(f"{folder}/utf")
     return files.load_dataset(spark, folder, "csv").select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 

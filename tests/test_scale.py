@@ -53,3 +53,16 @@ def test_a_folder_of_several_files_is_one_row(spark, folder, monkeypatch):
     monkeypatch.setattr(queries, "TEXT_ROWS", 10)
     monkeypatch.setattr(queries._landed, "__defaults__", (100,))
     assert sorted(map(tuple, queries._landing_catalog(spark, folder).collect()), key=str) == whole
+
+
+def test_quoted_documents_are_written_by_many_tasks(spark, folder, tmp_path, monkeypatch):
+    from siftstone.plans import operations_queries as queries
+
+    monkeypatch.setattr(queries, "new_folder", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries._late_quotes(spark, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [f.stat().st_size for f in (tmp_path / "quoted/utf").glob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < 0.4 * sum(sizes)
