@@ -93,6 +93,10 @@ def correlations(
     )
 
 
+#: Ranks of so many distinct values are broadcast; of more they are joined by a shuffle.
+BROADCAST_VALUES = 500_000
+
+
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rank correlation of complete rows.
 
@@ -101,11 +105,16 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = sorted(columns)
     ranked = cut_lineage(df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]).dropna())
-    rows = ranked.count()
+    complete, rows = ranked, ranked.count()
+    lookups = []
     for i in range(len(columns)):
-        counted = ranked.groupBy(f"v{i}").agg(F.count("*").alias("n"))
-        before = running_total(counted, f"v{i}", "n", cut_points(ranked, f"v{i}", rows))
-        ranks = before.select(F.col(f"v{i}").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{i:04d}"))
+        # counted from the rows themselves, not behind the other columns' joins
+        counted = complete.groupBy(f"v{i}").agg(F.count("*").alias("n"))
+        before = running_total(counted, f"v{i}", "n", cut_points(complete, f"v{i}", rows))
+        ranks = cut_lineage(before.select(F.col(f"v{i}").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{i:04d}")))
+        lookups.append((ranks.count(), i, ranks))
+    for distinct, i, ranks in sorted(lookups, key=lambda x: x[:2]):  # few values first: those rows are not shuffled
+        ranks = F.broadcast(ranks) if distinct <= BROADCAST_VALUES else ranks
         ranked = ranked.join(ranks, F.col(f"v{i}") == F.col("_v")).drop("_v", f"v{i}")
     found = pair_correlations(ranked, [f"r{i:04d}" for i in range(len(columns))])
     names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"r{i:04d}", c)])

@@ -66,3 +66,18 @@ def test_quoted_documents_are_written_by_many_tasks(spark, folder, tmp_path, mon
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [f.stat().st_size for f in (tmp_path / "quoted/utf").glob("part-*")]
     assert len(sizes) > 4 and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_ranks_are_counted_without_the_other_columns_joins(spark, monkeypatch):
+    from siftstone.operators import relations
+
+    seen, cuts = [], relations.cut_points
+    monkeypatch.setattr(relations, "cut_points", lambda df, *more: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or cuts(df, *more))
+    rows = spark.range(200).select((F.col("id") % 3).alias("a"), (F.col("id") * 7 % 11).alias("b"), (-F.col("id")).alias("c"))
+    few = relations.spearman(rows, ["a", "b", "c"]).orderBy("col_a", "col_b").collect()
+    assert len(seen) == 3 and not any("Join" in plan for plan in seen)
+    monkeypatch.setattr(relations, "BROADCAST_VALUES", 0)
+    again = relations.spearman(rows, ["a", "b", "c"]).orderBy("col_a", "col_b").collect()
+    want = rows.toPandas().corr("spearman")
+    assert [(r.col_a, r.col_b, r.n) for r in few] == [("a", "b", 200), ("a", "c", 200), ("b", "c", 200)]
+    assert all(abs(r.r - want[r.col_a][r.col_b]) < 1e-9 and abs(r.r - s.r) < 1e-9 for r, s in zip(few, again))
