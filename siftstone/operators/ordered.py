@@ -86,7 +86,8 @@ def running_total(
         )
         .drop("_in_bucket")
     )
-    return join_null_safe(local, earlier, [*by, "_bucket"]).select(
+    # without groups a row per task: the running rows stay where they are
+    return join_null_safe(local, earlier if by else F.broadcast(earlier), [*by, "_bucket"]).select(
         *df.columns, (F.col("_local") + F.col("_earlier")).alias(name)
     )
 

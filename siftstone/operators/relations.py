@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,13 +271,48 @@ def mape(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) ->
     )
 
 
+#: Values between two points at which a distribution is computed first, and values looked at together.
+GAP_STEP, GAP_ROWS = 64, 250_000
+
+
+def _joined(batches, rows: int):
+    """Tables of about so many rows from smaller Arrow batches."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _widest_gap(cdf, v: np.ndarray, below: np.ndarray, upto: np.ndarray, most: float) -> float:
+    """The widest gap between a distribution and the empirical one at the sorted values ``v`` (which rises from ``below`` to ``upto`` at each), or ``most`` if that is wider.
+
+    Both curves rise, so that their values at two points bound every gap in between; only where that bound exceeds what is found, the distribution is computed at
+    each value.
+    """
+    edges = np.unique(np.append(np.arange(0, len(v), GAP_STEP), len(v) - 1))
+    at = cdf(v[edges])
+    most = max(most, float(np.maximum(upto[edges] - at, at - below[edges]).max()))
+    bound = np.maximum(upto[edges[1:]] - at[:-1], at[1:] - below[edges[:-1]])
+    open_ = np.flatnonzero(bound > most - 1e-9)
+    inner = np.concatenate([np.arange(edges[k] + 1, edges[k + 1]) for k in open_]) if len(open_) else edges[:0]
+    if len(inner):
+        at = cdf(v[inner])
+        most = max(most, float(np.maximum(upto[inner] - at, at - below[inner]).max()))
+    return most
+
+
 def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -> DataFrame:
     """Best of normal, exponential, log-normal, gamma and beta by the KS statistic.
 
     Parameters are the likeliest ones; they follow from means, mean logarithms and bounds (two aggregates), for gamma and beta by Newton steps on
     those. The beta lies between the least and the greatest value, which themselves have no likelihood under it. The empirical distribution is
     a bucketed running count over distinct values, the CDFs run on Arrow
-    batches, and only maxima are aggregated. One row with the ``parameters`` of the chosen one; 'unknown' under 30 values.
+    batches, where bounds between some values leave out most others, and only maxima are aggregated. One row with the ``parameters`` of the chosen one; 'unknown' under 30 values.
     """
     spark = df.sparkSession
     data = df.select(number(df, column).alias("v")).where(F.col("v").isNotNull())
@@ -312,24 +350,22 @@ def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -
         return spark.createDataFrame([("unknown", None, None, False, None)], schema)
     names = list(models)
 
-    @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in names]))
-    def curves(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({name: dist.cdf(name, v.to_numpy(), models[name]) for name in names})
+    n = float(s.n)
+
+    def widest(batches):
+        most = dict.fromkeys(names, -math.inf)
+        for part in _joined(batches, GAP_ROWS):
+            v, before, c = (part[x].to_numpy() for x in ("v", "before", "c"))
+            order = np.argsort(v, kind="stable")
+            v, below, upto = v[order], before[order] / n, (before + c)[order] / n
+            most = {name: _widest_gap(lambda x, name=name: dist.cdf(name, x, models[name]), v, below, upto, most[name]) for name in names}
+        yield pa.RecordBatch.from_arrays([pa.array([most[name]]) for name in names], names=names)
 
     counted = data.groupBy("v").agg(F.count("*").alias("c"))
-    cuts = cut_points(counted, "v", counted.count(), task_rows)
-    ranked = running_total(counted, "v", "c", cuts, name="before").withColumn("f", curves("v"))
-    n = float(s.n)
-    gaps = [
-        F.max(
-            F.greatest(
-                (F.col("before") + F.col("c")) / F.lit(n) - F.col("f")[name],
-                F.col("f")[name] - F.col("before") / F.lit(n),
-            )
-        ).alias(name)
-        for name in names
-    ]
-    row = ranked.agg(*gaps).first()
+    # cut by the rows: no more distinct values than rows lie between two cuts
+    ranked = running_total(counted, "v", "c", cut_points(data, "v", s.n, task_rows), name="before")
+    gaps = ranked.select("v", "before", "c").mapInArrow(widest, ", ".join(f"{name} double" for name in names))
+    row = gaps.agg(*[F.max(name).alias(name) for name in names]).first()
     best = min(names, key=lambda name: row[name])
     p = dist.kolmogorov_tail(row[best], n)
     return spark.createDataFrame(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiling, relations, selecting, sketches, statistics, timeseries
-from ..session import new_folder
+from ..session import cut_lineage, new_folder, spread
 from .tables import rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -336,7 +336,9 @@ def _planted_fits(spark, sf):
     """Orders turned into values of known distributions by evenly spread fractions of their keys; which family is found, and how near its parameters are."""
     part = lambda step: F.greatest(F.pmod(F.col("key") * F.lit(step) + 0.5, F.lit(1.0)), F.lit(1e-9))
     u, v, w = (part(step) for step in (0.8191725133961645, 0.6710436067037893, 0.5497004779019703))
-    orders = table(spark, sf, "orders").select(F.explode(F.sequence(F.col("o_orderkey") * 8, F.col("o_orderkey") * 8 + 7)).alias("key"))
+    # few bytes stand for many values
+    keys = cut_lineage(spread(table(spark, sf, "orders").select("o_orderkey"), task_rows=200_000))
+    orders = keys.select(F.explode(F.sequence(F.col("o_orderkey") * 8, F.col("o_orderkey") * 8 + 7)).alias("key"))
     planted = {
         "gamma": (-2 * (F.ln(u) + F.ln(v) + F.ln(w)), {"shape": 3.0, "scale": 2.0}),  # three waits of mean 2
         "beta": (F.pow(F.sin(1.5707963267948966 * u), F.lit(2.0)), {"a": 0.5, "b": 0.5}),  # the arcsine law

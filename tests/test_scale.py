@@ -81,3 +81,30 @@ def test_ranks_are_counted_without_the_other_columns_joins(spark, monkeypatch):
     want = rows.toPandas().corr("spearman")
     assert [(r.col_a, r.col_b, r.n) for r in few] == [("a", "b", 200), ("a", "c", 200), ("b", "c", 200)]
     assert all(abs(r.r - want[r.col_a][r.col_b]) < 1e-9 and abs(r.r - s.r) < 1e-9 for r, s in zip(few, again))
+
+
+def test_the_widest_gap_is_found_with_few_points_computed():
+    import numpy as np
+
+    from siftstone.operators import relations
+
+    random = np.random.default_rng(5)
+    for n, shift in ((1, 0.0), (40, 0.3), (5000, 0.01), (20_000, 0.2)):
+        v = np.unique(random.random(n) ** 2)
+        upto = np.arange(1, len(v) + 1) / len(v)
+        below, calls = upto - 1 / len(v), []
+        cdf = lambda x: calls.append(len(x)) or np.clip(np.sqrt(x) + shift * x, 0, 1)
+        got = relations._widest_gap(cdf, v, below, upto, -np.inf)
+        used, f = sum(calls), cdf(v)
+        assert got == np.maximum(upto - f, f - below).max() and relations._widest_gap(cdf, v, below, upto, 2.0) == 2.0
+        assert n < 20_000 or used < len(v) / 4
+
+
+def test_a_fit_computes_few_points_and_counts_values_once(spark, monkeypatch):
+    from siftstone.operators import relations
+
+    seen, cuts = [], relations.cut_points
+    monkeypatch.setattr(relations, "cut_points", lambda df, *more: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or cuts(df, *more))
+    rows = spark.range(4000).select(F.sqrt(F.col("id") + 1.0).alias("v"))
+    fits = [relations.fit_distribution(rows, "v", n).first() for n in (None, 500)]
+    assert fits[0] == fits[1] and not any("Aggregate" in plan for plan in seen)
