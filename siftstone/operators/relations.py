@@ -272,7 +272,7 @@ def mape(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) ->
 
 
 #: Values between two points at which a distribution is computed first, and values looked at together.
-GAP_STEP, GAP_ROWS = 64, 250_000
+GAP_STEP, GAP_ROWS = 256, 250_000
 
 
 def _joined(batches, rows: int):
@@ -288,31 +288,30 @@ def _joined(batches, rows: int):
         yield pa.Table.from_batches(held)
 
 
-def _widest_gap(cdf, v: np.ndarray, below: np.ndarray, upto: np.ndarray, most: float) -> float:
-    """The widest gap between a distribution and the empirical one at the sorted values ``v`` (which rises from ``below`` to ``upto`` at each), or ``most`` if that is wider.
+def _widest_gaps(cdf, v: np.ndarray, below: np.ndarray, upto: np.ndarray) -> tuple[float, float]:
+    """How far the empirical distribution (from ``below`` to ``upto`` at each of the sorted values ``v``) rises above another one, and how far it stays below it.
 
-    Both curves rise, so that their values at two points bound every gap in between; only where that bound exceeds what is found, the distribution is computed at
+    Both curves rise, so that their values at two points bound every gap in between; only where a bound exceeds what is found, the distribution is computed at
     each value.
     """
     edges = np.unique(np.append(np.arange(0, len(v), GAP_STEP), len(v) - 1))
     at = cdf(v[edges])
-    most = max(most, float(np.maximum(upto[edges] - at, at - below[edges]).max()))
-    bound = np.maximum(upto[edges[1:]] - at[:-1], at[1:] - below[edges[:-1]])
-    open_ = np.flatnonzero(bound > most - 1e-9)
-    inner = np.concatenate([np.arange(edges[k] + 1, edges[k + 1]) for k in open_]) if len(open_) else edges[:0]
+    over, under = float((upto[edges] - at).max()), float((at - below[edges]).max())
+    wide = (upto[edges[1:]] - at[:-1] > over - 1e-9) | (at[1:] - below[edges[:-1]] > under - 1e-9)
+    inner = np.concatenate([edges[:0], *[np.arange(edges[k] + 1, edges[k + 1]) for k in np.flatnonzero(wide)]])
     if len(inner):
         at = cdf(v[inner])
-        most = max(most, float(np.maximum(upto[inner] - at, at - below[inner]).max()))
-    return most
+        over, under = max(over, float((upto[inner] - at).max())), max(under, float((at - below[inner]).max()))
+    return over, under
 
 
 def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -> DataFrame:
     """Best of normal, exponential, log-normal, gamma and beta by the KS statistic.
 
     Parameters are the likeliest ones; they follow from means, mean logarithms and bounds (two aggregates), for gamma and beta by Newton steps on
-    those. The beta lies between the least and the greatest value, which themselves have no likelihood under it. The empirical distribution is
-    a bucketed running count over distinct values, the CDFs run on Arrow
-    batches, where bounds between some values leave out most others, and only maxima are aggregated. One row with the ``parameters`` of the chosen one; 'unknown' under 30 values.
+    those. The beta lies between the least and the greatest value, which themselves have no likelihood under it. Values are
+    dealt out to ranges of about a task's share and counted there; the CDFs run on those, where bounds between some values leave out
+    most others, and only the widest gaps of a range are collected. One row with the ``parameters`` of the chosen one; 'unknown' under 30 values.
     """
     spark = df.sparkSession
     data = df.select(number(df, column).alias("v")).where(F.col("v").isNotNull())
@@ -352,20 +351,47 @@ def fit_distribution(df: DataFrame, column: str, task_rows: int | None = None) -
 
     n = float(s.n)
 
-    def widest(batches):
-        most = dict.fromkeys(names, -math.inf)
+    # cut by the rows: no more of them, and no more distinct values, lie between two cuts than a task holds
+    cuts = np.array(cut_points(data, "v", s.n, task_rows), float)
+
+    def counted(batches):
+        """Equal values of some rows are one, so that a frequent value is few rows."""
         for part in _joined(batches, GAP_ROWS):
-            v, before, c = (part[x].to_numpy() for x in ("v", "before", "c"))
-            order = np.argsort(v, kind="stable")
-            v, below, upto = v[order], before[order] / n, (before + c)[order] / n
-            most = {name: _widest_gap(lambda x, name=name: dist.cdf(name, x, models[name]), v, below, upto, most[name]) for name in names}
-        yield pa.RecordBatch.from_arrays([pa.array([most[name]]) for name in names], names=names)
-
-    counted = data.groupBy("v").agg(F.count("*").alias("c"))
-    # cut by the rows: no more distinct values than rows lie between two cuts
-    ranked = running_total(counted, "v", "c", cut_points(data, "v", s.n, task_rows), name="before")
-    gaps = ranked.select("v", "before", "c").mapInArrow(widest, ", ".join(f"{name} double" for name in names))
-    row = gaps.agg(*[F.max(name).alias(name) for name in names]).first()
+            v, c = np.unique(part["v"].to_numpy(), return_counts=True)
+            bucket = np.searchsorted(cuts, v, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(v), pa.array(c.astype(np.int64))], names=["bucket", "v", "c"])
+
+    def widest(batches):
+        """Per bucket its rows, and the widest gaps above and below as if it were the first one; an earlier row adds to the first and takes from the second."""
+
+        def found(bucket, held):
+            rows = pa.Table.from_batches(held)
+            v, place = np.unique(rows["v"].to_numpy(), return_inverse=True)
+            upto = np.cumsum(np.bincount(place, rows["c"].to_numpy()))
+            below, above = np.append(0.0, upto[:-1]) / n, upto / n
+            gaps = [_widest_gaps(lambda x, name=name: dist.cdf(name, x, models[name]), v, below, above) for name in names]
+            columns = [pa.array([bucket]), pa.array([int(upto[-1])]), pa.array([[g[0] for g in gaps]]), pa.array([[g[1] for g in gaps]])]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "over", "under"])
+
+        current, held = None, []
+        for batch in batches:
+            buckets = batch.column("bucket").to_numpy()
+            starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)]):
+                if held and buckets[x] != current:
+                    yield found(current, held)
+                    held = []
+                current = int(buckets[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield found(current, held)
+
+    dealt = data.mapInArrow(counted, "bucket int, v double, c long").repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket")
+    row, earlier = dict.fromkeys(names, -math.inf), 0
+    found = dealt.mapInArrow(widest, "bucket long, rows long, over array<double>, under array<double>").collect()  # a row per range
+    for r in sorted(found, key=lambda r: r.bucket):
+        row = {name: max(row[name], r.over[i] + earlier / n, r.under[i] - earlier / n) for i, name in enumerate(names)}
+        earlier += r.rows
     best = min(names, key=lambda name: row[name])
     p = dist.kolmogorov_tail(row[best], n)
     return spark.createDataFrame(
