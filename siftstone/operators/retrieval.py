@@ -21,6 +21,8 @@ DEFAULT_TOP_K = 8
 #: Numbers of the corpus that one task holds, and queries that it scores at a time.
 SLICE_NUMBERS = 4_000_000
 QUERY_ROWS = 256
+#: Postings of a slice; sorting them takes some ten times their bytes for a while.
+SLICE_POSTINGS = 1_000_000
 #: Up to so many query words they are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_WORDS = 200_000
 
@@ -259,12 +261,12 @@ def bm25(
     terms = weighed.groupBy("query_id").agg(F.collect_list("h").alias("h"), F.collect_list("idf").alias("idf"))
     items = matched.where(F.size("p") > 0).select("item_id", "length", F.col("p.h").alias("words"), F.col("p.tf").alias("tf"))
     average = float(size.avg or 1)
-    placed = _sliced(items, terms, max(1, math.ceil((size.postings or 0) / SLICE_NUMBERS)))
+    placed = _sliced(items, terms, max(1, math.ceil((size.postings or 0) / SLICE_POSTINGS)))
     at = {c: i for i, c in enumerate(placed.columns)}
 
     def hold(table):
         ids, lists = table["item_id"].combine_chunks(), table["words"].combine_chunks()
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
         h, tf = lists.flatten().to_numpy(), table["tf"].combine_chunks().flatten().to_numpy()
         norm = k1 * (1 - b + b * table["length"].to_numpy() / average)
         order = np.argsort(h, kind="stable")

@@ -89,18 +89,21 @@ def test_the_widest_gap_is_found_with_few_points_computed():
     from siftstone.operators import relations
 
     random = np.random.default_rng(5)
-    for n, shift in ((1, 0.0), (40, 0.3), (5000, 0.01), (20_000, 0.2)):
+    for n, shift in ((1, 0.0), (40, 0.3), (5000, 0.01), (60_000, 0.2)):
         v = np.unique(random.random(n) ** 2)
         upto = np.arange(1, len(v) + 1) / len(v)
         below, calls = upto - 1 / len(v), []
         cdf = lambda x: calls.append(len(x)) or np.clip(np.sqrt(x) + shift * x, 0, 1)
-        got = relations._widest_gap(cdf, v, below, upto, -np.inf)
+        got = relations._widest_gaps(cdf, v, below, upto)
         used, f = sum(calls), cdf(v)
-        assert got == np.maximum(upto - f, f - below).max() and relations._widest_gap(cdf, v, below, upto, 2.0) == 2.0
+        assert got == ((upto - f).max(), (f - below).max())
         assert n < 20_000 or used < len(v) / 4
 
 
-def test_a_fit_computes_few_points_and_counts_values_once(spark, monkeypatch):
+def test_a_fit_counts_values_once(spark, monkeypatch):
+    import numpy as np
+
+    from siftstone.functions import distributions as dist
     from siftstone.operators import relations
 
     seen, cuts = [], relations.cut_points
@@ -108,3 +111,24 @@ def test_a_fit_computes_few_points_and_counts_values_once(spark, monkeypatch):
     rows = spark.range(4000).select(F.sqrt(F.col("id") + 1.0).alias("v"))
     fits = [relations.fit_distribution(rows, "v", n).first() for n in (None, 500)]
     assert fits[0] == fits[1] and not any("Aggregate" in plan for plan in seen)
+    ties = rows.select(F.floor("v").cast("double").alias("v"))
+    x = ties.toPandas()["v"].to_numpy()
+    upto = np.array([(x <= y).mean() for y in np.unique(x)])
+    below = np.append(0.0, upto[:-1])
+    for n in (None, 500):
+        found = relations.fit_distribution(ties, "v", n).first()
+        f = dist.cdf(found.distribution, np.unique(x), found.parameters)
+        assert abs(found.ks_statistic - max((upto - f).max(), (f - below).max())) < 1e-6
+
+
+def test_keyword_search_holds_few_postings_at_a_time(spark, monkeypatch):
+    from siftstone.operators import retrieval
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 11), F.lit("all")).alias("text"))
+    asked = spark.createDataFrame([(1, "w3 v5"), (2, "w1 all none"), (3, "nothing")], "query_id int, text string")
+    slices, sliced = [], retrieval._sliced
+    monkeypatch.setattr(retrieval, "_sliced", lambda items, queries, n: slices.append(n) or sliced(items, queries, n))
+    whole = sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect()))
+    monkeypatch.setattr(retrieval, "SLICE_POSTINGS", 100)
+    assert sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect())) == whole and len(whole) == 6
+    assert slices[0] == 1 and slices[1] >= 4
