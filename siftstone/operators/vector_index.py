@@ -252,7 +252,7 @@ def _scored(index: VectorIndex, asked: DataFrame, top_k: int, rows: np.ndarray,
     parts = sorted(r.part for r in wanted.select("part").distinct().collect())  # MOST_PARTS at most
     slices = F.lit(1)
     for part in parts:
-        cuts = math.ceil(rows[part] * size / retrieval.SLICE_NUMBERS)
+        cuts = math.ceil(max(rows[part] * size / retrieval.SLICE_NUMBERS, rows[part] / retrieval.SLICE_ROWS))
         if cuts > 1:
             slices = F.when(F.col("part") == part, cuts).otherwise(slices)
     spot = lambda k: (F.col("part").cast("long") * (1 << 32) + k).alias("slice")

@@ -132,3 +132,36 @@ def test_keyword_search_holds_few_postings_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SLICE_POSTINGS", 100)
     assert sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect())) == whole and len(whole) == 6
     assert slices[0] == 1 and slices[1] >= 4
+
+
+def test_best_scores_by_groups():
+    import numpy as np
+
+    from siftstone.operators import retrieval
+
+    random = np.random.default_rng(3)
+    for n in (10, 5000, 5003):
+        scores = np.round(random.random((6, n)), 3)
+        scores[1], scores[2, 5:], scores[3, :7] = -np.inf, -np.inf, 2.0
+        row, place = retrieval._tops(scores, 4)
+        for i, own in enumerate(scores):
+            finite = np.sort(own[np.isfinite(own)])[-4:]
+            got = place[row == i]
+            assert len(set(got.tolist())) == len(got) and (len(finite) == 0) == (len(got) == 0)
+            assert not len(finite) or set(np.flatnonzero(np.isfinite(own) & (own >= finite[0])).tolist()) <= set(got.tolist())
+
+
+def test_short_vectors_are_searched_in_bounded_slices(spark, monkeypatch):
+    from siftstone.operators import retrieval
+
+    angle = F.col("id") * 0.7
+    items = spark.range(3000).select("id", F.array(F.cos(angle), F.sin(angle)).alias("embedding"), F.concat(F.lit("s"), F.col("id") % 2).alias("scope"))
+    asked = items.where("id % 500 = 0").withColumnRenamed("id", "query_id")
+    for scope in (None, "scope"):
+        slices, sliced = [], retrieval._sliced
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "_sliced", lambda items, queries, n: slices.append(n) or sliced(items, queries, n))
+            whole = sorted(map(tuple, retrieval.search_vectors(items, asked, 5, None, scope=scope).collect()))
+            m.setattr(retrieval, "SLICE_ROWS", 400)
+            assert sorted(map(tuple, retrieval.search_vectors(items, asked, 5, None, scope=scope).collect())) == whole and len(whole) == 30
+        assert slices == [1, 8]
