@@ -412,9 +412,9 @@ def _landed(df, key, folder, form, rows=NARROW_ROWS, **options):
 
 
 def _landing_catalog(spark, sf):
-    """Documents and orders written in several layouts, a folder per language or priority, and catalogued from samples of the files; a row per folder and layout.
+    """Documents and orders written in several layouts, a folder per language or priority, and catalogued from samples of the files; a row per folder and write.
 
-    Of a folder's files few may show letters beyond ASCII; one that is Latin-1 makes the folder so.
+    Of a write's files few may show letters beyond ASCII; one that is Latin-1 makes the others so.
     """
     folder = new_folder(spark, "landing")
     # few letters of the English texts are beyond ASCII, so that samples may miss them; without them the answer is one
@@ -430,9 +430,10 @@ def _landing_catalog(spark, sf):
     found = files.catalog_files(spark, folder).select(
         place.alias("place"), F.regexp_extract("path", r"/kind=([^/]+)/", 1).alias("kind"), "format", "encoding",
         F.when(place == "rows", F.col("delimiter")).alias("delimiter"), "has_quotes", "is_newline_json",
+        F.regexp_extract("path", r"/part-\d+-([0-9a-f-]{36})[^/]*$", 1).alias("_write"),  # Spark names a write's files after it
     )
-    layout = [c for c in found.columns if c != "encoding"]
-    return found.groupBy(*layout).agg(F.min("encoding").alias("encoding")).select(*found.columns)
+    layout = [c for c in found.columns if c not in ("encoding", "_write")]
+    return found.groupBy("_write", *layout).agg(F.min("encoding").alias("encoding")).select(*[c for c in found.columns if c != "_write"])
 
 
 register(

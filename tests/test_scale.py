@@ -46,13 +46,17 @@ def test_a_large_key_lands_in_several_files(spark, tmp_path):
     assert len(list((tmp_path / "few").glob("*/part-*"))) == 3
 
 
-def test_a_folder_of_several_files_is_one_row(spark, folder, monkeypatch):
+def test_a_folder_of_several_files_is_one_row_per_write(spark, folder, monkeypatch):
     from siftstone.plans import operations_queries as queries
 
+    read = queries.table
+    without = lambda df: df.withColumn("lang", F.when(F.col("doc_id") % 9 > 0, F.col("lang")))
+    monkeypatch.setattr(queries, "table", lambda spark, sf, name: without(read(spark, sf, name)) if name == "documents" else read(spark, sf, name))
     whole = sorted(map(tuple, queries._landing_catalog(spark, folder).collect()), key=str)
     monkeypatch.setattr(queries, "TEXT_ROWS", 10)
     monkeypatch.setattr(queries._landed, "__defaults__", (100,))
     assert sorted(map(tuple, queries._landing_catalog(spark, folder).collect()), key=str) == whole
+    assert sum(r[:2] == ("csv", "__HIVE_DEFAULT_PARTITION__") for r in whole) == 2  # one that is Latin-1, one that is UTF-8
 
 
 def test_quoted_documents_are_written_by_many_tasks(spark, folder, tmp_path, monkeypatch):
@@ -165,3 +169,48 @@ def test_short_vectors_are_searched_in_bounded_slices(spark, monkeypatch):
             m.setattr(retrieval, "SLICE_ROWS", 400)
             assert sorted(map(tuple, retrieval.search_vectors(items, asked, 5, None, scope=scope).collect())) == whole and len(whole) == 30
         assert slices == [1, 8]
+
+
+def test_a_job_needs_few_calls_to_the_state():
+    import pandas as pd
+
+    from siftstone.streaming.stateful import JobTracker
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers, self.value = 0, set(), None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def listTimers(self):
+            self.calls += 1
+            return list(self.timers)
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.remove(at)
+
+    hour, handle, tracker = 3_600_000, Handle(), JobTracker(["cleaning"], 7_200_000, 86_400_000)
+    tracker.init(handle)
+    event = lambda t, s: pd.DataFrame({"at": [t * hour * 1000], "event_id": [str(t)], "status": [s]})
+    first = pd.concat(tracker.handleInputRows(("a",), iter([event(1, "cleaning")]), None))
+    assert first["kind"].tolist() == ["status"] and handle.timers == {3 * hour + 1} and handle.calls <= 3
+    later = pd.concat(tracker.handleInputRows(("a",), iter([event(9, "cleaning"), event(5, "ready")]), None))
+    assert later["kind"].tolist() == ["stalled", "status", "status"] and handle.timers == {11 * hour + 1} and handle.calls <= 7
+    assert later["at"].dt.hour.tolist() == [1, 5, 9]
