@@ -115,26 +115,23 @@ class JobTracker(StatefulProcessor):
     def _rows(key, found) -> Iterator[pd.DataFrame]:
         if found:
             kinds, states, times = zip(*found)
-            yield pd.DataFrame({"kind": kinds, "entity": key[0], "status": states, "at": pd.to_datetime(pd.Series(times, dtype="int64"), unit="us")})
+            yield pd.DataFrame({"kind": kinds, "entity": key[0], "status": states, "at": np.array(times, "datetime64[us]").astype("datetime64[ns]")})
 
     def _overdue(self, status, at, alarmed, now) -> bool:
         return status in self.running and not alarmed and now - at > self.stall * 1000
 
-    def _timers(self, at, status, alarmed):
-        wanted = {at // 1000 + self.keep + 1}
-        if status in self.running and not alarmed:
-            wanted.add(at // 1000 + self.stall + 1)
-        for timer in list(self.handle.listTimers()):
-            if timer not in wanted:
-                self.handle.deleteTimer(timer)
-        for timer in wanted:
-            self.handle.registerTimer(timer)
+    def _due(self, status, at, alarmed) -> int:
+        """When a key's one timer goes off: at the alarm, or at the expiry if that comes first or no alarm is to come. It follows from the state and need not be listed."""
+        wait = min(self.stall, self.keep) if status in self.running and not alarmed else self.keep
+        return at // 1000 + wait + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, at, event, alarmed = self.last.get() if self.last.exists() else (None, None, "", False)
-        found = []
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
-        for new, when, number in zip(events["status"], events["at"].astype("int64"), events["event_id"]):
+        before = self.last.get()  # every call is a round trip
+        status, at, event, alarmed = before or (None, None, "", False)
+        found, events = [], []
+        for chunk in rows:
+            events += zip(chunk["at"].to_numpy(np.int64).tolist(), chunk["event_id"].tolist(), chunk["status"].tolist())
+        for when, number, new in sorted(events, key=lambda e: (e[0], e[1] is None, e[1] or "")):
             if at is not None and (when, number) <= (at, event):
                 continue
             if at is not None and when - at > self.keep * 1000:
@@ -142,17 +139,23 @@ class JobTracker(StatefulProcessor):
                 found.append(("expired", status, at))
             elif at is not None and self._overdue(status, at, alarmed, when):  # in time order nobody had seen it move
                 found.append(("stalled", status, at))
-            status, at, event, alarmed = new, int(when), number, False
+            status, at, event, alarmed = new, when, number, False
             found.append(("status", status, at))
         if found:
             self.last.update((status, at, event, alarmed))
-            self._timers(at, status, alarmed)
+            due = self._due(status, at, alarmed)
+            past = self._due(before[0], before[1], before[3]) if before else None
+            if past != due:
+                if before:
+                    self.handle.deleteTimer(past)
+                self.handle.registerTimer(due)
         yield from self._rows(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
+        before = self.last.get()
+        if before is None:
             return
-        status, at, event, alarmed = self.last.get()
+        status, at, event, alarmed = before
         now, found = timerValues.getCurrentWatermarkInMs() * 1000, []
         if self._overdue(status, at, alarmed, now):
             found.append(("stalled", status, at))
@@ -162,7 +165,9 @@ class JobTracker(StatefulProcessor):
             self.last.clear()
         else:
             self.last.update((status, at, event, alarmed))
-            self._timers(at, status, alarmed)
+            due = self._due(status, at, alarmed)
+            if due != expiredTimerInfo.getExpiryTimeInMs():  # which goes by itself
+                self.handle.registerTimer(due)
         yield from self._rows(key, found)
 
     def close(self) -> None:
