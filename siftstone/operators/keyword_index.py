@@ -1,11 +1,11 @@
 """A stored inverted index for BM25 search.
 
-Documents lie in spans of bounded size. A span keeps, for each of its words, the documents that have it and how often; and, apart from that, one narrow row
-per word and span with the largest count and the shortest length. From those rows alone follows the highest score any document of a span
+Documents lie in spans of bounded size. A span keeps, for each of its words, the documents that have it and how often; and, in narrow columns beside that,
+their number, the largest count and the shortest length. From those columns alone follows the highest score any document of a span
 can reach for a query, so that a search scores the most promising spans first and then only those that can still beat what it has found.
 
-The index is a folder of Parquet tables: ``cells`` (words and documents of the spans), ``maxima``, ``totals``, ``gone`` (documents replaced or
-deleted). Changes add files: what leaves is counted off in ``maxima`` and ``totals``. One writer at a time.
+The index is a folder of Parquet tables: ``cells`` (words and documents of the spans), ``maxima`` (documents of a word that left), ``totals``, ``gone``
+(documents replaced or deleted). Changes add files: what leaves is counted off in ``maxima`` and ``totals``. One writer at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ from . import retrieval
 
 #: Documents of a span, about, and words of its texts.
 SPAN_DOCS, SPAN_WORDS = 2_500, 2_500_000
-#: Folders of the tables, by span and by word.
+#: Bytes of a word, about, as a first guess of the spans a table needs.
+WORD_BYTES = 6
+#: Folders that appended cells go to.
 FOLDERS = 16
+#: What stands between words: Java's ``(?U)\\s``.
+SPACE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Spans that a query looks into first.
 FIRST_SPANS = 4
 #: Spans are broadcast up to so many rows, beyond it joined by a shuffle.
@@ -44,7 +49,7 @@ class KeywordIndex:
 
     def table(self, name: str) -> DataFrame:
         schema = {
-            "cells": f"span long, term string, places array<int>, tf array<int>, ids array<{self.kind}>, lengths array<int>, max_tf int, min_length int, folder int",
+            "cells": f"span long, term string, places array<int>, tf array<int>, ids array<{self.kind}>, lengths array<int>, max_tf int, min_length int, df int, folder int",
             "maxima": "term string, span long, df long, max_tf int, min_length int, folder int",
             "totals": "span long, docs long, texts long, words long",
             "gone": f"span long, id {self.kind}",
@@ -58,6 +63,7 @@ def build_index(documents: DataFrame, folder: str, document_id: str = "doc_id",
     index = KeywordIndex(documents.sparkSession, folder, kind)
     nothing = index.spark.createDataFrame([], f"span long, id {kind}")
     nothing.write.parquet(f"{folder}/gone")
+    index.spark.createDataFrame([], "term string, span long, df long, max_tf int, min_length int").write.parquet(f"{folder}/maxima/folder=0")
     _append(index, documents, document_id, text, 0)
     return index
 
@@ -67,10 +73,13 @@ def open_index(spark: SparkSession, folder: str) -> KeywordIndex:
 
 
 def _append(index: KeywordIndex, documents: DataFrame, document_id: str, text: str, first_span: int) -> None:
-    docs = documents.groupBy(ref(document_id).alias("id")).agg(F.max(ref(text)).alias("text"))
-    docs = docs.select("id", retrieval.tokens(F.col("text")).alias("w"))
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).first()
-    tasks = max(1, math.ceil(size.n / SPAN_DOCS), math.ceil((size.words or 0) / SPAN_WORDS))
+    docs = documents.select(ref(document_id).alias("id"), ref(text).alias("text"))
+    # texts are sorted by id only where ids repeat, and cut into words once, on their way to the spans
+    size = docs.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).agg(F.count("*").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes")).first()
+    if (size.most or 0) > 1:
+        docs = docs.groupBy("id").agg(F.max("text").alias("text"))
+    docs = docs.select("id", F.lower("text").alias("text"))
+    tasks = max(1, math.ceil(size.n / SPAN_DOCS), math.ceil((size.bytes or 0) / (SPAN_WORDS * WORD_BYTES)))
     most, step = math.ceil(1.25 * SPAN_DOCS), 1 << 20  # tasks hold about a span; what one has beyond a quarter more is a span of its own
 
     def cells(batches):
@@ -80,28 +89,34 @@ def _append(index: KeywordIndex, documents: DataFrame, document_id: str, text: s
             while at < batch.num_rows:
                 part = batch.slice(at, min(most - n, batch.num_rows - at))
                 at += part.num_rows
+                part = pa.table({"id": part.column(0), "w": _split(part.column(1))})
                 held.append(part)
                 n += part.num_rows
-                count += len(part.column(1).flatten())
+                count += len(part["w"].chunk(0).flatten())
                 if n >= most or count >= 1.25 * SPAN_WORDS:
-                    yield _cells(span, pa.Table.from_batches(held).combine_chunks(), index_kind)
+                    yield _cells(span, pa.concat_tables(held).combine_chunks(), index_kind)
                     span, held, n, count = span + 1, [], 0, 0
         if held:
-            yield _cells(span, pa.Table.from_batches(held).combine_chunks(), index_kind)
+            yield _cells(span, pa.concat_tables(held).combine_chunks(), index_kind)
 
     index_kind = pa.field("id", docs.limit(0).toArrow().schema.field("id").type).type
-    schema = f"span long, term string, places array<int>, tf array<int>, ids array<{index.kind}>, lengths array<int>, max_tf int, min_length int"
-    made = docs.repartition(tasks, F.xxhash64("id")).mapInArrow(cells, schema).withColumn("folder", F.pmod(F.xxhash64("span"), F.lit(FOLDERS)).cast("int"))
-    made.write.mode("append").partitionBy("folder").parquet(f"{index.folder}/cells")
+    schema = f"span long, term string, places array<int>, tf array<int>, ids array<{index.kind}>, lengths array<int>, max_tf int, min_length int, df int"
+    docs.repartition(tasks, F.xxhash64("id")).mapInArrow(cells, schema).write.mode("append").parquet(f"{index.folder}/cells/folder={first_span % FOLDERS}")
     new = index.table("cells").where(F.col("span") >= first_span)
-    words = new.where(F.col("term").isNotNull()).select(
-        "term", "span", F.size("places").cast("long").alias("df"), "max_tf", "min_length", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder")
-    )
-    words.repartition("folder").sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(f"{index.folder}/maxima")
     totals = new.where(F.col("term").isNull()).select("span", F.size("ids").cast("long").alias("docs"), F.size(F.array_compact("lengths")).cast("long").alias("texts"), F.aggregate(F.array_compact("lengths"), F.lit(0).cast("long"), lambda s, x: s + x).alias("words"))
     totals.coalesce(1).write.mode("append").parquet(f"{index.folder}/totals")
 
 
+def _split(texts: pa.Array) -> pa.Array:
+    """The words of texts in lower case, as ``retrieval.tokens`` cuts them; a null text has none."""
+    texts = pc.utf8_trim(pc.replace_substring_regex(texts, SPACE, " "), " ")
+    lists = pc.split_pattern(texts, " ")
+    bare = pc.equal(texts, "")
+    if pc.any(bare).as_py():  # the only text with an empty part
+        lists = pc.if_else(bare, pa.scalar([], lists.type), lists)
+    return lists
+
+
 def _cells(span: int, docs: pa.Table, kind) -> pa.RecordBatch:
     """Cells of one span, by word; the first row has its documents."""
     lists = docs["w"].combine_chunks()
@@ -118,14 +133,15 @@ def _cells(span: int, docs: pa.Table, kind) -> pa.RecordBatch:
     whole = lambda values, kind: pa.array([values, *[None] * n], pa.list_(kind))
     top = np.maximum.reduceat(tf, cuts) if n else np.zeros(0, int)
     short = np.minimum.reduceat(lengths[place], cuts) if n else np.zeros(0, int)
+    df = np.diff(np.append(cuts, len(word)))
     terms = pa.concat_arrays([pa.array([None], pa.string()), coded.dictionary.cast(pa.string()).take(pa.array(word[cuts]))])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n + 1, span)), terms, listed(place.astype(np.int32), pa.int32()), listed(tf.astype(np.int32), pa.int32()),
             whole(docs["id"].to_pylist(), kind), whole([k if valid else None for k, valid in zip(lengths.tolist(), lists.is_valid().to_pylist())], pa.int32()),
-            pa.array([0, *top.tolist()], pa.int32()), pa.array([0, *short.tolist()], pa.int32()),
+            pa.array([0, *top.tolist()], pa.int32()), pa.array([0, *short.tolist()], pa.int32()), pa.array([0, *df.tolist()], pa.int32()),
         ],
-        names=["span", "term", "places", "tf", "ids", "lengths", "max_tf", "min_length"],
+        names=["span", "term", "places", "tf", "ids", "lengths", "max_tf", "min_length", "df"],
     )
 
 
@@ -148,6 +164,12 @@ def _bury(index: KeywordIndex, ids: DataFrame) -> None:
     found.select("span", "id").write.mode("append").parquet(f"{index.folder}/gone")
 
 
+def _maxima(index: KeywordIndex) -> DataFrame:
+    """A row per word and span, and what was counted off: narrow columns of the cells, so that nothing has to be written twice."""
+    own = index.table("cells").where("term IS NOT NULL AND df IS NOT NULL").select("term", "span", F.col("df").cast("long").alias("df"), "max_tf", "min_length")
+    return index.table("maxima").drop("folder").unionByName(own)
+
+
 def upsert(index: KeywordIndex, documents: DataFrame, document_id: str = "doc_id", text: str = "text") -> None:
     """Adds documents; those whose id is there already replace it."""
     documents = cut_lineage(documents.select(ref(document_id).alias("id"), ref(text).alias("text")))
@@ -188,8 +210,7 @@ def search_index(
         F.sum("docs").alias("n"), F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.countDistinct("span").alias("spans")
     ).first()
     average = float(size.words / size.texts) if size.texts and size.words else 1.0
-    # a word's rows lie in one folder, sorted
-    maxima = index.table("maxima").join(F.broadcast(wanted) if few else wanted, "term")
+    maxima = _maxima(index).join(F.broadcast(wanted) if few else wanted, "term")
     maxima = cut_lineage(maxima.groupBy("term", "span").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")))
     frequency = maxima.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     idf = F.log1p((F.lit(size.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.operators import keyword_index, retrieval
 
@@ -75,3 +77,16 @@ def test_text_ids_and_empty_tables(spark, tmp_path, queries):
     assert keyword_index.search_index(empty, queries, 3).rows.count() == 0
     keyword_index.upsert(empty, docs)
     assert rows_of(keyword_index.search_index(empty, queries, 3).rows) == rows_of(retrieval.bm25(docs, queries, 3))
+
+
+def test_words_are_cut_as_by_the_search_without_index(spark):
+    texts = ["", " ", "a", "  a\u2003b\u00a0\u3000c\x85d\x0b\x1ce ", "\u200b x\u180ey\u2028z", "no space", None, "Ä\tÖ\r\nü"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").selectExpr("i", "text", "lower(text) AS low")
+    found = {r.i: (r.low, r.w) for r in rows.select("i", "low", retrieval.tokens(F.col("text")).alias("w")).collect()}
+    assert keyword_index._split(pa.array([found[i][0] for i in range(len(texts))])).to_pylist() == [found[i][1] for i in range(len(texts))]
+
+
+def test_words_are_written_once(spark, tmp_path):
+    index = keyword_index.build_index(docs_of(spark, 120, 2), str(tmp_path / "i"))
+    assert index.table("maxima").count() == 0
+    assert index.table("cells").where("term IS NOT NULL AND (df <> size(places) OR df IS NULL)").count() == 0
