@@ -36,6 +36,8 @@ SPACE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 FIRST_SPANS = 4
 #: Spans are broadcast up to so many rows, beyond it joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Spans whose flags of dead documents (a byte each) are broadcast.
+FLAGGED_SPANS = 10_000
 K1, B = 1.5, 0.75
 
 
@@ -151,15 +153,20 @@ def _cells(span: int, docs: pa.Table, kind) -> pa.RecordBatch:
 def _bury(index: KeywordIndex, ids: DataFrame) -> None:
     """Takes documents out: they are named in ``gone`` and counted off."""
     own = index.table("cells").where(F.col("term").isNull())
-    placed = own.select("span", F.posexplode("ids").alias("place", "id"), "lengths").withColumn("length", F.col("lengths")[F.col("place")]).drop("lengths")
+    placed = own.select("span", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "doc")).select("span", "place", "doc.*").toDF("span", "place", "id", "length")
     found = placed.join(ids, "id", "left_semi").join(index.table("gone"), ["span", "id"], "left_anti")
     found = cut_lineage(found)
-    if found.isEmpty():
+    spans = found.agg(F.countDistinct("span")).first()[0]
+    if not spans:
         return
-    cells = index.table("cells").where(F.col("term").isNotNull()).select("span", "term", F.explode("places").alias("place"))
-    words = cells.join(found.select("span", "place"), ["span", "place"]).groupBy("term", "span").agg((-F.count("*")).alias("df"))
-    words = words.select("term", "span", "df", F.lit(0).alias("max_tf"), F.lit(2**31 - 1).alias("min_length"), F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder"))
-    words.repartition("folder").write.mode("append").partitionBy("folder").parquet(f"{index.folder}/maxima")
+    # a word has one row in a span, so its documents are counted there: postings are neither exploded nor moved
+    dead = found.groupBy("span").agg(F.sort_array(F.collect_set("place")).alias("dead"))
+    before = lambda i: F.coalesce(F.get("dead", i - 1), F.lit(-1))
+    flags = F.flatten(F.transform("dead", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True)))))
+    dead = dead.select("span", flags.alias("dead"))
+    cells = index.table("cells").where(F.col("term").isNotNull()).select("span", "term", "places")
+    words = cells.join(F.broadcast(dead) if spans <= FLAGGED_SPANS else dead, "span").select("term", "span", (-F.size(F.filter("places", lambda p: F.get("dead", p)))).cast("long").alias("df")).where("df < 0")
+    words.select("term", "span", "df", F.lit(0).alias("max_tf"), F.lit(2**31 - 1).alias("min_length")).write.mode("append").parquet(f"{index.folder}/maxima/folder=0")
     found.groupBy("span").agg((-F.count("*")).alias("docs"), (-F.count("length")).alias("texts"), (-F.coalesce(F.sum("length"), F.lit(0))).cast("long").alias("words")).coalesce(1).write.mode("append").parquet(f"{index.folder}/totals")
     found.select("span", "id").write.mode("append").parquet(f"{index.folder}/gone")
 

@@ -90,3 +90,18 @@ def test_words_are_written_once(spark, tmp_path):
     index = keyword_index.build_index(docs_of(spark, 120, 2), str(tmp_path / "i"))
     assert index.table("maxima").count() == 0
     assert index.table("cells").where("term IS NOT NULL AND (df <> size(places) OR df IS NULL)").count() == 0
+
+
+def test_changes_move_no_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_index, "SPAN_DOCS", 30)
+    index = keyword_index.build_index(docs_of(spark, 120, 2), str(tmp_path / "i"))
+    cells = index.table("cells").where("term IS NOT NULL")
+    gone = spark.range(0, 120, 7)
+    dead = gone.join(index.table("cells").where("term IS NULL").selectExpr("span", "posexplode(ids) AS (place, id)"), "id").select("span", "place")
+    expected = cells.selectExpr("span", "term", "explode(places) AS place").join(dead, ["span", "place"]).groupBy("term", "span").count()
+    plans, explode = [], F.explode
+    monkeypatch.setattr(keyword_index.F, "explode", lambda c: plans.append(c) or explode(c))
+    keyword_index.delete(index, gone)
+    monkeypatch.undo()
+    assert not plans
+    assert {(r.term, r.span, -r.df) for r in index.table("maxima").collect()} == {(r.term, r.span, r["count"]) for r in expected.collect()}
