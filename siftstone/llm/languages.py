@@ -21,6 +21,8 @@ from .common import BASE, mixed, tidy
 DIMENSIONS, ORDER, SEED = 2048, 3, 11
 #: Code points handled at a time, and those of a long text.
 GROUP_CHARS, PART_CHARS = 1 << 17, 1 << 19
+#: N-grams whose signs are written out at a time; so many stay in a core's cache.
+GRAMS = 256
 #: Prototypes go through the driver (16 KB each); a corpus with more languages than there are in the world is refused.
 MOST_LANGUAGES = 8_000
 NO_LANGUAGE = "und"
@@ -51,13 +53,18 @@ def _rotated(vectors: np.ndarray, times: int) -> np.ndarray:
     return (vectors << np.uint64(times)) | (np.roll(vectors, 1, axis=1) >> np.uint64(64 - times))
 
 
-def gram_vectors(grams: np.ndarray) -> np.ndarray:
-    """Signs (-1 and 1) of the n-grams, given as rows of code points."""
+def _bound(grams: np.ndarray) -> np.ndarray:
+    """Sign bits of the n-grams, given as rows of code points; a letter's vector is made once, however many n-grams have it."""
+    letters, at = np.unique(grams, return_inverse=True)
+    vectors, at = letter_vectors(letters), at.reshape(grams.shape)
     bound = np.zeros((len(grams), _WORDS), np.uint64)
     for i in range(grams.shape[1]):
-        bound ^= _rotated(letter_vectors(grams[:, i]), grams.shape[1] - 1 - i)
-    signs = np.unpackbits(bound.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-    return 1 - 2 * signs
+        bound ^= _rotated(vectors, grams.shape[1] - 1 - i)[at[:, i]]
+    return bound
+
+
+#: The signs (-1 and 1) that each byte of sign bits stands for.
+_SIGNS = 1 - 2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
 
 def text_grams(text: str, order: int = ORDER, part: int = PART_CHARS):
@@ -104,9 +111,12 @@ def bundles(texts: list[str | None]):
             counts = np.zeros((len(own), len(grams)), np.float32)
             for i, (_, g, n) in enumerate(own):
                 counts[i, np.searchsorted(grams, g)] = n
-            total = np.zeros((len(own), DIMENSIONS), np.float32)
-            for k in range(0, len(grams), 4096):
-                total += counts[:, k : k + 4096] @ gram_vectors(_unpacked(grams[k : k + 4096]))
+            total, bound = np.zeros((len(own), DIMENSIONS), np.float32), _bound(_unpacked(grams)).view(np.uint8)
+            signs = np.empty((min(len(grams), GRAMS), bound.shape[1], 8), np.float32)
+            for k in range(0, len(grams), GRAMS):
+                part = signs[: len(grams) - k]
+                np.take(_SIGNS, bound[k : k + GRAMS], axis=0, out=part, mode="clip")
+                total += counts[:, k : k + GRAMS] @ part.reshape(len(part), DIMENSIONS)
             yield [row for row, *_ in own], total
         start = end
 

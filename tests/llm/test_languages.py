@@ -108,3 +108,13 @@ def test_odd_tables(spark):
     got = languages.language_id(clashing(spark.createDataFrame(rows, SCHEMA))).toPandas()
     assert len(got) == len(rows)
     assert sorted(got.lang_pred) == [""] + ["en"] * 4 + ["und"] * 3
+
+
+def test_a_letters_vector_is_made_once_for_all_ngrams(monkeypatch):
+    made, plain = [], languages.letter_vectors
+    monkeypatch.setattr(languages, "letter_vectors", lambda points: made.append(len(points)) or plain(points))
+    text = "".join(a + b + c for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh")
+    ((rows, total),) = languages.bundles([text])
+    assert rows == [0] and made == [9]  # eight letters and the gap, of hundreds of n-grams
+    monkeypatch.undo()
+    assert (total[0] == plain_bundle(plain_grams(text, languages.ORDER))).all()
