@@ -22,14 +22,36 @@ MIX_B = 0x94D049BB133111EB
 GROUP_BYTES = 1 << 18
 
 
-def tidy(run):
+#: What an operator's tasks keep in their worker from one to the next, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def release(keeps: str | None) -> None:
+    """Drops what tasks of other operators have kept in this worker."""
+    for operator, kept in KEPT.items():
+        if operator != keeps and kept:
+            kept.clear()
+            gc.collect()
+            _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run, keeps: str | None = None):
     """A function for ``mapInArrow`` that hands memory back when its partition is done, as workers live on.
 
+    ``keeps`` names the operator whose ``KEPT`` stays in the worker; that of others goes first, as workers run tasks of one stage after another.
+
     Meanwhile the collector of reference cycles rests, as it would walk through large stores again and again; what little there is goes at the end.
     """
 
     @functools.wraps(run)
     def wrapped(batches):
+        release(keeps)
         collecting = gc.isenabled()
         gc.disable()
         try:
@@ -38,9 +60,7 @@ def tidy(run):
             if collecting:
                 gc.enable()
         gc.collect(0)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _trim()
 
     return wrapped
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_buffer, flat_ranges, row_groups, tidy
+from .common import KEPT, byte_buffer, flat_ranges, row_groups, tidy
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -70,8 +70,8 @@ class Store:
     lists: dict = field(default_factory=dict)
 
 
-#: A worker process keeps one segmenter per vocabulary, with its store, across its tasks.
-_SEGMENTERS: dict[int, "Segmenter"] = {}
+#: A worker process keeps one segmenter per vocabulary, with its store, across its tasks; tasks of other operators drop it.
+_SEGMENTERS: dict[int, "Segmenter"] = KEPT.setdefault("pieces", {})
 
 
 def _segmenter(pieces: list[str], kinds: list[int], scores: list[float]) -> "Segmenter":
@@ -434,4 +434,4 @@ def encode_documents(docs: DataFrame, segmenter: Segmenter, n: int = BEST) -> Da
                     names=["doc_id", "ids", "score", "alternatives", "restored"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, " + _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, "pieces"), "doc_id long, " + _SCHEMA)

@@ -1,5 +1,6 @@
 import heapq
 import math
+import pickle
 import random
 import struct
 
@@ -154,3 +155,12 @@ def test_many_words_at_once():
     words = list({w for i in range(30) for w in S.words(prose(i, 60) + " naïve 你好x 🙂a ▁ \n Ünïcode" + "zq" * i)} | {"▁", "🙂", "a"})
     assert own.solve_many(words) == [S.solve(w) for w in words]
     assert own.solve_many([]) == []
+
+
+def test_other_operators_tasks_drop_the_kept_segmenters():
+    from siftstone.llm import common
+
+    segmenter = pickle.loads(pickle.dumps(pieces.Segmenter(["<unk>", "a", "b"], [pieces.UNKNOWN, pieces.NORMAL, pieces.NORMAL], [0.0, -1.0, -2.0])))
+    assert segmenter in pieces._SEGMENTERS.values()
+    assert list(common.tidy(iter, "pieces")([1])) == [1] and segmenter in pieces._SEGMENTERS.values()
+    assert list(common.tidy(iter)([1])) == [1] and not pieces._SEGMENTERS
