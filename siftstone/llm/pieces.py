@@ -12,8 +12,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ MARK = "\ud800"
 #: An unknown character scores so much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 BEST = 4
-#: Segments that one of a task's two stores remembers, which bounds its memory.
-REMEMBERED = 80_000
+#: Segments that a task's store remembers, about, which bounds its memory; and of how many it keeps N-best lists.
+REMEMBERED, LISTED = 200_000, 8_000
+#: Words of several characters that are solved at once, at most.
+TOGETHER = 4_096
 #: Texts of about so many bytes are cut into words and solved together.
 SLICE_BYTES = 1 << 20
 
@@ -61,14 +64,42 @@ def rank_scores(kinds: list[int]) -> list[float]:
     return out
 
 
+def _zeros(kind):
+    return field(default_factory=lambda: np.zeros(0, kind))
+
+
 @dataclass
 class Store:
-    """Solved segments: a new and an old generation, and N-best lists."""
+    """Solved segments, numbered in the order in which they came, and N-best lists.
 
-    new: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
+    A segment that is looked up in ``number`` gets the next number there; its ids are ``sizes`` ones of ``flat`` from ``starts`` on.
+    """
+
+    number: dict = field(default_factory=lambda: defaultdict(count().__next__))
+    uses: np.ndarray = _zeros(np.int64)
+    starts: np.ndarray = _zeros(np.int64)
+    sizes: np.ndarray = _zeros(np.int64)
+    flat: np.ndarray = _zeros(np.int32)
+    score: np.ndarray = _zeros(np.float64)
+    loss: np.ndarray = _zeros(np.float64)
     lists: dict = field(default_factory=dict)
 
+    def add(self, sizes, flat, score, loss) -> None:
+        """What belongs to the next numbers."""
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.uses = np.concatenate((self.uses, np.zeros(len(sizes), np.int64)))
+        self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, flat))
+        self.score, self.loss = np.concatenate((self.score, score)), np.concatenate((self.loss, loss))
+
+    def shrink(self, most: int) -> None:
+        """Forgets all but the ``most`` segments that were used most, where earlier uses count half."""
+        kept = np.sort(np.argpartition(self.uses, len(self.uses) - most)[len(self.uses) - most :])
+        words = list(self.number)
+        self.number = defaultdict(count(len(kept)).__next__, zip([words[k] for k in kept.tolist()], range(len(kept))))
+        self.flat = self.flat[flat_ranges(self.starts[kept], self.sizes[kept])]
+        self.uses, self.sizes, self.score, self.loss = self.uses[kept] // 2, self.sizes[kept], self.score[kept], self.loss[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
 
 #: A worker process keeps one segmenter per vocabulary, with its store, across its tasks; tasks of other operators drop it.
 _SEGMENTERS: dict[int, "Segmenter"] = KEPT.setdefault("pieces", {})
@@ -182,17 +213,16 @@ class Segmenter:
         found = tuple([x for part in reversed(ids) for x in part]), best[size], best[size] - second[size]
         return found
 
-    def recall(self, words: list[str]) -> list[tuple]:
-        """``solve`` of distinct words, remembered. When one store is full it becomes the old one, from which words still in use move to the new one."""
+    def recall(self, words, many: int) -> np.ndarray:
+        """Numbers in the store of ``many`` words. Those that are new to it are solved; when it is full, the words used least go first."""
         store = self.store
-        found = [store.new.get(w) or store.old.get(w) for w in words]
-        places = [k for k, f in enumerate(found) if f is None]
-        for k, f in zip(places, self.solve_many([words[k] for k in places])):
-            found[k] = f
-        if len(store.new) >= REMEMBERED:
-            store.old, store.new = store.new, {}
-        store.new.update(zip(words, found))
-        return found
+        if len(store.sizes) >= REMEMBERED:
+            store.shrink(REMEMBERED // 2)
+        numbers = np.fromiter(map(store.number.__getitem__, words), np.int64, many)
+        if len(store.number) > len(store.sizes):
+            store.add(*self._solved(list(islice(store.number, len(store.sizes), None))))
+        store.uses += np.bincount(numbers, minlength=len(store.uses))
+        return numbers
 
     def _other(self, here, next_, best, second, last, i, c):
         """The fallback edge of a character, weighed against what has reached the place after it."""
@@ -226,71 +256,110 @@ class Segmenter:
         return self._table
 
     def solve_many(self, words: list[str]) -> list[tuple]:
-        """``solve`` for many words at once: the same pass over places, each step for all words of a length together."""
-        if not words:
-            return []
-        classes, out = self._arrays()[0], [None] * len(words)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(w) for w in words])
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        known = np.where(points < 1 << 16, classes[np.minimum(points, (1 << 16) - 1)], 0)
-        plain = np.logical_and.reduceat(known > 0, starts) & (sizes > 1)
-        for size in np.unique(sizes[plain]).tolist():
-            chosen = np.flatnonzero(plain & (sizes == size))
-            for at in range(0, len(chosen), 4_096):
-                few = chosen[at : at + 4_096]
-                places = few.tolist()
-                for k, f in zip(places, self._solve_equal([words[k] for k in places], known[starts[few][None, :] + np.arange(size)[:, None]])):
-                    out[k] = f
-        for k in np.flatnonzero(~plain).tolist():
-            out[k] = self.solve(words[k])
-        return out
+        """``solve`` for many words at once."""
+        sizes, flat, score, loss = self._solved(words)
+        ids, ends = flat.tolist(), np.cumsum(sizes).tolist()
+        return [(tuple(ids[end - size : end]), *values) for size, end, *values in zip(sizes.tolist(), ends, score.tolist(), loss.tolist())]
 
-    def _solve_equal(self, words: list[str], codes: np.ndarray) -> list[tuple]:
-        """Words of one length; ``codes`` has a row per place."""
-        _, table, row, score, piece = self._arrays()
-        size, n = codes.shape
-        best, second = np.full((size + 1, n), -math.inf), np.full((size + 1, n), -math.inf)
-        back, last = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int64)
-        best[0] = 0.0
-        for i in range(size):
-            alive, state = np.arange(n), np.ones(n, np.int64)
-            for j in range(i + 1, min(size, i + self.longest) + 1):
-                state = table[row[state], codes[j - 1, alive]]
-                if j > i + 1:
-                    alive, state = alive[state > 0], state[state > 0]
-                    if not len(alive):
-                        break
-                value, ids = score[state], piece[state]
-                if j == i + 1:
-                    value = np.where(ids < 0, self.unknown_score, value)
-                    chosen, who = slice(None), alive
-                else:
-                    chosen = ids >= 0
-                    who = alive[chosen]
-                value, ids = value[chosen], ids[chosen]
-                total, old = best[i, who] + value, best[j, who]
-                better = total > old
-                second[j, who] = np.where(better, np.maximum(old, second[i, who] + value), np.maximum(second[j, who], total))
-                best[j, who[better]] = total[better]
-                back[j, who[better]] = i
-                last[j, who[better]] = ids[better]
-                if j == i + 1:
-                    alive, state = alive[state > 0], state[state > 0]
+    def _solved(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` for many words: how many ids each has, all ids one after another, scores and losses.
+
+        The same pass over places, each step for many words of about the same length together.
+        """
+        many, score, loss = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
+        parts, alone = [], np.ones(len(words), bool)
+        if words:
+            classes = self._arrays()[0]
+            points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sizes = np.array([len(w) for w in words])
+            starts = np.cumsum(sizes) - sizes
+            known = np.where(points < 1 << 16, classes[np.minimum(points, (1 << 16) - 1)], 0)
+            plain = np.flatnonzero(np.logical_and.reduceat(known > 0, starts) & (sizes > 1))
+            plain = plain[np.argsort(-sizes[plain], kind="stable")]
+            at, falling = 0, -sizes[plain]
+            while at < len(plain):
+                size = -int(falling[at])
+                # words of more than half that length, as many as fit about the cells of TOGETHER words of 64 characters
+                end = min(at + max(1, min(TOGETHER, (TOGETHER << 6) // size)), int(np.searchsorted(falling, -(size // 2), "left")))
+                few, at = plain[at:end], end
+                if len(few) < 16:  # steps for so few words cost more than one by one
+                    continue
+                place = np.arange(size)[:, None]
+                inside = place < sizes[few]
+                codes = np.where(inside, known[np.where(inside, starts[few] + place, 0)], 0)
+                own_many, ids, own_score, own_loss, whole = self._solve_together(codes, sizes[few])
+                parts.append((few[whole], own_many[whole], ids[np.repeat(whole, own_many)]))
+                many[few], score[few], loss[few], alone[few] = own_many, own_score, own_loss, ~whole
+        for k in np.flatnonzero(alone).tolist():
+            ids, score[k], loss[k] = self.solve(words[k])
+            many[k] = len(ids)
+            parts.append((np.array([k]), many[k : k + 1], ids))
+        first, flat = np.cumsum(many) - many, np.zeros(many.sum(), np.int32)
+        for few, own_many, ids in parts:
+            flat[flat_ranges(first[few], own_many)] = ids
+        return many, flat, score, loss
+
+    def _solve_together(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Words of falling length; ``codes`` has a row per place, with 0 behind a word's end.
+
+        How many ids each word has, all ids, scores, losses, and whether no character took the fallback, whose ids are not given.
+        """
+        _, table, row, value_of, piece_of = self._arrays()
+        (longest, n), width, codes_flat, table_flat = codes.shape, table.shape[1], codes.ravel(), table.ravel()
+        below = row * width
+        # place by place, all words of each
+        best, second = np.full((longest + 1) * n, -math.inf), np.full((longest + 1) * n, -math.inf)
+        back, last = np.zeros((longest + 1) * n, np.int32), np.full((longest + 1) * n, -1, np.int32)
+        best[:n] = 0.0
+        reach = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
+        for i, m in enumerate(reach):
+            here, next_ = best[i * n : i * n + m], second[i * n : i * n + m]
+            state = table_flat.take(below[1] + codes[i, :m])
+            ids, to = piece_of.take(state), slice((i + 1) * n, (i + 1) * n + m)
+            value = np.where(ids < 0, self.unknown_score, value_of.take(state))
+            total, old = here + value, best[to]
+            better = total > old
+            second[to] = np.where(better, np.maximum(old, next_ + value), np.maximum(second[to], total))
+            best[to] = np.where(better, total, old)
+            np.copyto(back[to], i, where=better)
+            np.copyto(last[to], ids, where=better, casting="same_kind")
+            at = below.take(state)
+            alive = np.flatnonzero(at)
+            at = at[alive]
+            for j in range(i + 2, min(longest, i + self.longest) + 1):
+                if not len(alive):
+                    break
+                state = table_flat.take(at + codes_flat.take((j - 1) * n + alive))
+                ids = piece_of.take(state)
+                chosen = np.flatnonzero(ids >= 0)
+                if len(chosen):
+                    who, ids, value = alive[chosen], ids[chosen], value_of.take(state[chosen])
+                    to = j * n + who
+                    total, old = here.take(who) + value, best.take(to)
+                    better = total > old
+                    second[to] = np.where(better, np.maximum(old, next_.take(who) + value), np.maximum(second.take(to), total))
+                    to = to[better]
+                    best[to], back[to], last[to] = total[better], i, ids[better]
+                at = below.take(state)
+                going = np.flatnonzero(at)
+                alive, at = alive[going], at[going]
         # all paths at once, from their ends: how many pieces each has, then the pieces in their places
-        at, many, steps = np.full(n, size), np.zeros(n, np.int64), []
         everyone = np.arange(n)
-        while at.any():
-            steps.append(np.where(at > 0, last[at, everyone], -2))
-            many += at > 0
-            at = back[at, everyone]
-        path = np.empty((n, len(steps)), np.int64)
-        for k, step in enumerate(steps):
-            there = step > -2
-            path[everyone[there], many[there] - 1 - k] = step[there]
-        known = (path >= 0) | (np.arange(len(steps)) >= many[:, None])
-        rows = zip(words, path.tolist(), many.tolist(), known.all(1).tolist(), best[size].tolist(), second[size].tolist())
-        return [(tuple(row[:count]), top, top - other) if whole else self.solve(word) for word, row, count, whole, top, other in rows]
+        many, whole, steps, at, alive = np.zeros(n, np.int64), np.ones(n, bool), [], sizes, everyone
+        while len(alive):
+            place = at * n + alive
+            ids, at = last.take(place), back.take(place)
+            steps.append((alive, ids))
+            many[alive] += 1
+            whole[alive[ids < 0]] = False
+            going = at > 0
+            alive, at = alive[going], at[going]
+        ends = np.cumsum(many)
+        flat = np.empty(many.sum(), np.int32)
+        for k, (alive, ids) in enumerate(steps):
+            flat[ends[alive] - 1 - k] = ids
+        top = best.take(sizes * n + everyone)
+        return many, flat, top, top - second.take(sizes * n + everyone), whole
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best segmentations of one segment: (score, ids), best first."""
@@ -322,7 +391,7 @@ class Segmenter:
                 count += 1
                 heapq.heappush(queue, (-(best[start] + after), start, count, after, (own, ids)))
         out.sort(key=lambda found: -found[0])  # equal up to rounding, they may come in any order
-        if len(self.store.lists) >= REMEMBERED // 10:
+        if len(self.store.lists) >= LISTED:
             self.store.lists.clear()
         self.store.lists[word, n] = out
         return out
@@ -338,19 +407,13 @@ class Segmenter:
 
     def encode_many(self, texts: list[str], n: int = BEST):
         """``encode`` of several texts: all ids one after another, the cuts between the texts, scores, and the next best segmentations."""
-        words = [self.words(t) for t in texts]
-        distinct = list(set().union(*words))
-        found = self.recall(distinct)
-        number = dict(zip(distinct, range(len(distinct))))
-        counts = np.array([len(w) for w in words])
-        all_words = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        sizes = np.array([len(f[0]) for f in found], np.int64)
-        flat = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32, sizes.sum())
-        own_sizes = sizes[all_words]
+        words, store = [self.words(t) for t in texts], self.store
+        ends = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+        all_words = self.recall(chain.from_iterable(words), ends[-1])
+        own_sizes = store.sizes[all_words]
         before = np.concatenate(([0], np.cumsum(own_sizes)))
-        ids = flat[flat_ranges((np.cumsum(sizes) - sizes)[all_words], own_sizes)]
-        value, loss = np.array([f[1] for f in found])[all_words], np.array([f[2] for f in found])[all_words]
+        ids = store.flat[flat_ranges(store.starts[all_words], own_sizes)]
+        value, loss = store.score[all_words], store.loss[all_words]
         scores, others = [], []
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             scores.append(float(value[a:b].sum()))

@@ -3,6 +3,7 @@ import math
 import pickle
 import random
 import struct
+import sys
 
 import pytest
 import sentencepiece
@@ -157,6 +158,45 @@ def test_many_words_at_once():
     assert own.solve_many([]) == []
 
 
+def test_new_words_take_few_calls():
+    """New words of all lengths are solved together, not length by length or word by word."""
+    random_ = random.Random(9)
+    texts = [" ".join("".join(random_.choice("etaoinshr") for _ in range(random_.randint(2, 40))) for _ in range(300)) for _ in range(20)]
+    own = pieces.Segmenter(S.pieces, S.kinds, S.scores, pieces.Store())
+    own.encode_many([prose(1, 5)])  # makes the arrays of the tree
+    calls = [0]
+
+    def counted(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(counted)
+    try:
+        own.encode_many(texts, 1)
+    finally:
+        sys.setprofile(None)
+    words = {w for t in texts for w in S.words(t)}
+    assert calls[0] < 5 * len(words)
+
+
+def test_a_full_store_keeps_the_words_used_most(monkeypatch):
+    texts = [f"the and {'a' * (i + 2)} {'b' * (i + 2)}" for i in range(30)]
+    want = [S.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    own, solved = pieces.Segmenter(S.pieces, S.kinds, S.scores, pieces.Store()), []
+    monkeypatch.setattr(pieces.Segmenter, "_solved", lambda self, words, f=pieces.Segmenter._solved: solved.extend(words) or f(self, words))
+    assert [own.encode(t) for t in texts] == want
+    assert solved.count(pieces.SPACE + "the") == 1 and len(own.store.number) == len(own.store.sizes) < 24
+
+
+def test_words_of_an_interrupted_call_are_solved_by_the_next_one(monkeypatch):
+    own = pieces.Segmenter(S.pieces, S.kinds, S.scores, pieces.Store())
+    with monkeypatch.context() as patch:
+        patch.setattr(pieces.Segmenter, "_solved", lambda self, words: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            own.encode("some words")
+    assert own.encode("other words") == S.encode("other words")
+
+
 def test_other_operators_tasks_drop_the_kept_segmenters():
     from siftstone.llm import common
 
