@@ -295,20 +295,23 @@ def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], row_l
 def time_limit(spark: SparkSession, seconds: float | None):
     """Ends what this thread runs in the session after so many seconds, in the executors too; then TimeoutError is raised. Other work goes on.
 
-    The jobs get a tag of their own, and a watcher interrupts that tag alone.
+    The jobs get a tag of their own, and a watcher cancels that tag alone, again and again, as a job may begin just after. It is a tag of the
+    context: once a session has had tags of its own, it can no longer be sent along with a forest model, which holds its session.
     """
     if seconds is None:
         yield
         return
-    tag, over = f"siftstone-{uuid.uuid4().hex}", threading.Event()
+    context, tag, over, done = spark.sparkContext, f"siftstone-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop():
         over.set()
-        spark.interruptTag(tag)
+        while not done.is_set():
+            context.cancelJobsWithTag(tag)
+            done.wait(0.5)
 
     watcher = threading.Timer(seconds, stop)
     watcher.daemon = True
-    spark.addTag(tag)
+    context.addJobTag(tag)
     watcher.start()
     try:
         yield
@@ -317,9 +320,10 @@ def time_limit(spark: SparkSession, seconds: float | None):
             raise TimeoutError(f"over {seconds} seconds") from exc
         raise
     finally:
+        done.set()
         watcher.cancel()
-        spark.removeTag(tag)
-    if over.is_set():  # between two jobs nothing is there to interrupt
+        context.removeJobTag(tag)
+    if over.is_set():  # between two jobs nothing is there to cancel
         raise TimeoutError(f"over {seconds} seconds")
 
 

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import selecting
+from siftstone.operators import learning, selecting
 
 
 def run(spark, sql, views):
@@ -118,6 +118,23 @@ def test_a_long_query_ends_and_a_short_one_beside_it_does_not(spark):
     assert page.row_count == 5 and page.truncated and not spark.getTags()
 
 
+def test_a_job_that_begins_after_the_limit_ends_too(spark):
+    big = spark.range(0, 200_000, 1, 8)
+    begin = time.perf_counter()
+    with pytest.raises(TimeoutError), selecting.time_limit(spark, 0.2):
+        time.sleep(0.6)
+        big.alias("a").join(big.alias("b"), F.expr("a.id % 1000 <> b.id % 999")).selectExpr("SUM(a.id % 7)").collect()
+    assert time.perf_counter() - begin < 15
+
+
+def test_a_forest_is_learned_after_a_time_limit(spark):
+    """Its model holds the session, which the limit must leave fit to be sent along."""
+    with selecting.time_limit(spark, 600):
+        df = spark.range(60).selectExpr("id", "CAST(id % 10 AS double) AS amount", "CAST(id % 10 > 4 AS int) AS label")
+        assert df.count() == 60
+    assert learning.learn(df, "label", {"amount": "currency"}, ["id"], trees=2).summary.first().task == "classification"
+
+
 def test_errors_stay_errors(spark, views):
     with pytest.raises(ValueError):
         selecting.run_sql_page(spark, "SELECT IDENTIFIER('abs')(id) FROM dataset", views)
