@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +25,9 @@ SEGMENT = 1 << 15
 CHUNK = 1 << 12
 #: Most records in one archive file, which bounds it at 64 MB before compression.
 FILE_RECORDS = 2_048
+#: Bytes of records (counted as html, url and ``HEADER`` each) for every task that writes, unless the session's cores need more tasks.
+TASK_BYTES = 8 << 20
+HEADER = 1 << 10
 #: Copies of the table of repeated payloads, over which the pages of one payload are spread.
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -103,11 +107,19 @@ def _records(page_id, url, html, refers_to, name, segment):
     return out
 
 
+def writing_tasks(pages: DataFrame) -> int:
+    """How many tasks write the archives (one narrow scan): by the bytes, and enough for all cores."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in ("html", "url")), F.lit(HEADER))
+    total = pages.agg(F.sum(size)).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+
+
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
     """Writes WARC records for each row of ``pages(page_id, url, html)`` below ``path``, at most ``FILE_RECORDS`` in a gzip-compressed file.
 
     Spark's text writer commits the files, so a lost task leaves none behind; its line separator is the end of a record. Record
-    ids come from the task's partition and a counter: they are unique, also for repeated rows.
+    ids come from the task's partition and a counter: they are unique, also for repeated rows. Small partitions are written
+    together, as every file costs its executor more than its bytes: on local disks, Hadoop starts a program for each right that it sets.
     """
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -119,7 +131,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
                     records += _records(page_id, url, html, refers_to, f"urn:record:{part}:{number}", segment)
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
-    records = with_roles(pages, least).mapInArrow(tidy(run), "value string")
+    records = with_roles(pages, least).coalesce(writing_tasks(pages)).mapInArrow(tidy(run), "value string")
     records.write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 

@@ -71,3 +71,25 @@ def test_odd_tables(spark):
     rows = [(1, "u", long), (1, "u", long), (None, "u", long), (None, None, None)]
     found = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in found) == [(0, "response", 0), (0, "revisit", 1), (1, "response", 0), (1, "response", 0)]
+
+
+def test_archives_go_by_bytes_not_by_partitions(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i} " * 300) for i in range(400)]
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    cores = spark.sparkContext.defaultParallelism
+    files = []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for task_bytes in (warc.TASK_BYTES, 30_000):
+            monkeypatch.setattr(warc, "TASK_BYTES", task_bytes)
+            path = new_folder(spark, "warc-test")
+            warc.write_archives(spark.createDataFrame(rows, SCHEMA), path)
+            files.append(spark.read.format("binaryFile").load(path).count())
+            found = warc.read_pages(spark, path).collect()
+            assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found} == expected(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files[0] <= cores < files[1]
