@@ -1,6 +1,6 @@
 """Keyed state with timers: a sliding request counter, and job status with a stalled-job alarm and expiry.
 
-A key's state is one row. Timers run on event time, so that a replay of old events gives what the live stream gave. Both processors need the
+A key's state is one row (of the job tracker's, that of a bucket of entities). Timers run on event time, so that a replay of old events gives what the live stream gave. Both processors need the
 RocksDB state store, which ``keyed_state`` sets for the streams started inside it.
 """
 
@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +28,9 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 COUNTED = "client string, second long, requests long, in_window long"
 TRACKED = "kind string, entity string, status string, at timestamp"
 
+#: Entities are kept in so many buckets; a bucket's state is read and written whole when one of its entities moves.
+BUCKETS = 1_024
+
 
 @contextmanager
 def keyed_state(spark: SparkSession):
@@ -101,74 +106,97 @@ class SlidingCounter(StatefulProcessor):
 class JobTracker(StatefulProcessor):
     """The status of an entity: ``status`` rows as it changes, ``stalled`` when a running one stays for too long, ``expired`` when nothing came for long.
 
-    The state holds the last status, its time and event; it goes with the expiry. An event older than the last one changes nothing.
+    A key is a bucket of entities, as every call to the state is a round trip, however little it holds. The state is a table with the last status of
+    each entity, its time and event; an entity's row goes with its expiry. An event older than the last one changes nothing.
     """
 
+    KEPT = pa.schema([("entity", pa.string()), ("status", pa.string()), ("at", pa.int64()), ("event", pa.string()), ("alarmed", pa.bool_())])
+
     def __init__(self, running: Sequence[str], stall_ms: int, keep_ms: int):
         self.running, self.stall, self.keep = tuple(running), stall_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, at bigint, event string, alarmed boolean")
-
-    @staticmethod
-    def _rows(key, found) -> Iterator[pd.DataFrame]:
-        if found:
-            kinds, states, times = zip(*found)
-            yield pd.DataFrame({"kind": kinds, "entity": key[0], "status": states, "at": np.array(times, "datetime64[us]").astype("datetime64[ns]")})
+        self.last = handle.getValueState("bucket", "due bigint, kept binary")
+
+    def _load(self) -> tuple[int | None, pa.Table]:
+        """When the bucket's timer goes off, and its table."""
+        due, kept = self.last.get() or (None, None)
+        return due, self.KEPT.empty_table() if kept is None else pa.ipc.open_stream(pa.py_buffer(bytes(kept))).read_all()
+
+    def _save(self, kept: pa.Table, before: int | None) -> None:
+        """Keeps the table and sets its one timer: when the first alarm or expiry of an entity is due. ``before`` is the timer still set."""
+        due = None
+        if len(kept):
+            wait = np.where(self._waiting(kept), min(self.stall, self.keep), self.keep)
+            due = int((kept["at"].to_numpy() // 1000 + wait + 1).min())
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, kept.schema) as writer:
+                writer.write_table(kept.combine_chunks())
+            self.last.update((due, out.getvalue().to_pybytes()))
+        else:
+            self.last.clear()
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
 
-    def _overdue(self, status, at, alarmed, now) -> bool:
-        return status in self.running and not alarmed and now - at > self.stall * 1000
+    def _waiting(self, rows: pa.Table) -> np.ndarray:
+        """Which rows an alarm may still come for."""
+        return pc.and_not(pc.is_in(rows["status"], value_set=pa.array(self.running, pa.string())), rows["alarmed"]).to_numpy()
 
-    def _due(self, status, at, alarmed) -> int:
-        """When a key's one timer goes off: at the alarm, or at the expiry if that comes first or no alarm is to come. It follows from the state and need not be listed."""
-        wait = min(self.stall, self.keep) if status in self.running and not alarmed else self.keep
-        return at // 1000 + wait + 1
+    @staticmethod
+    def _rows(table: pa.Table, **found: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The found places of the table, a kind after another."""
+        place = np.concatenate(list(found.values()))
+        if len(place):
+            rows = table.select(["entity", "status", "at"]).take(pa.array(place)).to_pandas()
+            kinds = np.repeat(np.array(list(found), object), [len(p) for p in found.values()])
+            at = rows["at"].to_numpy(np.int64).astype("datetime64[us]").astype("datetime64[ns]")
+            yield pd.DataFrame({"kind": kinds, "entity": rows["entity"], "status": rows["status"], "at": at})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get()  # every call is a round trip
-        status, at, event, alarmed = before or (None, None, "", False)
-        found, events = [], []
-        for chunk in rows:
-            events += zip(chunk["at"].to_numpy(np.int64).tolist(), chunk["event_id"].tolist(), chunk["status"].tolist())
-        for when, number, new in sorted(events, key=lambda e: (e[0], e[1] is None, e[1] or "")):
-            if at is not None and (when, number) <= (at, event):
-                continue
-            if at is not None and when - at > self.keep * 1000:
-                found += [("stalled", status, at)] if self._overdue(status, at, alarmed, when) else []
-                found.append(("expired", status, at))
-            elif at is not None and self._overdue(status, at, alarmed, when):  # in time order nobody had seen it move
-                found.append(("stalled", status, at))
-            status, at, event, alarmed = new, when, number, False
-            found.append(("status", status, at))
-        if found:
-            self.last.update((status, at, event, alarmed))
-            due = self._due(status, at, alarmed)
-            past = self._due(before[0], before[1], before[3]) if before else None
-            if past != due:
-                if before:
-                    self.handle.deleteTimer(past)
-                self.handle.registerTimer(due)
-        yield from self._rows(key, found)
+        due, kept = self._load()
+        came = [
+            pa.table(
+                [chunk["entity"], chunk["status"], chunk["at"].fillna(np.iinfo(np.int64).min).astype(np.int64), chunk["event_id"], np.zeros(len(chunk), bool)],
+                schema=self.KEPT,
+            )
+            for chunk in rows
+        ]
+        both = pa.concat_tables([kept, *came]).combine_chunks()
+        code = both["entity"].chunk(0).dictionary_encode(null_encoding="encode").indices
+        # the kept row of an entity stands before new ones of its time and event, as the order is stable
+        order = pc.sort_indices(pa.table([code, both["at"], both["event"]], names=["code", "at", "event"]), sort_keys=[(c, "ascending") for c in ("code", "at", "event")])
+        both, place, code = both.take(order), order.to_numpy(), code.take(order).to_numpy()
+        old, at = place < len(kept), both["at"].to_numpy()
+        latest = np.full(code.max(initial=0) + 1, -1)
+        latest[code[old]] = np.flatnonzero(old)
+        moves = np.arange(len(code)) >= latest[code]
+        same = np.flatnonzero((code[1:] == code[:-1]) & (at[1:] == at[:-1])) + 1
+        event = both["event"].take(pa.array(same)).to_pylist(), both["event"].take(pa.array(same - 1)).to_pylist()
+        moves[same[[a == b for a, b in zip(*event)]]] = False  # a repeated event changes nothing either
+        both, code, old, at = both.filter(pa.array(moves)), code[moves], old[moves], at[moves]
+        if old.all():
+            return
+        follows = code[1:] == code[:-1]
+        gap = at[1:].view(np.uint64) - at[:-1].view(np.uint64)  # in time order, so that it is never negative
+        stalled = np.flatnonzero(follows & self._waiting(both)[:-1] & (gap > self.stall * 1000))  # in time order nobody had seen it move
+        expired = np.flatnonzero(follows & (gap > self.keep * 1000))
+        self._save(both.filter(pa.array(np.append(~follows, True))), due)
+        yield from self._rows(both, stalled=stalled, expired=expired, status=np.flatnonzero(~old))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = self.last.get()
-        if before is None:
+        _, kept = self._load()
+        if not len(kept):
             return
-        status, at, event, alarmed = before
-        now, found = timerValues.getCurrentWatermarkInMs() * 1000, []
-        if self._overdue(status, at, alarmed, now):
-            found.append(("stalled", status, at))
-            alarmed = True
-        if now - at > self.keep * 1000:
-            found.append(("expired", status, at))
-            self.last.clear()
-        else:
-            self.last.update((status, at, event, alarmed))
-            due = self._due(status, at, alarmed)
-            if due != expiredTimerInfo.getExpiryTimeInMs():  # which goes by itself
-                self.handle.registerTimer(due)
-        yield from self._rows(key, found)
+        now, at = timerValues.getCurrentWatermarkInMs() * 1000, kept["at"].to_numpy()
+        stalled = self._waiting(kept) & (at < now - self.stall * 1000)
+        expired = at < now - self.keep * 1000
+        alarmed = kept.set_column(4, "alarmed", pc.or_(kept["alarmed"], pa.array(stalled)))
+        self._save(alarmed.filter(pa.array(~expired)), None)  # the timer that went off goes by itself
+        yield from self._rows(kept, stalled=np.flatnonzero(stalled), expired=np.flatnonzero(expired))
 
     def close(self) -> None:
         pass
@@ -183,18 +211,20 @@ def sliding_counts(requests: DataFrame, client: str, ts: str, limit: int = 60, w
 
 def tracked_jobs(
     events: DataFrame, entity: str, status: str, ts: str, event_id: str, running: Sequence[str] = ("profiling", "cleaning"),
-    stall_hours: float = 2.0, keep_hours: float = 24.0 * 7, delay: str = "1 hour",
+    stall_hours: float = 2.0, keep_hours: float = 24.0 * 7, delay: str = "1 hour", buckets: int | None = None,
 ) -> DataFrame:
     """Status changes, stalled-job alarms and expiries of a stream of status events: ``kind, entity, status, at``.
 
-    ``at`` is when the status began. A job is stalled when nothing came for more than ``stall_hours`` while it was running.
+    ``at`` is when the status began. A job is stalled when nothing came for more than ``stall_hours`` while it was running. ``buckets`` (``BUCKETS``) stays
+    the same as long as a checkpoint is used; more of them suit many millions of entities.
     """
     marked = events.withWatermark(ts, delay).select(
         ref(entity).cast("string").alias("entity"), ref(status).alias("status"), F.unix_micros(ref(ts)).alias("at"),
         F.lpad(ref(event_id).cast("string"), 20, "0").alias("event_id"), ref(ts),
+        F.pmod(F.xxhash64(ref(entity).cast("string")), F.lit(buckets or BUCKETS)).cast("int").alias("bucket"),
     )
     tracker = JobTracker(running, int(stall_hours * 3_600_000), int(keep_hours * 3_600_000))
-    return marked.groupBy("entity").transformWithStateInPandas(tracker, TRACKED, "append", "eventTime")
+    return marked.groupBy("bucket").transformWithStateInPandas(tracker, TRACKED, "append", "eventTime")
 
 
 # ── replays of event files ──────────────────────────────────────────────────

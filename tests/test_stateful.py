@@ -70,3 +70,91 @@ def test_the_sessions_store_comes_back(spark):
     with pytest.raises(RuntimeError), stateful.keyed_state(spark):
         raise RuntimeError
     assert spark.conf.get(key, None) == before
+
+
+class OneKey:
+    """Stands in for the state and the timers of one key; counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def followed(batches, stall, keep):
+    """Entity by entity and event by event: what the tracker should give out, with the watermark behind each batch (all in milliseconds)."""
+    last, found = {}, []
+    for rows, mark in batches:
+        for d, s, t, e in sorted(rows, key=lambda r: (r[2], r[3] is None, r[3] or "")):
+            if d in last:
+                status, at, event, alarmed = last[d]
+                if (t, e is None, e or "") <= (at, event is None, event or ""):
+                    continue
+                if status == "profiling" and not alarmed and t - at > stall:
+                    found.append(("stalled", d, status, at))
+                if t - at > keep:
+                    found.append(("expired", d, status, at))
+            last[d] = (s, t, e, False)
+            found.append(("status", d, s, t))
+        for d, (status, at, event, alarmed) in list(last.items()):
+            if status == "profiling" and not alarmed and mark - at > stall:
+                found.append(("stalled", d, status, at))
+                last[d] = (status, at, event, True)
+            if mark - at > keep:
+                found.append(("expired", d, status, at))
+                del last[d]
+    return found
+
+
+def test_a_bucket_of_entities_costs_a_few_calls_to_the_state(monkeypatch):
+    import types
+
+    import pandas as pd
+
+    random_, hour, handle, got, batches = random.Random(8), 3_600_000, OneKey(), [], []
+    tracker = stateful.JobTracker(("profiling",), 2 * hour, 24 * hour)
+    tracker.init(handle)
+    for k in range(7):
+        # the last batches have few rows, with long silences before them; the watermark lies behind some rows and before others
+        start = (0, 6, 12, 18, 60, 61, 200)[k] * hour
+        rows = [
+            (random_.choice([None, "", *map(str, range(300))]), random_.choice(["profiling", "profiling", "ready", None]), start + random_.randrange(6 * hour) - random_.choice([0, 4 * hour]),
+             random_.choice([None, *"abcdef"]))
+            for _ in range(900 if k < 4 else 60)
+        ]
+        rows = list({(r[0], r[2], r[3]): r for r in rows + [(d, s, t, e) for d, s, t, e in rows[:20]]}.values())
+        mark = start + hour if k < 6 else 10**12
+        batches.append((rows, mark))
+        times, calls = types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark), handle.calls
+        frame = pd.DataFrame([(d, s, t * 1000, e) for d, s, t, e in rows], columns=["entity", "status", "at", "event_id"])
+        got += tracker.handleInputRows((1,), iter([frame[: len(frame) // 2], frame[len(frame) // 2 :]]), times)
+        assert len(handle.timers) <= 1
+        due = [t for t in handle.timers if t <= mark]
+        for t in due:
+            got += tracker.handleExpiredTimer((1,), times, types.SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+            handle.timers.discard(t)
+        assert handle.calls - calls <= 8 and all(t > mark for t in handle.timers)
+    assert handle.value is None and not handle.timers
+    found = [(r.kind, r.entity, r.status, int(r.at.value // 10**6)) for frame in got for r in frame.itertuples()]
+    want = followed(batches, 2 * hour, 24 * hour)
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert {k: sum(r[0] == k for r in want) > 50 for k in ("status", "stalled", "expired")} == {"status": True, "stalled": True, "expired": True}
