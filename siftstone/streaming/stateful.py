@@ -230,29 +230,30 @@ def tracked_jobs(
 # ── replays of event files ──────────────────────────────────────────────────
 
 
-def _replayed(spark: SparkSession, folder: str, build, slices: int = 4) -> DataFrame:
+def _replayed(spark: SparkSession, folder: str, build, key: str, slices: int = 4) -> DataFrame:
     """The events written in slices of time, one after another, then a tick far behind them; what ``build(stream, delay)`` gives out in the end.
 
-    A slice may be many files in any order, so the watermark stays back by the length of one.
+    A slice is as many files as there are tasks, each with all events of its keys, and a batch reads so many: a key's events come in order of time even where
+    a batch ends inside a slice, and the number of batches does not grow with the files. Keys are in any order, so the watermark stays back by the length of one slice.
     """
     events = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     span = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
     first, step = span.a or 0, ((span.b or 0) - (span.a or 0)) // slices + 1
-    source, out = new_folder(spark, "replay"), new_folder(spark, "replayed")
+    source, out, files = new_folder(spark, "replay"), new_folder(spark, "replayed"), spark.sparkContext.defaultParallelism
     at = F.floor((F.unix_micros("ts") - first) / step)
     for k in range(slices):
-        events.where(at == k).write.mode("append").parquet(f"{source}/{k}")
+        events.where(at == k).repartition(files, ref(key)).write.mode("append").parquet(f"{source}/{k}")
     tick = F.timestamp_micros(F.lit(first + 3 * slices * step + 10**15 // 10**3))
     empty = [tick.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
     spark.range(1).select(*empty).write.parquet(f"{source}/tick")
-    stream = stream_dataset(spark, f"{source}/*", events.schema, max_files=1)
+    stream = stream_dataset(spark, f"{source}/*", events.schema, max_files=files)
     with keyed_state(spark):
         append_to(build(stream, f"{step // 1_000_000 + 1} seconds"), out)
     return spark.read.parquet(f"{out}/data")
 
 
 def run_sliding_counts(spark: SparkSession, folder: str, limit: int, window_seconds: int) -> DataFrame:
-    found = _replayed(spark, folder, lambda s, delay: sliding_counts(s, "event_type", "ts", limit, window_seconds, delay))
+    found = _replayed(spark, folder, lambda s, delay: sliding_counts(s, "event_type", "ts", limit, window_seconds, delay), "event_id")
     return found.where(F.col("client").isNotNull())
 
 
@@ -261,5 +262,6 @@ def run_tracked_jobs(spark: SparkSession, folder: str, stall_hours: float = 2.0,
     found = _replayed(
         spark, folder,
         lambda s, delay: tracked_jobs(s.withColumn("status", status), "user_id", "status", "ts", "event_id", stall_hours=stall_hours, keep_hours=keep_hours, delay=delay),
+        "user_id",
     )
     return found.where(F.col("entity").isNotNull())

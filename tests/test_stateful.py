@@ -158,3 +158,30 @@ def test_a_bucket_of_entities_costs_a_few_calls_to_the_state(monkeypatch):
     want = followed(batches, 2 * hour, 24 * hour)
     assert sorted(found, key=str) == sorted(want, key=str)
     assert {k: sum(r[0] == k for r in want) > 50 for k in ("status", "stalled", "expired")} == {"status": True, "stalled": True, "expired": True}
+
+
+def test_a_replay_of_many_files_keeps_the_order_of_a_keys_events(spark, tmp_path, monkeypatch):
+    import datetime
+
+    random_, start = random.Random(4), datetime.datetime(2024, 1, 1)
+    kinds = {"view": "profiling", "click": "ready"}
+    rows = [(i, start + datetime.timedelta(minutes=random_.randrange(6000)), random_.randrange(12), random_.choice(list(kinds)), 1.0, "") for i in range(900)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(6, "event_id").write.parquet(str(tmp_path / "events.parquet"))  # a user's events lie in all files
+    monkeypatch.setattr(stateful, "STATUS_OF", kinds)
+    batches, append_to = [], stateful.append_to
+
+    def appended(stream, folder):
+        append_to(stream, folder)
+        batches.extend(p.name for p in (tmp_path.__class__(folder) / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+
+    monkeypatch.setattr(stateful, "append_to", appended)
+    found = stateful.run_tracked_jobs(spark, str(tmp_path), 2.0, 24.0).select("kind", "entity", "status", F.unix_micros("at").alias("at")).collect()
+    utc = datetime.timezone.utc
+    each = [(str(u), kinds[e], int(t.replace(tzinfo=utc).timestamp() * 1000), f"{i:020}") for i, t, u, e, *_ in rows]
+    want = followed([(each, 10**15)], 2 * 3_600_000, 24 * 3_600_000)
+    assert sorted((r.kind, r.entity, r.status, r.at // 1000) for r in found) == sorted(want)
+    assert len([r for r in found if r.kind == "status"]) == 900 and len(batches) <= 8
+    windows = stateful.run_sliding_counts(spark, str(tmp_path), 2, 7200)
+    expected = operations.requests_over_limit(events, "event_type", "ts", 2, 7200)
+    assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, expected.collect())) and windows.count() > 50
