@@ -106,7 +106,7 @@ class SlidingCounter(StatefulProcessor):
 class JobTracker(StatefulProcessor):
     """The status of an entity: ``status`` rows as it changes, ``stalled`` when a running one stays for too long, ``expired`` when nothing came for long.
 
-    A key is a bucket of entities, as every call to the state is a round trip, however little it holds. The state is a table with the last status of
+    A key is a bucket of entities (or one entity, if rows do not name theirs), as every call to the state is a round trip, however little it holds. The state is a table with the last status of
     each entity, its time and event; an entity's row goes with its expiry. An event older than the last one changes nothing.
     """
 
@@ -160,7 +160,7 @@ class JobTracker(StatefulProcessor):
         due, kept = self._load()
         came = [
             pa.table(
-                [chunk["entity"], chunk["status"], chunk["at"].fillna(np.iinfo(np.int64).min).astype(np.int64), chunk["event_id"], np.zeros(len(chunk), bool)],
+                [chunk["entity"] if "entity" in chunk else [key[0]] * len(chunk), chunk["status"], chunk["at"].fillna(np.iinfo(np.int64).min).astype(np.int64), chunk["event_id"], np.zeros(len(chunk), bool)],
                 schema=self.KEPT,
             )
             for chunk in rows
