@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..session import cut_lineage
+from .cells import DENSE_ROWS, Cells
+from .cells import tops as _tops  # noqa: F401
 
 DEFAULT_TOP_K = 8
 #: Numbers of the corpus that one task holds, and queries that it scores at a time.
 SLICE_NUMBERS = 4_000_000
 QUERY_ROWS = 256
-#: Vectors of a slice, however short they are: the scores of ``QUERY_ROWS`` queries are held for all of them. Those of a group are compared together.
-SLICE_ROWS, GROUP_ITEMS = 50_000, 64
+#: Vectors of a slice, however short they are.
+SLICE_ROWS = 1_000_000
 #: Postings of a slice; sorting them takes some ten times their bytes for a while.
 SLICE_POSTINGS = 1_000_000
 #: Up to so many query words they are broadcast; beyond that they are joined by a shuffle.
@@ -49,7 +51,7 @@ def _sliced(items: DataFrame, queries: DataFrame, slices: int) -> DataFrame:
     asked = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("is_query"), *queries.columns, *_missing(items, queries)
     )
-    return own.unionByName(asked).repartition(slices if slices == 1 else 2 * slices, "slice").sortWithinPartitions("slice", "is_query")
+    return own.unionByName(asked).repartitionById(slices, "slice").sortWithinPartitions("slice", "is_query")
 
 
 def _missing(there: DataFrame, here: DataFrame) -> list[Column]:
@@ -77,35 +79,6 @@ def _streamed(batches: Iterator[pa.RecordBatch], hold, score) -> Iterator[pa.Rec
                     yield from score(ready, batch.slice(at, min(QUERY_ROWS, b - at)))
 
 
-def _tops(scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, item) of the best finite scores of each row (no NaN); ties at the cut stay, the final ranking decides by id.
-
-    The best of small groups come first: the ``top_k``-th of those is no more than the ``top_k``-th score, so that few groups have to be looked into.
-    """
-    groups = scores.shape[1] // GROUP_ITEMS
-    if groups <= 4 * top_k:
-        rows, places = [], []
-        for i, row in enumerate(scores):
-            usable = np.flatnonzero(np.isfinite(row))
-            if len(usable) > top_k:
-                cut = np.partition(row[usable], -top_k)[-top_k]
-                usable = usable[row[usable] >= cut - 1e-9]
-            rows.append(np.full(len(usable), i))
-            places.append(usable)
-        return np.concatenate(rows), np.concatenate(places)
-    grouped = scores[:, : groups * GROUP_ITEMS].reshape(len(scores), groups, GROUP_ITEMS)
-    best = grouped.max(axis=2)
-    cut = np.partition(best, -top_k, axis=1)[:, -top_k] - 1e-9
-    row, group = np.nonzero((best >= cut[:, None]) & np.isfinite(best))
-    inside = grouped[row, group]
-    hit, place = np.nonzero((inside >= cut[row, None]) & np.isfinite(inside))
-    rest = scores[:, groups * GROUP_ITEMS :]
-    last, at = np.nonzero((rest >= cut[:, None]) & np.isfinite(rest))
-    rows, places = np.concatenate((row[hit], last)), np.concatenate((group[hit] * GROUP_ITEMS + place, at + groups * GROUP_ITEMS))
-    order = np.lexsort((places, rows))
-    return rows[order], places[order]
-
-
 def _ranked(found: DataFrame, top_k: int, item: str, digits: int) -> DataFrame:
     """One ranking per query; scores are compared at 1e-9 so that ties go to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), item)
@@ -143,7 +116,8 @@ def search_vectors(
     usual = items.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     size, rows = (usual.d, usual.n) if usual else (0, 0)
     items, asked = items.where(F.size("v") == size), asked.where(F.size("v") == size)
-    placed = _sliced(items, asked, max(1, math.ceil(rows * size / SLICE_NUMBERS), math.ceil(rows / SLICE_ROWS)))
+    busy = min(math.ceil(rows / DENSE_ROWS), 2 * chunks.sparkSession.sparkContext.defaultParallelism)  # tasks for all cores
+    placed = _sliced(items, asked, max(1, math.ceil(rows * size / SLICE_NUMBERS), math.ceil(rows / SLICE_ROWS), busy))
     at = {c: i for i, c in enumerate(placed.columns)}
 
     def unit(column) -> np.ndarray:
@@ -154,23 +128,16 @@ def search_vectors(
 
     def hold(table):
         vectors = unit(table["v"])
+        sound = np.isfinite(vectors).all(axis=1)
         names, codes = np.unique(table["scope"].to_numpy(), return_inverse=True)
-        return table["item_id"].combine_chunks(), dict(zip(names.tolist(), range(len(names)))), codes, vectors, bool(np.isfinite(vectors).all())
+        return table["item_id"].combine_chunks().filter(pa.array(sound)), dict(zip(names.tolist(), range(len(names)))), Cells(vectors[sound], codes[sound])
 
     def score(ready, batch):
-        ids, names, codes, vectors, sound = ready
+        ids, names, cells = ready
         asks = unit(batch.column(at["v"]))
-        scores = asks @ vectors.T
         own = np.array([names.get(name, -1) for name in batch.column(at["scope"]).to_pylist()])
-        allowed = np.ones(scores.shape, bool) if len(names) == 1 and not own.any() else own[:, None] == codes[None, :]
-        if not (sound and np.isfinite(asks).all()):
-            allowed &= np.isfinite(scores)
-        if threshold is not None:
-            allowed &= scores >= threshold
-        row, place = _tops(scores if allowed.all() else np.where(allowed, scores, -np.inf), top_k)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(at["query_id"]).take(pa.array(row)), ids.take(pa.array(place)), pa.array(scores[row, place])], names=["query_id", "chunk_id", "score"]
-        )
+        row, place, scores = cells.best(asks, own, np.full(len(asks), -np.inf if threshold is None else threshold), top_k)
+        yield pa.RecordBatch.from_arrays([batch.column(at["query_id"]).take(pa.array(row)), ids.take(pa.array(place)), pa.array(scores)], names=["query_id", "chunk_id", "score"])
 
     kinds = [placed.schema[c].dataType.simpleString() for c in ("query_id", "item_id")]
     found = placed.mapInArrow(lambda batches: _streamed(batches, hold, score), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")

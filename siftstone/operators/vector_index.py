@@ -3,7 +3,8 @@
 A search bounds what it reads twice, and neither bound costs a result. A partition knows the widest angle between its centroid and a
 member, so that no member can be nearer to a query than the angle to the centroid less that; partitions that cannot hold one of the best ``k`` are
 not read. In those that are read, a vector's rest against its centroid is kept as bytes, whose rounding error is known; only vectors that
-may still be among the best are scored from their exact components.
+may still be among the best are scored from their exact components. Short vectors, whose bytes would tell too few of them apart, are scored
+exactly at once, by cells of near ones.
 
 The index is a folder of Parquet tables: ``centroids``, ``rows`` (by ``part``), ``extents`` (rows and widest angle by part and batch), ``gone``
 (ids replaced or deleted, by part). Every change is a further batch of files; one writer at a time.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..session import cut_lineage
-from . import retrieval
+from . import cells, retrieval
 
 #: Centroids are fitted on so many vectors (those with the smallest hash of their id), in so many rounds.
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
@@ -243,22 +244,23 @@ def _asked(index: VectorIndex, queries: DataFrame, choose) -> DataFrame:
 
 
 def _scored(index: VectorIndex, asked: DataFrame, top_k: int, rows: np.ndarray, chunk_type: str | None) -> tuple[DataFrame, list[int], int]:
-    """``query_id, chunk_id, part, score, error`` of the candidates in the partitions that the queries ask for, from the bytes; which those are; how many (query, partition).
+    """``query_id, chunk_id, part, score, error`` of the candidates in the partitions that the queries ask for, from the bytes (of short vectors exactly); which those are; how many (query, partition).
 
     A partition is cut into slices that a task holds; its queries stream past each. A slice hands on what may be among its best ``top_k``.
     """
     size = index.centroids.shape[1]
+    short, held_rows = size <= cells.CELL_SIZE, retrieval.SLICE_ROWS if size <= cells.CELL_SIZE else min(retrieval.SLICE_ROWS, cells.DENSE_ROWS)
     wanted = cut_lineage(asked.select("query_id", "scope", "v", "bound", F.explode("parts").alias("part")))
     parts = sorted(r.part for r in wanted.select("part").distinct().collect())  # MOST_PARTS at most
     slices = F.lit(1)
     for part in parts:
-        cuts = math.ceil(max(rows[part] * size / retrieval.SLICE_NUMBERS, rows[part] / retrieval.SLICE_ROWS))
+        cuts = math.ceil(max(rows[part] * size / retrieval.SLICE_NUMBERS, rows[part] / held_rows))
         if cuts > 1:
             slices = F.when(F.col("part") == part, cuts).otherwise(slices)
     spot = lambda k: (F.col("part").cast("long") * (1 << 32) + k).alias("slice")
     data = live_rows(index, parts)
     data = data.where(F.col("chunk_type") == chunk_type) if chunk_type else data
-    own = data.select(spot(F.pmod(F.xxhash64("id"), slices)), F.lit(0).alias("is_query"), F.col("id").alias("item_id"), "scope", "part", "code", "step")
+    own = data.select(spot(F.pmod(F.xxhash64("id"), slices)), F.lit(0).alias("is_query"), F.col("id").alias("item_id"), "scope", "part", *(["v"] if short else ["code", "step"]))
     sent = wanted.select("*", F.explode(F.sequence(F.lit(0), slices - 1)).alias("k")).select(spot(F.col("k")), F.lit(1).alias("is_query"), "query_id", "scope", "v", "bound")
     columns = [*own.columns, *[c for c in sent.columns if c not in own.columns]]
     pad = lambda df, other: df.select(*df.columns, *retrieval._missing(other, df)).select(*columns)
@@ -268,6 +270,25 @@ def _scored(index: VectorIndex, asked: DataFrame, top_k: int, rows: np.ndarray,
     at = {c: i for i, c in enumerate(placed.columns)}
     known = index.spark.sparkContext.broadcast(index.centroids)
 
+    def hold_short(table):
+        units = _units(table["v"], size)
+        sound = np.isfinite(units).all(axis=1)
+        scopes = table["scope"].combine_chunks().dictionary_encode(null_encoding="encode")
+        names = {name: i for i, name in enumerate(scopes.dictionary.to_pylist())}
+        held = cells.Cells(units[sound], scopes.indices.to_numpy()[sound])
+        return int(table["part"][0].as_py()), table["item_id"].combine_chunks().filter(pa.array(sound)), names, held
+
+    def score_short(ready, batch):
+        part, ids, names, held = ready
+        own = batch.column(at["scope"])  # null where the search is not scoped
+        scopes = None if own.null_count else np.array([names.get(name, -1) for name in own.to_pylist()])
+        floor = batch.column(at["bound"]).to_numpy(zero_copy_only=False) - SLACK
+        row, place, near = held.best(_units(batch.column(at["v"]), size), scopes, floor, top_k)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(at["query_id"]).take(pa.array(row)), ids.take(pa.array(place)), pa.array(np.full(len(row), part, np.int32)), pa.array(near), pa.array(np.full(len(row), 2 * cells.TIE))],
+            names=["query_id", "chunk_id", "part", "score", "error"],
+        )
+
     def hold(table):
         part = int(table["part"][0].as_py())
         column = table["code"].combine_chunks()
@@ -298,7 +319,7 @@ def _scored(index: VectorIndex, asked: DataFrame, top_k: int, rows: np.ndarray,
 
     kinds = [placed.schema[c].dataType.simpleString() for c in ("query_id", "item_id")]
     found = placed.mapInArrow(
-        lambda batches: retrieval._streamed(batches, hold, score), f"query_id {kinds[0]}, chunk_id {kinds[1]}, part int, score double, error double"
+        lambda batches: retrieval._streamed(batches, *((hold_short, score_short) if short else (hold, score))), f"query_id {kinds[0]}, chunk_id {kinds[1]}, part int, score double, error double"
     )
     return cut_lineage(found), parts, wanted.count()
 

@@ -89,3 +89,51 @@ def test_odd_vectors(spark, tmp_path):
     assert vector_index.search_index(index, asked.where("query_id = 0"), 5).rows.count() == 0
     with pytest.raises(ValueError):
         vector_index.build_index(chunks.where("id = 0"), str(tmp_path / "none"))
+
+
+def test_cells_equal_brute_force_and_score_few_vectors(monkeypatch):
+    from siftstone.operators import cells
+
+    random = np.random.default_rng(11)
+    for size, count in ((4, 9000), (2, 5000), (16, 4500), (3, 0), (3, 40), (20, 5000)):
+        vectors = random.normal(0, 1, (count, size))
+        vectors[: count // 5] = vectors[:1]  # copies, which all tie
+        vectors[count // 5 : count // 4] = 0
+        norms = np.linalg.norm(vectors, axis=1)
+        vectors = vectors / np.where(norms == 0, 1, norms)[:, None]
+        codes = random.integers(0, 3, count)
+        asks = random.normal(0, 1, (50, size))
+        asks = np.concatenate((asks / np.linalg.norm(asks, axis=1)[:, None], vectors[:2], vectors[-20:], np.zeros((1, size)), np.full((1, size), np.nan)))
+        held = cells.Cells(vectors, codes)
+        assert (held.places is None) == (size > cells.CELL_SIZE or count < 4096)
+        for scopes in (None, random.integers(-1, 3, len(asks))):
+            for floor in (-np.inf, 0.95):
+                row, place, score = held.best(asks, scopes, np.full(len(asks), floor), 5)
+                for i, ask in enumerate(asks):
+                    every = vectors @ ask
+                    every[~((every >= floor) & ((scopes is None) | (codes == (0 if scopes is None else scopes[i]))))] = -np.inf
+                    usable = np.sort(every[np.isfinite(every)])[-5:]
+                    want = np.flatnonzero(np.isfinite(every) & (every >= usable[0] - 5e-10)) if len(usable) else []
+                    got = place[row == i]
+                    assert len(set(got.tolist())) == len(got) and set(want) <= set(got.tolist()) and (len(want) == 0) == (len(got) == 0)
+                    assert np.allclose(score[row == i], every[got]) and (len(got) == 0 or score[row == i].min() >= usable[0] - 2e-9)
+    vectors, scored, inside = random.normal(0, 1, (50_000, 4)), [], cells.Cells._inside
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    monkeypatch.setattr(cells.Cells, "_inside", lambda self, asks, *more: scored.append(len(more[-1]) * self.places.shape[1]) or inside(self, asks, *more))
+    monkeypatch.setattr(cells.Cells, "_dense", None)
+    row, _, score = cells.Cells(vectors, np.zeros(50_000, int)).best(vectors[:200], None, np.full(200, -np.inf), 8)
+    assert sum(scored) < 0.1 * 200 * 50_000 and np.bincount(row).tolist() == [8] * 200
+
+
+def test_short_vectors_hand_on_few_candidates(spark, tmp_path, monkeypatch):
+    random = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v], f"d{i % 2}") for i, v in enumerate(random.normal(0, 1, (6000, 3)))]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>, dataset string")
+    index = vector_index.build_index(chunks, str(tmp_path / "i"), 1, scope="dataset")
+    queries = queries_of(spark, chunks, 200)
+    handed, scored = [], vector_index._scored
+    monkeypatch.setattr(vector_index, "_scored", lambda *a: handed.append(scored(*a)) or handed[-1])
+    for scope in (None, "dataset"):
+        found = rows_of(vector_index.search_index(index, queries, 5, None, scope=scope).rows)
+        assert found == rows_of(retrieval.search_vectors(chunks, queries, 5, None, scope=scope)) and len(found) == 150
+    assert all(h[0].count() <= 150 for h in handed)  # one byte a dimension let many more pass
